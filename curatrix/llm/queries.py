@@ -6,13 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import jumphash, packing, trie_bpe
+from curatrix.llm import chat, fingerprints, jumphash, linmaxmatch, packing, ppm_langid, segment_topk, trie_bpe
 from curatrix.llm.common import table, utf8_bytes
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 CAPACITY = 4096
 SHARDS = 24
+TOP = 20
+HELD_OUT = 2
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +23,53 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Only what an edit can take of the next text's head travels with it: no document replaces more than it has.
+    pairs = fingerprints.with_next(docs, "doc_id", "text", "next_text")
+    n = F.char_length("text")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
+    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text").withColumn("edited_sha256", F.sha2("edited", 256))
+    names = {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}
+    out = fingerprints.fingerprint_columns(rows, names, ["doc_id", "n_chars", "edited_sha256"])
+    same = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+
+
+def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return segment_topk.topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), TOP)
+
+
+def op5_linmaxmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linmaxmatch.count_tokens(docs, linmaxmatch.read_pieces(PIECES), keep=["doc_id"])
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.control_conversation(spark))
+    turns = turns.withColumn("parts", chat.text_parts(F.coalesce("text", F.lit(""))))
+    out = chat.format_conversations(turns)
+    read = out.withColumn("_turns", chat.read_turns(F.col("formatted"))).withColumn("_loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
+    return read.select(
+        "conv_id",
+        F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    model = ppm_langid.train(docs.filter(fold != HELD_OUT), "text", "lang", F.col("doc_id"))
+    out = ppm_langid.identify(docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -46,6 +96,11 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
+    "op2_canonical_fingerprint": op2_canonical_fingerprint,
+    "op4_segment_topk": op4_segment_topk,
+    "op5_linmaxmatch": op5_linmaxmatch,
+    "op6_chat_format": op6_chat_format,
+    "op7_ppm_language": op7_ppm_language,
     "op8_jump_sharding": op8_jump_sharding,
     "op9_trie_bpe": op9_trie_bpe,
 }
