@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def row_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
         if not b.num_rows:
             continue
         col = b.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         lo, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > max_bytes:
