@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, fingerprints, jumphash, linmaxmatch, packing, ppm_langid, segment_topk, trie_bpe
+from curatrix.llm import chat, fingerprints, hyperminhash, jumphash, linmaxmatch, packing, ppm_langid, segment_topk, trie_bpe
 from curatrix.llm.common import table, utf8_bytes
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +39,11 @@ def op2_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hyperminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, threshold=Fraction(80, 100))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op4_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return segment_topk.topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), TOP)
@@ -97,6 +104,7 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_canonical_fingerprint": op2_canonical_fingerprint,
+    "op3_hyperminhash": op3_hyperminhash,
     "op4_segment_topk": op4_segment_topk,
     "op5_linmaxmatch": op5_linmaxmatch,
     "op6_chat_format": op6_chat_format,
