@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, fingerprints, hyperminhash, jumphash, linmaxmatch, packing, ppm_langid, segment_topk, trie_bpe
+from curatrix.llm import chat, fingerprints, hyperminhash, jumphash, linmaxmatch, packing, ppm_langid, rindex_dedup, segment_topk, trie_bpe
 from curatrix.llm.common import table, utf8_bytes
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,7 @@ END_ID = 2
 CAPACITY = 4096
 SHARDS = 24
 TOP = 20
+REPEAT_BYTES = 400
 HELD_OUT = 2
 
 
@@ -101,6 +102,18 @@ def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n_bytes", utf8_bytes("text"))
+    out = rindex_dedup.remove_repeats(docs, REPEAT_BYTES, keep=["doc_id", "n_bytes"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_canonical_fingerprint": op2_canonical_fingerprint,
@@ -111,6 +124,7 @@ QUERIES = {
     "op7_ppm_language": op7_ppm_language,
     "op8_jump_sharding": op8_jump_sharding,
     "op9_trie_bpe": op9_trie_bpe,
+    "op10_rindex_dedup": op10_rindex_dedup,
 }
 
 ORACLE: dict[str, str] = {}
