@@ -207,20 +207,19 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
 
 
 def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Stretches of all rows (t1, t2, rid, text): anchor, content digest (c1, c2), place and number of windows."""
+    """Stretches of all rows (t1, t2, rid, text): anchor, digest of the content (with the anchor, 128 bits), place and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_chunks(batches, "text", 1_000_000):
             texts = _bytes_of(b.column("text"))
             row, start, count, key = stretches(texts, length, anchor)
-            digest = xxhash.xxh3_128_digest
+            digest = xxhash.xxh3_64_digest
             content = [digest(texts[r][s : s + c + length - 1]) for r, s, c in zip(row.tolist(), start.tolist(), count.tolist(), strict=True)]
-            c = np.frombuffer(b"".join(content), dtype=np.int64).reshape(-1, 2)
             take = pa.array(row)
-            cols = [pa.array(key), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "c1", "c2", "t1", "t2", "rid", "start", "windows"])
+            cols = [pa.array(key), pa.array(np.frombuffer(b"".join(content), dtype=np.int64)), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "content", "t1", "t2", "rid", "start", "windows"])
 
-    return rows.select("t1", "t2", "rid", "text").mapInArrow(run, "key long, c1 long, c2 long, t1 long, t2 long, rid long, start long, windows long")
+    return rows.select("t1", "t2", "rid", "text").mapInArrow(run, "key long, content long, t1 long, t2 long, rid long, start long, windows long")
 
 
 def _cut_out(joined: DataFrame, length: int) -> DataFrame:
@@ -296,9 +295,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     shared = scratch.keep(found.join(several, "key", "left_semi"), "shared")
     scratch.drop(found)
     place = F.struct("t1", "t2", "rid", "start", "windows")
-    contents = scratch.keep(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contents")
-    copied = contents.filter("copies > 1").select("key", "c1", "c2")
-    whole = shared.join(copied, ["key", "c1", "c2"]).select("t1", "t2", "start", "windows")
+    contents = scratch.keep(shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contents")
+    copied = contents.filter("copies > 1").select("key", "content")
+    whole = shared.join(copied, ["key", "content"]).select("t1", "t2", "start", "windows")
     groups = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).filter("m > 1 and fewest = 1")
     wanted = contents.join(groups, "key").select("at.*", F.struct("key", F.least("copies", F.lit(2)).alias("copies"), (F.col("m") > hot).alias("hot"), "at.start", "at.windows").alias("w"))
     wanted = wanted.groupBy("t1", "t2", "rid").agg(F.collect_list("w").alias("wanted"))
@@ -340,13 +339,13 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False, anchor: int = ANCHOR) -> DataFrame:
     """``keep`` columns, kept (binary: what is left), removed (array of start and end) of every row.
 
     With ``whole``, no character is split: kept is then valid UTF-8.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("kept", "removed")]
-    spans = repeated_spans(docs, length, key, text)
+    spans = repeated_spans(docs, length, key, text, anchor)
     rows = docs.select(*dict.fromkeys([*keep, text])).withColumnsRenamed({c: f"_in_{c}" for c in ("t1", "t2", "spans") if c in docs.columns})
     renamed = [f"_in_{c}" if c in ("t1", "t2", "spans") else c for c in keep]
     said = f"_in_{text}" if text in ("t1", "t2", "spans") else text
