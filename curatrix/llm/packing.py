@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from curatrix.llm.common import row_chunks
-from curatrix.llm.trie_bpe import CACHE_WORDS, WordBpe
+from curatrix.llm.trie_bpe import WordBpe
 
 #: Documents that share the bins of one part; parts grow with the table, a part's work does not.
 ROWS_A_PART = 50_000
@@ -48,6 +49,7 @@ class LibraryWords(WordBpe):
     def __init__(self, content: bytes) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         super().__init__(content)
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_padding()
@@ -86,7 +88,7 @@ def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(shared.value)
-        for b in row_chunks(batches, text):
+        for b in row_chunks(batches, text, 4_000_000):
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, packed in enumerate(bpe.encode_texts(b.column(text).to_pylist())):
                 packed += end

@@ -31,8 +31,8 @@ from curatrix.llm.common import row_chunks
 
 #: Fixed value: Unicode white space, as a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
-#: Words kept with their encodings in a worker; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+#: Words kept with their encodings in a generation of a worker's cache; there are two generations.
+CACHE_WORDS = 400_000
 LATIN = 0x250
 NEVER = 1 << 60
 #: Writers of so many ids.
@@ -53,6 +53,15 @@ def _class(kind: str, top: int = 0x110000) -> str:
     return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def token_texts(spec: dict) -> list[str]:
+    """The text of each id of a tokenizer file."""
+    ids = {**spec["model"]["vocab"], **{x["content"]: x["id"] for x in spec["added_tokens"]}}
+    out = [""] * (max(ids.values()) + 1)
+    for t, i in ids.items():
+        out[i] = t
+    return out
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file with byte-level letters and a word-end suffix."""
 
@@ -61,10 +70,8 @@ class WordBpe:
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = max([*self.vocab.values(), *self.added.values()]) + 1
-        self.tokens = [""] * size
-        for t, i in [*self.vocab.items(), *self.added.items()]:
-            self.tokens[i] = t
+        self.tokens = token_texts(spec)
+        size = len(self.tokens)
         # Symbols: a byte is chr(byte), a byte that ends a word is chr(256 + byte).
         back = {x: b for b, x in enumerate(byte_letters())}
 
@@ -90,6 +97,7 @@ class WordBpe:
         self._automaton()
         self.allowed: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         specials = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
         self.specials = re.compile(f"({specials})") if specials else None
         # Texts in Latin letters take a pattern with short classes.
@@ -240,10 +248,14 @@ class WordBpe:
                 found.append(ws)
             else:
                 found.append(self.words(text))
+        if len(cache) > CACHE_WORDS:  # the generation before stays; what is used again moves into the new one
+            self.old, self.cache = cache, {}
+            cache = self.cache
         new = set().union(*found).difference(cache).difference(special)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = set().union(*found).difference(special)
+        if old := self.old:
+            again = new.intersection(old)
+            cache.update({w: old[w] for w in again})
+            new -= again
         self.fill(list(new))
         look = cache | special if special else cache
         return [b"".join([look[w] for w in ws]) for ws in found]
