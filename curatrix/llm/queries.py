@@ -33,9 +33,10 @@ def op2_canonical_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text").withColumn("edited_sha256", F.sha2("edited", 256))
-    names = {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}
+    rows = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    names = {"text": "fingerprint", "edited": "edited_fingerprint"}
     out = fingerprints.fingerprint_columns(rows, names, ["doc_id", "n_chars", "edited_sha256"])
+    out = fingerprints.with_next(out, "doc_id", "fingerprint", "next_fingerprint")
     same = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
 
