@@ -48,14 +48,14 @@ def snapshot(batch: DataFrame, stored: DataFrame, now: str, content: list[str],
     changed = F.col("outcome") != "unchanged"
     take = F.struct(*content, "slug")
     last = done.groupBy(key).agg(F.max_by(F.when(changed, take), F.when(changed, F.col(pos))).alias("_new"), F.max(changed).alias("_changed"))
-    joined = stored.join(last, key, "full_outer")
-    seen, fresh = F.col("_changed").isNotNull(), F.col("first_seen_at").isNull()
+    joined = stored.withColumn("_held", F.lit(True)).join(last, key, "full_outer")
+    seen, fresh = F.col("_changed").isNotNull(), F.col("_held").isNull()
     new = F.coalesce(F.col("_changed"), F.lit(False))
     ts = F.lit(now).cast("timestamp")
     values = {c: F.when(new, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in content}
     values |= {
         "slug": F.when(fresh, F.col("_new.slug")).otherwise(F.col("slug")),
-        "first_seen_at": F.coalesce("first_seen_at", ts),
+        "first_seen_at": F.when(fresh, ts).otherwise(F.col("first_seen_at")),
         "last_seen_at": F.when(seen, ts).otherwise(F.col("last_seen_at")),
         "enriched_at": F.when(~new, F.col("enriched_at")),
         "quality_score": F.when(new, F.lit(0)).otherwise(F.col("quality_score")),
