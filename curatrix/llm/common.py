@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,6 +64,26 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+_resident: dict = {}
+
+
+def resident(key: object, make: Callable[[], Any]) -> Any:
+    """A worker's state for later tasks, such as caches. A worker holds one at a time: what another operator left goes."""
+    if key not in _resident:
+        release()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Gives back the memory that other operators' states hold in this worker."""
+    if _resident:
+        _resident.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that ``column`` (string or binary) has about ``max_bytes`` in each; a longer value stands alone."""
     for b in batches:

@@ -91,16 +91,14 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = packing.vocabulary(WORD_BPE)
-    ids = trie_bpe.bpe_encode(table(spark, sf_dir, "documents"), content, keep=["doc_id"])
-    digests = ids.select(
+    docs = table(spark, sf_dir, "documents")
+    out = trie_bpe.bpe_encode(docs, packing.vocabulary(WORD_BPE), keep=["doc_id"], decoded="decoded")
+    return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    out = trie_bpe.bpe_decode(digests, content, keep=["doc_id", "n_tokens", "ids_sha256"])
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from curatrix.llm.common import row_chunks
+from curatrix.llm.common import resident, row_chunks
 
 #: Fixed value: Unicode white space, as a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Words kept with their encodings in a generation of a worker's cache; there are two generations.
 CACHE_WORDS = 400_000
+#: Pairs of tokens whose check is remembered in a worker.
+ALLOWED_PAIRS = 400_000
 LATIN = 0x250
 NEVER = 1 << 60
 #: Writers of so many ids.
@@ -204,7 +206,7 @@ class WordBpe:
                 d = start[d]
             ids.reverse()
             yield ids
-        if len(allowed) > 2_000_000:
+        if len(allowed) > ALLOWED_PAIRS:
             allowed.clear()
 
     def words(self, text: str) -> list[str]:
@@ -261,15 +263,9 @@ class WordBpe:
         return [b"".join([look[w] for w in ws]) for ws in found]
 
 
-_loaded: dict[bytes, WordBpe] = {}
-
-
 def load(content: bytes) -> WordBpe:
     """The worker's encoder for a tokenizer file, built once."""
-    key = hashlib.sha256(content).digest()
-    if key not in _loaded:
-        _loaded[key] = WordBpe(content)
-    return _loaded[key]
+    return resident(("trie", hashlib.sha256(content).digest()), lambda: WordBpe(content))
 
 
 def ids_array(packed: list[bytes]) -> pa.Array:
@@ -279,41 +275,50 @@ def ids_array(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
 
 
-def bpe_encode(df: DataFrame, content: bytes, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def decode_lists(lists: pa.Array, tokens: pa.Array) -> pa.Array:
+    """Texts of lists of ids: tokens with their word ends, joined by one space."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    said = pa.LargeListArray.from_arrays(pa.array(offsets), tokens.take(lists.flatten()))
+    return pc.binary_join(said, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def bpe_encode(df: DataFrame, content: bytes, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """``keep`` columns (default: all) of ``df`` and the token ids of the whole text as array<int>.
 
-    ``content`` is the tokenizer file, read once on the driver; its size is fixed, so it is broadcast.
+    ``decoded`` names a column for the text decoded from these ids by the same worker. ``content`` is the tokenizer
+    file, read once on the driver; its size is fixed, so it is broadcast.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
+    extra = [ids, *([decoded] if decoded else [])]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in extra]
     shared = df.sparkSession.sparkContext.broadcast(content)
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*(df.schema[c] for c in keep), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(shared.value)
+        tokens = pa.array(bpe.tokens, pa.large_string())
         for b in row_chunks(batches, text):
-            out = ids_array(bpe.encode_texts(b.column(text).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), out], [*keep, ids])
+            out = [ids_array(bpe.encode_texts(b.column(text).to_pylist()))]
+            if decoded:
+                out.append(decode_lists(out[0], tokens))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, *extra])
 
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, content: bytes, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns and the text of the ids: tokens with their word ends, joined by one space, special ones too."""
+    """``keep`` columns and the text of the ids, special tokens too; null ids decode to the empty text."""
     keep = [c for c in (df.columns if keep is None else keep) if c != out]
     shared = df.sparkSession.sparkContext.broadcast(content)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(load(shared.value).tokens, pa.large_string())
+        tokens = pa.array(token_texts(json.loads(shared.value)), pa.large_string())
         for big in batches:
             for lo in range(0, big.num_rows, 512):
                 b = big.slice(lo, 512)
-                col = b.column(ids)
-                lengths = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                offsets = np.zeros(len(lengths) + 1, dtype=np.int64)
-                np.cumsum(lengths, out=offsets[1:])
-                lists = pa.LargeListArray.from_arrays(pa.array(offsets), tokens.take(col.flatten()))
-                text = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), text], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), decode_lists(b.column(ids), tokens)], [*keep, out])
 
     return df.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)
