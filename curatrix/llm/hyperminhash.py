@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Scratch, row_chunks
+from curatrix.llm.common import Scratch, release, row_chunks
 from curatrix.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -190,6 +190,7 @@ def sketch_documents(docs: DataFrame, width: int, key: str = "doc_id", text: str
     """(key, n_shingles, d1, d2, bands): set size, wide digest of the set, band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in row_chunks(batches, text, 1_000_000):
             sets = shingle_sets(_encoded(b.column(text)), width)
             full = [s for s in sets if len(s)]
@@ -209,6 +210,7 @@ def _with_sketch(texts: DataFrame, width: int) -> DataFrame:
     """(id, text) with n and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in row_chunks(batches, "text", 1_000_000):
             sets = shingle_sets(_encoded(b.column("text")), width)
             regs = sketches(sets)
@@ -223,6 +225,7 @@ def estimate_pairs(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> D
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for big in batches:
             for lo in range(0, big.num_rows, 4096):
                 b = big.slice(lo, 4096)
@@ -246,6 +249,7 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fra
     rows = pivots.unionByName(members).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, own = None, []
         for b in row_chunks(batches, "text", 1_000_000):
             sets = shingle_sets(_encoded(b.column("text")), width)
@@ -291,6 +295,7 @@ def bucket_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, ids[j])), pa.array(np.maximum(x, ids[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, group, sketch = None, [], []
         for big in batches:
             for lo in range(0, big.num_rows, 4096):

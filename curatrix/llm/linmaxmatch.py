@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from curatrix.llm.common import row_chunks
+from curatrix.llm.common import resident, row_chunks
 
 LONGEST_WORD = 100
 CACHE_WORDS = 1_000_000
@@ -137,9 +137,6 @@ class Counter:
         return len(words), sum(each) + unknown, unknown
 
 
-_loaded: dict[int, Counter] = {}
-
-
 def count_tokens(df: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, longest: int = LONGEST_WORD) -> DataFrame:
     """``keep`` columns with n_words, n_tokens and n_unknown of each whole text. The vocabulary's size is fixed."""
     outputs = ["n_words", "n_tokens", "n_unknown"]
@@ -149,10 +146,9 @@ def count_tokens(df: DataFrame, pieces: list[str], text: str = "text", keep: lis
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _loaded:
-            _loaded[name] = Counter(Automaton(*word_pieces(shared.value)), longest)
+        counter = resident(("pieces", name), lambda: Counter(Automaton(*word_pieces(shared.value)), longest))
         for b in row_chunks(batches, text):
-            got = [_loaded[name].counts(t) for t in b.column(text).to_pylist()]
+            got = [counter.counts(t) for t in b.column(text).to_pylist()]
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, *outputs])
 

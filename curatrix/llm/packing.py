@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curatrix.llm.common import row_chunks
+from curatrix.llm.common import resident, row_chunks
 from curatrix.llm.trie_bpe import WordBpe
 
 #: Documents that share the bins of one part; parts grow with the table, a part's work does not.
@@ -66,14 +66,8 @@ class LibraryWords(WordBpe):
             self.cache[w] = self.pack(e.ids)
 
 
-_loaded: dict[bytes, LibraryWords] = {}
-
-
 def load(content: bytes) -> LibraryWords:
-    key = hashlib.sha256(content).digest()
-    if key not in _loaded:
-        _loaded[key] = LibraryWords(content)
-    return _loaded[key]
+    return resident(("library", hashlib.sha256(content).digest()), lambda: LibraryWords(content))
 
 
 def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curatrix.llm.common import row_chunks
+from curatrix.llm.common import release, row_chunks
 
 #: Whole documents that are learned from, of each language.
 PER_LANGUAGE = 250
@@ -157,6 +157,7 @@ def identify(docs: DataFrame, model: PpmModel | None, text: str = "text", keep:
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         ppm = shared.value
         for b in row_chunks(batches, text, 1_000_000):
             texts = b.column(text).to_pylist()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Scratch, row_chunks
+from curatrix.llm.common import Scratch, release, row_chunks
 
 LENGTH = 400
 ANCHOR = 128
@@ -210,6 +210,7 @@ def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     """Stretches of all rows (t1, t2, rid, text): anchor, digest of the content (with the anchor, 128 bits), place and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in row_chunks(batches, "text", 1_000_000):
             texts = _bytes_of(b.column("text"))
             row, start, count, key = stretches(texts, length, anchor)
@@ -226,6 +227,7 @@ def _cut_out(joined: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted stretches: rows of a text with its wanted list of (key, copies, hot, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         names = ["key", "copies", "hot", "start", "windows"]
         for b in row_chunks(batches, "text", 1_000_000):
             texts, wanted = _bytes_of(b.column("text")), b.column("wanted")
@@ -253,6 +255,7 @@ def _by_index(parts: DataFrame, length: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["t1", "t2", "start", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         group: list[tuple] = []
         size = 0
         for b in row_chunks(batches, "part", 1_000_000):
@@ -272,6 +275,7 @@ def _by_window(parts: DataFrame, length: int) -> DataFrame:
     """The same for hot groups, without gathering any: every window's digest is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         digest = xxhash.xxh3_128_digest
         for b in row_chunks(batches, "part", 100_000):
             for copies, start, t1, t2, part in zip(*(b.column(c).to_pylist() for c in ("copies", "start", "t1", "t2", "part")), strict=True):
@@ -355,6 +359,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     schema = (fields + ", " if fields else "") + "kept binary, removed array<struct<start:bigint,end:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in row_chunks(batches, said, 2_000_000):
             left, gone = [], []
