@@ -134,14 +134,13 @@ def has_letter(text: str) -> bool:
 
 def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int = PER_LANGUAGE) -> PpmModel | None:
     """The model of the rows' languages, from a bounded sample; None if there is nothing to learn from."""
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(key), key)
     usable = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    chosen = usable.select(F.col(lang).alias("_lang"), key.alias("_key")).distinct()
+    chosen = usable.select(F.col(lang).alias("_lang"), key.alias("_key"))
     names = [r[0] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()]
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
     chosen = chosen.filter(F.col("_lang").isin(names)).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     keys = [r[0] for r in chosen.select("_key").collect()]
-    picked = usable.filter(key.isin(keys)).select(F.col(lang), F.col(text)) if keys else None
+    picked = usable.filter(key.isin(keys)).select(lang, text, key.alias("_key")).dropDuplicates().select(lang, text) if keys else None
     samples: dict[str, list[bytes]] = {}
     for name, said in picked.toLocalIterator() if picked is not None else ():
         if name in names:
