@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, fingerprints, hyperminhash, jumphash, linmaxmatch, packing, ppm_langid, rindex_dedup, segment_topk, trie_bpe
+from curatrix.llm import chat, fingerprints, hyperminhash, jumphash, linmaxmatch, oracles, packing, ppm_langid, rindex_dedup, segment_topk, trie_bpe
 from curatrix.llm.common import table, utf8_bytes
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -126,4 +126,10 @@ QUERIES = {
     "op10_rindex_dedup": op10_rindex_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_hyperminhash": oracles.NEAR_DUPLICATES,
+    "op4_segment_topk": oracles.TOP_K,
+    "op6_chat_format": oracles.CHAT,
+    "op8_jump_sharding": oracles.jump_sharding(SHARDS),
+    "op10_rindex_dedup": oracles.REPEATS.format(REPEAT_BYTES),
+}
