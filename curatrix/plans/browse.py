@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import dates, taxonomy
+from curatrix.functions import text as slugs
+from curatrix.functions import url as safe
 from curatrix.operators import browse as B
 from curatrix.plans import tables as T
 
@@ -147,6 +149,44 @@ def landing_stats(spark, sf):
     return by_kind.unionByName(live).unionByName(due)
 
 
+def list_categories(spark, sf):
+    return _counted(spark, sf).orderBy("slug").select("slug", "artifact_count", "recount")
+
+
+def taxonomy_like(spark, sf):
+    """The substring form of the recount: case-insensitive, so one slug can count for another that holds it."""
+    c = B.active(_categorized(spark, sf)).select(F.array_join("categories", ",").alias("c"))
+    known = spark.createDataFrame([(k,) for k in [*taxonomy.KINDS, "SKILL", "m"]], "slug string")
+    return F.broadcast(known).join(c, F.expr("c ILIKE concat('%', slug, '%')"), "left").groupBy("slug").agg(F.count("c").alias("recount"))
+
+
+def sitemap(spark, sf):
+    rows = B.active(T.catalog(spark, sf)).filter(safe.is_safe_url(F.col("source_url")))
+    return rows.select(F.concat(F.lit("/artifact/"), slugs.slugify(F.concat_ws("-", "name", F.col("id").cast("string")))).alias("loc"))
+
+
+def detail_page(spark, sf):
+    """Records with their score and their last check."""
+    from curatrix.operators.checks import latest_check
+
+    rows = B.active(_rows(spark, sf))
+    last = latest_check(T.checks(spark, sf)).select(F.col("artifact_id").alias("id"), "checked_at", "http_status")
+    return rows.join(last, "id", "left").select("id", "name", "quality_score", dates.iso(F.col("checked_at")).alias("last_checked"), "http_status")
+
+
+def click_redirects(spark, sf):
+    """Where clicks lead: the stored address, checked again, of a record that is still active."""
+    clicks = T.read(spark, sf, "events").filter("event_type = 'click'").select("event_id", F.col("user_id").alias("id"))
+    rows = B.active(T.catalog(spark, sf)).filter(safe.is_safe_url(F.col("source_url"))).select("id", "source_url")
+    return clicks.join(rows, "id").select("event_id", F.col("source_url").alias("location"))
+
+
+def health_rollup(spark, sf):
+    from curatrix.operators.checks import failure_runs
+
+    return failure_runs(T.runs(spark, sf)).groupBy("health").agg(F.count(F.lit(1)).alias("sources"), F.max("consecutive_failures").alias("worst"))
+
+
 def _tag_sql(table: dict) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
 
@@ -165,7 +205,7 @@ _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 _KNOWN = "known AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in [*taxonomy.KINDS, taxonomy.UNCATEGORIZED, "empty"]) + "]) AS slug)"
 _RECOUNT = f"{WITH}, {_CATS}, {_KNOWN}, counted AS (SELECT k.slug, count(c.slug) AS recount FROM known k LEFT JOIN (SELECT unnest(categories) AS slug FROM categorized WHERE is_active) c ON c.slug = k.slug GROUP BY k.slug)"
 
-QUERIES = {f.__name__: f for f in [active_filter, filter_isin, point_lookup, top_by_kind, top_all, paginate, page_meta, clamp_args, recent_feed, enrich_queue, count_by_kind, live_count, due_sources, stamp_due, lock_decisions, map_categories, example_signals, taxonomy_recount, drift_corrected, source_health, monthly_rollup, pulse_guards, click_counts, degraded_banner, landing_stats]}
+QUERIES = {f.__name__: f for f in [active_filter, filter_isin, point_lookup, top_by_kind, top_all, paginate, page_meta, clamp_args, recent_feed, enrich_queue, count_by_kind, live_count, due_sources, stamp_due, lock_decisions, map_categories, example_signals, taxonomy_recount, drift_corrected, source_health, monthly_rollup, pulse_guards, click_counts, degraded_banner, landing_stats, list_categories, taxonomy_like, sitemap, detail_page, click_redirects, health_rollup]}
 
 ORACLE = {
     "active_filter": WITH + TOP,
@@ -197,4 +237,10 @@ ORACLE = {
     "click_counts": "SELECT user_id AS artifact_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY user_id",
     "degraded_banner": f"WITH {T.RUNS_SQL}, l AS (SELECT max(started_at) AS m FROM runs WHERE status <> 'failed') SELECT {_ISO.format('m')} AS last_pulse, m < TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 48 HOUR AS degraded FROM l",
     "landing_stats": f"{WITH}, {T.SOURCES_SQL} SELECT 'kind:' || kind AS what, count(*) AS n FROM catalog WHERE is_active AND kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'live', count(*) FROM catalog WHERE is_active UNION ALL SELECT 'due', least(count(*), 100) FROM sources WHERE {_DUE}",
+    "list_categories": f"{_RECOUNT} SELECT slug, 300 AS artifact_count, recount FROM counted ORDER BY slug",
+    "taxonomy_like": f"{WITH}, {_CATS} SELECT slug, count(id) AS recount FROM (SELECT unnest(['skill', 'mcp', 'ruleset', 'subagent', 'command', 'SKILL', 'm']) AS slug) k LEFT JOIN categorized c ON c.is_active AND array_to_string(c.categories, ',') ILIKE '%' || slug || '%' GROUP BY slug",
+    "sitemap": f"{WITH} SELECT '/artifact/' || {T.SLUG_SQL.format("(name || '-' || id)")} AS loc FROM catalog WHERE is_active",
+    "detail_page": f"{WITH}, {T.checks_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY checked_at DESC, id DESC) AS k FROM checks) SELECT c.id, name, quality_score, {_ISO.format('checked_at')} AS last_checked, http_status FROM catalog c LEFT JOIN n ON n.artifact_id = c.id AND k = 1 WHERE is_active",
+    "click_redirects": f"{WITH} SELECT event_id, source_url AS location FROM events JOIN catalog ON id = user_id WHERE event_type = 'click' AND is_active",
 }
+ORACLE["health_rollup"] = f"SELECT health, count(*) AS sources, max(consecutive_failures) AS worst FROM ({ORACLE['source_health']}) GROUP BY health"

@@ -68,6 +68,19 @@ def verify_queue(spark, sf):
     return C.verify_queue(a, T.checks(spark, sf)).select("artifact_id", dates.iso(F.col("last_checked")).alias("last_checked"))
 
 
+def verify_queue_rows(spark, sf):
+    """The queue by check rows instead of records: the oldest observations, so a record can come more than once."""
+    a = T.read(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("artifact_id"))
+    return T.checks(spark, sf).join(a, "artifact_id").orderBy("checked_at", "id").limit(C.VERIFY_LIMIT).select("id", "artifact_id")
+
+
+def reactivated(spark, sf):
+    """Records whose last observation is good although they were gone or unreachable before it."""
+    v = T.checks(spark, sf).filter(status.verdict(F.col("http_status")) != "ok").select("artifact_id").distinct()
+    last = C.latest_check(T.checks(spark, sf)).filter(status.verdict(F.col("http_status")) == "ok")
+    return last.join(v, "artifact_id", "left_semi").select("artifact_id", "id")
+
+
 def circuit_breaker(spark, sf):
     c = T.checks(spark, sf).withColumn("day", F.date_format("checked_at", "yyyy-MM-dd"))
     return C.circuit_breaker(c, "day", limit=60)
@@ -85,7 +98,7 @@ _REASON = f"""WITH {T.checks_sql()}, {_SEEN}, v AS (SELECT *, {T.VERDICT_SQL} AS
   reasons AS (SELECT *, CASE WHEN terminal THEN 'gone' WHEN run >= 3 THEN 'unreachable' WHEN days_old > 180 THEN 'stale' END AS reason FROM joined) """
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 
-QUERIES = {f.__name__: f for f in [classify_status, verdict_tally, latest_check, inactive_reason, prune_decisions, by_reason, prune_candidates, safety_ratio, trim_checks, verify_queue, circuit_breaker]}
+QUERIES = {f.__name__: f for f in [classify_status, verdict_tally, latest_check, inactive_reason, prune_decisions, by_reason, prune_candidates, safety_ratio, trim_checks, verify_queue, verify_queue_rows, reactivated, circuit_breaker]}
 
 ORACLE = {
     "classify_status": f"WITH {T.checks_sql()} SELECT id, {T.VERDICT_SQL} AS verdict FROM checks",
@@ -101,4 +114,6 @@ ORACLE = {
     "trim_checks": f"WITH {T.checks_sql()} SELECT CASE WHEN checked_at < TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 90 DAY THEN 'deleted' ELSE 'kept' END AS what, count(*) AS n FROM checks GROUP BY 1",
     "verify_queue": f"WITH {T.checks_sql()}, l AS (SELECT artifact_id, max(checked_at) AS m FROM checks GROUP BY 1) SELECT c_custkey AS artifact_id, {_ISO.format('m')} AS last_checked FROM customer LEFT JOIN l ON l.artifact_id = c_custkey WHERE c_mktsegment <> 'BUILDING' ORDER BY m ASC NULLS FIRST, c_custkey LIMIT 300",
     "circuit_breaker": f"WITH {T.checks_sql()} SELECT strftime(checked_at, '%Y-%m-%d') AS day, count(*) AS checked, count(*) FILTER ({T.VERDICT_SQL} <> 'ok') AS failed, 100 * count(*) FILTER ({T.VERDICT_SQL} <> 'ok') > 60 * count(*) AS tripped FROM checks GROUP BY 1",
+    "verify_queue_rows": f"WITH {T.checks_sql()} SELECT id, artifact_id FROM checks JOIN customer ON c_custkey = artifact_id WHERE c_mktsegment <> 'BUILDING' ORDER BY checked_at, id LIMIT 300",
+    "reactivated": f"WITH {T.checks_sql()}, n AS (SELECT *, {T.VERDICT_SQL} AS v, row_number() OVER (PARTITION BY artifact_id ORDER BY checked_at DESC, id DESC) AS k FROM checks) SELECT artifact_id, id FROM n WHERE k = 1 AND v = 'ok' AND artifact_id IN (SELECT artifact_id FROM n WHERE v <> 'ok')",
 }

@@ -66,6 +66,13 @@ def run_status(spark, sf):
     return m.select("kind", upsert.run_status(F.col("attempted"), F.col("accepted"), F.col("failed_chunks")).alias("status"))
 
 
+def run_evidence(spark, sf):
+    """One evidence row per call, here per kind: counts, status and the first errors."""
+    m = upsert.merge_outcomes(_chunks(spark, sf), "kind")
+    status = upsert.run_status(F.col("attempted"), F.col("accepted"), F.col("failed_chunks"))
+    return m.select(F.concat(F.lit("scout@"), F.col("kind")).alias("agent"), F.lit("2024-06-01T00:00:00Z").alias("finished_at"), status.alias("status"), F.col("attempted").alias("discovered"), "accepted", "rejected", F.size("errors").alias("errors"))
+
+
 def _wire(spark, sf):
     c = T.corpus(spark, sf)
     i = F.col("id")
@@ -150,7 +157,7 @@ _WIRE = f"""WITH {T.CORPUS_SQL}, w AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'pl
 _TOKENS = f"""WITH {T.CORPUS_SQL}, f AS (SELECT id, 'name' AS field, name AS t FROM corpus UNION ALL SELECT id, 'author', author FROM corpus UNION ALL SELECT id, 'description', description FROM corpus),
   p AS (SELECT id, field, unnest(list_filter(regexp_split_to_array(translate(lower(t), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token FROM f) """
 
-QUERIES = {f.__name__: f for f in [upsert_outcomes, slug_collisions, ingest_report, upsert_snapshot, reactivation, chunk_ids, merge_outcomes, run_status, validation_issues, batch_verdict, exclusion_antijoin, fork_dedup, fts_match, fts_column_match, fts_postings, fts_stemmed]}
+QUERIES = {f.__name__: f for f in [upsert_outcomes, slug_collisions, ingest_report, upsert_snapshot, reactivation, chunk_ids, merge_outcomes, run_status, run_evidence, validation_issues, batch_verdict, exclusion_antijoin, fork_dedup, fts_match, fts_column_match, fts_postings, fts_stemmed]}
 
 ORACLE = {
     "upsert_outcomes": _OUT + " SELECT id, outcome FROM done",
@@ -163,6 +170,7 @@ ORACLE = {
     "chunk_ids": "SELECT doc_id AS id, doc_id // 33 AS chunk FROM documents",
     "merge_outcomes": _CHUNKS + " SELECT m.*, coalesce((SELECT string_agg(e, '|' ORDER BY k) FROM e WHERE e.kind = m.kind AND k <= 20), '') AS errors FROM m",
     "run_status": _CHUNKS + " SELECT kind, CASE WHEN accepted = 0 OR failed_chunks > 0 THEN 'failed' WHEN accepted < attempted THEN 'partial' ELSE 'ok' END AS status FROM m",
+    "run_evidence": _CHUNKS + " SELECT 'scout@' || kind AS agent, '2024-06-01T00:00:00Z' AS finished_at, CASE WHEN accepted = 0 OR failed_chunks > 0 THEN 'failed' WHEN accepted < attempted THEN 'partial' ELSE 'ok' END AS status, attempted AS discovered, accepted, rejected, least(rejected, 20) AS errors FROM m",
     "validation_issues": _WIRE + "SELECT index, field, message FROM issues",
     "batch_verdict": _WIRE + "SELECT b.batch, count(i.index) AS issues, count(i.index) = 0 AS accepted FROM (SELECT DISTINCT id // 10 AS batch FROM w) b LEFT JOIN issues i ON i.index // 10 = b.batch GROUP BY 1",
     "exclusion_antijoin": f"WITH {T.CORPUS_SQL} SELECT id, source_url FROM corpus WHERE source_url NOT IN (SELECT source_url FROM corpus WHERE id % 7 = 0)",
