@@ -22,6 +22,8 @@ BROADCAST_BUCKETS = 1_000_000
 #: Fixed value: Unicode white space, as a character class.
 SPACE = r"[\u0009-\u000D\u001C- \u0085   -     　]+"
 QUANTILES = 256
+#: Slices whose first rows (some 40 bytes each) may be broadcast; more of them are joined by a shuffle.
+BROADCAST_SLICES = 200_000
 
 
 def canonical(text: Column) -> Column:
@@ -114,7 +116,8 @@ def with_next(df: DataFrame, key: str, value: str, out: str, rows_a_slice: int =
     last = firsts.agg(F.max("_slice")).first()[0]
     firsts = firsts.select(F.col("_slice"), F.col("_f._k").alias("_k"), F.col("_f._tie").alias("_tie"), F.coalesce("_before", F.lit(last)).alias("_before"))
     # A copy of each first row stands behind the slice before; repeated rows that equal it are told apart by the slice.
-    copies = base.join(F.broadcast(firsts), ["_slice", "_k", "_tie"], "left")
+    few = len(cuts) * parts <= BROADCAST_SLICES
+    copies = base.join(F.broadcast(firsts) if few else firsts, ["_slice", "_k", "_tie"], "left")
     both = copies.withColumn("_to", F.explode(F.when(F.col("_before").isNotNull(), F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("s"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_slice").alias("s"), F.lit(False).alias("copy"))))))
     both = both.select(*df.columns, "_k", "_tie", F.col("_to.s").alias("_s"), F.col("_to.copy").alias("_copy"))
     order = Window.partitionBy("_s").orderBy("_copy", "_k", "_tie")
