@@ -5,8 +5,8 @@ training sample has them often) give every byte an exact code length: the deepes
 it by its frequency, every deeper context before it pays its escape (method C, without exclusion). A text's language is
 the one with the shortest code for the whole text.
 
-Training reads a bounded sample: at most ``per_language`` whole documents of each language, the first ones in the order
-of a hash of their id. Everything else runs over all rows and all bytes.
+Training reads a bounded sample: at most ``per_language`` whole documents of each language, chosen by a hash of their
+id. Everything else runs over all rows and all bytes.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is everything when there is nothing
 to learn from; rows with a null language are not learned from; repeated rows get equal results; an empty table gives no
@@ -136,9 +136,15 @@ def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int
     """The model of the rows' languages, from a bounded sample; None if there is nothing to learn from."""
     usable = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
     chosen = usable.select(F.col(lang).alias("_lang"), key.alias("_key"))
-    names = [r[0] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()]
+    names = dict(usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect())
+    if not names:
+        return None
+    # About four times as many rows as are taken pass a hash threshold of their language, so that the ranking below sees
+    # a bounded number of rows however large the table is.
+    rows = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("_lang")]
+    chosen = chosen.filter(F.col("_lang").isin(list(names)) & (F.pmod(F.xxhash64("_key", F.lit("sample")), rows) < 4 * per_language))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    chosen = chosen.filter(F.col("_lang").isin(names)).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    chosen = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
     keys = [r[0] for r in chosen.select("_key").collect()]
     picked = usable.filter(key.isin(keys)).select(lang, text, key.alias("_key")).dropDuplicates().select(lang, text) if keys else None
     samples: dict[str, list[bytes]] = {}
