@@ -6,9 +6,10 @@ chosen by a fixed probe order, so that small sets have whole sketches too. Bands
 
 Documents with one set are one class, found by a wide digest, and only classes are compared. In each band bucket the
 class that meets most others is the pivot, and every member is compared with it; links found so far join components.
-Whatever a bucket still holds in different components is compared in blocks of bounded size. Each comparison first
-corrects the share of equal registers for chance collisions and drops pairs that are far below the threshold by many
-standard deviations; all others are confirmed on their full shingle sets. No bucket is capped.
+Whatever a bucket still holds in different components is compared in blocks of bounded size, which send on only links
+that join components. Each comparison first corrects the share of equal registers for chance collisions and drops pairs
+that are far below the threshold by many standard deviations; all others are confirmed on their full shingle sets. No
+bucket is capped.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; a document with fewer words
 than ``width`` has its whole sequence as one shingle; rows with a null id get the component of an equal set where there
@@ -36,6 +37,8 @@ MANTISSA = 10
 SIGMAS = 6.0
 #: Members of a band bucket that are compared with each other in one task.
 BLOCK = 1024
+#: And the shingles of as many members.
+BLOCK_SHINGLES = 500_000
 #: Comparisons with one pivot that are made in one task.
 PIVOT_ROWS = 512
 #: Ids (8 bytes each) that may be broadcast to fetch texts; more are joined by a shuffle.
@@ -87,7 +90,8 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     h, edges = word_hashes(texts)
     rolled = h.copy()
     for j in range(1, width):
-        rolled[: len(h) - j] = mix(rolled[: len(h) - j] * U(3)) + h[j:]
+        m = max(0, len(h) - j)
+        rolled[:m] = mix(rolled[:m] * U(3)) + h[j : j + m]
     rolled = mix(rolled + U(width))
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -267,49 +271,70 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fra
     return rows.select("a", "_part", "b", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def bucket_pairs(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of one bucket's members in different components, by their estimate: rows (key, id, component, n, sketch).
+def group_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
+    """Links that join the components of a group's members; every pair of different components is looked at.
 
-    A bucket of more than BLOCK members is cut into blocks, and each pair of blocks is compared in a place of its own.
+    A link inside what is joined already says nothing new, so there are fewer links than members.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    n = np.array([len(s) for s in sets])
+    edges = np.cumsum([0, *n])
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    own_set = [place[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    root, split, out = comp.copy(), own.min() != own.max(), []
+    held = np.zeros(len(names), dtype=bool)
+    for i in range(len(ids)):
+        j = np.arange(i + 1, len(ids))
+        j = j[(root[j] != root[i]) & ((own[j] != own[i]) | (not split))]
+        j = j[may_link(n[j], n[i], threshold)]
+        if len(j):
+            e = estimate((sketch[j] == sketch[i]).mean(axis=1), n[j], np.full(len(j), n[i]))
+            j = j[e >= least_estimate(n[j], n[i], float(threshold))]
+        if not len(j):
+            continue
+        held[own_set[i]] = True
+        start = np.cumsum([0, *n[j[:-1]]])
+        both = np.add.reduceat(held[np.concatenate([own_set[k] for k in j])].astype(np.int64), start)
+        held[own_set[i]] = False
+        for k in j[threshold.denominator * both >= threshold.numerator * (n[j] + n[i] - both)]:
+            if root[k] != root[i]:
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                root[root == root[k]] = root[i]
+    return out
+
+
+def bucket_links(rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Confirmed links (a, b) between different components inside buckets: rows (key, id, component, n, text).
+
+    A bucket of more than one block's members is cut into blocks, and each pair of blocks is compared in a place of its
+    own. Sets are compared where they are; only the joining links leave a task.
+    """
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    sizes = rows.groupBy("key").agg(F.ceil(size).alias("_blocks"))
     dealt = rows.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component", "n", "sketch")
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component", "text")
     dealt = dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "_own", "id")
-    fields = ["id", "component", "n", "_own"]
-
-    def pairs(group: list[tuple], sketch: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, comp, n, own = (np.array(x) for x in zip(*group, strict=True))
-        s = np.frombuffer(b"".join(sketch), np.uint16).reshape(-1, REGISTERS)
-        split = own.min() != own.max()
-        for i in range(len(ids)):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comp[j] != comp[i]) & ((own[j] != own[i]) | (not split))]
-            j = j[may_link(n[j], n[i], threshold)]
-            if len(j):
-                e = estimate((s[j] == s[i]).mean(axis=1), n[j], np.full(len(j), n[i]))
-                j = j[e >= least_estimate(n[j], n[i], float(threshold))]
-                if len(j):
-                    x = np.full(len(j), ids[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, ids[j])), pa.array(np.maximum(x, ids[j]))], ["a", "b"])
+
+    def found(group: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+        ids, comp, own = (np.array(x, dtype=np.int64) for x in zip(*group, strict=True))
+        links = group_links(ids, comp, own, sketches(sets), sets, threshold) if len(group) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        now, group, sketch = None, [], []
-        for big in batches:
-            for lo in range(0, big.num_rows, 4096):
-                b = big.slice(lo, 4096)
-                place = zip(*(b.column(c).to_pylist() for c in ("key", "_i", "_j")), strict=True)
-                for p, g, s in zip(place, zip(*(b.column(c).to_pylist() for c in fields), strict=True), b.column("sketch").to_pylist(), strict=True):
-                    if p != now:
-                        if len(group) > 1:
-                            yield from pairs(group, sketch)
-                        now, group, sketch = p, [], []
-                    group.append(g)
-                    sketch.append(s)
-        if len(group) > 1:
-            yield from pairs(group, sketch)
+        now, group, sets = None, [], []
+        for b in row_chunks(batches, "text", 1_000_000):
+            places = zip(*(b.column(c).to_pylist() for c in ("key", "_i", "_j")), strict=True)
+            members = zip(*(b.column(c).to_pylist() for c in ("id", "component", "_own")), strict=True)
+            for p, g, s in zip(places, members, shingle_sets(_encoded(b.column("text")), width), strict=True):
+                if p != now:
+                    if group:
+                        yield found(group, sets)
+                    now, group, sets = p, [], []
+                group.append(g)
+                sets.append(s)
+        if group:
+            yield found(group, sets)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -321,12 +346,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     sk = scratch.keep(sketch_documents(docs, width, key, text), "sketches")
     classes = scratch.keep(sk.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(key).alias("id")).filter("id is not null"), "classes")
     # Band keys of one row of each class.
-    rep = sk.filter("n_shingles > 0").join(classes, ["d1", "d2"], "inner").filter(F.col(key) == F.col("id")).select("id", "bands")
-    rows = rep.select("id", F.explode("bands").alias("key")).distinct()
-    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rep = sk.filter("n_shingles > 0").join(classes.select("id").distinct(), F.col(key) == F.col("id"), "left_semi")
+    rows = rep.select(F.col(key).alias("id"), F.explode("bands").alias("key"))
+    # What is joined by band key is kept as a table first: then the join is between two plain exchanges, whose hot
+    # partitions Spark can split.
+    count = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     members = scratch.keep(rows.join(count, "key"), "members")
     weight = members.groupBy("id").agg(F.sum("size").alias("w"))
     ranked = members.join(weight, "id").groupBy("key").agg((-F.max(F.struct("w", (-F.col("id")).alias("i")))["i"]).alias("a"))
+    ranked = scratch.keep(ranked, "pivots")
     stars = members.join(ranked, "key").filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     stars = scratch.keep(stars, "stars")
     involved = scratch.keep(members.select("id").distinct(), "involved")
@@ -341,14 +369,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     # What a bucket still holds in different components.
     placed = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("key")
-    left = placed.join(mixed, "key", "left_semi").join(known.select("id", "n", "sketch"), "id")
-    rest = bucket_pairs(left.select("key", "id", "component", "n", "sketch"), threshold)
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.keep(rest.join(seen, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = scratch.keep(confirm_pairs(rest, known, width, threshold), "more")
-        if not more.isEmpty():
-            parts = scratch.keep(components(links.unionByName(more), scratch), "components")
+    mixed = scratch.keep(mixed, "mixed")
+    left = placed.join(mixed, "key", "left_semi").join(known.select("id", "n", "text"), "id")
+    more = scratch.keep(bucket_links(left.select("key", "id", "component", "n", "text"), width, threshold), "more")
+    if not more.isEmpty():
+        parts = scratch.keep(components(links.unionByName(more), scratch), "components")
     return _result(sk, classes, parts, key)
 
 
