@@ -84,7 +84,7 @@ def lock_decisions(spark, sf):
     e = T.read(spark, sf, "events").filter("event_type = 'signup'")
     locks = e.groupBy(F.concat(F.lit("lock-"), F.col("user_id").cast("string")).alias("name")).agg(F.max("ts").alias("m"))
     locks = locks.select("name", F.lit("holder@1").alias("holder"), (F.col("m").cast("timestamp") + F.expr("INTERVAL 1200 SECONDS")).alias("expires_at"))
-    asked = T.read(spark, sf, "customer").select(F.concat(F.lit("lock-"), F.col("c_custkey").cast("string")).alias("name"), F.lit("scout@2").alias("holder"))
+    asked = T.read(spark, sf, "customer").select(F.concat(F.lit("lock-"), F.col("c_custkey").cast("string")).alias("name"), F.lit("crawler@2").alias("holder"))
     out = B.lock_decisions(asked, locks, "2024-01-30 12:00:00")
     return out.withColumn("expires_at", dates.iso(F.col("expires_at")))
 
@@ -224,7 +224,7 @@ ORACLE = {
     "stamp_due": f"WITH {T.SOURCES_SQL}, due AS (SELECT id FROM sources WHERE {_DUE} ORDER BY last_run_at ASC NULLS FIRST, id LIMIT 100) SELECT id, {_ISO.format("CASE WHEN id IN (SELECT id FROM due) THEN TIMESTAMP '2024-01-31 00:00:00' ELSE last_run_at END")} AS last_run_at FROM sources",
     "lock_decisions": f"""WITH locks AS (SELECT 'lock-' || user_id AS name, max(ts) + INTERVAL 1200 SECOND AS u FROM events WHERE event_type = 'signup' GROUP BY user_id),
       asked AS (SELECT 'lock-' || c_custkey AS name, u, coalesce(u <= TIMESTAMP '2024-01-30 12:00:00', true) AS acquired FROM customer LEFT JOIN locks ON locks.name = 'lock-' || c_custkey)
-      SELECT name, 'scout@2' AS holder, acquired, CASE WHEN NOT acquired THEN 'holder@1' END AS blocked_by, {_ISO.format("CASE WHEN acquired THEN TIMESTAMP '2024-01-30 12:20:00' ELSE u END")} AS expires_at FROM asked""",
+      SELECT name, 'crawler@2' AS holder, acquired, CASE WHEN NOT acquired THEN 'holder@1' END AS blocked_by, {_ISO.format("CASE WHEN acquired THEN TIMESTAMP '2024-01-30 12:20:00' ELSE u END")} AS expires_at FROM asked""",
     "map_categories": f"{WITH}, {_CATS} SELECT id, array_to_string(categories, ',') AS categories FROM categorized",
     "example_signals": f"{WITH}, found AS (SELECT id, list_concat(list_filter(list_transform(tags, lambda t: lower(t)), lambda t: t IN ({_EXAMPLE})), list_filter(install_target, lambda t: t IN ({_EXAMPLE_T}))) AS f FROM catalog) SELECT id, coalesce(array_to_string({_ORDERED.format('f')}, ','), '') AS signals FROM found",
     "taxonomy_recount": f"{_RECOUNT} SELECT slug, recount FROM counted",

@@ -70,7 +70,7 @@ def run_evidence(spark, sf):
     """One evidence row per call, here per kind: counts, status and the first errors."""
     m = upsert.merge_outcomes(_chunks(spark, sf), "kind")
     status = upsert.run_status(F.col("attempted"), F.col("accepted"), F.col("failed_chunks"))
-    return m.select(F.concat(F.lit("scout@"), F.col("kind")).alias("agent"), F.lit("2024-06-01T00:00:00Z").alias("finished_at"), status.alias("status"), F.col("attempted").alias("discovered"), "accepted", "rejected", F.size("errors").alias("errors"))
+    return m.select(F.concat(F.lit("crawler@"), F.col("kind")).alias("agent"), F.lit("2024-06-01T00:00:00Z").alias("finished_at"), status.alias("status"), F.col("attempted").alias("discovered"), "accepted", "rejected", F.size("errors").alias("errors"))
 
 
 def _wire(spark, sf):
@@ -92,7 +92,7 @@ def batch_verdict(spark, sf):
     w = _wire(spark, sf).withColumn("batch", F.expr("id div 10"))
     c = [F.col(n) for n in ("kind", "name", "source_url", "summary", "description", "tags", "install_target", "stars", "forks")]
     n = w.groupBy("batch").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size(validate.issues(*c))).alias("issues"))
-    body = F.size(validate.body_issues(F.lit("scout"), F.col("size")))
+    body = F.size(validate.body_issues(F.lit("crawler"), F.col("size")))
     return n.select("batch", (F.col("issues") + body).alias("issues"), (F.col("issues") + body == 0).alias("accepted"))
 
 
@@ -170,7 +170,7 @@ ORACLE = {
     "chunk_ids": "SELECT doc_id AS id, doc_id // 33 AS chunk FROM documents",
     "merge_outcomes": _CHUNKS + " SELECT m.*, coalesce((SELECT string_agg(e, '|' ORDER BY k) FROM e WHERE e.kind = m.kind AND k <= 20), '') AS errors FROM m",
     "run_status": _CHUNKS + " SELECT kind, CASE WHEN accepted = 0 OR failed_chunks > 0 THEN 'failed' WHEN accepted < attempted THEN 'partial' ELSE 'ok' END AS status FROM m",
-    "run_evidence": _CHUNKS + " SELECT 'scout@' || kind AS agent, '2024-06-01T00:00:00Z' AS finished_at, CASE WHEN accepted = 0 OR failed_chunks > 0 THEN 'failed' WHEN accepted < attempted THEN 'partial' ELSE 'ok' END AS status, attempted AS discovered, accepted, rejected, least(rejected, 20) AS errors FROM m",
+    "run_evidence": _CHUNKS + " SELECT 'crawler@' || kind AS agent, '2024-06-01T00:00:00Z' AS finished_at, CASE WHEN accepted = 0 OR failed_chunks > 0 THEN 'failed' WHEN accepted < attempted THEN 'partial' ELSE 'ok' END AS status, attempted AS discovered, accepted, rejected, least(rejected, 20) AS errors FROM m",
     "validation_issues": _WIRE + "SELECT index, field, message FROM issues",
     "batch_verdict": _WIRE + "SELECT b.batch, count(i.index) AS issues, count(i.index) = 0 AS accepted FROM (SELECT DISTINCT id // 10 AS batch FROM w) b LEFT JOIN issues i ON i.index // 10 = b.batch GROUP BY 1",
     "exclusion_antijoin": f"WITH {T.CORPUS_SQL} SELECT id, source_url FROM corpus WHERE source_url NOT IN (SELECT source_url FROM corpus WHERE id % 7 = 0)",

@@ -142,7 +142,7 @@ def test_validation(spark):
     good = (0, "skill", "n", "https://x.org", None, None, [], ["zed"], 1.5, None)
     bad = (1, "plugin", "  ", "javascript:x", "s" * 301, "d" * 4001, ["t"] * 26, ["emacs", "zed", "vi"], -5.0, float("nan"))
     df = spark.createDataFrame([good, bad], schema)
-    got = [tuple(r) for r in validate.issue_table(df, "index", "scout").collect()]
+    got = [tuple(r) for r in validate.issue_table(df, "index", "crawler").collect()]
     assert {g[0] for g in got} == {1}
     assert [g[1] for g in got] == ["kind", "name", "source_url", "summary", "description", "tags", "install_target", "install_target", "stars", "forks"]
     assert validate.issue_table(df.limit(0), "index", " ").count() == 2

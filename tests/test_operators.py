@@ -193,8 +193,8 @@ def test_feeds(spark, tmp_path):
     assert feeds.markdown_list(spark, str(tmp_path / "list.md")).count() == 2 and feeds.markdown_list(spark, str(tmp_path / "list.md"), 1).count() == 1
     robots = spark.createDataFrame([("x.org", "User-agent: *\nDisallow: /a")], "host string, content string")
     assert [r["name"] for r in feeds.allowed(feeds.markdown_list(spark, str(tmp_path / "list.md")), robots).collect()] == ["b"]
-    (tmp_path / "body.json").write_text(json.dumps({"agent": "scout", "source_id": 1, "artifacts": [{"kind": "skill", "name": "n", "source_url": "https://x.org"}]}))
-    assert feeds.ingest_bodies(spark, str(tmp_path / "body.json")).select("agent", "index", "name").collect() == [("scout", 0, "n")]
+    (tmp_path / "body.json").write_text(json.dumps({"agent": "crawler", "source_id": 1, "artifacts": [{"kind": "skill", "name": "n", "source_url": "https://x.org"}]}))
+    assert feeds.ingest_bodies(spark, str(tmp_path / "body.json")).select("agent", "index", "name").collect() == [("crawler", 0, "n")]
     entries = spark.createDataFrame([("a", "ok", 3, 2, 1), ("b", "failed", 0, 0, 0)], "source string, status string, discovered int, accepted int, rejected int")
     assert tuple(feeds.harvest_report(entries).first()) == (2, 1, 3, 2, 1)
 
