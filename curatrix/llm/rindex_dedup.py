@@ -295,7 +295,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     anchor = min(anchor, length)
     rows = docs.select(*identity(F.col(text)), F.xxhash64(key).alias("rid"), F.coalesce(text, F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     found = scratch.keep(_occurrences(rows, length, anchor), "stretches")
-    several = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # Kept as a table, so that the join below is between two plain exchanges, whose hot partitions Spark can split.
+    several = scratch.keep(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "several")
     shared = scratch.keep(found.join(several, "key", "left_semi"), "shared")
     scratch.drop(found)
     place = F.struct("t1", "t2", "rid", "start", "windows")
