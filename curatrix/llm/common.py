@@ -64,6 +64,19 @@ class Scratch:
                 p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows of whole texts that go to a Python worker at once; Spark's own 10,000 can be hundreds of megabytes on both sides.
+TEXT_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on the session sends at most TEXT_ROWS rows in an Arrow batch (a smaller setting stays)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= TEXT_ROWS:
+        conf.set(BATCH_SETTING, str(TEXT_ROWS))
+    return df
+
+
 _resident: dict = {}
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curatrix.llm.common import resident, row_chunks
+from curatrix.llm.common import bound_batches, resident, row_chunks
 from curatrix.llm.trie_bpe import WordBpe
 
 #: Documents that share the bins of one part; parts grow with the table, a part's work does not.
@@ -103,7 +103,7 @@ def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, k
                 cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return bound_batches(docs).select(key, text).mapInArrow(run, schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, parts: int, key: str = "doc_id") -> DataFrame:

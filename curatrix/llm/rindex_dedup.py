@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Scratch, release, row_chunks
+from curatrix.llm.common import Scratch, bound_batches, release, row_chunks
 
 LENGTH = 400
 ANCHOR = 128
@@ -211,7 +211,7 @@ def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in row_chunks(batches, "text", 1_000_000):
+        for b in row_chunks(batches, "text", 500_000):
             texts = _bytes_of(b.column("text"))
             row, start, count, key = stretches(texts, length, anchor)
             digest = xxhash.xxh3_64_digest
@@ -293,6 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     """(t1, t2, spans): for each text with repeats, by its identity, the starts and numbers of repeated windows."""
     scratch = Scratch(docs.sparkSession, "rindex")
     anchor = min(anchor, length)
+    bound_batches(docs)
     rows = docs.select(*identity(F.col(text)), F.xxhash64(key).alias("rid"), F.coalesce(text, F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     found = scratch.keep(_occurrences(rows, length, anchor), "stretches")
     # Kept as a table, so that the join below is between two plain exchanges, whose hot partitions Spark can split.
