@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
+_roots: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/curatrix/{label}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
         self.n = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -56,12 +58,22 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for f in frames:
             if path := getattr(f, "_scratch_path", None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes every scratch table that this driver has written; to be called when all results are stored."""
+    n = len(_roots)
+    while _roots:
+        _delete(spark, _roots.pop())
+    return n
 
 
 #: Rows of whole texts that go to a Python worker at once; Spark's own 10,000 can be hundreds of megabytes on both sides.

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from curatrix.llm import fingerprints, hyperminhash, rindex_dedup
-from curatrix.llm.common import Scratch
+from curatrix.llm.common import Scratch, drop_scratch
 from curatrix.llm.components import components
 
 
@@ -108,6 +108,16 @@ def test_estimate_is_corrected():
     assert hyperminhash.chance(np.array([4000]), np.array([4000]))[0] < 0.01
 
 
+def test_scratch(spark):
+    s = Scratch(spark, "test")
+    a, b = s.keep(spark.range(3)), s.keep(spark.range(4))
+    s.drop(a)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="(?i)exist"):
+        a.count()
+    assert drop_scratch(spark) >= 1 and drop_scratch(spark) == 0
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(i, i + 1) for i in range(40)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(70)] + [(5, 5)]
