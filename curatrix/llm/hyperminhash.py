@@ -243,9 +243,10 @@ def estimate_pairs(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> D
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the threshold. Pairs of one ``a`` go to several tasks if many."""
-    share = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).alias("_parts"))
+    pairs = scratch.keep(pairs, "pairs")
+    share = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).alias("_parts")), "shares")
     members = pairs.join(share, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")))
     members = members.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "_part", "b", "text")
     pivots = share.join(texts.select(F.col("id").alias("a"), "text"), "a")
@@ -364,7 +365,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     reps = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     wanted = reps.join(F.broadcast(involved) if n <= BROADCAST_IDS else involved, "id", "left_semi")
     known = scratch.keep(_with_sketch(wanted, width).filter("n > 0"), "known")
-    links = scratch.keep(confirm_pairs(estimate_pairs(stars, known, threshold), known, width, threshold), "links")
+    links = scratch.keep(confirm_pairs(estimate_pairs(stars, known, threshold), known, width, threshold, scratch), "links")
     parts = scratch.keep(components(links, scratch), "components")
     # What a bucket still holds in different components.
     placed = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
