@@ -107,7 +107,7 @@ def read_turns(formatted: Column) -> Column:
     body = lambda b: F.substring(b, F.lit(len(START) + 1), F.char_length(b))
     role = lambda b: F.substring_index(body(b), "\n", 1)
     text = lambda b: F.substring(b, F.lit(len(START) + 2) + F.char_length(role(b)), F.char_length(b))
-    clean = lambda b: unescape(F.regexp_replace(text(b), r"<\|[^<|]*:\d+\|>", ""))
+    clean = lambda b: unescape(F.regexp_replace(text(b), r"<\|[^<]*?:\d+\|>", ""))
     return F.transform(blocks, lambda b: F.struct(unescape_role(role(b)).alias("role"), clean(b).alias("text")))
 
 

@@ -145,7 +145,7 @@ def test_chat_parts(spark):
         (1, 1, "user", [part("text", "see "), part("image", ref="i.png", units=2), part("text", " and"), part("document", ref="d.pdf"), None]),
         (1, 2, "assistant", [part("audio", ref="a.wav", units=3), part("text", "ok <|x"), part("text", "!")]),
         (2, None, "assistant", None),
-        (2, 1, "user", [part("video", ref="v")]),
+        (2, 1, "user", [part("vi|deo", ref="v")]),
     ]
     df = spark.createDataFrame(rows, f"conv_id int, turn int, role string, parts {chat.PART_TYPE}")
     out = chat.format_conversations(df)
@@ -153,8 +153,9 @@ def test_chat_parts(spark):
     assert one["formatted"] == "<|im_start|>user\nsee <|image:0|> and<|document:1|><|im_end|>\n<|im_start|>assistant\n<|audio:2|>ok <\\|x!<|im_end|>\n"
     assert [tuple(a) for a in one["attachments"]] == [(0, "image", "i.png", 512), (1, "document", "d.pdf", 600), (2, "audio", "a.wav", 75)] and one["expanded_tokens"] == 1187
     assert [one["formatted"][s["start"] : s["start"] + s["length"]] for s in one["loss_spans"]] == ["ok <\\|x", "!"]
-    assert two["formatted"] == "<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\n<|video:0|><|im_end|>\n" and two["expanded_tokens"] == 0
+    assert two["formatted"] == "<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\n<|vi|deo:0|><|im_end|>\n" and two["expanded_tokens"] == 0
     read = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("m")).orderBy("conv_id").first()
+    assert out.filter("conv_id = 2").select(chat.read_turns(F.col("formatted"))).first()[0][1]["text"] == ""
     assert [tuple(t) for t in read["t"]] == [("user", "see  and"), ("assistant", "ok <|x!")] and read["m"] == "ok <|x!"
     assert chat.format_conversations(df.limit(0)).count() == 0
 
