@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from curatrix.functions import status as S
 from curatrix.functions.dates import at, days_since
@@ -102,7 +101,3 @@ def failure_runs(runs: DataFrame, key: str = "source_id") -> DataFrame:
     n = F.coalesce("n", F.lit(0))
     health = F.when(n == 0, "healthy").when(n < S.UNREACHABLE_RUN, "degraded").otherwise("failing")
     return marks.join(run, key, "left").select(key, "last_run_at", n.alias("consecutive_failures"), health.alias("health"))
-
-
-def numbered(rows: DataFrame, key: str, *order) -> DataFrame:
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
