@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curatrix.operators import browse, checks, search, upsert
 from curatrix.schemas import violations
-from curatrix.sources import adapter, feeds
+from curatrix.sources import adapter, feeds, harvest
 from curatrix.store import Store, holder_id
 from curatrix.streaming import pulse
 
@@ -199,6 +199,20 @@ def test_feeds(spark, tmp_path):
     assert tuple(feeds.harvest_report(entries).first()) == (2, 1, 3, 2, 1)
 
 
+def test_harvest_isolates_sources(spark, tmp_path):
+    (tmp_path / "list.md").write_text("- [a](https://x.org/a)\n- [r](/rel/r)\n")
+    (tmp_path / "reg.json").write_text(json.dumps({"items": [{"title": "T", "href": "https://s.org/x"}], "next_page_cursor": "p2"}))
+    sources = [("l", "markdown_list", str(tmp_path / "list.md")), ("bad", "no_such", "x"), ("gone", "registry", str(tmp_path / "none.json")), ("r", "registry", str(tmp_path / "reg.json"))]
+    report = harvest.run(sources, str(tmp_path / "out"), harvest.Context(spark)).collect()
+    assert [(r["source"], r["status"], r["accepted"], r["rejected"], r["next_cursor"]) for r in report] == [
+        ("l", "partial", 1, 1, None), ("bad", "failed", 0, 0, None), ("gone", "failed", 0, 0, None), ("r", "ok", 1, 0, "p2")]
+    assert "no_such" in report[1]["error"]
+    got = harvest.harvested(spark, str(tmp_path / "out"), feeds.markdown_list(spark, str(tmp_path / "list.md")).schema.add("safe", "boolean").add("source", "string"))
+    assert sorted((r["source"], r["source_url"]) for r in got.collect()) == [("l", "https://x.org/a"), ("r", "https://s.org/x")]
+    totals = feeds.harvest_report(spark.createDataFrame(report)).first()
+    assert (totals["sources"], totals["failed"], totals["accepted"]) == (4, 2, 2)
+
+
 def test_recorded_pages(spark, tmp_path):
     adapter.register(spark)
     for i in range(4):
