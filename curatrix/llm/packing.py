@@ -55,11 +55,8 @@ class LibraryWords(WordBpe):
         self.library.no_padding()
         self.library.no_truncation()
 
-    def _spines(self) -> None:
-        pass
-
-    def _automaton(self) -> None:
-        pass
+    def _prepare(self, merges: list) -> None:
+        """The library has what it needs."""
 
     def fill(self, words: list[str]) -> None:
         for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):

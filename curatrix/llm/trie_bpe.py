@@ -13,6 +13,7 @@ memory is bounded by text chunks and a bounded word cache.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -82,35 +83,42 @@ class WordBpe:
             s = "".join(chr(back[c]) for c in (token[: -len(suffix)] if ends else token))
             return s[:-1] + chr(256 + ord(s[-1])) if ends else s
 
-        form = {t: symbols(t) for t in self.vocab}
         self.form = [""] * size
         for t, i in self.vocab.items():
-            self.form[i] = form[t]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: rank of a merge by its parts; of a token: its parts and rank
-        self.rank: dict[int, int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
-        for r, (a, b) in enumerate(merges):
-            x, y, z = self.vocab[a], self.vocab[b], self.vocab.get(a + b)
-            if z is not None:
-                self.rank[x << 20 | y] = r
-                self.parts.setdefault(z, (x, y, r))
-        self._spines()
-        self._automaton()
-        self.allowed: dict[int, bool] = {}
+            self.form[i] = symbols(t)
+        self._prepare(model["merges"])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         specials = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
         self.specials = re.compile(f"({specials})") if specials else None
-        # Texts in Latin letters take a pattern with short classes.
-        self.latin, self.split = (self.pattern(top) for top in (LATIN, 0x110000))
+        # Texts in Latin letters take a pattern with short classes; the long one is made when a text needs it.
+        self.latin = self.pattern(LATIN)
         self.beyond = re.compile(f"[^\\x00-{chr(LATIN - 1)}]").search
 
+    @functools.cached_property
+    def split(self):
+        return self.pattern(0x110000)
+
     @staticmethod
     def pattern(top: int):
         letters, digits = _class("L", top), _class("N", top)
         return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+").findall
 
+    def _prepare(self, merges: list) -> None:
+        """What the trie walk needs: merges, outermost parts of tokens, the automaton."""
+        #: rank of a merge by its parts; of a token: its parts and rank
+        self.rank: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        for r, m in enumerate(merges):
+            a, b = m.split(" ") if isinstance(m, str) else m
+            x, y, z = self.vocab[a], self.vocab[b], self.vocab.get(a + b)
+            if z is not None:
+                self.rank[x << 20 | y] = r
+                self.parts.setdefault(z, (x, y, r))
+        self._spines()
+        self._automaton()
+        self.allowed: dict[int, bool] = {}
+
     def _spines(self) -> None:
         """For each token, its outermost parts from the single symbol upwards, each with the rank of the merge that ends it."""
         self.left: list[list[tuple[int, int]]] = [[]] * len(self.tokens)
