@@ -44,6 +44,9 @@ PIVOT_ROWS = 512
 #: Ids (8 bytes each) that may be broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+#: Bytes of text whose words are hashed at once.
+CHUNK_BYTES = 500_000
+
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -195,7 +198,7 @@ def sketch_documents(docs: DataFrame, width: int, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in row_chunks(batches, text, 1_000_000):
+        for b in row_chunks(batches, text, CHUNK_BYTES):
             sets = shingle_sets(_encoded(b.column(text)), width)
             full = [s for s in sets if len(s)]
             keys = band_keys(sketches(full)).view(np.int64) if full else np.zeros((0, BANDS), dtype=np.int64)
@@ -215,7 +218,7 @@ def _with_sketch(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for b in row_chunks(batches, "text", 1_000_000):
+        for b in row_chunks(batches, "text", CHUNK_BYTES):
             sets = shingle_sets(_encoded(b.column("text")), width)
             regs = sketches(sets)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), b.column("text")], ["id", "n", "sketch", "text"])
@@ -256,7 +259,7 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         now, own = None, []
-        for b in row_chunks(batches, "text", 1_000_000):
+        for b in row_chunks(batches, "text", CHUNK_BYTES):
             sets = shingle_sets(_encoded(b.column("text")), width)
             found: tuple[list, list] = ([], [])
             for a, part, x, s in zip(b.column("a").to_pylist(), b.column("_part").to_pylist(), b.column("b").to_pylist(), sets, strict=True):
@@ -324,7 +327,7 @@ def bucket_links(rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         now, group, sets = None, [], []
-        for b in row_chunks(batches, "text", 1_000_000):
+        for b in row_chunks(batches, "text", CHUNK_BYTES):
             places = zip(*(b.column(c).to_pylist() for c in ("key", "_i", "_j")), strict=True)
             members = zip(*(b.column(c).to_pylist() for c in ("id", "component", "_own")), strict=True)
             for p, g, s in zip(places, members, shingle_sets(_encoded(b.column("text")), width), strict=True):
