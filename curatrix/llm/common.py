@@ -81,12 +81,20 @@ TEXT_ROWS = 1_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: A table of at most so many bytes may be one row group, which one task would read; it is dealt over all cores.
+SPREAD_BYTES = 32 << 20
+
+
 def bound_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on the session sends at most TEXT_ROWS rows in an Arrow batch (a smaller setting stays)."""
+    """``df`` for work on its texts in Python, spread over the cores if it is small.
+
+    From now on the session sends at most TEXT_ROWS rows in an Arrow batch (a smaller setting stays).
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(BATCH_SETTING)) <= TEXT_ROWS:
         conf.set(BATCH_SETTING, str(TEXT_ROWS))
-    return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 _resident: dict = {}

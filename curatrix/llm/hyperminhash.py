@@ -346,7 +346,7 @@ def bucket_links(rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): one row per document; a component's id is its smallest key."""
     scratch = Scratch(docs.sparkSession, "hyperminhash")
-    docs = bound_batches(docs).select(F.col(key).cast("long").alias(key), text)
+    docs = bound_batches(docs.select(F.col(key).cast("long").alias(key), text))
     sk = scratch.keep(sketch_documents(docs, width, key, text), "sketches")
     classes = scratch.keep(sk.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(key).alias("id")).filter("id is not null"), "classes")
     # Band keys of one row of each class.

@@ -152,4 +152,4 @@ def count_tokens(df: DataFrame, pieces: list[str], text: str = "text", keep: lis
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, *outputs])
 
-    return bound_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return bound_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)

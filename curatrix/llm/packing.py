@@ -100,7 +100,7 @@ def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, k
                 cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return bound_batches(docs).select(key, text).mapInArrow(run, schema)
+    return bound_batches(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, parts: int, key: str = "doc_id") -> DataFrame:

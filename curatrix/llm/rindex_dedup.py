@@ -293,8 +293,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     """(t1, t2, spans): for each text with repeats, by its identity, the starts and numbers of repeated windows."""
     scratch = Scratch(docs.sparkSession, "rindex")
     anchor = min(anchor, length)
-    bound_batches(docs)
     rows = docs.select(*identity(F.col(text)), F.xxhash64(key).alias("rid"), F.coalesce(text, F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
+    rows = bound_batches(rows)
     found = scratch.keep(_occurrences(rows, length, anchor), "stretches")
     # Kept as a table, so that the join below is between two plain exchanges, whose hot partitions Spark can split.
     several = scratch.keep(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "several")

@@ -313,7 +313,7 @@ def bpe_encode(df: DataFrame, content: bytes, text: str = "text", ids: str = "id
                 out.append(decode_lists(out[0], tokens))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, *extra])
 
-    return bound_batches(df).select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return bound_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, content: bytes, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -329,4 +329,4 @@ def bpe_decode(df: DataFrame, content: bytes, ids: str = "ids", out: str = "deco
                 b = big.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), decode_lists(b.column(ids), tokens)], [*keep, out])
 
-    return bound_batches(df).select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)
+    return bound_batches(df.select(*dict.fromkeys([*keep, ids]))).mapInArrow(run, schema)
