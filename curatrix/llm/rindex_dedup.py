@@ -35,9 +35,9 @@ from curatrix.llm.common import Scratch, bound_batches, release, row_chunks
 LENGTH = 400
 ANCHOR = 128
 #: Different stretches of one anchor that are gathered in one index.
-HOT = 4096
+HOT = 2048
 #: Bytes of stretches in one index; whole anchor groups, so one group may go beyond it.
-INDEX_BYTES = 3_000_000
+INDEX_BYTES = 1_500_000
 
 U = np.uint64
 #: Bits for a place in the bytes that are hashed at once.
