@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Scratch, bound_batches, release, row_chunks
+from curatrix.llm.common import Scratch, bound_batches, release, row_chunks, trimmed
 from curatrix.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -210,7 +210,7 @@ def sketch_documents(docs: DataFrame, width: int, key: str = "doc_id", text: str
             cols = [b.column(key), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists]
             yield pa.RecordBatch.from_arrays(cols, [key, "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(run), f"{key} long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def _with_sketch(texts: DataFrame, width: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _with_sketch(texts: DataFrame, width: int) -> DataFrame:
             regs = sketches(sets)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), b.column("text")], ["id", "n", "sketch", "text"])
 
-    return texts.mapInArrow(run, "id long, n long, sketch binary, text string")
+    return texts.mapInArrow(trimmed(run), "id long, n long, sketch binary, text string")
 
 
 def estimate_pairs(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> DataFrame:
@@ -243,7 +243,7 @@ def estimate_pairs(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> D
                 keep = pa.array(np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([b.column(c).take(keep) for c in "ab"], ["a", "b"])
 
-    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(run), "a long, b long")
 
 
 def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
@@ -272,7 +272,7 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fra
                     found[1].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
-    return rows.select("a", "_part", "b", "text").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("a", "_part", "b", "text").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def group_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], threshold: Fraction) -> list[tuple[int, int]]:
@@ -340,7 +340,7 @@ def bucket_links(rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
         if group:
             yield found(group, sets)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), key: str = "doc_id", text: str = "text") -> DataFrame:

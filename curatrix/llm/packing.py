@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curatrix.llm.common import bound_batches, resident, row_chunks
-from curatrix.llm.trie_bpe import WordBpe
+from curatrix.llm.common import bound_batches, resident, row_chunks, trimmed
+from curatrix.llm.trie_bpe import CACHE_WORDS, WordBpe
 
 #: Documents that share the bins of one part; parts grow with the table, a part's work does not.
 ROWS_A_PART = 50_000
@@ -46,11 +46,12 @@ def cut(n: int, capacity: int) -> list[int]:
 class LibraryWords(WordBpe):
     """Text to ids with the tokenizers library encoding each distinct word once."""
 
-    def __init__(self, content: bytes) -> None:
+    def __init__(self, content: bytes, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         super().__init__(content)
+        self.cache_words = cache_words
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_padding()
         self.library.no_truncation()
@@ -63,11 +64,11 @@ class LibraryWords(WordBpe):
             self.cache[w] = self.pack(e.ids)
 
 
-def load(content: bytes) -> LibraryWords:
-    return resident(("library", hashlib.sha256(content).digest()), lambda: LibraryWords(content))
+def load(content: bytes, cache_words: int = CACHE_WORDS) -> LibraryWords:
+    return resident(("library", hashlib.sha256(content).digest(), cache_words), lambda: LibraryWords(content, cache_words))
 
 
-def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces (key, start, length, ids_crc32, doc_tokens[, ids]) of each document's ids and its end id."""
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
@@ -78,7 +79,7 @@ def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, k
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(shared.value)
+        bpe = load(shared.value, cache_words)
         for b in row_chunks(batches, text, 4_000_000):
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, packed in enumerate(bpe.encode_texts(b.column(text).to_pylist())):
@@ -100,7 +101,7 @@ def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, k
                 cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return bound_batches(docs.select(key, text)).mapInArrow(run, schema)
+    return bound_batches(docs.select(key, text)).mapInArrow(trimmed(run), schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, parts: int, key: str = "doc_id") -> DataFrame:
@@ -125,10 +126,10 @@ def pack_pieces(pieces: DataFrame, capacity: int, parts: int, key: str = "doc_id
     return p.drop("_j", "_part", "_r", "_c", "_bit")
 
 
-def harmonic_pack(docs: DataFrame, content: bytes, end_id: int, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Cuts and packs all documents; one row per piece."""
+def harmonic_pack(docs: DataFrame, content: bytes, end_id: int, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Cuts and packs all documents; one row per piece. ``cache_words`` trades a worker's memory for time."""
     parts = min(1 << 20, 1 + docs.count() // ROWS_A_PART)
-    return pack_pieces(cut_documents(docs, content, end_id, capacity, key, text, with_ids), capacity, parts, key)
+    return pack_pieces(cut_documents(docs, content, end_id, capacity, key, text, with_ids, cache_words), capacity, parts, key)
 
 
 def vocabulary(path: str) -> bytes:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curatrix.llm.common import bound_batches, release, row_chunks
+from curatrix.llm.common import bound_batches, release, row_chunks, trimmed
 
 #: Whole documents that are learned from, of each language.
 PER_LANGUAGE = 250
@@ -181,4 +181,4 @@ def identify(docs: DataFrame, model: PpmModel | None, text: str = "text", keep:
             cols = [pa.array(pred), pa.array(score), pa.array(rate, mask=np.isnan(rate))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, *outputs])
 
-    return bound_batches(docs.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
+    return bound_batches(docs.select(*dict.fromkeys([*keep, text]))).mapInArrow(trimmed(run), schema)

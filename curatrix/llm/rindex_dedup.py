@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import Scratch, bound_batches, release, row_chunks
+from curatrix.llm.common import Scratch, bound_batches, release, row_chunks, trimmed
 
 LENGTH = 400
 ANCHOR = 128
@@ -220,7 +220,7 @@ def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
             cols = [pa.array(key), pa.array(np.frombuffer(b"".join(content), dtype=np.int64)), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, ["key", "content", "t1", "t2", "rid", "start", "windows"])
 
-    return rows.select("t1", "t2", "rid", "text").mapInArrow(run, "key long, content long, t1 long, t2 long, rid long, start long, windows long")
+    return rows.select("t1", "t2", "rid", "text").mapInArrow(trimmed(run), "key long, content long, t1 long, t2 long, rid long, start long, windows long")
 
 
 def _cut_out(joined: DataFrame, length: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _cut_out(joined: DataFrame, length: int) -> DataFrame:
             out = [texts[r][s : s + c + length - 1] for r, s, c in zip(row.to_pylist(), cols["start"].to_pylist(), cols["windows"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*cols.values(), b.column("t1").take(row), b.column("t2").take(row), pa.array(out, pa.binary())], [*names, "t1", "t2", "part"])
 
-    return joined.mapInArrow(run, "key long, copies long, hot boolean, start long, windows long, t1 long, t2 long, part binary")
+    return joined.mapInArrow(trimmed(run), "key long, copies long, hot boolean, start long, windows long, t1 long, t2 long, part binary")
 
 
 def _by_index(parts: DataFrame, length: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _by_index(parts: DataFrame, length: int) -> DataFrame:
         if group:
             yield from found(group)
 
-    return dealt.select("key", "copies", "start", "t1", "t2", "windows", "part").mapInArrow(run, "t1 long, t2 long, start long, windows long")
+    return dealt.select("key", "copies", "start", "t1", "t2", "windows", "part").mapInArrow(trimmed(run), "t1 long, t2 long, start long, windows long")
 
 
 def _by_window(parts: DataFrame, length: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _by_window(parts: DataFrame, length: int) -> DataFrame:
                 fixed = [pa.array(np.full(n, x, dtype=np.int64)) for x in (copies, t1, t2)]
                 yield pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *fixed, pa.array(np.arange(start, start + n))], ["w1", "w2", "copies", "t1", "t2", "start"])
 
-    rows = parts.select("copies", "start", "t1", "t2", "part").mapInArrow(run, "w1 long, w2 long, copies long, t1 long, t2 long, start long")
+    rows = parts.select("copies", "start", "t1", "t2", "part").mapInArrow(trimmed(run), "w1 long, w2 long, copies long, t1 long, t2 long, start long")
     several = rows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
     return rows.filter("copies = 1").join(several, ["w1", "w2"]).select("t1", "t2", "start", F.lit(1).cast("long").alias("windows"))
 
@@ -372,4 +372,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 gone.append([{"start": a, "end": e} for a, e in ranges])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in renamed), pa.array(left, pa.binary()), pa.array(gone, kind)], [*keep, "kept", "removed"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(trimmed(run), schema)

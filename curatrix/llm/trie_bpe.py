@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from curatrix.llm.common import bound_batches, resident, row_chunks
+from curatrix.llm.common import bound_batches, resident, row_chunks, trimmed
 
 #: Fixed value: Unicode white space, as a character class.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -89,6 +89,7 @@ class WordBpe:
         self._prepare(model["merges"])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.cache_words: int | None = None
         specials = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
         self.specials = re.compile(f"({specials})") if specials else None
         # Texts in Latin letters take a pattern with short classes; the long one is made when a text needs it.
@@ -258,7 +259,7 @@ class WordBpe:
                 found.append(ws)
             else:
                 found.append(self.words(text))
-        if len(cache) > CACHE_WORDS:  # the generation before stays; what is used again moves into the new one
+        if len(cache) > (self.cache_words or CACHE_WORDS):  # the generation before stays; what is used again moves into the new one
             self.old, self.cache = cache, {}
             cache = self.cache
         new = set().union(*found).difference(cache).difference(special)
@@ -313,7 +314,7 @@ def bpe_encode(df: DataFrame, content: bytes, text: str = "text", ids: str = "id
                 out.append(decode_lists(out[0], tokens))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], [*keep, *extra])
 
-    return bound_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
+    return bound_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(trimmed(run), schema)
 
 
 def bpe_decode(df: DataFrame, content: bytes, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -329,4 +330,4 @@ def bpe_decode(df: DataFrame, content: bytes, ids: str = "ids", out: str = "deco
                 b = big.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), decode_lists(b.column(ids), tokens)], [*keep, out])
 
-    return bound_batches(df.select(*dict.fromkeys([*keep, ids]))).mapInArrow(run, schema)
+    return bound_batches(df.select(*dict.fromkeys([*keep, ids]))).mapInArrow(trimmed(run), schema)
