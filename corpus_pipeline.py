@@ -24,6 +24,8 @@ PASSAGE_ANCHOR = 96
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 CAPACITY = 4096
+#: Words in a generation of a packing worker's cache; the stages before leave it less memory than it has alone.
+CACHE_WORDS = 150_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of at most CAPACITY."""
-    out = packing.harmonic_pack(docs.select("doc_id", "text"), packing.vocabulary(TOKENIZER), END_ID, CAPACITY)
+    out = packing.harmonic_pack(docs.select("doc_id", "text"), packing.vocabulary(TOKENIZER), END_ID, CAPACITY, cache_words=CACHE_WORDS)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
