@@ -4,6 +4,11 @@ A document's set holds its distinct shingles of ``width`` words. Its sketch has
 zeros of the bucket's least hash and a few mantissa bits behind them. Empty buckets borrow another bucket's register,
 chosen by a fixed probe order, so that small sets have whole sketches too. Bands of registers are the candidate keys.
 
+Borrowed registers of small sets are not independent, so sets of fewer than SMALL shingles have exact candidates instead:
+their rarest n - ceil(threshold * n) + 1 shingles are their keys. Two sets that reach the threshold share one of those,
+whatever the order, as long as all sets use the same. Sets that are larger, but can reach the threshold with a small one,
+have both kinds of keys.
+
 Documents with one set are one class, found by a wide digest, and only classes are compared. In each band bucket the
 class that meets most others is the pivot, and every member is compared with it; links found so far join components.
 Whatever a bucket still holds in different components is compared in blocks of bounded size, which send on only links
@@ -33,6 +38,8 @@ from curatrix.llm.components import components
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
+#: Sets of fewer shingles have exact candidates and no bands.
+SMALL = 64
 #: Standard deviations below the threshold at which a pair is dropped without a look at its sets.
 SIGMAS = 6.0
 #: Members of a band bucket that are compared with each other in one task.
@@ -170,9 +177,10 @@ def estimate(equal: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
 
 
 def least_estimate(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Estimates below this are far below the threshold; small sets have fewer independent registers."""
-    free = np.minimum(np.minimum(na, nb), REGISTERS) / 2
-    return threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(free, 1))
+    """Estimates below this are far below the threshold; with a small set, no estimate is."""
+    least = np.minimum(na, nb)
+    free = np.minimum(least, REGISTERS) / 2
+    return np.where(least < SMALL, 0.0, threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(free, 1)))
 
 
 def may_link(na: np.ndarray, nb: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -181,6 +189,11 @@ def may_link(na: np.ndarray, nb: np.ndarray, threshold: Fraction) -> np.ndarray:
     return q * np.minimum(na, nb) >= p * np.maximum(na, nb)
 
 
+def most_exact(threshold: Fraction) -> int:
+    """Shingles of the largest set that can reach the threshold with a small one."""
+    return (SMALL - 1) * threshold.denominator // threshold.numerator
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
     """Whether two full sets have that Jaccard similarity."""
     if not len(a) or not len(b):
@@ -193,24 +206,46 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sketch_documents(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, d1, d2, bands): set size, wide digest of the set, band keys (none for an empty set)."""
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *(x.view(np.int64) for x in parts)])))
+
+
+def sketch_documents(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(key, n_shingles, d1, d2, bands, shingles): set size, wide digest of the set, band keys (none for a set of fewer
+    than SMALL), and all shingles of a set that can reach the threshold with such a one."""
+    most, none = most_exact(threshold), np.zeros(0, dtype=U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in row_chunks(batches, text, CHUNK_BYTES):
             sets = shingle_sets(_encoded(b.column(text)), width)
-            full = [s for s in sets if len(s)]
-            keys = band_keys(sketches(full)).view(np.int64) if full else np.zeros((0, BANDS), dtype=np.int64)
+            full = [s for s in sets if len(s) >= SMALL]
+            keys = iter(band_keys(sketches(full)) if full else ())
+            bands = [next(keys) if len(s) >= SMALL else none for s in sets]
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             d1 = np.array([np.add.reduce(mix(s)) if len(s) else 0 for s in sets], dtype=U)
             d2 = np.array([np.bitwise_xor.reduce(mix(s + U(99))) if len(s) else 0 for s in sets], dtype=U)
-            offsets = np.cumsum([0, *np.where(sizes > 0, BANDS, 0)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-            cols = [b.column(key), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(cols, [key, "n_shingles", "d1", "d2", "bands"])
+            lists = [_lists(bands), _lists([s if len(s) <= most else none for s in sets])]
+            cols = [b.column(key), pa.array(sizes), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *lists]
+            yield pa.RecordBatch.from_arrays(cols, [key, "n_shingles", "d1", "d2", "bands", "shingles"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(run), f"{key} long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(run), f"{key} long, n_shingles long, d1 long, d2 long, bands array<long>, shingles array<long>")
+
+
+def exact_keys(rep: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """(id, key): of each set that has its shingles with it, the rarest ones as candidate keys.
+
+    ``rep`` has (id, n_shingles, d1, d2, shingles); rows that share an id can have several sets.
+    """
+    p, q = threshold.numerator, threshold.denominator
+    each = scratch.keep(rep.select("id", "n_shingles", "d1", "d2", F.explode("shingles").alias("key")), "shingles")
+    common = scratch.keep(each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "common")
+    ranked = each.join(common, "key", "left").groupBy("id", "d1", "d2", "n_shingles")
+    ranked = ranked.agg(F.array_sort(F.collect_set(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key"))).alias("all"))
+    first = F.expr(f"cast(n_shingles - (n_shingles * {p} + {q - 1}) div {q} + 1 as int)")
+    # What only one set has meets no other.
+    return ranked.select("id", F.explode(F.slice("all", F.lit(1), first)).alias("s")).filter("s.often > 1").select("id", F.col("s.key").alias("key"))
 
 
 def _with_sketch(texts: DataFrame, width: int) -> DataFrame:
@@ -347,12 +382,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     """(key, n_shingles, component_id): one row per document; a component's id is its smallest key."""
     scratch = Scratch(docs.sparkSession, "hyperminhash")
     docs = bound_batches(docs.select(F.col(key).cast("long").alias(key), text))
-    sk = scratch.keep(sketch_documents(docs, width, key, text), "sketches")
+    sk = scratch.keep(sketch_documents(docs, width, key, text, threshold), "sketches")
     classes = scratch.keep(sk.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(key).alias("id")).filter("id is not null"), "classes")
-    # Band keys of one row of each class.
-    rep = sk.filter("n_shingles > 0").join(classes.select("id").distinct(), F.col(key) == F.col("id"), "left_semi")
-    rows = rep.select(F.col(key).alias("id"), F.explode("bands").alias("key"))
-    # What is joined by band key is kept as a table first: then the join is between two plain exchanges, whose hot
+    # Keys of one row of each class.
+    rep = sk.filter("n_shingles > 0").join(classes.select("id").distinct(), F.col(key) == F.col("id"), "left_semi").withColumn("id", F.col(key))
+    rows = rep.select("id", F.explode("bands").alias("key")).unionByName(exact_keys(rep, threshold, scratch))
+    rows = scratch.keep(rows, "keys")
+    # What is joined by key is kept as a table first: then the join is between two plain exchanges, whose hot
     # partitions Spark can split.
     count = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     members = scratch.keep(rows.join(count, "key"), "members")

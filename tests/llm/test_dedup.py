@@ -86,6 +86,25 @@ def test_large_group_in_small_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 2, Fraction(4, 5))
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_of_short_texts(spark, width):
+    """Pairs of small sets at exactly the threshold, or near it: each is found, whatever buckets their shingles have."""
+    r = random.Random(width)
+    rows = []
+    for size in (5, 5, 5, 5, 5, 6, 10, 15, 30, 60):
+        for _ in range(60):
+            words = [f"v{r.randrange(10**9)}" for _ in range(size + width - 1)]
+            less = size - -(-size * 4 // 5)
+            rows += [" ".join(words), " ".join(words[less:]), " ".join(words[less + 1 :])]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in hyperminhash.near_duplicates(df, width, Fraction(4, 5)).collect()}
+    sets = {i: shingles(t, width) for i, t in rows}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    links = [(a, b) for i in range(0, len(rows), 3) for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)) if near(a, b)]
+    assert got == {i: (len(sets[i]), c) for i, c in union(links, sets).items()} and len(links) >= 600
+
+
 def test_near_duplicate_edges(spark):
     schema = "doc_id bigint, text string"
     assert hyperminhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
