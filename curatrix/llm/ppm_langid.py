@@ -6,7 +6,8 @@ it by its frequency, every deeper context before it pays its escape (method C, w
 the one with the shortest code for the whole text.
 
 Training reads a bounded sample: at most ``per_language`` whole documents of each language, chosen by a hash of their
-id. Everything else runs over all rows and all bytes.
+id. Every label is learned, however many there are: the costs of many languages are tables of a few languages each, over
+one tree, which are made in turn for each chunk of texts. Everything else runs over all rows and all bytes.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is everything when there is nothing
 to learn from; rows with a null language are not learned from; repeated rows get equal results; an empty table gives no
@@ -29,8 +30,10 @@ from curatrix.llm.common import bound_batches, release, row_chunks, trimmed
 
 #: Whole documents that are learned from, of each language.
 PER_LANGUAGE = 250
-#: Languages that are learned: the most frequent ones of the training rows.
-MOST_LANGUAGES = 64
+#: Languages in one cost table, and its bytes; tables of up to KEPT_BYTES together stay in memory.
+GROUP = 16
+TABLE_BYTES = 32 << 20
+KEPT_BYTES = 128 << 20
 ORDER = 3
 #: Times a context has to occur in the sample to stand in the tree.
 LEAST_COUNT = 48
@@ -44,7 +47,10 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 class PpmModel:
-    """Code lengths in bits, cost[node * symbols + symbol, language], and the node of each context of three symbols."""
+    """Code lengths in bits, cost[node * symbols + symbol, language], and the node of each context of three symbols.
+
+    ``cost`` is there if one table holds all languages; ``table`` makes that of some.
+    """
 
     def __init__(self, samples: dict[str, list[bytes]]) -> None:
         self.languages = sorted(samples)
@@ -54,20 +60,18 @@ class PpmModel:
         of = np.zeros(256, dtype=np.int32)
         of[seen] = np.arange(1, a)
         self.of = of[fold(np.arange(256, dtype=np.uint8))]
-        data = {k: of[v].astype(np.int64) for k, v in joined.items()}
-        kinds = len(self.languages)
         # Nodes of each order: contexts as numbers in base a; order 0 has one.
         nodes = [np.zeros(1, dtype=np.int64)]
-        grams = []  # for each order and language: distinct context * a + symbol, counts
+        self.parents = [np.zeros(1, dtype=np.int64)]
+        self.counts = []  # for each order and language: node of the order, symbol, count
         for k in range(ORDER + 1):
-            own = []
+            own = []  # distinct context * a + symbol, counts
             for name in self.languages:
-                d = data[name]
+                d = of[joined[name]].astype(np.int64)
                 g = np.zeros(len(d) - ORDER, dtype=np.int64)
                 for j in range(k, -1, -1):
                     g = g * a + d[ORDER - j : len(d) - j]
                 own.append(np.unique(g, return_counts=True))
-            grams.append(own)
             if k:
                 ctx = np.concatenate([g // a for g, _ in own])
                 u, inv = np.unique(ctx, return_inverse=True)
@@ -77,27 +81,21 @@ class PpmModel:
                 if k > 1:
                     u = u[np.isin(u % a ** (k - 1), nodes[k - 1])]
                 nodes.append(u)
-        first = np.cumsum([0, *(len(n) for n in nodes)])
-        prob = np.zeros((first[-1], a, kinds))
-        for k, u in enumerate(nodes):
-            if k == 0:
-                low = np.full((1, a, kinds), 1.0 / 256)
-            else:
-                parent = first[k - 1] + (np.searchsorted(nodes[k - 1], u % a ** (k - 1)) if k > 1 else np.zeros(len(u), dtype=np.int64))
-                low = prob[parent]
-            here = low.copy()
-            for x, (g, n) in enumerate(grams[k]):
+                self.parents.append(np.searchsorted(nodes[k - 1], u % a ** (k - 1)) if k > 1 else np.zeros(len(u), dtype=np.int64))
+            u = nodes[k]
+            kept = []
+            for g, n in own:
                 at = np.searchsorted(u, g // a)
                 ok = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == g // a) if len(u) else np.zeros(len(g), dtype=bool)
-                at, sym, n = at[ok], (g % a)[ok], n[ok]
-                total = np.bincount(at, weights=n, minlength=len(u))
-                kindsof = np.bincount(at, minlength=len(u))
-                out = total + kindsof
-                escape = np.where(total > 0, kindsof / np.maximum(out, 1), 1.0)
-                here[:, :, x] = low[:, :, x] * escape[:, None]
-                here[at, sym, x] = n / out[at]
-            prob[first[k] : first[k + 1]] = here
-        self.cost = (-np.log2(prob)).astype(np.float32).reshape(-1, kinds)
+                kept.append((at[ok].astype(np.int32), (g % a)[ok].astype(np.int32), n[ok].astype(np.int32)))
+            self.counts.append(kept)
+        self.first = first = np.cumsum([0, *(len(n) for n in nodes)])
+        kinds, one = len(self.languages), int(first[-1]) * a * 4
+        size = max(1, min(GROUP, TABLE_BYTES // one))
+        self.groups = [(lo, min(lo + size, kinds)) for lo in range(0, kinds, size)]
+        self.keep = kinds * one <= KEPT_BYTES
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
+        self.cost = self.table(0, kinds) if len(self.groups) == 1 else None
         # The deepest node of each context of three symbols.
         deep = np.zeros(a**ORDER, dtype=np.int32)
         number = np.arange(a**ORDER)
@@ -108,20 +106,46 @@ class PpmModel:
                 deep = np.where(u[at] == key, (first[k] + at).astype(np.int32), deep)
         self.node = deep * a
 
+    def table(self, lo: int, hi: int) -> np.ndarray:
+        """Costs of the languages from lo to hi."""
+        if (lo, hi) in self.tables:
+            return self.tables[lo, hi]
+        first, a = self.first, self.symbols
+        prob = np.zeros((first[-1], a, hi - lo))
+        for k, parent in enumerate(self.parents):
+            low = prob[first[k - 1] + parent] if k else np.full((1, a, hi - lo), 1.0 / 256)
+            here = low.copy()
+            for x, (at, sym, n) in enumerate(self.counts[k][lo:hi]):
+                total = np.bincount(at, weights=n, minlength=len(parent))
+                kindsof = np.bincount(at, minlength=len(parent))
+                out = total + kindsof
+                escape = np.where(total > 0, kindsof / np.maximum(out, 1), 1.0)
+                here[:, :, x] = low[:, :, x] * escape[:, None]
+                here[at, sym, x] = n / out[at]
+            prob[first[k] : first[k + 1]] = here
+        cost = (-np.log2(prob)).astype(np.float32).reshape(-1, hi - lo)
+        if self.keep:
+            self.tables[lo, hi] = cost
+        return cost
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each whole text in each language."""
-        if not texts:
-            return np.zeros((0, len(self.languages)))
+        out = np.zeros((len(texts), len(self.languages)))
+        for lo, hi in self.groups if texts else ():
+            out[:, lo:hi] = self._bits(texts, self.table(lo, hi) if self.cost is None else self.cost)
+        return out
+
+    def _bits(self, texts: list[bytes], table: np.ndarray) -> np.ndarray:
         d = self.of[np.frombuffer(PAD + PAD.join(texts), dtype=np.uint8)]
         a = self.symbols
         ctx = (d[:-3] * a + d[1:-2]) * a + d[2:-1]
         # Sums over each text; what codes the padding between two texts is in the odd segments.
         sizes = np.array([len(t) for t in texts])
         start = np.cumsum([0, *(sizes[:-1] + ORDER)])
-        out = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), table.shape[1]))
         full = np.flatnonzero(sizes)
         if len(full):
-            cost = self.cost[self.node[ctx] + d[3:]]
+            cost = table[self.node[ctx] + d[3:]]
             edges = np.stack([start[full], start[full] + sizes[full]], axis=1).ravel()
             edges = edges[:-1] if edges[-1] >= len(cost) else edges
             out[full] = np.add.reduceat(cost, edges, axis=0, dtype=np.float64)[::2]
@@ -132,26 +156,35 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() or any(c.isalpha() for c in m.group()) for m in _letters(text))
 
 
-def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int = PER_LANGUAGE) -> PpmModel | None:
-    """The model of the rows' languages, from a bounded sample; None if there is nothing to learn from."""
-    usable = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    chosen = usable.select(F.col(lang).alias("_lang"), key.alias("_key"))
-    names = dict(usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect())
-    if not names:
-        return None
+def _sample(rows: DataFrame, names: dict, per_language: int) -> dict[str, list[bytes]]:
+    """Texts of ``rows`` (_lang, _text, _key): at most ``per_language`` keys of each label in ``names`` (label: rows)."""
+    counts = rows.sparkSession.createDataFrame(list(names.items()), T.StructType([T.StructField("_lang", rows.schema["_lang"].dataType), T.StructField("_rows", T.LongType())]))
     # About four times as many rows as are taken pass a hash threshold of their language, so that the ranking below sees
     # a bounded number of rows however large the table is.
-    rows = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("_lang")]
-    chosen = chosen.filter(F.col("_lang").isin(list(names)) & (F.pmod(F.xxhash64("_key", F.lit("sample")), rows) < 4 * per_language))
+    chosen = rows.select("_lang", "_key").join(F.broadcast(counts), "_lang").filter(F.pmod(F.xxhash64("_key", F.lit("sample")), "_rows") < 4 * per_language)
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    chosen = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    keys = [r[0] for r in chosen.select("_key").collect()]
-    picked = usable.filter(key.isin(keys)).select(lang, text, key.alias("_key")).dropDuplicates().select(lang, text) if keys else None
+    keys = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("_key").distinct()
     samples: dict[str, list[bytes]] = {}
-    for name, said in picked.toLocalIterator() if picked is not None else ():
+    for name, said in rows.join(F.broadcast(keys), "_key", "left_semi").dropDuplicates().select("_lang", "_text").toLocalIterator():
         if name in names:
             samples.setdefault(name, []).append(said.encode("utf-8", "replace"))
-    return PpmModel(samples) if samples else None
+    return samples
+
+
+def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int = PER_LANGUAGE) -> PpmModel | None:
+    """The model of all the rows' languages, from a bounded sample of each; None if there is nothing to learn from."""
+    usable = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
+    usable = usable.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), key.alias("_key"))
+    names = dict(usable.groupBy("_lang").count().collect())
+    if not names:
+        return None
+    samples = _sample(usable, names, per_language)
+    if missing := [(name,) for name in names if name not in samples]:
+        # Labels whose rows have no keys, or so few that none passes: by their distinct texts.
+        some = usable.sparkSession.createDataFrame(missing, T.StructType([T.StructField("_lang", usable.schema["_lang"].dataType)]))
+        rest = usable.select("_lang", "_text").join(F.broadcast(some), "_lang", "left_semi").distinct().withColumn("_key", F.xxhash64("_text"))
+        samples |= _sample(rest, dict(rest.groupBy("_lang").count().collect()), per_language)
+    return PpmModel(samples)
 
 
 def identify(docs: DataFrame, model: PpmModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -164,7 +197,7 @@ def identify(docs: DataFrame, model: PpmModel | None, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         ppm = shared.value
-        for b in row_chunks(batches, text, 1_000_000):
+        for b in row_chunks(batches, text, 1_000_000 if ppm is None or ppm.keep else 4_000_000):
             texts = b.column(text).to_pylist()
             pred, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
             rows = [i for i, t in enumerate(texts) if t and has_letter(t)] if ppm else []

@@ -187,6 +187,30 @@ def test_ppm_codes_are_probabilities():
     assert m.bits(texts)[0].argmin() == 0 and m.bits(texts)[2].argmin() == 1
 
 
+def test_ppm_learns_every_label(spark):
+    """More labels than one cost table holds, some of them with few rows and one without ids."""
+    r = random.Random(5)
+    letters = {f"l{i:02}": "".join(chr(0x4E00 + 6 * i + j) for j in range(6)) for i in range(70)}
+    rows = [(None if k == "l69" else 100 * i + j, speak(r, v, 40), k) for i, (k, v) in enumerate(letters.items()) for j in range(2 if i > 3 else 20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = ppm_langid.train(df, "text", "lang", F.col("doc_id"))
+    assert model.languages == sorted(letters) and len(model.groups) > 1
+    asked = spark.createDataFrame([(k, speak(r, v, 30)) for k, v in letters.items()], "lang string, text string")
+    assert all(x["lang_pred"] == x["lang"] for x in ppm_langid.identify(asked, model).collect())
+
+
+def test_ppm_tables_agree(monkeypatch):
+    r = random.Random(6)
+    samples = {k: [speak(r, v, 400).encode()] for k, v in {"x": "abc", "y": "bcd", "z": "cdä"}.items()}
+    texts = [b"abc cab", b"", b"dcb bcd dcb"]
+    want = ppm_langid.PpmModel(samples).bits(texts)
+    monkeypatch.setattr(ppm_langid, "GROUP", 2)
+    for kept in (ppm_langid.KEPT_BYTES, 0):
+        monkeypatch.setattr(ppm_langid, "KEPT_BYTES", kept)
+        m = ppm_langid.PpmModel(samples)
+        assert len(m.groups) == 2 and (m.bits(texts) == want).all() and len(m.tables) == (2 if kept else 0)
+
+
 def language_rows(n=240):
     r = random.Random(3)
     letters = {"aa": "abcde", "bb": "cdefg", "cc": "äöüab"}
