@@ -38,6 +38,11 @@ def prune_decisions(spark, sf):
     return C.decisions(_reasons(spark, sf), live, limit=100).select("artifact_id", "reason", "deactivate")
 
 
+def prune_decisions_gated(spark, sf):
+    """The same behind the safety ratio's default limit."""
+    return C.decisions(_reasons(spark, sf), _seen(spark, sf)).select("artifact_id", "reason", "deactivate")
+
+
 def by_reason(spark, sf):
     return C.by_reason(_reasons(spark, sf))
 
@@ -86,6 +91,11 @@ def circuit_breaker(spark, sf):
     return C.circuit_breaker(c, "day", limit=60)
 
 
+def circuit_breaker_default(spark, sf):
+    """The same with the production limit."""
+    return C.circuit_breaker(T.checks(spark, sf).withColumn("day", F.date_format("checked_at", "yyyy-MM-dd")), "day")
+
+
 _SEEN = "seen AS (SELECT o_custkey AS artifact_id, max(o_orderdate) AS last_seen_at FROM orders GROUP BY o_custkey)"
 _REASON = f"""WITH {T.checks_sql()}, {_SEEN}, v AS (SELECT *, {T.VERDICT_SQL} AS v FROM checks),
   m AS (SELECT *, max(CASE WHEN v = 'ok' THEN (checked_at, id) END) OVER (PARTITION BY artifact_id) AS ok FROM v),
@@ -98,7 +108,7 @@ _REASON = f"""WITH {T.checks_sql()}, {_SEEN}, v AS (SELECT *, {T.VERDICT_SQL} AS
   reasons AS (SELECT *, CASE WHEN terminal THEN 'gone' WHEN run >= 3 THEN 'unreachable' WHEN days_old > 180 THEN 'stale' END AS reason FROM joined) """
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 
-QUERIES = {f.__name__: f for f in [classify_status, verdict_tally, latest_check, inactive_reason, prune_decisions, by_reason, prune_candidates, safety_ratio, trim_checks, verify_queue, verify_queue_rows, reactivated, circuit_breaker]}
+QUERIES = {f.__name__: f for f in [classify_status, verdict_tally, latest_check, inactive_reason, prune_decisions, prune_decisions_gated, by_reason, prune_candidates, safety_ratio, trim_checks, verify_queue, verify_queue_rows, reactivated, circuit_breaker, circuit_breaker_default]}
 
 ORACLE = {
     "classify_status": f"WITH {T.checks_sql()} SELECT id, {T.VERDICT_SQL} AS verdict FROM checks",
@@ -106,6 +116,7 @@ ORACLE = {
     "latest_check": f"WITH {T.checks_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY checked_at DESC, id DESC) AS k FROM checks) SELECT artifact_id, {_ISO.format('checked_at')} AS checked_at, id, http_status FROM n WHERE k = 1",
     "inactive_reason": _REASON + "SELECT * FROM reasons",
     "prune_decisions": _REASON + "SELECT artifact_id, reason, true AS deactivate FROM reasons WHERE reason IS NOT NULL",
+    "prune_decisions_gated": _REASON + "SELECT artifact_id, reason, 100 * (SELECT count(reason) FROM reasons) <= 10 * (SELECT count(*) FROM reasons) AS deactivate FROM reasons WHERE reason IS NOT NULL",
     "by_reason": _REASON + "SELECT k.reason, count(r.reason) AS n FROM (SELECT unnest(['gone', 'unreachable', 'stale']) AS reason) k LEFT JOIN reasons r ON r.reason = k.reason GROUP BY 1",
     "prune_candidates": f"WITH {T.checks_sql(True)} SELECT artifact_id, count(CASE WHEN http_status IN (404, 410) THEN 1 END) AS terminal, count(CASE WHEN http_status IN (403, 429, 500, 502, 503, 504) THEN 1 END) AS transient, last(http_status ORDER BY checked_at, id) AS last_status FROM checks WHERE artifact_id % 5 <> 0 GROUP BY artifact_id HAVING terminal >= 1 OR transient >= 3",
     "safety_ratio": f"""WITH {T.checks_sql()}, live AS (SELECT count(DISTINCT artifact_id) AS live FROM checks),
@@ -114,6 +125,7 @@ ORACLE = {
     "trim_checks": f"WITH {T.checks_sql()} SELECT CASE WHEN checked_at < TIMESTAMP '2024-04-10 00:00:00' - INTERVAL 90 DAY THEN 'deleted' ELSE 'kept' END AS what, count(*) AS n FROM checks GROUP BY 1",
     "verify_queue": f"WITH {T.checks_sql()}, l AS (SELECT artifact_id, max(checked_at) AS m FROM checks GROUP BY 1) SELECT c_custkey AS artifact_id, {_ISO.format('m')} AS last_checked FROM customer LEFT JOIN l ON l.artifact_id = c_custkey WHERE c_mktsegment <> 'BUILDING' ORDER BY m ASC NULLS FIRST, c_custkey LIMIT 300",
     "circuit_breaker": f"WITH {T.checks_sql()} SELECT strftime(checked_at, '%Y-%m-%d') AS day, count(*) AS checked, count(*) FILTER ({T.VERDICT_SQL} <> 'ok') AS failed, 100 * count(*) FILTER ({T.VERDICT_SQL} <> 'ok') > 60 * count(*) AS tripped FROM checks GROUP BY 1",
+    "circuit_breaker_default": f"WITH {T.checks_sql()} SELECT strftime(checked_at, '%Y-%m-%d') AS day, count(*) AS checked, count(*) FILTER ({T.VERDICT_SQL} <> 'ok') AS failed, 100 * count(*) FILTER ({T.VERDICT_SQL} <> 'ok') > 40 * count(*) AS tripped FROM checks GROUP BY 1",
     "verify_queue_rows": f"WITH {T.checks_sql()} SELECT id, artifact_id FROM checks JOIN customer ON c_custkey = artifact_id WHERE c_mktsegment <> 'BUILDING' ORDER BY checked_at, id LIMIT 300",
     "reactivated": f"WITH {T.checks_sql()}, n AS (SELECT *, {T.VERDICT_SQL} AS v, row_number() OVER (PARTITION BY artifact_id ORDER BY checked_at DESC, id DESC) AS k FROM checks) SELECT artifact_id, id FROM n WHERE k = 1 AND v = 'ok' AND artifact_id IN (SELECT artifact_id FROM n WHERE v <> 'ok')",
 }

@@ -236,6 +236,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(s.read("artifacts").select(*want.columns).collect()) == sorted(want.collect())
 
 
+def test_registered_gates_have_their_default_limits(spark):
+    from curatrix.plans import checks as plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = plans.QUERIES["prune_decisions_gated"](spark, sf).collect()
+    live = plans._seen(spark, sf).count()
+    assert rows and {r["deactivate"] for r in rows} == {100 * len(rows) <= 10 * live}
+    days = plans.QUERIES["circuit_breaker_default"](spark, sf).collect()
+    assert days and all(r["tripped"] == (100 * r["failed"] > 40 * r["checked"]) for r in days)
+
+
 def test_failure_counters_equal_batch(spark, tmp_path):
     c = observed(spark, {1: [500, 500, 200, 500], 2: [404, 500, 500]})
     c.coalesce(1).write.parquet(str(tmp_path / "in"))
