@@ -8,15 +8,22 @@ Every byte under such a string is a repeated byte.
    equal distances, so only stretches of one anchor's group can share windows, and none shares one with itself. Groups
    with a single stretch hold no repeat.
 2. Stretches with equal bytes are counted, before anything is moved; where there are several, all their windows repeat.
-3. Groups of different stretches go, with the bytes of each different stretch once, into run-length indexes: the
-   Burrows-Wheeler transform of the stretches, its runs, and the text positions sampled at the runs' ends. The length
-   of the longest match with the neighbour in suffix order is computed at the sampled positions only; walking through
-   the text, it falls by one per byte until the next sample. Positions whose match reaches ``length`` are repeats.
-4. A group with more than ``hot`` different stretches is not gathered: its windows are counted one by one, by digest.
+3. Groups of different stretches go, with the bytes of each different stretch once and the number of its copies, into
+   run-length indexes: the Burrows-Wheeler transform of the stretches, its runs, and the text positions sampled at the
+   runs' ends. The length of the longest match with the neighbour in suffix order is computed at the sampled positions
+   only; walking through the text, it falls by one per byte until the next sample. Positions whose match reaches
+   ``length`` are repeats. A stretch with copies is its own neighbour, so all of it repeats; where a group has no other
+   stretch, that is known without its bytes.
+4. A group with more than ``hot`` different stretches would not fit one index. Its stretches get anchors again, longer
+   ones with another hash (`anchors`), and fall apart into groups of their own, from step 2 on. A stretch makes a few
+   shorter ones, of which only those with company go on. The last anchor is a whole window, where step 2 decides.
+
+Equality of stretches in step 2 is that of 128-bit digests within one anchor's group; inside an index, bytes decide.
 
 Defined cases: a null text is empty and has no repeats; texts shorter than ``length`` have none; all copies of a
-repeated passage count, the first one too; equal texts of at least ``length`` bytes are repeated throughout; an empty
-table gives no rows; repeated rows give equal results; extra columns do not matter.
+repeated passage count, the first one too; equal texts of at least ``length`` bytes are repeated throughout; U+0000 is a
+byte as any other; texts of any length are worked on in pieces of bounded size; an empty table gives no rows; repeated
+rows, also with a null key, give equal results; extra columns, whatever their names, are kept and do not matter.
 """
 
 from __future__ import annotations
@@ -34,14 +41,19 @@ from curatrix.llm.common import Scratch, bound_batches, release, row_chunks, tri
 
 LENGTH = 400
 ANCHOR = 128
-#: Different stretches of one anchor that are gathered in one index.
-HOT = 2048
+#: Different stretches of one anchor that are gathered in one index; larger groups get longer anchors first.
+HOT = 1024
+#: By how much each round of anchors shortens what a stretch can hold.
+NARROWER = 4
 #: Bytes of stretches in one index; whole anchor groups, so one group may go beyond it.
 INDEX_BYTES = 1_500_000
 
 U = np.uint64
-#: Bits for a place in the bytes that are hashed at once.
+#: Bits for a place in the bytes that are hashed at once, and the bytes of a longer text that are hashed at once.
 PLACE = U(28)
+PIECE_BYTES = 1 << 23
+#: Letters of the index: bytes from 1 on, 0 between stretches. So many of them make a word of 64 bits.
+LETTER_BITS, LETTERS = 9, 7
 _powers: list[np.ndarray] = []
 _BASE, _INVERSE = U(0xD6E8FEB86659FD93), U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -64,8 +76,28 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def stretches(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(length: int, anchor: int) -> list[int]:
+    """Anchor lengths of the rounds; the last is a whole window."""
+    out = [min(anchor, length)]
+    while out[-1] < length:
+        out.append(length - (length - out[-1] + 1) // NARROWER + 1 if length - out[-1] + 1 >= 2 * NARROWER else length)
+    return out
+
+
+def stretches(texts: list[bytes], length: int, anchor: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, start, number of windows and anchor of each stretch of the texts."""
+    if all(len(t) <= PIECE_BYTES for t in texts):
+        return _stretches(texts, length, anchor, seed)
+    # A long text in pieces; together they have all its windows, each once.
+    out = []
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t) - length + 1), PIECE_BYTES):
+            _, start, count, key = _stretches([t[lo : lo + PIECE_BYTES + length - 1]], length, anchor, seed)
+            out.append((np.full(len(start), i), start + lo, count, key))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _stretches(texts: list[bytes], length: int, anchor: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(data)
@@ -74,7 +106,7 @@ def stretches(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray,
     power, inverse = _tables(n)
     total = np.zeros(n + 1, dtype=U)
     np.cumsum((data.astype(U) + U(1)) * power[:n], out=total[1:])
-    grams = _mix((total[anchor:] - total[:-anchor]) * inverse[: n - anchor + 1])
+    grams = _mix((total[anchor:] - total[:-anchor]) * inverse[: n - anchor + 1] + U(seed))
     # Sliding minimum over blocks: least of a block's tail and of the next block's head. Places below the hashes' upper
     # bits make the leftmost of equal ones the least.
     width = length - anchor + 1
@@ -101,23 +133,23 @@ def stretches(texts: list[bytes], length: int, anchor: int) -> tuple[np.ndarray,
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by prefix doubling, and the eight bytes at each position as a number."""
+    """Suffix array of letters by prefix doubling, and the LETTERS letters at each position as a number."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    padded = np.concatenate([data, np.zeros(LETTERS, dtype=data.dtype)])
     word = np.zeros(n, dtype=U)
-    for j in range(8):
-        word = (word << U(8)) | padded[j : j + n]
+    for j in range(LETTERS):
+        word = (word << U(LETTER_BITS)) | padded[j : j + n]
     order = np.argsort(word)
     by = word[order]
     new = np.empty(n, dtype=bool)
     new[0] = True
     np.not_equal(by[1:], by[:-1], out=new[1:])
-    rank = np.zeros(2 * n + 16, dtype=np.int64)  # 0: past the end
+    rank = np.zeros(2 * n + 2 * LETTERS, dtype=np.int64)  # 0: past the end
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank[order] = first + 1
     last = np.append(new[1:], True)
     open_ = np.flatnonzero(~(new & last))
-    step = 8
+    step = LETTERS
     while len(open_):
         p = order[open_]
         pair = (rank[p] << 32) | rank[np.minimum(p + step, n)]
@@ -147,21 +179,21 @@ def _common(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         same = d == 0
         part, differ = live[~same], d[~same]
         got = np.zeros(len(part), dtype=np.int64)
-        for s in range(56, 0, -8):
-            got += (differ >> U(s)) == 0
+        for j in range(1, LETTERS):
+            got += (differ >> U(j * LETTER_BITS)) == 0
         out[part] += got
         live = live[same]
-        out[live] += 8
+        out[live] += LETTERS
     return np.minimum(out, n - np.maximum(a, b))
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of a text with text positions sampled at both ends of each run."""
+    """Run-compressed Burrows-Wheeler transform of letters with text positions sampled at both ends of each run."""
 
     def __init__(self, data: np.ndarray) -> None:
         order, word = suffix_array(data)
         self.n = len(data)
-        before = np.where(order > 0, data[order - 1].astype(np.int16), -1)
+        before = np.where(order > 0, data[order - 1].astype(np.int32), -1)
         head = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
         self.letters, self.starts = before[head], head
         self.head_sample = order[head]
@@ -183,11 +215,26 @@ class RunIndex:
         return np.maximum(down, up)
 
 
-def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each part, whether its window at each place also starts anywhere else in the parts."""
-    matches = RunIndex(np.frombuffer(b"\0".join(parts), dtype=np.uint8)).matching_statistics()
+def letters(parts: list[bytes]) -> np.ndarray:
+    """The parts with a letter that no byte is between them."""
+    out = np.zeros(sum(len(p) + 1 for p in parts), dtype=np.uint16)
+    at = 0
+    for p in parts:
+        out[at : at + len(p)] = np.frombuffer(p, dtype=np.uint8)
+        out[at : at + len(p)] += 1
+        at += len(p) + 1
+    return out
+
+
+def repeated_windows(parts: list[bytes], length: int, copies: list[int] | None = None) -> list[np.ndarray]:
+    """For each part, whether its window at each place also starts anywhere else in the parts, of which there may be copies.
+
+    A window has no separator in it, so none of its matches crosses one.
+    """
+    matches = RunIndex(letters(parts)).matching_statistics()
     edges = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return [matches[e : e + len(p) - length + 1] >= length for e, p in zip(edges[:-1], parts, strict=True)]
+    found = [matches[e : e + len(p) - length + 1] >= length for e, p in zip(edges[:-1], parts, strict=True)]
+    return [f | (n > 1) for f, n in zip(found, copies or [1] * len(parts), strict=True)]
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -206,29 +253,33 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+PLACED = "c1 long, c2 long, t1 long, t2 long, rid long, start long, windows long"
+
+
 def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Stretches of all rows (t1, t2, rid, text): anchor, digest of the content (with the anchor, 128 bits), place and number of windows."""
+    """Stretches of all rows (t1, t2, rid, text): anchor, digest of the content, place and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in row_chunks(batches, "text", 500_000):
             texts = _bytes_of(b.column("text"))
             row, start, count, key = stretches(texts, length, anchor)
-            digest = xxhash.xxh3_64_digest
-            content = [digest(texts[r][s : s + c + length - 1]) for r, s, c in zip(row.tolist(), start.tolist(), count.tolist(), strict=True)]
+            digest = xxhash.xxh3_128_digest
+            content = b"".join(digest(texts[r][s : s + c + length - 1]) for r, s, c in zip(row.tolist(), start.tolist(), count.tolist(), strict=True))
+            wide = np.frombuffer(content, dtype=np.int64).reshape(-1, 2)
             take = pa.array(row)
-            cols = [pa.array(key), pa.array(np.frombuffer(b"".join(content), dtype=np.int64)), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "content", "t1", "t2", "rid", "start", "windows"])
+            cols = [pa.array(key), *(pa.array(wide[:, i].copy()) for i in (0, 1)), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "c1", "c2", "t1", "t2", "rid", "start", "windows"])
 
-    return rows.select("t1", "t2", "rid", "text").mapInArrow(trimmed(run), "key long, content long, t1 long, t2 long, rid long, start long, windows long")
+    return rows.select("t1", "t2", "rid", "text").mapInArrow(trimmed(run), f"key long, {PLACED}")
 
 
 def _cut_out(joined: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted stretches: rows of a text with its wanted list of (key, copies, hot, start, windows)."""
+    """Bytes of the wanted stretches: rows of a text with its wanted list of (key, copies, hot, c1, c2, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        names = ["key", "copies", "hot", "start", "windows"]
+        names = ["key", "copies", "hot", "c1", "c2", "start", "windows"]
         for b in row_chunks(batches, "text", 1_000_000):
             texts, wanted = _bytes_of(b.column("text")), b.column("wanted")
             row = pa.array(np.repeat(np.arange(len(texts)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False)))
@@ -237,20 +288,21 @@ def _cut_out(joined: DataFrame, length: int) -> DataFrame:
             out = [texts[r][s : s + c + length - 1] for r, s, c in zip(row.to_pylist(), cols["start"].to_pylist(), cols["windows"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*cols.values(), b.column("t1").take(row), b.column("t2").take(row), pa.array(out, pa.binary())], [*names, "t1", "t2", "part"])
 
-    return joined.mapInArrow(trimmed(run), "key long, copies long, hot boolean, start long, windows long, t1 long, t2 long, part binary")
+    return joined.mapInArrow(trimmed(run), "key long, copies long, hot boolean, c1 long, c2 long, start long, windows long, t1 long, t2 long, part binary")
 
 
 def _by_index(parts: DataFrame, length: int) -> DataFrame:
     """Repeated windows of single stretches in groups of several: (t1, t2, start, windows)."""
-    dealt = parts.repartition("key").sortWithinPartitions("key")
+    columns = ["key", "copies", "c1", "c2", "start", "t1", "t2", "part"]
+    dealt = parts.select(*columns).repartition("key").sortWithinPartitions("key")
 
     def found(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        distinct = {(g[0], g[6]): g for g in group}  # rows that share an id and a text come more than once
+        distinct = {g[:1] + g[2:4]: g for g in group}  # rows that share an id and a text come more than once
         rows = list(distinct.values())
         out = []
-        for g, flags in zip(rows, repeated_windows([g[6] for g in rows], length), strict=True):
+        for g, flags in zip(rows, repeated_windows([g[7] for g in rows], length, [g[1] for g in rows]), strict=True):
             if g[1] == 1:
-                out += [(g[3], g[4], g[2] + s, c) for s, c in _runs(flags)]
+                out += [(g[5], g[6], g[4] + s, c) for s, c in _runs(flags)]
         cols = zip(*out, strict=True) if out else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["t1", "t2", "start", "windows"])
 
@@ -259,40 +311,70 @@ def _by_index(parts: DataFrame, length: int) -> DataFrame:
         group: list[tuple] = []
         size = 0
         for b in row_chunks(batches, "part", 1_000_000):
-            for g in zip(*(b.column(c).to_pylist() for c in ("key", "copies", "start", "t1", "t2", "windows", "part")), strict=True):
+            for g in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
                 if size >= INDEX_BYTES and g[0] != group[-1][0]:
                     yield from found(group)
                     group, size = [], 0
-                group.append(g)
-                size += len(g[6])
+                if not group or g[:4] != group[-1][:4]:
+                    group.append(g)
+                    size += len(g[7])
         if group:
             yield from found(group)
 
-    return dealt.select("key", "copies", "start", "t1", "t2", "windows", "part").mapInArrow(trimmed(run), "t1 long, t2 long, start long, windows long")
+    return dealt.mapInArrow(trimmed(run), "t1 long, t2 long, start long, windows long")
 
 
-def _by_window(parts: DataFrame, length: int) -> DataFrame:
-    """The same for hot groups, without gathering any: every window's digest is counted."""
+def _again(parts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """The stretches of ``parts`` (copies, start, t1, t2, part) for longer anchors, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        digest = xxhash.xxh3_128_digest
-        for b in row_chunks(batches, "part", 100_000):
-            for copies, start, t1, t2, part in zip(*(b.column(c).to_pylist() for c in ("copies", "start", "t1", "t2", "part")), strict=True):
-                n = len(part) - length + 1
-                w = np.frombuffer(b"".join(digest(part[i : i + length]) for i in range(n)), dtype=np.int64).reshape(-1, 2)
-                fixed = [pa.array(np.full(n, x, dtype=np.int64)) for x in (copies, t1, t2)]
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *fixed, pa.array(np.arange(start, start + n))], ["w1", "w2", "copies", "t1", "t2", "start"])
+        for b in row_chunks(batches, "part", 250_000):
+            texts = b.column("part").to_pylist()
+            row, start, count, key = stretches(texts, length, anchor, anchor)
+            cut = [texts[r][s : s + c + length - 1] for r, s, c in zip(row.tolist(), start.tolist(), count.tolist(), strict=True)]
+            wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in cut), dtype=np.int64).reshape(-1, 2)
+            take = pa.array(row)
+            begin = pc.add(b.column("start").take(take), pa.array(start.astype(np.int64)))
+            cols = [pa.array(key), *(pa.array(wide[:, i].copy()) for i in (0, 1)), *(b.column(x).take(take) for x in ("copies", "t1", "t2")), begin, pa.array(count.astype(np.int64)), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "c1", "c2", "copies", "t1", "t2", "start", "windows", "part"])
+
+    return parts.select("copies", "start", "t1", "t2", "part").mapInArrow(trimmed(run), "key long, c1 long, c2 long, copies long, t1 long, t2 long, start long, windows long, part binary")
 
-    rows = parts.select("copies", "start", "t1", "t2", "part").mapInArrow(trimmed(run), "w1 long, w2 long, copies long, t1 long, t2 long, start long")
-    several = rows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).filter("n > 1").select("w1", "w2")
-    return rows.filter("copies = 1").join(several, ["w1", "w2"]).select("t1", "t2", "start", F.lit(1).cast("long").alias("windows"))
+
+def _groups(contents: DataFrame) -> DataFrame:
+    """(key, m): anchors of several different stretches (key, copies), some of them without a copy."""
+    return contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).filter("m > 1 and fewest = 1").select("key", "m")
+
+
+def _hot_spans(parts: DataFrame, length: int, rounds: list[int], hot: int, scratch: Scratch) -> list[DataFrame]:
+    """Repeated windows (t1, t2, start, windows) of the groups in ``parts``, by longer anchors until no group is hot."""
+    out = []
+    for anchor in rounds:
+        found = scratch.keep(_again(parts, length, anchor), "again")
+        place = F.struct("t1", "t2", "start", "windows")
+        contents = found.groupBy("key", "c1", "c2").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
+        contents = scratch.keep(contents, "contents")
+        copied = contents.filter("copies > 1").select("key", "c1", "c2")
+        out.append(found.filter("copies = 1").join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows"))
+        if anchor == length:  # a stretch is one window, and its content has decided
+            break
+        groups = _groups(contents).withColumn("hot", F.col("m") > hot)
+        chosen = scratch.keep(contents.join(groups, "key").select("key", "c1", "c2", F.least("copies", F.lit(2)).alias("copies"), "hot", "at.*"), "chosen")
+        # The bytes of one stretch of each content.
+        names = ["key", "c1", "c2", "t1", "t2", "start", "windows"]
+        parts = scratch.keep(found.select(*names, "part").join(chosen, names), "parts")
+        out.append(_by_index(parts.filter("not hot"), length))
+        parts = parts.filter("hot")
+        if parts.isEmpty():
+            break
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(t1, t2, spans): for each text with repeats, by its identity, the starts and numbers of repeated windows."""
     scratch = Scratch(docs.sparkSession, "rindex")
-    anchor = min(anchor, length)
+    anchor, *longer = anchors(length, anchor)
     rows = docs.select(*identity(F.col(text)), F.xxhash64(key).alias("rid"), F.coalesce(text, F.lit("")).alias("text")).filter(F.octet_length("text") >= length)
     rows = bound_batches(rows)
     found = scratch.keep(_occurrences(rows, length, anchor), "stretches")
@@ -301,17 +383,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     shared = scratch.keep(found.join(several, "key", "left_semi"), "shared")
     scratch.drop(found)
     place = F.struct("t1", "t2", "rid", "start", "windows")
-    contents = scratch.keep(shared.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contents")
-    copied = contents.filter("copies > 1").select("key", "content")
-    whole = shared.join(copied, ["key", "content"]).select("t1", "t2", "start", "windows")
-    groups = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).filter("m > 1 and fewest = 1")
-    wanted = contents.join(groups, "key").select("at.*", F.struct("key", F.least("copies", F.lit(2)).alias("copies"), (F.col("m") > hot).alias("hot"), "at.start", "at.windows").alias("w"))
-    wanted = wanted.groupBy("t1", "t2", "rid").agg(F.collect_list("w").alias("wanted"))
+    contents = scratch.keep(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contents")
+    copied = contents.filter("copies > 1").select("key", "c1", "c2")
+    whole = shared.join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows")
+    groups = _groups(contents)
+    wanted = F.struct("key", F.least("copies", F.lit(2)).alias("copies"), (F.col("m") > hot).alias("hot"), "c1", "c2", "at.start", "at.windows")
+    wanted = contents.join(groups, "key").select("at.*", wanted.alias("w")).groupBy("t1", "t2", "rid").agg(F.collect_list("w").alias("wanted"))
     joined = rows.join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "text", "wanted")
     parts = scratch.keep(_cut_out(joined, length), "parts")
     spans = whole.unionByName(_by_index(parts.filter("not hot"), length))
-    if not parts.filter("hot").isEmpty():
-        spans = spans.unionByName(_by_window(parts.filter("hot"), length))
+    if longer and not parts.filter("hot").isEmpty():
+        for more in _hot_spans(parts.filter("hot").dropDuplicates(["key", "c1", "c2"]), length, longer, hot, scratch):
+            spans = spans.unionByName(more)
     out = spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     return scratch.keep(out, "spans")
 

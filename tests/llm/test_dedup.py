@@ -172,20 +172,63 @@ def repeated_texts(length, seed=8):
     return texts
 
 
-@pytest.mark.parametrize(("length", "hot"), [(60, 4096), (60, 1), (400, 4096)])
-def test_repeats(spark, length, hot):
-    texts = repeated_texts(length)
+def removed(spark, texts, length, **how):
+    """What repeated_spans makes of the texts, in the form of brute_repeats."""
     df = spark.createDataFrame([(i if i else None, t, i, "s") for i, t in enumerate(texts)], "doc_id int, text string, t1 int, spans string")
     spans = {}
-    found = rindex_dedup.repeated_spans(df, length, anchor=length // 3, hot=hot)
+    found = rindex_dedup.repeated_spans(df, length, **how)
     named = df.select("doc_id", "text").select("doc_id", *rindex_dedup.identity(df["text"]))
     for r in named.join(found, ["t1", "t2"]).collect():
         spans[r["doc_id"] or 0] = [s.asDict() for s in r["spans"]]
-    data = [(t or "").encode() for t in texts]
-    for i, (t, want) in enumerate(zip(data, brute_repeats(data, length), strict=True)):
+    out = []
+    for i, t in enumerate((t or "").encode() for t in texts):
         ranges = rindex_dedup.byte_ranges(spans.get(i), length)
         left = rindex_dedup.kept_bytes(t, ranges)
-        assert (len(t), len(t) - len(left), len(ranges), left) == want, i
+        out.append((len(t), len(t) - len(left), len(ranges), left))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_nul_is_a_byte(spark, hot):
+    """No 400-byte string repeats here, but one would if U+0000 ended a text; then strings that hold U+0000 and repeat."""
+    r = random.Random(2)
+    some = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    x, y, z = some(300), some(300), some(500)
+    texts = [x + "\0" + y, *(some(200) + x for _ in range(8)), *(y + some(200) for _ in range(8))]
+    want = brute_repeats([t.encode() for t in texts], 400)
+    assert removed(spark, texts, 400, hot=hot) == want and not any(w[1] for w in want)
+    texts += ["\0" * 900, some(9) + z[:250] + "\0" + z[250:] + "\0", "\0" + z[:250] + "\0" + z[250:], z, "\0" + x + "\0" + y]
+    want = brute_repeats([t.encode() for t in texts], 400)
+    assert removed(spark, texts, 400, hot=hot) == want and sum(w[1] > 0 for w in want) >= 4
+
+
+def test_large_group_of_unlike_stretches(spark):
+    """One string in 6000 texts, none of whose long windows repeats but those of a few pairs; rows stay few."""
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    line = some(150)
+    texts = [some(r.randint(100, 250)) + line + some(r.randint(100, 250)) for _ in range(6000)]
+    for i in range(0, 40, 2):  # 399 or 400 bytes in common
+        a, b = some(125 + i % 4 // 2), some(124)
+        texts += [some(90) + a + line + b + some(90) for _ in range(2)]
+    want = brute_repeats([t.encode() for t in texts], 400)
+    assert removed(spark, texts, 400) == want and sum(w[1] > 0 for w in want) == 20
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    r = random.Random(9)
+    texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (3000, 40, 0, 500, 130, 700)]
+    whole = lambda out: {(t, s + i, k) for t, s, n, k in zip(*(x.tolist() for x in out), strict=True) for i in range(n)}
+    want = whole(rindex_dedup.stretches(texts, 60, 20))
+    monkeypatch.setattr(rindex_dedup, "PIECE_BYTES", 128)
+    assert whole(rindex_dedup.stretches(texts, 60, 20)) == want and len(want) == sum(max(0, len(t) - 59) for t in texts)
+
+
+@pytest.mark.parametrize(("length", "hot"), [(60, 4096), (60, 1), (60, 3), (400, 4096), (400, 2)])
+def test_repeats(spark, length, hot):
+    texts = repeated_texts(length)
+    got = removed(spark, texts, length, anchor=length // 3, hot=hot)
+    assert got == brute_repeats([(t or "").encode() for t in texts], length)
 
 
 def test_remove_repeats(spark):
@@ -202,13 +245,14 @@ def test_remove_repeats(spark):
 def test_run_index():
     r = random.Random(3)
     for _ in range(300):
-        parts = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 5))]
+        parts = [bytes(r.choice(b"\0a\xff") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 5))]
         length = r.randint(1, 6)
         parts = [p for p in parts if len(p) >= length] or [b"a" * length]
         count = Counter(p[i : i + length] for p in parts for i in range(len(p) - length + 1))
         for p, flags in zip(parts, rindex_dedup.repeated_windows(parts, length), strict=True):
             assert flags.tolist() == [count[p[i : i + length]] > 1 for i in range(len(p) - length + 1)]
-    index = rindex_dedup.RunIndex(np.frombuffer(b"banana" * 50, np.uint8))
+    assert [f.all() for f in rindex_dedup.repeated_windows([b"\0\0a", b"xyz"], 2, [2, 1])] == [True, False]
+    index = rindex_dedup.RunIndex(rindex_dedup.letters([b"banana" * 50]))
     assert len(index.starts) < 20 and len(index.head_sample) == len(index.tail_sample) == len(index.starts)
 
 
