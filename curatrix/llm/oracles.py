@@ -54,16 +54,23 @@ CHAT = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(12 + lr + 1 + lt + 11)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
 
-#: Windows of ``length`` bytes, as hex text, counted over all texts; flags and spans by running sums over the bytes.
-REPEATS = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-  w AS (SELECT k, unnest(range(length(h) // 2 - {0} + 1)) AS i, h FROM d WHERE length(h) // 2 >= {0}),
-  x AS (SELECT k, i, md5_number(substr(h, 2 * i + 1, 2 * {0})) AS g FROM w),
+#: A kept piece, as hex text, without the bytes at its ends that are no whole character.
+WHOLE = "regexp_replace(regexp_replace({0}, '^(?:[89AB].)+', ''), '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){{0,2}})$', '\\1')"
+
+
+def repeats(length: int) -> str:
+    """Windows of ``length`` bytes, as hex text, counted over all texts; flags and spans by running sums over the bytes."""
+    piece, tail = "substr(d.h, 2 * before + 1, 2 * (a - before))", "substr(h, 2 * coalesce(last, 0) + 1)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  w AS (SELECT k, unnest(range(length(h) // 2 - {length} + 1)) AS i, h FROM d WHERE length(h) // 2 >= {length}),
+  x AS (SELECT k, i, md5_number(substr(h, 2 * i + 1, 2 * {length})) AS g FROM w),
   r AS (SELECT k, i FROM x WHERE g IN (SELECT g FROM x GROUP BY g HAVING count(*) > 1)),
   m AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS p FROM r),
-  b AS (SELECT k, i, sum(CASE WHEN p IS NULL OR i > p + {0} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS s FROM m),
-  spans AS (SELECT k, s, min(i) AS a, max(i) + {0} AS e FROM b GROUP BY k, s),
+  b AS (SELECT k, i, sum(CASE WHEN p IS NULL OR i > p + {length} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY i) AS s FROM m),
+  spans AS (SELECT k, s, min(i) AS a, max(i) + {length} AS e FROM b GROUP BY k, s),
   gaps AS (SELECT k, s, a, e, coalesce(lag(e) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM spans),
   t AS (SELECT k, count(*) AS n, sum(e - a)::BIGINT AS removed, max(e) AS last FROM spans GROUP BY k),
-  j AS (SELECT g.k, string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gaps g JOIN d ON d.k = g.k GROUP BY g.k)
+  j AS (SELECT g.k, string_agg({piece}, '' ORDER BY a) AS kept, string_agg({WHOLE.format(piece)}, '' ORDER BY a) AS said FROM gaps g JOIN d ON d.k = g.k GROUP BY g.k)
   SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
-    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t ON t.k = d.k LEFT JOIN j ON j.k = d.k"""
+    sha256(unhex(coalesce(kept, '') || {tail})) AS kept_sha256, length(h) // 2 - coalesce(removed, 0) AS n_kept,
+    decode(unhex(coalesce(said, '') || {WHOLE.format(tail)})) AS text FROM d LEFT JOIN t ON t.k = d.k LEFT JOIN j ON j.k = d.k"""

@@ -110,6 +110,8 @@ def op10_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"),
+        F.col("kept_text").alias("text"),
     )
 
 
@@ -131,5 +133,5 @@ ORACLE = {
     "op4_segment_topk": oracles.TOP_K,
     "op6_chat_format": oracles.CHAT,
     "op8_jump_sharding": oracles.jump_sharding(SHARDS),
-    "op10_rindex_dedup": oracles.REPEATS.format(REPEAT_BYTES),
+    "op10_rindex_dedup": oracles.repeats(REPEAT_BYTES),
 }

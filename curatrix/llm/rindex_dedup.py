@@ -410,9 +410,9 @@ def byte_ranges(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def kept_bytes(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
+def kept_parts(data: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
     edges = [0, *(x for r in ranges for x in r), len(data)]
-    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -429,11 +429,13 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False, anchor: int = ANCHOR) -> DataFrame:
-    """``keep`` columns, kept (binary: what is left), removed (array of start and end) of every row.
+    """``keep`` columns, kept (binary: what is left), kept_text (the same as text, without characters that lost some of
+    their bytes), removed (array of start and end) of every row.
 
     With ``whole``, no character is split: kept is then valid UTF-8.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("kept", "removed")]
+    outputs = ["kept", "kept_text", "removed"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
     spans = repeated_spans(docs, length, key, text, anchor)
     rows = docs.select(*dict.fromkeys([*keep, text])).withColumnsRenamed({c: f"_in_{c}" for c in ("t1", "t2", "spans") if c in docs.columns})
     renamed = [f"_in_{c}" if c in ("t1", "t2", "spans") else c for c in keep]
@@ -441,18 +443,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     ids = identity(F.col(said))
     joined = rows.withColumns({"t1": ids[0], "t2": ids[1]}).join(spans, ["t1", "t2"], "left").select(*rows.columns, "spans")
     fields = ", ".join(f"`{k}` {rows.schema[r].dataType.simpleString()}" for k, r in zip(keep, renamed, strict=True))
-    schema = (fields + ", " if fields else "") + "kept binary, removed array<struct<start:bigint,end:bigint>>"
+    schema = (fields + ", " if fields else "") + "kept binary, kept_text string, removed array<struct<start:bigint,end:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in row_chunks(batches, said, 2_000_000):
-            left, gone = [], []
+            left, said_left, gone = [], [], []
             for data, found in zip(_bytes_of(b.column(said)), b.column("spans").to_pylist(), strict=True):
                 ranges = byte_ranges(found, length)
                 ranges = whole_characters(data, ranges) if whole else ranges
-                left.append(kept_bytes(data, ranges) if ranges else data)
+                parts = kept_parts(data, ranges)
+                left.append(b"".join(parts) if ranges else data)
+                said_left.append("".join(p.decode("utf-8", "ignore") for p in parts))
                 gone.append([{"start": a, "end": e} for a, e in ranges])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in renamed), pa.array(left, pa.binary()), pa.array(gone, kind)], [*keep, "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in renamed), pa.array(left, pa.binary()), pa.array(said_left, pa.string()), pa.array(gone, kind)], [*keep, *outputs])
 
     return joined.mapInArrow(trimmed(run), schema)

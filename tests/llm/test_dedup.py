@@ -183,7 +183,7 @@ def removed(spark, texts, length, **how):
     out = []
     for i, t in enumerate((t or "").encode() for t in texts):
         ranges = rindex_dedup.byte_ranges(spans.get(i), length)
-        left = rindex_dedup.kept_bytes(t, ranges)
+        left = b"".join(rindex_dedup.kept_parts(t, ranges))
         out.append((len(t), len(t) - len(left), len(ranges), left))
     return out
 
@@ -196,7 +196,7 @@ def test_nul_is_a_byte(spark, hot):
     x, y, z = some(300), some(300), some(500)
     texts = [x + "\0" + y, *(some(200) + x for _ in range(8)), *(y + some(200) for _ in range(8))]
     want = brute_repeats([t.encode() for t in texts], 400)
-    assert removed(spark, texts, 400, hot=hot) == want and not any(w[1] for w in want)
+    assert not any(w[1] for w in want) and removed(spark, texts, 400, hot=hot) == want
     texts += ["\0" * 900, some(9) + z[:250] + "\0" + z[250:] + "\0", "\0" + z[:250] + "\0" + z[250:], z, "\0" + x + "\0" + y]
     want = brute_repeats([t.encode() for t in texts], 400)
     assert removed(spark, texts, 400, hot=hot) == want and sum(w[1] > 0 for w in want) >= 4
@@ -237,6 +237,7 @@ def test_remove_repeats(spark):
     data = [(t or "").encode() for t in texts]
     got = {r["doc_id"]: r for r in rindex_dedup.remove_repeats(df, 90, anchor=30).collect()}
     assert [bytes(got[i]["kept"]) for i in range(len(texts))] == [w[3] for w in brute_repeats(data, 90)] and got[3]["t1"] == 5
+    assert all(got[i]["kept_text"] == bytes(got[i]["kept"]).decode() for i in range(len(texts)) if texts[i] is None or texts[i].isascii())
     whole = rindex_dedup.remove_repeats(df, 90, keep=["doc_id"], whole=True, anchor=30).collect()
     assert len([bytes(r["kept"]).decode() for r in whole]) == len(texts)
     assert rindex_dedup.remove_repeats(df.limit(0), 90).count() == 0
@@ -265,6 +266,7 @@ def test_op10(spark, tmp_path):
     for r in op10_rindex_dedup(spark, str(tmp_path)).collect():
         n, removed, runs, left = want[r["doc_id"]]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, removed, runs, hashlib.sha256(left).hexdigest())
+        assert r["n_kept"] == len(left) and len(r["text"].encode()) <= len(left) < len(r["text"].encode()) + 6 * (runs + 1)
 
 
 SAME = [("Straße  x", "STRASSE X "), ("ﬁ １２", "fi 12"), ("é", "é"), ("a b\n", "A B"), (None, " ")]
