@@ -11,20 +11,22 @@ have both kinds of keys.
 
 Documents with one set are one class, found by a wide digest, and only classes are compared. In each band bucket the
 class that meets most others is the pivot, and every member is compared with it; links found so far join components.
-Whatever a bucket still holds in different components is compared in blocks of bounded size, which send on only links
-that join components. Each comparison first corrects the share of equal registers for chance collisions and drops pairs
+What a bucket then still holds outside its largest component is compared with the whole bucket, in blocks of bounded
+size, which send on only links that join components. In a bucket of several blocks, sketches alone meet first, and only
+texts that have a likely partner go on. Each comparison first corrects the share of equal registers for chance collisions and drops pairs
 that are far below the threshold by many standard deviations; all others are confirmed on their full shingle sets. No
 bucket is capped.
 
 Defined cases: null texts and texts without words have empty sets and link with nothing; a document with fewer words
 than ``width`` has its whole sequence as one shingle; rows with a null id get the component of an equal set where there
 is one, and else none; rows that share an id are one document and linked; an empty table gives no rows; ties go to the
-smaller id; extra columns do not matter.
+smaller id; texts of any length are hashed whole, one that is longer than a chunk by itself; extra columns, whatever
+their names, do not matter. Shingles are compared by 64-bit hashes of every byte's value and place in its word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -55,9 +57,6 @@ BROADCAST_IDS = 500_000
 CHUNK_BYTES = 500_000
 
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
-_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,30 +66,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the hash base and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        tables = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, dtype=U)
-            t[0] = U(1)
-            tables.append(np.multiply.accumulate(t))
-        _powers[:] = tables
-    return _powers
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, A-Z in lower case, and where each text's words begin (one more than texts)."""
+    """Hashes of all words of the texts, A-Z in lower case, and where each text's words begin (one more than texts).
+
+    A word's hash is the sum of its letters' hashes, each mixed with its place in the word.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
-    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(U) + U(1)
-    power, inverse = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(low * power[: len(data)], out=total[1:])
     before = np.concatenate([[True], gap[:-1]])
     start, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+    low = np.where((data >= 65) & (data <= 90), data + 32, data)
+    place = np.arange(len(data), dtype=np.int64)
+    place -= np.maximum.accumulate(np.where(before, place, 0))
+    total = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum(mix((place.astype(U) << U(8)) + low + U(0x9E3779B97F4A7C15)), out=total[1:])
+    h = mix(total[end] - total[start] + (end - start).astype(U))
     edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return h, np.searchsorted(start, edges)
 
@@ -341,39 +331,95 @@ def group_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, sketch: np.n
     return out
 
 
-def bucket_links(rows: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Confirmed links (a, b) between different components inside buckets: rows (key, id, component, n, text).
+def _dealt(rows: DataFrame, sizes: DataFrame, payload: str) -> DataFrame:
+    """Members (key, id, component, payload) of buckets in pairs of blocks: (key, _i, _j, _own, id, component, payload).
+
+    Blocks of the largest component come after the others and never meet each other.
+    """
+    main = F.col("component").eqNullSafe(F.col("_main"))
+    own = F.when(main, F.col("_others") + F.pmod(F.xxhash64("id"), F.greatest("_mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("_others")))
+    meets = F.when(main, F.col("_others")).otherwise(F.col("_others") + F.col("_mains"))
+    dealt = rows.join(sizes, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component", payload)
+    return dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "_own", "id")
+
+
+def _in_groups(batches: Iterator[pa.RecordBatch], payload: str, read: Callable, found: Callable) -> Iterator[pa.RecordBatch]:
+    """``found`` of the members and the payloads (by ``read`` from a column) of each pair of blocks."""
+    release()
+    now, group, held = None, [], []
+    for b in row_chunks(batches, payload, CHUNK_BYTES):
+        places = zip(*(b.column(c).to_pylist() for c in ("key", "_i", "_j")), strict=True)
+        members = zip(*(b.column(c).to_pylist() for c in ("id", "component", "_own")), strict=True)
+        for p, g, s in zip(places, members, read(b.column(payload)), strict=True):
+            if p != now:
+                if len(group) > 1:
+                    yield found(group, held)
+                now, group, held = p, [], []
+            group.append(g)
+            held.append(s)
+    if len(group) > 1:
+        yield found(group, held)
+
+
+def likely_members(rows: DataFrame, sizes: DataFrame, threshold: Fraction) -> DataFrame:
+    """(key, id) of members (key, id, component, n, sketch) whose sketch has a likely partner in another component."""
+    known = rows.withColumn("known", F.concat(F.lpad(F.hex("n"), 16, "0").cast("binary"), F.col("sketch")))
+
+    def found(group: list[tuple], held: list[bytes]) -> pa.RecordBatch:
+        ids, comp, own = (np.array(x, dtype=np.int64) for x in zip(*group, strict=True))
+        n = np.array([int(x[:16], 16) for x in held])
+        sketch = np.frombuffer(b"".join(x[16:] for x in held), np.uint16).reshape(-1, REGISTERS)
+        split, likely = own.min() != own.max(), np.zeros(len(ids), dtype=bool)
+        for i in np.flatnonzero(own == own.min()):
+            j = np.flatnonzero((comp != comp[i]) & ((own != own[i]) | (not split)) & may_link(n, n[i], threshold))
+            if len(j):
+                e = estimate((sketch[j] == sketch[i]).mean(axis=1), n[j], np.full(len(j), n[i]))
+                j = j[e >= least_estimate(n[j], n[i], float(threshold))]
+                likely[j] = True
+                likely[i] |= len(j) > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[likely])], ["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _in_groups(batches, "known", lambda c: c.to_pylist(), found)
+
+    return _dealt(known, sizes, "known").mapInArrow(trimmed(run), "id long").distinct()
 
-    A bucket of more than one block's members is cut into blocks, and each pair of blocks is compared in a place of its
-    own. Sets are compared where they are; only the joining links leave a task.
+
+def bucket_links(rows: DataFrame, known: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """Confirmed links (a, b) between different components inside buckets: rows (key, id, component), known (id, n, sketch, text).
+
+    A bucket of more than one block's members is cut into blocks, and each pair of blocks that holds anything outside the
+    bucket's largest component is compared in a place of its own. Sets are compared where they are; only the joining
+    links leave a task.
     """
-    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
-    sizes = rows.groupBy("key").agg(F.ceil(size).alias("_blocks"))
-    dealt = rows.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component", "text")
-    dealt = dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "_own", "id")
+    size_of = known.groupBy("id").agg(F.max("n").alias("n"))  # rows that share an id have a set each
+    rows = scratch.keep(rows.join(size_of, "id").select("key", "id", "component", "n"), "mixed-members")
+    blocks = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES))
+    each = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = each.groupBy("key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "component")).alias("m"))
+    one = blocks(F.col("c"), F.col("s")) <= 1
+    sizes = sizes.select(
+        "key",
+        F.when(~one, F.col("m.component")).alias("_main"),
+        F.when(one, 1).otherwise(blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"))).cast("long").alias("_others"),
+        F.when(one, 0).otherwise(blocks(F.col("m.c"), F.col("m.s"))).cast("long").alias("_mains"),
+    )
+    sizes = scratch.keep(sizes, "blocks")
+    large = sizes.filter("_mains > 0")
+    if not large.isEmpty():
+        of = rows.join(large.select("key"), "key", "left_semi")
+        likely = scratch.keep(likely_members(of.drop("n").join(known.select("id", "n", "sketch"), "id"), large, threshold), "likely")
+        rows = rows.join(large.select("key"), "key", "left_anti").unionByName(of.join(likely, "id", "left_semi").select(*rows.columns))
+    dealt = _dealt(rows.join(known.select("id", "text"), "id"), sizes, "text")
 
     def found(group: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
         ids, comp, own = (np.array(x, dtype=np.int64) for x in zip(*group, strict=True))
-        links = group_links(ids, comp, own, sketches(sets), sets, threshold) if len(group) > 1 else []
+        links = group_links(ids, comp, own, sketches(sets), sets, threshold)
         return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        now, group, sets = None, [], []
-        for b in row_chunks(batches, "text", CHUNK_BYTES):
-            places = zip(*(b.column(c).to_pylist() for c in ("key", "_i", "_j")), strict=True)
-            members = zip(*(b.column(c).to_pylist() for c in ("id", "component", "_own")), strict=True)
-            for p, g, s in zip(places, members, shingle_sets(_encoded(b.column("text")), width), strict=True):
-                if p != now:
-                    if group:
-                        yield found(group, sets)
-                    now, group, sets = p, [], []
-                group.append(g)
-                sets.append(s)
-        if group:
-            yield found(group, sets)
+        yield from _in_groups(batches, "text", lambda c: shingle_sets(_encoded(c), width), found)
 
     return dealt.mapInArrow(trimmed(run), "a long, b long").distinct()
 
@@ -410,10 +456,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     placed = members.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("key")
     mixed = scratch.keep(mixed, "mixed")
-    left = placed.join(mixed, "key", "left_semi").join(known.select("id", "n", "text"), "id")
-    more = scratch.keep(bucket_links(left.select("key", "id", "component", "n", "text"), width, threshold), "more")
-    if not more.isEmpty():
-        parts = scratch.keep(components(links.unionByName(more), scratch), "components")
+    if not mixed.isEmpty():
+        left = placed.join(mixed, "key", "left_semi").select("key", "id", "component")
+        more = scratch.keep(bucket_links(left, known, width, threshold, scratch), "more")
+        if not more.isEmpty():
+            parts = scratch.keep(components(links.unionByName(more), scratch), "components")
     return _result(sk, classes, parts, key)
 
 

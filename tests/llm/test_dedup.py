@@ -105,6 +105,16 @@ def test_near_duplicates_of_short_texts(spark, width):
     assert got == {i: (len(sets[i]), c) for i, c in union(links, sets).items()} and len(links) >= 600
 
 
+def test_words_are_told_apart(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2^64 are equal for every odd base; very long texts."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in signs) for flip in (0, 1))
+    rows = [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, " ".join([a] * 600)), (6, " ".join([a] * 700)), (7, "z" * 2_000_000), (8, "z" * 2_000_001)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in hyperminhash.near_duplicates(df, 2).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (1, 5), 7: (1, 7), 8: (1, 8)} == brute_components(rows, 2, Fraction(4, 5))
+
+
 def test_near_duplicate_edges(spark):
     schema = "doc_id bigint, text string"
     assert hyperminhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
