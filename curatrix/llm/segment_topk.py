@@ -3,20 +3,25 @@
 A vector is cut into 1, 4, 16, ... segments; each has its mean and its deviation (the norm of what remains without the
 mean). With these, q.x = sum over segments of (length * mean_q * mean_x + residual_q . residual_x), and the last term
 is at most deviation_q * deviation_x, which is the lower bound of the distance in terms of the product. Candidates are
-bounded coarse to fine; whoever can still reach a query's k-th best score goes on to the next level, and the survivors
+bounded coarse to fine; only who can still reach a query's k-th best score goes on to the next level, and the survivors
 get their exact integer product.
 
-Vectors travel in blocks of bounded size: each block of queries meets each block of candidates once, in a task of its
-own, and sends on its best k at most per query.
+Vectors travel in blocks of bounded size. A block of queries meets the candidate blocks of a group one after the other;
+its best k so far, with their scores as the bar for the next block, stay with it, and only the group's best k a query
+leave the task.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null
-id; only vectors of one length are compared; the rows with a query's id are its own and no candidates for it; other
-repeated rows each count; ties go to the smaller id; scores beyond 64 bits are held at its limits.
+id; an empty table gives no rows; only vectors of one length are compared; the rows with a query's id are its own and no
+candidates for it; other repeated rows each count; ties go to the smaller id; components of any size are exact integers,
+and scores beyond 64 bits are held at its limits; vectors of any length are compared whole; extra columns, whatever
+their names, do not matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,11 @@ from pyspark.sql.window import Window
 
 CANDIDATES_A_BLOCK = 4096
 QUERIES_A_BLOCK = 1024
+#: Candidate blocks that a block of queries meets in one run.
+BLOCKS_A_GROUP = 16
 STRIP = 1024
+#: Share of pairs of a strip from which on their products are made as one matrix.
+DENSE = 0.05
 BLOCK = "dim int, block long, ids binary, data binary"
 
 
@@ -36,11 +45,6 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector.cast("array<double>"), finite) & (F.size(vector) > 0), F.lit(False))
 
 
-def scaled(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a double, so that any size can be held."""
-    return F.transform(vector.cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
-
-
 def levels(dim: int) -> list[int]:
     """Numbers of segments from coarse to fine, under the dimension."""
     out = [1]
@@ -59,53 +63,89 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean * root, spread])
 
 
-def block_topk(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, candidate ids and scores of each query's best k in one block, ties to the smaller id."""
-    dim = q.shape[1]
-    top = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * dim
-    exact_float = top < 2**53
-    order = np.lexsort((x_ids,))
-    x_ids, x = x_ids[order], x[order]
-    qi, xi = (None, None) if exact_float else ([[int(v) for v in r] for r in q], [[int(v) for v in r] for r in x])
-    q_stats = [(s, statistics(q, s)) for s in levels(dim)]
-    best = np.full((len(q), 0), -np.inf)
-    best_id = np.zeros((len(q), 0), dtype=np.int64)
-    for lo in range(0, len(x), STRIP):
-        part, ids = x[lo : lo + STRIP], x_ids[lo : lo + STRIP]
-        alive = q_ids[:, None] != ids[None, :]
-        if best.shape[1] == k:
-            slack = 1e-9 * top + 1e-6
-            for s, stats in q_stats:
-                bound = stats @ statistics(part, s).T
-                alive &= bound + slack >= best[:, -1:]
-        rows = np.flatnonzero(alive.any(axis=1))
-        cols = np.flatnonzero(alive.any(axis=0))
+def _products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """a @ b.T where ``alive``, -inf elsewhere; only rows, columns or pairs that are alive are looked at."""
+    out = np.full(alive.shape, -np.inf)
+    rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+    part = alive[np.ix_(rows, cols)]
+    if part.mean() > DENSE:
+        out[np.ix_(rows, cols)] = np.where(part, a[rows] @ b[cols].T, -np.inf)
+    elif len(rows):
+        i, j = np.nonzero(part)
+        out[rows[i], cols[j]] = np.einsum("ij,ij->i", a[rows[i]], b[cols[j]])
+    return out
+
+
+class Best:
+    """The best k of one block of queries among the candidates that it has met. Ties go to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, scale: int) -> None:
+        self.ids, self.raw, self.k, self.scale = ids, vectors, k, scale
+        self.vectors, self.top = self._whole(vectors)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.stats = [(s, statistics(self.vectors, s)) for s in levels(vectors.shape[1])]
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found = np.zeros((len(ids), k), dtype=np.int64)
+
+    def _whole(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """floor(scale * x), exact as long as it is under 2^53, and the largest of them."""
+        with np.errstate(over="ignore"):
+            y = np.floor(x * float(self.scale))
+        return y, max(np.abs(y).max(initial=0), 1)
+
+    def _integers(self, x: np.ndarray) -> list[list[int]]:
+        whole = lambda v: math.floor(v * self.scale) if abs(v) < 2**40 else math.floor(Fraction(v) * self.scale)
+        return [[whole(v) for v in row] for row in x.tolist()]
+
+    def _merge(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Takes scores (rows by candidates) into the best; ids is one row of ids."""
+        if self.score.dtype != score.dtype:
+            score, self.score = score.astype(object), self.score.astype(object)
+        both = np.hstack([self.score[rows], score])
+        name = np.hstack([self.found[rows], np.broadcast_to(ids, score.shape)])
+        order = np.argsort(name, axis=1, kind="stable")
+        both, name = np.take_along_axis(both, order, axis=1), np.take_along_axis(name, order, axis=1)
+        pick = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
+        self.score[rows], self.found[rows] = np.take_along_axis(both, pick, axis=1), np.take_along_axis(name, pick, axis=1)
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """One block of candidates."""
+        own, top = self._whole(vectors)
+        top *= self.top * vectors.shape[1]
+        if top < 2**53 and self.score.dtype != object:
+            for lo in range(0, len(ids), STRIP):
+                self._strip(ids[lo : lo + STRIP], own[lo : lo + STRIP], top)
+            return
+        limit, mine = 2**63 - 1, self._integers(self.raw)
+        for i, x in zip(ids, self._integers(vectors), strict=True):
+            rows = np.flatnonzero(self.ids != i)
+            score = [max(-limit - 1, min(limit, sum(u * v for u, v in zip(mine[r], x, strict=True)))) for r in rows]
+            self._merge(rows, np.array(score, dtype=object).reshape(-1, 1), np.array([i]))
+
+    def _strip(self, ids: np.ndarray, part: np.ndarray, top: float) -> None:
+        alive = self.ids[:, None] != ids[None, :]
+        bar = self.score[:, -1:]
+        for s, stats in self.stats if np.isfinite(bar).any() else ():
+            alive &= _products(stats, statistics(part, s), alive) + (1e-9 * top + 1e-6) >= bar
+            if not alive.any():
+                return
+        score = _products(self.vectors, part, alive)
+        score[score < bar] = -np.inf
+        rows = np.flatnonzero((score > -np.inf).any(axis=1))
         if not len(rows):
-            continue
-        if exact_float:
-            score = np.full((len(rows), len(cols)), -np.inf)
-            keep = alive[np.ix_(rows, cols)]
-            if keep.mean() > 0.05:
-                score = np.where(keep, q[rows] @ part[cols].T, -np.inf)
-            else:
-                a, b = np.nonzero(keep)
-                score[a, b] = np.einsum("ij,ij->i", q[rows[a]], part[cols[b]])
+            return
+        if len(ids) > 4 * self.k:  # only the k best of the strip, and what ties with the last of them
+            least = -np.partition(-score[rows], self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            live = (score[rows] >= least) & (score[rows] > -np.inf)
+            cols = np.flatnonzero(live.any(axis=0))
+            self._merge(rows, np.where(live, score[rows], -np.inf)[:, cols], ids[cols])
         else:
-            limit = 2**63 - 1
-            score = np.array([[max(-limit - 1, min(limit, sum(u * v for u, v in zip(qi[r], xi[lo + c], strict=True)))) if alive[r, c] else -np.inf for c in cols] for r in rows], dtype=object)
-        both = np.hstack([best[rows].astype(object) if score.dtype == object else best[rows], score])
-        both_id = np.hstack([best_id[rows], np.broadcast_to(ids[cols], (len(rows), len(cols)))])
-        # Candidates come in the order of their ids, so a stable sort gives ties to the smaller id.
-        pick = np.argsort(-both, axis=1, kind="stable")[:, :k]
-        width = max(best.shape[1], pick.shape[1])
-        if best.shape[1] < width or score.dtype == object and best.dtype != object:
-            grown = np.full((len(q), width), -np.inf, dtype=both.dtype)
-            grown[:, : best.shape[1]] = best
-            best, best_id = grown, np.hstack([best_id, np.zeros((len(q), width - best_id.shape[1]), dtype=np.int64)])
-        best[rows, : pick.shape[1]] = np.take_along_axis(both, pick, axis=1)
-        best_id[rows, : pick.shape[1]] = np.take_along_axis(both_id, pick, axis=1)
-    at, place = np.nonzero(best != -np.inf)
-    return at, best_id[at, place], np.array([int(v) for v in best[at, place]], dtype=np.int64)
+            self._merge(rows, score[rows], ids)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, candidate ids and scores."""
+        at, place = np.nonzero(self.score != -np.inf)
+        return self.ids[at], self.found[at, place], np.array([int(v) for v in self.score[at, place]], dtype=np.int64)
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -126,23 +166,33 @@ def topk(candidates: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
     """query_id, rank, id, score of each query's best k by the integer product of floor(scale * x)."""
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), scaled(F.col(vector), scale).alias("vector"))
+        return df.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
     left, right = ready(queries), ready(candidates)
-    n = max(1, -(-right.count() // CANDIDATES_A_BLOCK))
-    x = _blocks(right, CANDIDATES_A_BLOCK)
-    # A stated set of queries against all rows: a query block is sent to every candidate block.
-    q = _blocks(left, QUERIES_A_BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-    q = q.withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+    groups = max(1, -(-right.count() // (CANDIDATES_A_BLOCK * BLOCKS_A_GROUP)))
+    x = _blocks(right, CANDIDATES_A_BLOCK).withColumn("group", F.pmod("block", F.lit(groups)))
+    # A stated set of queries against all rows: a query block is sent to every group of candidate blocks.
+    q = _blocks(left, QUERIES_A_BLOCK).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "data": "q_data"})
+    q = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_batch = lambda best: pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows()], ["query_id", id, "score"])
+        now, best = None, None
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(c)[r].as_py() for c in b.schema.names}
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                at, found, score = block_topk(q_ids, np.frombuffer(row["q_data"], "<f8").reshape(len(q_ids), -1), ids, np.frombuffer(row["data"], "<f8").reshape(len(ids), -1), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(found), pa.array(score)], ["query_id", id, "score"])
-
-    best = x.join(q, ["dim", "block"]).mapInArrow(run, f"query_id long, {id} long, score long")
+                at = {c: b.column(c)[r].as_py() for c in b.schema.names if c != "q_data"}
+                # Rows of a query block come one after the other; where they do not, it only sends on more.
+                if (mark := (at["dim"], at["group"], at["q_block"])) != now:
+                    if best:
+                        yield as_batch(best)
+                    q_ids = np.frombuffer(at["q_ids"], "<i8")
+                    now, best = mark, Best(q_ids, np.frombuffer(b.column("q_data")[r].as_py(), "<f8").reshape(len(q_ids), -1), k, scale)
+                ids = np.frombuffer(at["ids"], "<i8")
+                best.meet(ids, np.frombuffer(at["data"], "<f8").reshape(len(ids), -1))
+        if best:
+            yield as_batch(best)
+
+    met = q.join(x.hint("merge"), ["dim", "group"])
+    found = met.mapInArrow(run, f"query_id long, {id} long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), id, "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), id, "score")

@@ -59,17 +59,18 @@ def test_op8(spark, tmp_path):
     assert jumphash.assign_shards(spark.createDataFrame([], "doc_id bigint, shard string"), "doc_id", 4).count() == 0
 
 
-def brute_topk(vectors, k, scale=64):
+def brute_topk(vectors, k, scale=64, every=20):
     ok = {i: [math.floor(scale * float(x)) for x in v] for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     out = {}
-    for q in [i for i in ok if i % 20 == 0]:
+    for q in [i for i in ok if i % every == 0]:
         scored = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))
         out[q] = [(r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return out
 
 
 def topk_rows(spark, vectors, k):
-    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id bigint, embedding array<float>, score string").repartition(4)
+    clashing = "rank string, score string, query_id string, dim string, block string, ids string, data string, group string, vector string, id string"
+    df = spark.createDataFrame([(i, v, *["x"] * 10) for i, v in vectors], f"vec_id bigint, embedding array<float>, {clashing}").repartition(4)
     got = {}
     for r in segment_topk.topk(df, df.filter("vec_id % 20 = 0"), k).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -97,6 +98,39 @@ def test_topk_few_and_large(spark):
     huge = [(i, [1e6 * (i + 1), -3e5, 0.5]) for i in range(45)]
     assert topk_rows(spark, huge, 3) == brute_topk(huge, 3)
     assert topk_rows(spark, [], 3) == {}
+    # Components beyond 64 bits stay apart, and cancel out exactly.
+    far = [(0, [1 / 64, -1 / 64]), *((i, [float(2**a), float(2**b + 2**c)]) for i, (a, b, c) in enumerate([(62, 62, 40), (64, 64, 42), (70, 70, 48), (70, 70, 50), (9, 5, 3)], 1))]
+    assert topk_rows(spark, far, 20) == brute_topk(far, 20)
+
+
+def test_topk_of_repeated_rows_and_long_vectors(spark):
+    r = np.random.default_rng(4)
+    long = [(i, [float(x) for x in r.normal(size=3000)]) for i in range(25)]
+    assert topk_rows(spark, long, 5) == brute_topk(long, 5)
+    twice = [(i % 30, [float(x) for x in (r.integers(-3, 3, 5) if i - 20 else np.ones(5))]) for i in range(30)] + [(7, [9.0] * 5), (7, [9.0] * 5)]
+    got = topk_rows(spark, twice, 3)
+    assert [x[1] for x in got[20]][:2] == [7, 7]  # each of the repeated rows counts
+
+
+def test_topk_blocks_pass_on_their_bar(monkeypatch):
+    """Finer levels and products are made for what is left alone, and blocks in turn give the same as one."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 64)) * 3
+    x = np.vstack([c + 0.05 * r.normal(size=(64, 64)) for c in centres])
+    ids, q = np.arange(len(x)), x[::64]
+    looked = []
+    real = segment_topk._products
+    monkeypatch.setattr(segment_topk, "_products", lambda a, b, alive: looked.append((a.shape[1], int(alive.sum()))) or real(a, b, alive))
+    monkeypatch.setattr(segment_topk, "STRIP", 64)
+    best = segment_topk.Best(ids[::64], q, 5, 64)
+    for lo in range(0, len(x), 256):
+        best.meet(ids[lo : lo + 256], x[lo : lo + 256])
+    got = {}
+    for a, b, c in zip(*(v.tolist() for v in best.rows()), strict=True):
+        got.setdefault(a, []).append((len(got.get(a, [])) + 1, b, c))
+    assert got == brute_topk([(int(i), row) for i, row in zip(ids, x.tolist(), strict=True)], 5, every=64)
+    by = {w: sum(n for d, n in looked if d == w) for w in {d for d, _ in looked}}
+    assert by[64] < by[2]  # products for fewer pairs than coarse bounds
 
 
 def test_statistics_bound_the_product():
