@@ -1,12 +1,18 @@
 """Harmonic packing of token sequences.
 
-Piece lengths fall into reciprocal-capacity classes capacity/1, capacity/2, capacity/4, ...: a document is cut so that
-every piece has exactly a class's length, and each bin of class capacity/j takes j pieces, a fixed count. A worker
-fills the bins of its own (class, part) alone; no bin is shared. The last, partly filled bin of each (class, part) is
-dealt into sequences of power-of-two lengths, which need no padding. So no sequence is padded at all.
-
-Defined cases: a null or empty text is its end token alone; an empty table gives no rows; repeated rows are packed
-each on its own; ties in the order of a class are broken by id, start and checksum.
+A document's whole sequences are cut off first. What is left, its length n under the capacity C, falls into the
+reciprocal-capacity class k = C div n: it is longer than C / (k + 1) and at most C / k. Each bin of class k takes k
+documents, a fixed count, whole. A bin that has its count, but not C tokens yet, waits: a later document that fits what
+it has left goes in whole (the tightest such bin takes it), and where WAITING bins wait, a document that fits none is
+cut to fill the one with most room. When the input ends, what is in unfinished bins fills the waiting ones; the rest is
+laid end to end in full sequences, and the last remainder in sequences of power-of-two lengths. So no sequence is
+padded.
+
+Every task is a worker that fills bins of its own; nothing is shuffled. A sequence's id is the task's number and a count.
+
+Defined cases: a null or empty text is its end token alone; an empty table gives no rows; repeated rows and rows with a
+null or the same id are packed each on its own, in the order in which they are read; a very long text gives whole
+sequences and one rest; only the key and the text are read, whatever the names of other columns.
 """
 
 from __future__ import annotations
@@ -15,32 +21,136 @@ import hashlib
 import json
 import os
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from curatrix.llm.common import bound_batches, resident, row_chunks, trimmed
 from curatrix.llm.trie_bpe import CACHE_WORDS, WordBpe
 
-#: Documents that share the bins of one part; parts grow with the table, a part's work does not.
-ROWS_A_PART = 50_000
-
-
-def cut(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of ``n`` tokens: whole sequences, then one piece for each binary digit of the rest."""
-    pieces = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity // 2
-    while rest:
-        if rest >= size:
-            pieces.append(size)
-            rest -= size
-        size //= 2
-    return pieces
+#: Bins of a task that wait for what fits their rest; with more, documents are cut.
+WAITING = 256
+
+
+class Piece(NamedTuple):
+    """Some of a document's ids (little-endian unsigned 32-bit)."""
+
+    key: Any
+    doc_tokens: int
+    start: int
+    ids: bytes
+
+    @property
+    def length(self) -> int:
+        return len(self.ids) // 4
+
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        """The first n ids and the rest."""
+        return self._replace(ids=self.ids[: 4 * n]), self._replace(start=self.start + n, ids=self.ids[4 * n :])
+
+
+class Packer:
+    """One worker's bins. ``take`` gives the pieces that were placed since: (piece, sequence, offset)."""
+
+    def __init__(self, capacity: int, first: int = 0, waiting: int = WAITING) -> None:
+        if capacity < 1:
+            raise ValueError("the capacity must be at least 1")
+        self.capacity, self.next, self.most = capacity, first, waiting
+        self.open: dict[int, list[Piece]] = {}  # of each class, the bin that is being filled
+        self.waiting: list[tuple[int, int]] = []  # room and number of bins with their count of documents
+        self.bins: dict[int, list[Piece]] = {}
+        self.closed = 0
+        self.placed: list[tuple[Piece, int, int]] = []
+
+    def take(self) -> list[tuple[Piece, int, int]]:
+        out, self.placed = self.placed, []
+        return out
+
+    def add(self, key: Any, ids: bytes) -> None:
+        """One document."""
+        n, at = len(ids) // 4, 0
+        while n - at >= self.capacity:
+            self._place([Piece(key, n, at, ids[4 * at : 4 * (at + self.capacity)])])
+            at += self.capacity
+        if at < n:
+            self._rest(Piece(key, n, at, ids[4 * at :]))
+
+    def _place(self, pieces: list[Piece]) -> None:
+        at = 0
+        for p in pieces:
+            self.placed.append((p, self.next, at))
+            at += p.length
+        self.next += 1
+
+    def _wait(self, number: int, room: int) -> None:
+        if room:
+            insort(self.waiting, (room, number))
+        else:
+            self._place(self.bins.pop(number))
+
+    def _fill(self, at: int, piece: Piece) -> None:
+        room, number = self.waiting.pop(at)
+        self.bins[number].append(piece)
+        self._wait(number, room - piece.length)
+
+    def _rest(self, piece: Piece) -> None:
+        """A piece of less than the capacity."""
+        at = bisect_left(self.waiting, (piece.length, -1))
+        if at < len(self.waiting):
+            self._fill(at, piece)
+            return
+        if len(self.waiting) >= self.most:
+            some, piece = piece.cut(self.waiting[-1][0])
+            self._fill(len(self.waiting) - 1, some)
+        kind = self.capacity // piece.length
+        held = self.open.setdefault(kind, [])
+        held.append(piece)
+        if len(held) == kind:
+            self.closed += 1
+            self.bins[self.closed] = self.open.pop(kind)
+            self._wait(self.closed, self.capacity - sum(p.length for p in held))
+
+    def finish(self) -> None:
+        """Places what is left."""
+        left = [p for kind in sorted(self.open) for p in self.open[kind]]
+        self.open = {}
+        rest = []
+        for p in left:
+            at = bisect_left(self.waiting, (p.length, -1))
+            if at < len(self.waiting):
+                self._fill(at, p)
+            else:
+                rest.append(p)
+        rest.reverse()
+        while rest and self.waiting:
+            some, more = rest[-1].cut(min(rest[-1].length, self.waiting[-1][0]))
+            rest.pop()
+            if more.length:
+                rest.append(more)
+            self._fill(len(self.waiting) - 1, some)
+        rest.reverse()
+        rest += [p for _, number in self.waiting for p in self.bins.pop(number)]
+        self.waiting = []
+        total = sum(p.length for p in rest)
+        sizes = [self.capacity] * (total // self.capacity)
+        sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if total % self.capacity >> b & 1]
+        rest.reverse()
+        for size in sizes:
+            pieces: list[Piece] = []
+            while size:
+                some, more = rest[-1].cut(min(rest[-1].length, size))
+                rest.pop()
+                if more.length:
+                    rest.append(more)
+                pieces.append(some)
+                size -= some.length
+            self._place(pieces)
 
 
 class LibraryWords(WordBpe):
@@ -68,68 +178,45 @@ def load(content: bytes, cache_words: int = CACHE_WORDS) -> LibraryWords:
     return resident(("library", hashlib.sha256(content).digest(), cache_words), lambda: LibraryWords(content, cache_words))
 
 
-def cut_documents(docs: DataFrame, content: bytes, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Pieces (key, start, length, ids_crc32, doc_tokens[, ids]) of each document's ids and its end id."""
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("the capacity must be a power of two")
+#: Sequences that one task can number.
+TASK_BITS = 40
+
+
+def harmonic_pack(docs: DataFrame, content: bytes, end_id: int, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Cuts and packs all documents; one row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
+
+    ``cache_words`` trades a worker's memory for time.
+    """
+    Packer(capacity)
     shared = docs.sparkSession.sparkContext.broadcast(content)
-    long = T.LongType()
-    fields = [docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens"))]
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    fields = [docs.schema[key], *(T.StructField(n, T.LongType()) for n in names)]
     schema = T.StructType([*fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(shared.value, cache_words)
-        for b in row_chunks(batches, text, 4_000_000):
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, packed in enumerate(bpe.encode_texts(b.column(text).to_pylist())):
-                packed += end
-                n, at = len(packed) // 4, 0
-                for size in cut(n, capacity):
-                    part = packed[4 * at : 4 * (at + size)]
-                    row.append(i)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        ids.append(np.frombuffer(part, dtype="<i4"))
-                    at += size
-            cols = [b.column(key).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = [key, "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return bound_batches(docs.select(key, text)).mapInArrow(trimmed(run), schema)
-
+        packer, kind = Packer(capacity, TaskContext.get().partitionId() << TASK_BITS), None
 
-def pack_pieces(pieces: DataFrame, capacity: int, parts: int, key: str = "doc_id") -> DataFrame:
-    """``pieces`` with sequence_id and offset. Lengths must be reciprocal-capacity classes capacity/2^k."""
-    share = F.lit(capacity) / F.col("length")
-    p = pieces.drop("sequence_id", "offset").withColumn("_j", share.cast("long"))
-    p = p.withColumn("_part", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(parts)))
-    group = Window.partitionBy("_j", "_part")
-    p = p.withColumn("_r", (F.row_number().over(group.orderBy(key, "start", "ids_crc32")) - 1).cast("long"))
-    p = p.withColumn("_c", F.count(F.lit(1)).over(group))
-    full = F.expr("_c div _j")
-    left, t = F.expr("_c % _j"), F.expr("_r - (_c div _j) * _j")
-    # In the last bin, the highest bit in which the count and the place differ names the power-of-two sequence.
-    bit = F.length(F.bin(left.bitwiseXOR(F.greatest(t, F.lit(0))))) - 1
-    in_full = F.expr("_r < (_c div _j) * _j")
-    place = F.when(in_full, F.expr("_r % _j")).otherwise(t.bitwiseAND(F.expr("shiftleft(1L, _bit)") - 1))
-    local = F.when(in_full, F.expr("_r div _j")).otherwise(full + F.lit(62) - F.col("_bit"))
-    p = p.withColumn("_bit", bit)
-    p = p.withColumn("offset", (place * F.col("length")).cast("long"))
-    order = (F.length(F.bin("_j")) - 1).cast("long")
-    p = p.withColumn("sequence_id", F.shiftleft(order, 56) + F.shiftleft(F.col("_part"), 36) + local)
-    return p.drop("_j", "_part", "_r", "_c", "_bit")
+        def placed() -> pa.RecordBatch:
+            took = packer.take()
+            rows = [(p.key, p.start, p.length, zlib.crc32(p.ids), p.doc_tokens, s, at) for p, s, at in took]
+            cols = list(zip(*rows, strict=True)) or [()] * (len(names) + 1)
+            out = [pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])]
+            if with_ids:
+                out.append(pa.array([np.frombuffer(p.ids, dtype="<i4") for p, _, _ in took], pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays(out, [key, *names, *(["ids"] if with_ids else [])])
 
+        bpe = None
+        for b in row_chunks(batches, text, 4_000_000):
+            bpe, kind = bpe or load(shared.value, cache_words), b.schema.field(key).type
+            for k, ids in zip(b.column(key).to_pylist(), bpe.encode_texts(b.column(text).to_pylist()), strict=True):
+                packer.add(k, ids + end)
+            yield placed()
+        if kind is not None:
+            packer.finish()
+            yield placed()
 
-def harmonic_pack(docs: DataFrame, content: bytes, end_id: int, capacity: int = 4096, key: str = "doc_id", text: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """Cuts and packs all documents; one row per piece. ``cache_words`` trades a worker's memory for time."""
-    parts = min(1 << 20, 1 + docs.count() // ROWS_A_PART)
-    return pack_pieces(cut_documents(docs, content, end_id, capacity, key, text, with_ids, cache_words), capacity, parts, key)
+    return bound_batches(docs.select(key, text)).mapInArrow(trimmed(run), schema)
 
 
 def vocabulary(path: str) -> bytes:

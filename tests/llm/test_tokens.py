@@ -68,12 +68,47 @@ def test_op9(spark, library, tmp_path):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
 
 
-def test_cut():
-    for n in [0, 1, 2, 5, 15, 16, 17, 31, 100, 4097]:
-        pieces = packing.cut(n, 16)
-        assert sum(pieces) == n and all(p <= 16 and 16 % p == 0 for p in pieces)
+@pytest.mark.parametrize("capacity", [1, 7, 16, 4096])
+def test_bins_take_their_count(capacity):
+    """Whole documents, as many as the class says, but for what fills the rest of a bin; nothing is padded or lost."""
+    r = random.Random(capacity)
+    docs = [(i, np.array([r.randrange(1000) for _ in range(r.choice([1, 2, 5, r.randint(1, 3 * capacity)]))], dtype="<u4").tobytes()) for i in range(800)]
+    packer = packing.Packer(capacity, 100, waiting=5)
+    out = []
+    for key, ids in docs:
+        packer.add(key, ids)
+        out += packer.take()
+    early, most = {s for _, s, _ in out}, len(packer.bins)
+    packer.finish()
+    out += packer.take()
+    assert not packer.open and not packer.bins and most <= 5 and min(s for _, s, _ in out) == 100
+    seqs, whole = {}, {}
+    for p, s, at in sorted(out, key=lambda x: (x[1], x[2])):
+        assert at == sum(q.length for q in seqs.setdefault(s, []))
+        seqs[s].append(p)
+        whole.setdefault(p.key, []).append(p)
+    assert all(b"".join(p.ids for p in sorted(whole[k], key=lambda p: p.start)) == ids for k, ids in docs)
+    for s, pieces in seqs.items():
+        n = sum(p.length for p in pieces)
+        assert n == capacity or s not in early and n & (n - 1) == 0
+        first = capacity // pieces[0].length
+        if s in early:  # the bin's count of one class, then what fills its rest
+            assert len(pieces) >= first and all(capacity // p.length == first for p in pieces[:first])
     with pytest.raises(ValueError):
-        packing.cut_documents(None, CONTENT, 2, 100)
+        packing.Packer(0)
+
+
+def test_few_documents_are_cut():
+    r = random.Random(3)
+    sizes = [min(4000, max(1, int(r.lognormvariate(6, 0.8)))) for _ in range(20_000)]
+    packer = packing.Packer(4096)
+    for i, n in enumerate(sizes):
+        packer.add(i, bytes(4 * n))
+    packer.finish()
+    out = packer.take()
+    assert len(out) < 1.15 * len(sizes) and sum(p.length for p, _, _ in out) == sum(sizes)
+    seqs = {s for _, s, _ in out}
+    assert len(seqs) <= sum(sizes) // 4096 + 13
 
 
 @pytest.mark.parametrize("capacity", [16, 4096])
@@ -109,14 +144,36 @@ def check_sequences(rows, capacity):
         for r in sorted(pieces, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= capacity and at & (at - 1) == 0
+        assert at == capacity or at < capacity and at & (at - 1) == 0
+
+
+def test_workers_pack_alone(spark, library):
+    """Many parts, few rows in each; a clashing key, a very long text."""
+    texts = [*ODD, *random_texts(60), "the quick brown fox " * 30_000]
+    df = spark.createDataFrame([(str(i), t, 1) for i, t in enumerate(texts)], "offset string, text string, sequence_id int").repartition(13)
+    rows = packing.harmonic_pack(df.withColumnRenamed("offset", "id"), CONTENT, 2, 64, key="id").collect()
+    check_sequences(rows, 64)
+    total = sum(len(e.ids) + 1 for e in library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False))
+    assert sum(r["length"] for r in rows) == total and {r["id"] for r in rows} == {str(i) for i in range(len(texts))}
 
 
-def test_parts_fill_alone(spark):
-    rows = [(i, s, 4, 0) for i in range(100) for s in (0, 4)]
-    pieces = spark.createDataFrame(rows, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint")
-    for parts in (1, 3):
-        check_sequences(packing.pack_pieces(pieces, 16, parts).collect(), 16)
+def test_op1(spark, library, tmp_path):
+    from curatrix.llm.queries import op1_harmonic_packing
+
+    texts = [*ODD, *random_texts(300), *(" ".join(random_texts(400, seed)) for seed in range(12))]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, start string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op1_harmonic_packing(spark, str(tmp_path)).collect()
+    check_sequences(rows, 4096)
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    for i, t in enumerate(texts):
+        want, at = [*library.encode(t or "", add_special_tokens=False).ids, 2], 0
+        for start, length, crc, n in sorted(got.pop(i)):
+            assert (start, n, crc) == (at, len(want), zlib.crc32(np.array(want[at : at + length], dtype="<u4").tobytes()))
+            at += length
+        assert at == len(want)
+    assert not got
 
 
 def test_token_counts(spark):
