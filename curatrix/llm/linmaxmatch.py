@@ -5,11 +5,12 @@ has a failure link and the number of pieces that following it pops off, both com
 longest-match piece count is then the sum of popped counts on one walk over its characters; no piece is built and no
 character is read twice.
 
-Words are split at white space; each punctuation mark is a word. A word that the vocabulary cannot spell, or one longer
-than ``longest`` characters, is one unknown token.
+Words are split at white space; each punctuation mark is a word. A word that the vocabulary cannot spell is one unknown
+token. Words of any length are walked, unless ``longest`` is given: then a longer one is unknown too, as in libraries
+that have such a limit.
 
 Defined cases: null and empty texts have no words and no tokens; repeated rows get equal results; an empty table gives
-no rows; words of any length are walked once; columns named like the outputs are replaced.
+no rows; very long texts are counted whole; columns named like the outputs are replaced, other columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import types as T
 
 from curatrix.llm.common import bound_batches, resident, row_chunks
 
-LONGEST_WORD = 100
+#: Characters of a word up to which its count is remembered.
+CACHED_WORD = 100
 CACHE_WORDS = 1_000_000
 NONE = -1
 
@@ -118,7 +120,7 @@ def split_words(text: str) -> list[str]:
 class Counter:
     """Counts whole texts, each distinct word once while it is in the cache."""
 
-    def __init__(self, automaton: Automaton, longest: int) -> None:
+    def __init__(self, automaton: Automaton, longest: int | None = None) -> None:
         self.automaton, self.longest, self.cache = automaton, longest, {}
 
     def counts(self, text: str | None) -> tuple[int, int, int]:
@@ -130,14 +132,16 @@ class Counter:
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = set(words)
+        long = {}
         for w in new:
-            cache[w] = self.automaton.count(w) if len(w) <= self.longest else 0
-        each = [cache[w] for w in words]
+            (cache if len(w) <= CACHED_WORD else long)[w] = self.automaton.count(w) if self.longest is None or len(w) <= self.longest else 0
+        look = cache | long if long else cache
+        each = [look[w] for w in words]
         unknown = each.count(0)
         return len(words), sum(each) + unknown, unknown
 
 
-def count_tokens(df: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, longest: int = LONGEST_WORD) -> DataFrame:
+def count_tokens(df: DataFrame, pieces: list[str], text: str = "text", keep: list[str] | None = None, longest: int | None = None) -> DataFrame:
     """``keep`` columns with n_words, n_tokens and n_unknown of each whole text. The vocabulary's size is fixed."""
     outputs = ["n_words", "n_tokens", "n_unknown"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in outputs]

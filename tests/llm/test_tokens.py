@@ -176,21 +176,45 @@ def test_op1(spark, library, tmp_path):
     assert not got
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("longest", [100, None])
+def test_token_counts(spark, longest):
     pieces = linmaxmatch.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     begin, inside = linmaxmatch.word_pieces(pieces)
     vocab = {p: i for i, p in enumerate(["[UNK]", *sorted(begin | {"##" + p for p in inside})])}
-    library = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=100))
+    library = Tokenizer(models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=longest or 10**9))
     library.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
-    texts = [*ODD, *random_texts(1500), "y" * 101, "##", "a!b?c"]
-    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id int, text string, n_tokens int")
-    got = {r["doc_id"]: r for r in linmaxmatch.count_tokens(df, pieces).collect()}
+    texts = [*ODD, *random_texts(1500), "y" * 101, "y" * 2500 + " y" * 3, "##", "a!b?c", "ab " * 40_000]
+    df = spark.createDataFrame([(i, t, 3, "x") for i, t in enumerate(texts)], "doc_id int, text string, n_tokens int, n_words string")
+    got = {r["doc_id"]: r for r in linmaxmatch.count_tokens(df, pieces, longest=longest).collect()}
     for i, t in enumerate(texts):
         tokens = library.encode(t or "", add_special_tokens=False).tokens
         assert got[i]["n_tokens"] == len(tokens) and got[i]["n_unknown"] == tokens.count("[UNK]"), t
     assert linmaxmatch.count_tokens(df.limit(0), pieces).count() == 0
 
 
+def test_op5(spark, tmp_path):
+    """The query against greedy matching, word by word."""
+    from curatrix.llm.queries import PIECES, op5_linmaxmatch
+
+    texts = [*ODD, *random_texts(100), "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    begin, inside = linmaxmatch.word_pieces(linmaxmatch.read_pieces(PIECES))
+    most = max(map(len, begin | inside))
+
+    def greedy(w):
+        at = n = 0
+        while at < len(w):
+            k = next((k for k in range(min(most, len(w) - at), 0, -1) if w[at : at + k] in (inside if at else begin)), 0)
+            if not k:
+                return 0
+            at, n = at + k, n + 1
+        return n
+
+    for r in op5_linmaxmatch(spark, str(tmp_path)).collect():
+        counts = [greedy(w) for w in linmaxmatch.split_words(texts[r["doc_id"]] or "")]
+        assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(counts), sum(counts) + counts.count(0), counts.count(0))
+
+
 def test_automaton_against_greedy():
     r = random.Random(2)
     for _ in range(200):
