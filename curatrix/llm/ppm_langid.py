@@ -1,17 +1,19 @@
 """Language identification by prediction by partial matching.
 
 For each language, frozen statistics of a byte context tree of variable order (0 to 3, deeper contexts only where the
-training sample has them often) give every byte an exact code length: the deepest context that has seen the byte codes
-it by its frequency, every deeper context before it pays its escape (method C, without exclusion). A text's language is
+training sample has them often) give every byte an exact code length: the deepest context in the tree codes the byte by
+its frequency, every context that has not seen it pays its escape (method C, without exclusion). A text's language is
 the one with the shortest code for the whole text.
 
-Training reads a bounded sample: at most ``per_language`` whole documents of each language, chosen by a hash of their
-id. Every label is learned, however many there are: the costs of many languages are tables of a few languages each, over
-one tree, which are made in turn for each chunk of texts. Everything else runs over all rows and all bytes.
+Training reads a bounded sample: at most ``per_language`` different whole documents of each language, chosen by a hash.
+Their contexts are counted in Spark; the driver gets the counts of the tree's contexts, at most MOST_CONTEXTS, and no
+texts. Every label is learned, however many there are: the costs of many languages are tables of a few languages each,
+over one tree, which are made in turn for each chunk of texts. Everything else runs over all rows and all bytes.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is everything when there is nothing
-to learn from; rows with a null language are not learned from; repeated rows get equal results; an empty table gives no
-rows; ties go to the first language in alphabetical order.
+to learn from; rows with a null language are not learned from; repeated rows get equal results and are learned from
+once; an empty table gives no rows; ties go to the first language in alphabetical order; very long texts are coded
+whole; columns named like the outputs are replaced, other columns do not matter.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from curatrix.llm.common import bound_batches, release, row_chunks, trimmed
+from curatrix.llm.common import Scratch, bound_batches, release, row_chunks, trimmed
 
 #: Whole documents that are learned from, of each language.
 PER_LANGUAGE = 250
@@ -35,8 +37,11 @@ GROUP = 16
 TABLE_BYTES = 32 << 20
 KEPT_BYTES = 128 << 20
 ORDER = 3
-#: Times a context has to occur in the sample to stand in the tree.
+#: Times a context has to occur in the sample to stand in the tree, and contexts of the tree: the most frequent ones.
 LEAST_COUNT = 48
+MOST_CONTEXTS = 16_384
+#: Keys (8 bytes) of sampled rows that may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 PAD = b"\n" * ORDER
 _letters = re.compile(r"[^\W\d_]+").finditer
 
@@ -46,48 +51,70 @@ def fold(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data)
 
 
+def count_grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order k, the strings of a byte and the k before it, as numbers, and how often the texts have them."""
+    data = fold(np.frombuffer(PAD + PAD.join(texts), dtype=np.uint8)).astype(np.int64)
+    keep = np.ones(len(data), dtype=bool)
+    at = 0
+    for t in texts:
+        keep[at : at + ORDER] = False
+        at += ORDER + len(t)
+    place, out = np.flatnonzero(keep), []
+    for k in range(ORDER + 1):
+        g = np.zeros(len(place), dtype=np.int64)
+        for j in range(k, -1, -1):
+            g = g << 8 | data[place - j]
+        out.append(np.unique(g, return_counts=True))
+    return out
+
+
+def tree_contexts(rows: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """The contexts of each order from 1 on, of (order, context, count): the most frequent, as many as all of one count fit."""
+    counts = sorted((n for _, _, n in rows), reverse=True)
+    over = counts[MOST_CONTEXTS] if len(counts) > MOST_CONTEXTS else 0
+    return [np.array(sorted(c for o, c, n in rows if o == k and n > over), dtype=np.int64) for k in range(1, ORDER + 1)]
+
+
 class PpmModel:
     """Code lengths in bits, cost[node * symbols + symbol, language], and the node of each context of three symbols.
 
     ``cost`` is there if one table holds all languages; ``table`` makes that of some.
     """
 
-    def __init__(self, samples: dict[str, list[bytes]]) -> None:
-        self.languages = sorted(samples)
-        joined = {k: fold(np.frombuffer(PAD + PAD.join(v), dtype=np.uint8)) for k, v in samples.items()}
-        seen = np.unique(np.concatenate([*joined.values(), np.frombuffer(PAD, np.uint8)]))
+    def __init__(self, counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], contexts: list[np.ndarray]) -> None:
+        """``counts`` of `count_grams` for each language; ``contexts``: those of each order from 1 on that the tree has."""
+        self.languages = sorted(counts)
+        seen = np.unique(np.concatenate([*(counts[name][0][0] for name in self.languages), [PAD[0]]]))
         self.symbols = a = len(seen) + 1  # 0: a byte that the sample does not have
         of = np.zeros(256, dtype=np.int32)
         of[seen] = np.arange(1, a)
         self.of = of[fold(np.arange(256, dtype=np.uint8))]
-        # Nodes of each order: contexts as numbers in base a; order 0 has one.
+
+        def number(g: np.ndarray, k: int) -> np.ndarray:
+            """Strings of k bytes as numbers in base a."""
+            out = np.zeros(len(g), dtype=np.int64)
+            for j in range(k - 1, -1, -1):
+                out = out * a + of[g >> 8 * j & 255]
+            return out
+
+        # Nodes of each order: contexts as sorted numbers; order 0 has one. A context stays only if its suffix does.
         nodes = [np.zeros(1, dtype=np.int64)]
         self.parents = [np.zeros(1, dtype=np.int64)]
+        for k in range(1, ORDER + 1):
+            u = np.sort(number(contexts[k - 1], k))
+            suffix = u % a ** (k - 1)
+            u, suffix = (x[np.isin(suffix, nodes[k - 1])] for x in (u, suffix))
+            nodes.append(u)
+            self.parents.append(np.searchsorted(nodes[k - 1], suffix))
         self.counts = []  # for each order and language: node of the order, symbol, count
-        for k in range(ORDER + 1):
-            own = []  # distinct context * a + symbol, counts
-            for name in self.languages:
-                d = of[joined[name]].astype(np.int64)
-                g = np.zeros(len(d) - ORDER, dtype=np.int64)
-                for j in range(k, -1, -1):
-                    g = g * a + d[ORDER - j : len(d) - j]
-                own.append(np.unique(g, return_counts=True))
-            if k:
-                ctx = np.concatenate([g // a for g, _ in own])
-                u, inv = np.unique(ctx, return_inverse=True)
-                total = np.bincount(inv, weights=np.concatenate([n for _, n in own]))
-                u = u[total >= LEAST_COUNT]
-                # A context stays only if its suffix does, so that the tree has every node's parent.
-                if k > 1:
-                    u = u[np.isin(u % a ** (k - 1), nodes[k - 1])]
-                nodes.append(u)
-                self.parents.append(np.searchsorted(nodes[k - 1], u % a ** (k - 1)) if k > 1 else np.zeros(len(u), dtype=np.int64))
-            u = nodes[k]
+        for k, u in enumerate(nodes):
             kept = []
-            for g, n in own:
-                at = np.searchsorted(u, g // a)
-                ok = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == g // a) if len(u) else np.zeros(len(g), dtype=bool)
-                kept.append((at[ok].astype(np.int32), (g % a)[ok].astype(np.int32), n[ok].astype(np.int32)))
+            for name in self.languages:
+                g, n = counts[name][k]
+                ctx, sym = number(g >> 8, k), of[g & 255]
+                at = np.searchsorted(u, ctx)
+                ok = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == ctx) if len(u) else np.zeros(len(g), dtype=bool)
+                kept.append((at[ok].astype(np.int32), sym[ok].astype(np.int32), n[ok].astype(np.int32)))
             self.counts.append(kept)
         self.first = first = np.cumsum([0, *(len(n) for n in nodes)])
         kinds, one = len(self.languages), int(first[-1]) * a * 4
@@ -98,14 +125,26 @@ class PpmModel:
         self.cost = self.table(0, kinds) if len(self.groups) == 1 else None
         # The deepest node of each context of three symbols.
         deep = np.zeros(a**ORDER, dtype=np.int32)
-        number = np.arange(a**ORDER)
+        every = np.arange(a**ORDER)
         for k in range(1, ORDER + 1):
             if len(u := nodes[k]):
-                key = number % a**k
+                key = every % a**k
                 at = np.minimum(np.searchsorted(u, key), len(u) - 1)
                 deep = np.where(u[at] == key, (first[k] + at).astype(np.int32), deep)
         self.node = deep * a
 
+    @classmethod
+    def of_texts(cls, samples: dict[str, list[bytes]]) -> PpmModel:
+        """The model of texts at hand."""
+        counts = {name: count_grams(texts) for name, texts in samples.items()}
+        rows = []
+        for k in range(1, ORDER + 1):
+            g = np.concatenate([c[k][0] for c in counts.values()])
+            u, inv = np.unique(g >> 8, return_inverse=True)
+            total = np.bincount(inv, weights=np.concatenate([c[k][1] for c in counts.values()]))
+            rows += [(k, int(x), int(n)) for x, n in zip(u, total, strict=True) if n >= LEAST_COUNT]
+        return cls(counts, tree_contexts(rows))
+
     def table(self, lo: int, hi: int) -> np.ndarray:
         """Costs of the languages from lo to hi."""
         if (lo, hi) in self.tables:
@@ -156,35 +195,49 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() or any(c.isalpha() for c in m.group()) for m in _letters(text))
 
 
-def _sample(rows: DataFrame, names: dict, per_language: int) -> dict[str, list[bytes]]:
-    """Texts of ``rows`` (_lang, _text, _key): at most ``per_language`` keys of each label in ``names`` (label: rows)."""
-    counts = rows.sparkSession.createDataFrame(list(names.items()), T.StructType([T.StructField("_lang", rows.schema["_lang"].dataType), T.StructField("_rows", T.LongType())]))
+def sample(rows: DataFrame, per_language: int, scratch: Scratch) -> DataFrame:
+    """Of ``rows`` (_key, _lang, _text), at most ``per_language`` different ones of each language."""
     # About four times as many rows as are taken pass a hash threshold of their language, so that the ranking below sees
     # a bounded number of rows however large the table is.
-    chosen = rows.select("_lang", "_key").join(F.broadcast(counts), "_lang").filter(F.pmod(F.xxhash64("_key", F.lit("sample")), "_rows") < 4 * per_language)
+    known = scratch.keep(rows.groupBy("_lang").agg(F.approx_count_distinct("_key").alias("_rows")), "labels")
+    chosen = rows.select("_lang", "_key").join(known, "_lang").filter(F.pmod(F.xxhash64("_key", F.lit("sample")), F.greatest("_rows", F.lit(1))) < 4 * per_language)
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    keys = chosen.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("_key").distinct()
-    samples: dict[str, list[bytes]] = {}
-    for name, said in rows.join(F.broadcast(keys), "_key", "left_semi").dropDuplicates().select("_lang", "_text").toLocalIterator():
-        if name in names:
-            samples.setdefault(name, []).append(said.encode("utf-8", "replace"))
-    return samples
+    keys = chosen.distinct().withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    keys = scratch.keep(keys.select("_key").distinct(), "sample-keys")
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, "_key", "left_semi").dropDuplicates(["_key"])
 
 
 def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int = PER_LANGUAGE) -> PpmModel | None:
     """The model of all the rows' languages, from a bounded sample of each; None if there is nothing to learn from."""
+    scratch = Scratch(rows.sparkSession, "ppm")
     usable = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
-    usable = usable.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), key.alias("_key"))
-    names = dict(usable.groupBy("_lang").count().collect())
-    if not names:
+    usable = usable.select(F.xxhash64(key, lang, text).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for b in row_chunks(batches, "_text", 1_000_000):
+            by: dict[str, list[bytes]] = {}
+            for name, said in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
+                by.setdefault(name, []).append(said.encode("utf-8", "replace"))
+            for name, texts in by.items():
+                for k, (g, n) in enumerate(count_grams(texts)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(np.full(len(g), k, dtype=np.int32)), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
+
+    grams = sample(usable, per_language, scratch).select("_lang", "_text").mapInArrow(trimmed(run), "lang string, k int, gram long, n long")
+    grams = scratch.keep(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).withColumn("ctx", F.expr("shiftright(gram, 8)")), "grams")
+    often = grams.filter("k > 0").groupBy("k", "ctx").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    # The size of the model is its limit: what more than MOST_CONTEXTS are as frequent as is not in the tree.
+    contexts = [tuple(r) for r in often.orderBy(F.desc("n"), "k", "ctx").limit(MOST_CONTEXTS + 1).collect()]
+    kept = tree_contexts([(k, c, n) for k, c, n in contexts])
+    tree = rows.sparkSession.createDataFrame([(0, 0), *((k, int(c)) for k, u in enumerate(kept, 1) for c in u)], "k int, ctx long")
+    found = grams.join(F.broadcast(tree), ["k", "ctx"]).select("lang", "k", "gram", "n").toArrow().combine_chunks()
+    if not found.num_rows:
         return None
-    samples = _sample(usable, names, per_language)
-    if missing := [(name,) for name in names if name not in samples]:
-        # Labels whose rows have no keys, or so few that none passes: by their distinct texts.
-        some = usable.sparkSession.createDataFrame(missing, T.StructType([T.StructField("_lang", usable.schema["_lang"].dataType)]))
-        rest = usable.select("_lang", "_text").join(F.broadcast(some), "_lang", "left_semi").distinct().withColumn("_key", F.xxhash64("_text"))
-        samples |= _sample(rest, dict(rest.groupBy("_lang").count().collect()), per_language)
-    return PpmModel(samples)
+    names, order, gram, n = (found.column(c).to_numpy() for c in ("lang", "k", "gram", "n"))
+    label, place = np.unique(names.astype(str), return_inverse=True)
+    counts = {str(x): [(gram[(place == i) & (order == k)], n[(place == i) & (order == k)]) for k in range(ORDER + 1)] for i, x in enumerate(label)}
+    return PpmModel(counts, kept)
 
 
 def identify(docs: DataFrame, model: PpmModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -194,33 +194,74 @@ def test_chat_parts(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
-def brute_bits(model, samples, text):
-    """Code length by walking contexts from the deepest one, with the tree's own nodes."""
-    total = 0.0
-    data = ppm_langid.PAD + text
-    d = model.of[np.frombuffer(data, np.uint8)]
-    for i in range(ppm_langid.ORDER, len(d)):
-        ctx = (int(d[i - 3]) * model.symbols + int(d[i - 2])) * model.symbols + int(d[i - 1])
-        total = total + model.cost[model.node[ctx] + d[i]].astype(float)
-    return total
+def brute_ppm(samples, text, least):
+    """Code lengths by dictionaries of contexts, a byte at a time, without anything of the model."""
+    low = lambda t: b"\n\n\n" + bytes(c + 32 if 65 <= c <= 90 else c for c in t)
+    seen, total = {}, Counter()
+    for name, texts in samples.items():
+        own = seen[name] = {}
+        for t in map(low, texts):
+            for i in range(3, len(t)):
+                for k in range(4):
+                    own.setdefault(t[i - k : i], Counter())[t[i]] += 1
+                    total[t[i - k : i]] += 1
+
+    def stands(c):
+        return not c or total[c] >= least and stands(c[1:])
+
+    def share(own, c, byte):
+        if not stands(c):
+            return share(own, c[1:], byte)
+        here = own.get(c, Counter())
+        n, kinds = sum(here.values()), len(here)
+        if here[byte]:
+            return here[byte] / (n + kinds)
+        escape = kinds / (n + kinds) if n else 1
+        return escape * (share(own, c[1:], byte) if c else 1 / 256)
+
+    t = low(text)
+    return [-sum(math.log2(share(seen[k], t[i - 3 : i], t[i])) for i in range(3, len(t))) for k in sorted(samples)]
 
 
 def speak(r, letters, n):
     return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(n))
 
 
-def test_ppm_codes_are_probabilities():
+def test_ppm_against_plain_contexts(monkeypatch):
     r = random.Random(1)
-    samples = {"x": [speak(r, "abc", 400).encode()], "y": [speak(r, "bcd", 400).encode()]}
-    m = ppm_langid.PpmModel(samples)
-    # Over the symbols that the sample has, each node's code shares sum to at most 1.
-    shares = np.exp2(-m.cost.astype(float)).reshape(-1, m.symbols, 2)[:, 1:, :].sum(axis=1)
-    assert (shares <= 1 + 1e-5).all() and len(shares) > 10
-    texts = [b"abc cab", b"", b"dcb bcd dcb", "é?".encode(), b"A"]
-    assert np.allclose(m.bits(texts), [brute_bits(m, samples, t) if t else [0, 0] for t in texts], rtol=1e-5)
+    samples = {"x": [speak(r, "abcA", 40).encode() for _ in range(8)], "y": [speak(r, "bcdé", 300).encode(), b""], "z": [b"q"]}
+    texts = [b"abc cab", b"", b"dcb bcd dcb", "é?\0".encode(), b"A", b"\nab\n\n\n\nq", *(speak(r, "abcdéxq \n", 30).encode() for _ in range(20))]
+    for least in (48, 5, 1):
+        monkeypatch.setattr(ppm_langid, "LEAST_COUNT", least)
+        m = ppm_langid.PpmModel.of_texts(samples)
+        assert np.allclose(m.bits(texts), [brute_ppm(samples, t, least) for t in texts], rtol=1e-5)
+        # Over the symbols that the sample has, each node's code shares sum to at most 1.
+        shares = np.exp2(-m.cost.astype(float)).reshape(-1, m.symbols, 3)[:, 1:, :].sum(axis=1)
+        assert (shares <= 1 + 1e-5).all() and len(shares) > 10
     assert m.bits(texts)[0].argmin() == 0 and m.bits(texts)[2].argmin() == 1
 
 
+def test_ppm_trained_in_spark(spark, monkeypatch):
+    """Counts of a table's rows are those of its texts; repeated rows count once; the tree has a bounded size."""
+    r = random.Random(7)
+    samples = {k: [speak(r, v, r.randint(1, 60)) for _ in range(40)] for k, v in {"x": "abcB", "y": "bcdé", "z": "日本ab"}.items()}
+    rows = [(i, t, k, "q") for i, (k, t) in enumerate((k, t) for k, ts in samples.items() for t in ts)]
+    df = spark.createDataFrame([*rows, *rows[:30], (None, None, "x", "q"), (1, "", "x", "q"), (2, "abc", None, "q")], "doc_id bigint, text string, lang string, gram string").repartition(5)
+    texts = [speak(r, "abcdé日", 20).encode() for _ in range(30)]
+    want = ppm_langid.PpmModel.of_texts({k: [t.encode() for t in ts] for k, ts in samples.items()})
+    got = ppm_langid.train(df, "text", "lang", F.col("doc_id"))
+    assert got.languages == want.languages and np.allclose(got.bits(texts), want.bits(texts))
+    assert np.allclose(got.bits(texts), [brute_ppm({k: [t.encode() for t in ts] for k, ts in samples.items()}, t, ppm_langid.LEAST_COUNT) for t in texts], rtol=1e-5)
+    monkeypatch.setattr(ppm_langid, "MOST_CONTEXTS", 20)
+    small = ppm_langid.train(df, "text", "lang", F.col("doc_id"))
+    assert 5 < small.first[-1] <= 21
+    assert np.allclose(small.bits(texts), ppm_langid.PpmModel.of_texts({k: [t.encode() for t in ts] for k, ts in samples.items()}).bits(texts))
+    few = ppm_langid.train(df, "text", "lang", F.col("doc_id"), per_language=3)
+    assert few.languages == want.languages
+    told = ppm_langid.identify(df.withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit(1)), got).collect()
+    assert len(told) == len(rows) + 33 and all(x["lang_pred"] == x["lang"] for x in told if x["text"] and len(x["text"]) > 40)
+
+
 def test_ppm_learns_every_label(spark):
     """More labels than one cost table holds, some of them with few rows and one without ids."""
     r = random.Random(5)
@@ -237,11 +278,11 @@ def test_ppm_tables_agree(monkeypatch):
     r = random.Random(6)
     samples = {k: [speak(r, v, 400).encode()] for k, v in {"x": "abc", "y": "bcd", "z": "cdä"}.items()}
     texts = [b"abc cab", b"", b"dcb bcd dcb"]
-    want = ppm_langid.PpmModel(samples).bits(texts)
+    want = ppm_langid.PpmModel.of_texts(samples).bits(texts)
     monkeypatch.setattr(ppm_langid, "GROUP", 2)
     for kept in (ppm_langid.KEPT_BYTES, 0):
         monkeypatch.setattr(ppm_langid, "KEPT_BYTES", kept)
-        m = ppm_langid.PpmModel(samples)
+        m = ppm_langid.PpmModel.of_texts(samples)
         assert len(m.groups) == 2 and (m.bits(texts) == want).all() and len(m.tables) == (2 if kept else 0)
 
 
