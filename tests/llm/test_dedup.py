@@ -327,6 +327,12 @@ def test_next_row(spark):
         df = spark.createDataFrame([(i, f"v{i}", 1) for i in ids], "k bigint, v string, _x int").repartition(4)
         got = {r["k"]: r["n"] for r in fingerprints.with_next(df, "k", "v", "n", 10).collect()}
         assert got == {i: f"v{ids[(p + 1) % len(ids)]}" for p, i in enumerate(ids)}
+    # A key of half the rows, and null keys, are dealt by digest; each row still has the next one in that order.
+    many = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"v{i}") for i in range(900)]
+    df = spark.createDataFrame(many, "k bigint, v string").repartition(4)
+    order = [r["v"] for r in df.orderBy(F.coalesce("k", F.lit(-(1 << 62))), F.xxhash64("k", "v")).collect()]
+    got = {r["v"]: r["n"] for r in fingerprints.with_next(df, "k", "v", "n", 10).collect()}
+    assert got == {v: order[(p + 1) % len(order)] for p, v in enumerate(order)}
     tied = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "z")], "k bigint, v string")
     out = fingerprints.with_next(tied, "k", "v", "n")
     assert out.count() == 5 and out.filter(F.col("n").isNull()).count() == 0
