@@ -428,11 +428,12 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False, anchor: int = ANCHOR, words: int = 0) -> DataFrame:
     """``keep`` columns, kept (binary: what is left), kept_text (the same as text, without characters that lost some of
     their bytes), removed (array of start and end) of every row.
 
-    With ``whole``, no character is split: kept is then valid UTF-8.
+    With ``whole``, no character is split: kept is then valid UTF-8. Repeats of fewer than ``words`` words, as white space
+    separates them, stay.
     """
     outputs = ["kept", "kept_text", "removed"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
@@ -453,6 +454,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             for data, found in zip(_bytes_of(b.column(said)), b.column("spans").to_pylist(), strict=True):
                 ranges = byte_ranges(found, length)
                 ranges = whole_characters(data, ranges) if whole else ranges
+                ranges = [(a, e) for a, e in ranges if len(data[a:e].split()) >= words] if words else ranges
                 parts = kept_parts(data, ranges)
                 left.append(b"".join(parts) if ranges else data)
                 said_left.append("".join(p.decode("utf-8", "ignore") for p in parts))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -12,7 +13,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatrix.llm import chat, jumphash, ppm_langid, segment_topk
-from tests.llm.test_dedup import brute_repeats
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -326,6 +326,48 @@ def test_labels_do_not_reach_predictions(spark, tmp_path):
     assert a == pick(op7_ppm_language(spark, write(spark, tmp_path, "documents", changed, DOCUMENTS)))
 
 
+def without_passages(texts):
+    """The texts without the repeated runs of over 50 words, by counting windows."""
+    import corpus_pipeline
+
+    n = corpus_pipeline.PASSAGE_BYTES
+    data = [t.encode() for t in texts]
+    count = Counter(t[i : i + n] for t in data for i in range(len(t) - n + 1))
+    out = []
+    for t in data:
+        covered = bytearray(len(t))
+        for i in range(len(t) - n + 1):
+            if count[t[i : i + n]] > 1:
+                covered[i : i + n] = b"\1" * n
+        left, at = b"", 0
+        for m in re.finditer(b"\1+", covered):
+            if len(t[m.start() : m.end()].split()) > 50:
+                left += t[at : m.start()]
+                at = m.end()
+        out.append((left + t[at:]).decode())
+    return out
+
+
+def test_passages_are_told_by_words(spark):
+    """51 short words go, 50 long ones stay, in any document; other columns keep their values."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    word = lambda a, b: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(a, b)))
+    say = lambda n, a=4, b=9: " ".join(word(a, b) for _ in range(n))
+    short, long, most = say(51, 2, 3), say(50, 9, 12), say(51, 9, 12)
+    texts = [f"{say(20)} ~{p}~ {say(20)}" for p in (short, long, most) for _ in range(3)] + [None, "", say(30), f"{most} {say(5)} {most}"]
+    rows = [(i, t, "aa", "s", 0, b"k", f"r{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCUMENTS + ", kept binary, removed string").repartition(3)
+    out = corpus_pipeline.repeated_passages(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {x["doc_id"]: x for x in out.collect()}
+    want = without_passages([t or "" for t in texts])
+    assert {i: x["text"] for i, x in got.items()} == {i: t for i, t in enumerate(want) if t}
+    assert not any(short in t or most in t for t in want) and sum(long in t for t in want) == 3
+    assert all(x["removed"] == f"r{i}" and x["n_chars"] == len(x["text"]) for i, x in got.items())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_dedup import brute_components
@@ -351,8 +393,7 @@ def test_pipeline(spark, tmp_path):
     left = stage["repeated_passages"](spark, alone, sf)
     assert left.columns == docs.columns
     said = {x["doc_id"]: (x["text"], x["n_chars"], x["extra"]) for x in left.collect()}
-    brute = brute_repeats([texts[i].encode() for i in sorted(want)], corpus_pipeline.PASSAGE_BYTES)
-    assert said == {i: (b[3].decode(), len(b[3].decode()), i) for i, b in zip(sorted(want), brute, strict=True) if b[3]}
+    assert said == {i: (t, len(t), i) for i, t in zip(sorted(want), without_passages([texts[i] for i in sorted(want)]), strict=True) if t}
     assert all(said[i][0] == clean[i] for i in range(len(clean))) and not any(passage in t for t, _, _ in said.values())
     packed = corpus_pipeline.run(spark, sf).collect()
     from tokenizers import Tokenizer
@@ -371,6 +412,13 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 def test_pipeline_repeated_ids(spark, tmp_path):
     import corpus_pipeline
 
-    rows = [(1, "one two three four five six", "aa", "s", 1)] * 3 + [(None, "seven eight", "aa", "s", 1)]
-    docs = spark.createDataFrame(rows, DOCUMENTS)
-    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 1]
+    said = "one two three four five six"
+    rows = [(1, said, "aa", "s", 1)] * 3 + [(None, "seven eight", "aa", "s", 1)] * 2
+    rows += [(2, "other words under one id here", "aa", "s", 1), (2, "and yet another text of that id", "aa", "s", 1), (2, said.upper(), "aa", "s", 1)]
+    rows += [(None, said, "aa", "s", 1), (None, "no id but a text", "aa", "s", 1), (3, None, "aa", "s", 1), (4, "", "aa", "s", 1), (9, "and yet another text of that id", "aa", "s", 1)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], DOCUMENTS + ", component_id int")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    texts = [t for _, t in got if t]
+    # One row of each text is left; one with an id of its own comes before others.
+    assert sorted(t.lower() for t in texts) == sorted({said, "seven eight", "other words under one id here", "and yet another text of that id", "no id but a text"})
+    assert (9, "and yet another text of that id") in got and {(3, None), (4, "")} < set(got) and len(got) == 7
