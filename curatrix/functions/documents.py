@@ -33,16 +33,27 @@ def list_links(content: Column) -> Column:
 
 
 def robots_rules(content: Column) -> Column:
-    """(allow, disallow) path lists of the last user-agent group; each User-agent line starts anew."""
-    lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\\r?\\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    """(agent, allow, disallow, crawl_delay) of the last user-agent group; each User-agent line starts the lists anew.
+
+    Rules before any named agent do not count, nor do lines that are comments. The last delay that is a number stays.
+    """
+    lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
     empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("allow"), empty.alias("disallow"))
-    rule = lambda x: F.lower(F.trim(F.substring_index(x, ":", 1)))
-    path = lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", ""))
+    start = F.struct(F.lit(False).alias("agent"), empty.alias("allow"), empty.alias("disallow"), F.lit(None).cast("double").alias("crawl_delay"))
 
     def step(acc: Column, x: Column) -> Column:
-        grow = lambda side: F.when((rule(x) == side) & (path(x) != ""), F.concat(acc[side], F.array(path(x)))).otherwise(acc[side])
-        return F.when(rule(x) == "user-agent", start).otherwise(F.struct(grow("allow").alias("allow"), grow("disallow").alias("disallow")))
+        said = lambda name: F.lower(x).startswith(f"{name}:")
+        value = F.regexp_replace(x, "^[^:]*:\\s*", "")
+        grow = lambda side: F.when(acc["agent"] & said(side) & (value != ""), F.concat(acc[side], F.array(value))).otherwise(acc[side])
+        number = F.when(value == "", F.lit(0.0)).otherwise(value.try_cast("double"))
+        delay = F.when(acc["agent"] & said("crawl-delay"), F.coalesce(F.nanvl(number, F.lit(None).cast("double")), acc["crawl_delay"])).otherwise(acc["crawl_delay"])
+        named = said("user-agent")
+        return F.struct(
+            F.when(named, value != "").otherwise(acc["agent"]).alias("agent"),
+            F.when(named, empty).otherwise(grow("allow")).alias("allow"),
+            F.when(named, empty).otherwise(grow("disallow")).alias("disallow"),
+            delay.alias("crawl_delay"),
+        )
 
     return F.aggregate(lines, start, step)
 

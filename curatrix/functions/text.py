@@ -37,10 +37,8 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold_accents(F.lower(F.coalesce(text, F.lit("")))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-#: Latin letters with marks and the letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def fold_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Latin letters without their marks; other scripts keep theirs. Texts in ASCII are left alone."""
+    call = lambda fn, x: F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit(fn), x, F.lit(False))
+    plain = F.regexp_replace(call("decompose", text), "(\\p{IsLatin})\\p{Mn}+", "$1")
+    return F.when(text.isNull() | (F.octet_length(text) == F.char_length(text)), text).otherwise(call("compose", plain))

@@ -54,6 +54,12 @@ def enrich_queue(rows: DataFrame, limit: int = 100) -> DataFrame:
     return active(rows).filter(F.col("enriched_at").isNull()).orderBy(F.desc("last_seen_at"), "id").limit(limit)
 
 
+def stale_queue(rows: DataFrame, limit: int = 100, force: bool = False) -> DataFrame:
+    """The queue as documented: never enriched, or not since the record was last seen; with ``force``, every active record."""
+    due = F.lit(force) | F.col("enriched_at").isNull() | F.coalesce(F.col("enriched_at") < F.col("last_seen_at"), F.lit(False))
+    return active(rows).filter(due).orderBy(F.col("enriched_at").asc_nulls_first(), "id").limit(limit)
+
+
 def count_by_kind(rows: DataFrame) -> DataFrame:
     return active(rows).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -73,12 +79,19 @@ def stamp(sources: DataFrame, selected: DataFrame, now: str) -> DataFrame:
     return sources.join(hit, "id", "left").withColumn("last_run_at", F.when(F.col("_hit"), at(now)).otherwise(F.col("last_run_at").cast("timestamp"))).drop("_hit")
 
 
-def lock_decisions(requests: DataFrame, locks: DataFrame, now: str, ttl_seconds: int = 1200) -> DataFrame:
-    """Who would get a lock now: a free or expired one, or nobody. requests (name, holder), locks (name, holder, expires_at)."""
+def lock_decisions(requests: DataFrame, locks: DataFrame, now: str, ttl_seconds: int = 1200, pos: str = "pos") -> DataFrame:
+    """Who gets a lock now: the first request for a free or expired one, and nobody after it.
+
+    requests (name, holder, pos: their order), locks (name, holder, expires_at). The others are told who holds the lock.
+    """
     held = locks.select("name", F.col("holder").alias("held_by"), F.col("expires_at").cast("timestamp").alias("_until"))
-    got = F.col("_until").isNull() | (F.col("_until") <= at(now))
-    until = F.when(got, at(now) + F.expr(f"INTERVAL {ttl_seconds} SECONDS")).otherwise(F.col("_until"))
-    return requests.join(held, "name", "left").select("name", "holder", got.alias("acquired"), F.when(~got, F.col("held_by")).alias("blocked_by"), until.alias("expires_at"))
+    first = requests.groupBy("name").agg(F.min(F.struct(pos, "holder")).alias("_first"))
+    state = first.join(held, "name", "left").withColumn("_free", F.col("_until").isNull() | (F.col("_until") <= at(now)))
+    until = F.when(F.col("_free"), at(now) + F.expr(f"INTERVAL {ttl_seconds} SECONDS")).otherwise(F.col("_until"))
+    got = F.col("_free") & (F.col(pos) == F.col(f"_first.{pos}")) & (F.col("holder") == F.col("_first.holder"))
+    holder = F.when(F.col("_free"), F.col("_first.holder")).otherwise(F.col("held_by"))
+    rows = requests.join(state, "name")
+    return rows.select("name", "holder", pos, got.alias("acquired"), F.when(~got, holder).alias("blocked_by"), until.alias("expires_at"))
 
 
 def recount(categories: DataFrame, rows: DataFrame) -> DataFrame:

@@ -63,13 +63,28 @@ def safety_ratio(candidates: DataFrame, live: DataFrame, limit: int = MAX_PRUNE_
     return c.join(n, F.lit(True)).select("candidates", "live", shown.cast("long").alias("ratio_pct"), ((shown if rounded else pct) > limit).alias("blocked"))
 
 
-def decisions(reasons: DataFrame, live: DataFrame, limit: int = MAX_PRUNE_PCT, dry_run: bool = False) -> DataFrame:
-    """Records to retire with their reason; none is marked when the ratio blocks or in a dry run."""
+def decisions(reasons: DataFrame, live: DataFrame, limit: int = MAX_PRUNE_PCT, dry_run: bool = True) -> DataFrame:
+    """Records to retire with their reason; none is marked when the ratio blocks or in a dry run, which is the default."""
     found = reasons.filter(F.col("reason").isNotNull())
     gate = safety_ratio(found, live, limit).select("blocked")
     return found.join(F.broadcast(gate), F.lit(True)).withColumn("deactivate", ~F.col("blocked") & F.lit(not dry_run))
 
 
+def sentinel(due: DataFrame, live: DataFrame, now: str, limit: int = MAX_PRUNE_PCT) -> tuple[DataFrame, DataFrame]:
+    """(appended, report) of one run over the observations that are due (artifact_id, http_status).
+
+    Every bad observation is appended again, as of now; the report counts all, and says whether the terminal ones are
+    too many of the live records for a prune.
+    """
+    seen = due.withColumn("_v", S.verdict(F.col("http_status")))
+    appended = seen.filter("_v <> 'ok'").select("artifact_id", at(now).alias("checked_at"), "http_status", F.lit(False).alias("ok"))
+    count = lambda v: F.count_if(F.col("_v") == v)
+    n = live.agg(F.count(F.lit(1)).alias("live"))
+    tally = seen.agg(F.count(F.lit(1)).alias("checked"), count("ok").alias("ok"), (count("terminal") + count("transient")).alias("failed"), count("terminal").alias("_t"))
+    blocked = F.when(F.col("live") > 0, 100 * F.col("_t") > limit * F.col("live")).otherwise(False)
+    return appended, tally.join(n, F.lit(True)).select("checked", "ok", "failed", blocked.alias("blocked"))
+
+
 def by_reason(reasons: DataFrame) -> DataFrame:
     """Histogram with a row for each reason, also without records."""
     known = reasons.sparkSession.createDataFrame([(r,) for r in REASONS], "reason string")

@@ -1,51 +1,106 @@
-"""Full-text search over postings (field, token, id, pos), with and without stemming."""
+"""Full-text search over postings (field, token, id, pos), stemmed unless told otherwise.
+
+Tokens are lower-case runs of letters and digits without the marks of Latin letters. Stems are made once for each distinct
+token; a search filters each record's token list before anything is exploded, and so reads no more than its hits.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.functions.stem import porter_stem
 from curatrix.functions.text import tokens
 
+#: The searched columns of a record.
+FIELDS = ["name", "summary", "description", "tags"]
+PAGE_SIZE = 24
+#: Distinct tokens with their stems that may be broadcast; more are joined by a shuffle.
+BROADCAST_TOKENS = 1_000_000
+
+
+@F.pandas_udf(T.StringType())
+def stem(words: pd.Series) -> pd.Series:
+    """Porter stems of tokens."""
+    return words.map(lambda w: porter_stem(w) if w is not None else None)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(words: pd.Series) -> pd.Series:
-    """Porter stems of token lists; each distinct token of a batch is stemmed once."""
-    known: dict[str, str] = {}
 
-    def one(w: str) -> str:
-        if w not in known:
-            known[w] = porter_stem(w)
-        return known[w]
+def _words(field: Column, kind: T.DataType) -> Column:
+    return tokens(F.concat_ws(" ", field) if isinstance(kind, T.ArrayType) else field)
 
-    return words.map(lambda ws: [one(w) for w in ws] if ws is not None else None)
 
+def _lists(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
+    """(id, field, words): each field's tokens in order."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), _words(F.col(f), rows.schema[f].dataType).alias("words")) for f in fields)))
+    return rows.select(id, each.alias("f")).select(id, "f.field", "f.words")
 
-def postings(rows: DataFrame, fields: list[str], id: str = "id", stemmed: bool = False) -> DataFrame:
+
+def vocabulary(rows: DataFrame, fields: list[str] | None = None, id: str = "id") -> DataFrame:
+    """(token, stem) of every distinct token; within a record each comes once before the shuffle."""
+    own = _lists(rows, fields or FIELDS, id).select(F.explode(F.array_distinct("words")).alias("token")).distinct()
+    return own.withColumn("stem", stem("token"))
+
+
+def postings(rows: DataFrame, fields: list[str] | None = None, id: str = "id", stemmed: bool = True) -> DataFrame:
     """One row per token occurrence, positions from 0 in each field."""
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields)))
-    flat = rows.select(id, each.alias("f")).select(id, "f.field", "f.words")
-    words = stems("words") if stemmed else F.col("words")
-    return flat.select("field", id, F.posexplode(words).alias("pos", "token")).select("field", "token", id, "pos")
+    found = _lists(rows, fields or FIELDS, id).select("field", id, F.posexplode("words").alias("pos", "token"))
+    if stemmed:
+        known = vocabulary(rows, fields, id)
+        known = F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known
+        found = found.join(known, "token").withColumn("token", F.col("stem"))
+    return found.select("field", "token", id, "pos")
 
 
-def query_terms(spark: SparkSession, query: str, stemmed: bool = False) -> list[str]:
+def query_terms(spark: SparkSession, query: str, stemmed: bool = True) -> list[str]:
     """Distinct terms of a query, tokenised like the text; quotes and stars are no operators."""
-    words = tokens(F.lit(query))
-    row = spark.range(1).select((stems(words) if stemmed else words).alias("w")).first()
-    return sorted(set(row["w"]))
+    row = spark.range(1).select(tokens(F.lit(query)).alias("w")).first()
+    return sorted({porter_stem(w) if stemmed else w for w in row["w"]})
+
+
+def _all_terms(hits: DataFrame, terms: list[str], id: str) -> DataFrame:
+    return hits.groupBy(id).agg(F.count_distinct("token").alias("n"), F.count(F.lit(1)).alias("hits")).filter(F.col("n") == len(terms)).select(id, "hits")
+
+
+def prefix(stemmed: str) -> str:
+    """What every word with this stem begins with: the rules rewrite no more than a stem's last letter."""
+    return stemmed[: max(1, min(3, len(stemmed) - 1))]
 
 
 def match(found: DataFrame, terms: list[str], field: str | None = None, id: str = "id") -> DataFrame:
-    """Ids that have every term, in any field or in one."""
+    """Ids of postings that have every term, in any field or in one."""
     hit = found.filter(F.col("token").isin(terms))
-    hit = hit.filter(F.col("field") == field) if field else hit
-    return hit.groupBy(id).agg(F.count_distinct("token").alias("n"), F.count(F.lit(1)).alias("hits")).filter(F.col("n") == len(terms)).select(id, "hits")
+    return _all_terms(hit.filter(F.col("field") == field) if field else hit, terms, id)
+
+
+def search(rows: DataFrame, query: str, fields: list[str] | None = None, field: str | None = None, id: str = "id", stemmed: bool = True) -> DataFrame:
+    """(id, hits) of records that have every term of ``query``, without postings of anything else."""
+    terms = query_terms(rows.sparkSession, query, stemmed)
+    fields = [field] if field else fields or FIELDS
+    if not terms:
+        return rows.select(id, F.lit(0).cast("long").alias("hits")).limit(0)
+    lists = _lists(rows, fields, id)
+    if not stemmed:
+        wanted = F.filter("words", lambda w: w.isin(terms))
+        return _all_terms(lists.select(id, F.explode(wanted).alias("token")), terms, id)
+    begins = sorted({prefix(t) for t in terms})
+    like = lists.select(id, F.explode(F.filter("words", lambda w: reduce(or_, (w.startswith(p) for p in begins)))).alias("word"))
+    known = like.select("word").distinct().withColumn("token", stem("word")).filter(F.col("token").isin(terms))
+    known = F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known
+    return _all_terms(like.join(known, "word"), terms, id)
+
+
+def search_page(rows: DataFrame, query: str, page: int = 1, size: int = PAGE_SIZE, id: str = "id", score: str = "quality_score", **how) -> DataFrame:
+    """A page of active records that match, most hits first, then by score and id; hits beside the records' columns."""
+    live = rows.filter("is_active")
+    found = live.join(search(live, query, id=id, **how), id)
+    return found.orderBy(F.desc("hits"), F.desc(score), id).offset((max(page, 1) - 1) * size).limit(size)
 
 
-def refresh(old: DataFrame, changed: DataFrame, fields: list[str], id: str = "id", stemmed: bool = False) -> DataFrame:
+def refresh(old: DataFrame, changed: DataFrame, fields: list[str] | None = None, id: str = "id", stemmed: bool = True) -> DataFrame:
     """Postings after records changed: theirs are replaced, all others stay."""
     return old.join(changed.select(id), id, "left_anti").select(*old.columns).unionByName(postings(changed, fields, id, stemmed))

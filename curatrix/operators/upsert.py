@@ -8,34 +8,72 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from curatrix.functions.text import slugify
+from curatrix.lineage import cut
 
 #: Rows of one chunk of a batch, and what a run may fail of.
 MAX_VARIABLES, COLUMNS, MAX_ERRORS = 900, 27, 20
-#: Columns of the catalog that a merge sets itself.
-MANAGED = ("slug", "first_seen_at", "last_seen_at", "enriched_at", "quality_score", "categories", "is_active", "inactive_reason")
+#: Records of keys with a rival for a slug that the driver settles; more are settled in rounds.
+CONTESTED = 50_000
 
 
-def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos: str = "pos") -> DataFrame:
+def insertions(edges: DataFrame, key: str, bound: int = CONTESTED) -> DataFrame:
+    """(key, _at): the record with which each new key is inserted, by the order of positions.
+
+    ``edges`` (key, slug, pos) has the first record of each new key for each slug. A record is inserted if its key was
+    not yet and no earlier record of another key took its slug; so a key that was rejected may come in under a later
+    name. Keys without a rival for any of their slugs come in at once. The others are settled in order on the driver
+    where there are at most ``bound`` of their records, else in rounds: each key asks for its earliest slug that is still
+    open to it, each slug takes its earliest asker, and who was not taken loses that slug.
+    """
+    rivals = edges.groupBy("slug").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("slug")
+    tied = edges.join(rivals, "slug", "left_semi").select(key).distinct()
+    first = lambda e: e.groupBy(key).agg(F.min("pos").alias("_at"))
+    free = first(edges.join(tied, key, "left_anti"))
+    rest = edges.join(tied, key, "left_semi").select("pos", key, "slug")
+    some = rest.limit(bound + 1).collect()
+    if len(some) <= bound:
+        taken, done = set(), {}
+        for at, name, slug in sorted(map(tuple, some)):
+            if name not in done and slug not in taken:
+                taken.add(slug)
+                done[name] = at
+        kinds = T.StructType([rest.schema[key], T.StructField("_at", rest.schema["pos"].dataType)])
+        return free.unionByName(rest.sparkSession.createDataFrame(list(done.items()), kinds))
+    while True:
+        rest = cut(rest)
+        asked = rest.groupBy(key).agg(F.min(F.struct("pos", "slug")).alias("_a")).select(key, "_a.pos", "_a.slug")
+        taken = asked.groupBy("slug").agg(F.min(F.struct("pos", key)).alias("_o")).select("slug", F.col(f"_o.{key}").alias("_owner"))
+        lost = cut(asked.join(taken, "slug").filter(F.col(key) != F.col("_owner")).select(key, "slug"))
+        if lost.isEmpty():
+            return free.unionByName(first(rest))
+        rest = rest.join(lost, [key, "slug"], "left_anti")
+
+
+def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos: str = "pos", bound: int = CONTESTED) -> DataFrame:
     """``batch`` (key, pos, name, content_hash, ...) with its outcome, by the batch's order.
 
-    A record is rejected when its slug belongs to another key: a stored one, or one that came earlier in the batch.
+    A record of a new key is rejected when its slug belongs to another key: a stored one, or one that came earlier in the
+    batch. The key's next record tries again, with its own name.
     """
     held = stored.select(F.col(key), F.col("content_hash").alias("_stored"), F.col("slug").alias("_slug"))
     rows = batch.withColumn("_own_slug", slugify(F.col("name"))).join(held, key, "left")
     order = Window.partitionBy(key).orderBy(pos)
     rows = rows.withColumn("_before", F.coalesce(F.lag("content_hash").over(order), F.col("_stored")))
     fresh = F.col("_stored").isNull()
-    # Only keys that are new insert a slug: their first record's.
-    rows = rows.withColumn("_first_slug", F.first("_own_slug").over(order))
-    taken = stored.select(F.col("slug").alias("_first_slug"), F.lit(True).alias("_taken")).distinct()
-    inserts = rows.filter(fresh & F.col("_before").isNull()).groupBy("_first_slug").agg(F.min_by(key, pos).alias("_owner"))
-    rows = rows.join(taken, "_first_slug", "left").join(inserts, "_first_slug", "left")
-    rejected = fresh & (F.coalesce(F.col("_taken"), F.lit(False)) | (F.col("_owner") != F.col(key)))
-    outcome = F.when(rejected, "rejected").when(F.col("_before").isNull(), "inserted").when(F.col("_before") == F.col("content_hash"), "unchanged").otherwise("updated")
-    return rows.withColumn("outcome", outcome).withColumn("slug", F.coalesce("_slug", "_first_slug")).drop("_own_slug", "_stored", "_slug", "_before", "_first_slug", "_taken", "_owner")
+    edges = rows.filter(fresh).groupBy(key, F.col("_own_slug").alias("slug")).agg(F.min(pos).alias("pos"))
+    edges = edges.join(stored.select("slug").distinct(), "slug", "left_anti")
+    rows = rows.join(insertions(edges, key, bound), key, "left")
+    rejected = fresh & F.coalesce(F.col(pos) < F.col("_at"), F.lit(True))
+    inserted = fresh & (F.col(pos) == F.col("_at"))
+    outcome = F.when(rejected, "rejected").when(inserted, "inserted").when(F.col("_before") == F.col("content_hash"), "unchanged").otherwise("updated")
+    # A record has the slug that it was refused, or that its key was inserted with.
+    own = F.max(F.when(inserted, F.col("_own_slug"))).over(Window.partitionBy(key))
+    slug = F.coalesce("_slug", F.when(rejected, F.col("_own_slug")).otherwise(own))
+    return rows.withColumn("outcome", outcome).withColumn("slug", slug).drop("_own_slug", "_stored", "_slug", "_before", "_at")
 
 
 def snapshot(batch: DataFrame, stored: DataFrame, now: str, content: list[str], key: str = "source_url", pos: str = "pos") -> DataFrame:
@@ -99,3 +137,11 @@ def exclude(batch: DataFrame, removed: DataFrame, key: str = "source_url") -> Da
 def fork_dedup(rows: DataFrame, hash: str, *order) -> DataFrame:
     """The first record of each content in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(hash).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def retired(rows: DataFrame, removed: DataFrame, hash: str, *order, key: str = "source_url") -> DataFrame:
+    """(key, reason): records on the removal list, and all but the preferred one of each content."""
+    gone = rows.join(removed.select(key), key, "left_semi").select(key, F.lit("removal_requested").alias("reason"))
+    left = exclude(rows, removed, key)
+    lost = left.join(fork_dedup(left, hash, *order).select(key), key, "left_anti").select(key, F.lit("superseded").alias("reason"))
+    return gone.unionByName(lost)

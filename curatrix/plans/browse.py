@@ -44,7 +44,7 @@ def paginate(spark, sf):
 
 
 def page_meta(spark, sf):
-    return B.page_meta(_rows(spark, sf).filter("kind IS NOT NULL"), 2)
+    return B.page_meta(_rows(spark, sf), 2)
 
 
 def clamp_args(spark, sf):
@@ -63,6 +63,21 @@ def enrich_queue(spark, sf):
     return B.enrich_queue(rows).select("id", "last_seen_at")
 
 
+def _scored(spark, sf):
+    """Records with the times of their last sighting and scoring, some of which are behind or missing."""
+    seen = T.last_seen(spark, sf).select(F.col("artifact_id").alias("id"), "last_seen_at", (F.col("artifact_id") % 6 != 0).alias("is_active"))
+    days = F.make_interval(days=(F.col("id") % 5).cast("int") - 2)
+    return seen.withColumn("enriched_at", F.when(F.col("id") % 4 != 0, F.col("last_seen_at").cast("timestamp") + days))
+
+
+def enrich_stale(spark, sf):
+    return B.stale_queue(_scored(spark, sf)).select("id", dates.iso(F.col("enriched_at")).alias("enriched_at"))
+
+
+def enrich_forced(spark, sf):
+    return B.stale_queue(_scored(spark, sf), force=True).select("id", dates.iso(F.col("enriched_at")).alias("enriched_at"))
+
+
 def count_by_kind(spark, sf):
     return B.count_by_kind(_rows(spark, sf))
 
@@ -84,7 +99,9 @@ def lock_decisions(spark, sf):
     e = T.read(spark, sf, "events").filter("event_type = 'signup'")
     locks = e.groupBy(F.concat(F.lit("lock-"), F.col("user_id").cast("string")).alias("name")).agg(F.max("ts").alias("m"))
     locks = locks.select("name", F.lit("holder@1").alias("holder"), (F.col("m").cast("timestamp") + F.expr("INTERVAL 1200 SECONDS")).alias("expires_at"))
-    asked = T.read(spark, sf, "customer").select(F.concat(F.lit("lock-"), F.col("c_custkey").cast("string")).alias("name"), F.lit("crawler@2").alias("holder"))
+    # Every third lock is asked for twice; the second request came first.
+    c = T.read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("lock-"), F.col("c_custkey").cast("string")).alias("name"))
+    asked = c.select("name", F.lit("crawler@2").alias("holder"), F.lit(2).alias("pos")).unionByName(c.filter("k % 3 = 0").select("name", F.lit("pruner@3").alias("holder"), F.lit(1).alias("pos")))
     out = B.lock_decisions(asked, locks, "2024-01-30 12:00:00")
     return out.withColumn("expires_at", dates.iso(F.col("expires_at")))
 
@@ -143,7 +160,7 @@ def degraded_banner(spark, sf):
 
 def landing_stats(spark, sf):
     rows, now = _rows(spark, sf), T.EVENTS_NOW
-    by_kind = B.count_by_kind(rows.filter("kind IS NOT NULL")).select(F.concat(F.lit("kind:"), F.col("kind")).alias("what"), "n")
+    by_kind = B.count_by_kind(rows).select(F.concat(F.lit("kind:"), F.coalesce("kind", F.lit("none"))).alias("what"), "n")
     live = B.active(rows).agg(F.count(F.lit(1)).alias("n")).select(F.lit("live").alias("what"), "n")
     due = B.due_sources(T.sources(spark, sf), now).agg(F.count(F.lit(1)).alias("n")).select(F.lit("due").alias("what"), "n")
     return by_kind.unionByName(live).unionByName(due)
@@ -205,7 +222,10 @@ _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 _KNOWN = "known AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in [*taxonomy.KINDS, taxonomy.UNCATEGORIZED, "empty"]) + "]) AS slug)"
 _RECOUNT = f"{WITH}, {_CATS}, {_KNOWN}, counted AS (SELECT k.slug, count(c.slug) AS recount FROM known k LEFT JOIN (SELECT unnest(categories) AS slug FROM categorized WHERE is_active) c ON c.slug = k.slug GROUP BY k.slug)"
 
-QUERIES = {f.__name__: f for f in [active_filter, filter_isin, point_lookup, top_by_kind, top_all, paginate, page_meta, clamp_args, recent_feed, enrich_queue, count_by_kind, live_count, due_sources, stamp_due, lock_decisions, map_categories, example_signals, taxonomy_recount, drift_corrected, source_health, monthly_rollup, pulse_guards, click_counts, degraded_banner, landing_stats, list_categories, taxonomy_like, sitemap, detail_page, click_redirects, health_rollup]}
+_SCORED = """WITH s AS (SELECT o_custkey AS id, max(o_orderdate)::TIMESTAMP AS m, CASE WHEN o_custkey % 4 <> 0 THEN max(o_orderdate)::TIMESTAMP + to_days((o_custkey % 5 - 2)::INT) END AS e
+  FROM orders WHERE o_custkey % 6 <> 0 GROUP BY o_custkey) """
+
+QUERIES = {f.__name__: f for f in [active_filter, filter_isin, point_lookup, top_by_kind, top_all, paginate, page_meta, clamp_args, recent_feed, enrich_queue, enrich_stale, enrich_forced, count_by_kind, live_count, due_sources, stamp_due, lock_decisions, map_categories, example_signals, taxonomy_recount, drift_corrected, source_health, monthly_rollup, pulse_guards, click_counts, degraded_banner, landing_stats, list_categories, taxonomy_like, sitemap, detail_page, click_redirects, health_rollup]}
 
 ORACLE = {
     "active_filter": WITH + TOP,
@@ -214,17 +234,20 @@ ORACLE = {
     "top_by_kind": WITH + TOP + " AND kind = 'skill' ORDER BY quality_score DESC, id LIMIT 24",
     "top_all": WITH + TOP + " ORDER BY quality_score DESC, id LIMIT 24",
     "paginate": WITH + TOP + " AND kind = 'mcp' ORDER BY quality_score DESC, id LIMIT 24 OFFSET 48",
-    "page_meta": WITH + "SELECT kind, count(*) AS total, ceil(count(*) / 24.0)::BIGINT AS pages, ceil(count(*) / 24.0) > 2 AS has_next, true AS has_prev FROM catalog WHERE is_active AND kind IS NOT NULL GROUP BY kind",
+    "page_meta": WITH + "SELECT kind, count(*) AS total, ceil(count(*) / 24.0)::BIGINT AS pages, ceil(count(*) / 24.0) > 2 AS has_next, true AS has_prev FROM catalog WHERE is_active GROUP BY kind",
     "clamp_args": "SELECT p_partkey, CASE WHEN p_size * 5 - 20 <= 0 THEN 24 ELSE least(p_size * 5 - 20, 100) END AS size, greatest(p_size * 5 - 50, 1) AS page FROM part",
     "recent_feed": "SELECT user_id AS id, max(ts) AS last_seen_at FROM events WHERE user_id % 7 <> 0 GROUP BY user_id ORDER BY last_seen_at DESC, id LIMIT 8",
     "enrich_queue": "SELECT d.doc_id AS id, n_chars AS last_seen_at FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL ORDER BY n_chars DESC, id LIMIT 100",
+    "enrich_stale": _SCORED + f"SELECT id, {_ISO.format('e')} AS enriched_at FROM s WHERE e IS NULL OR e < m ORDER BY e ASC NULLS FIRST, id LIMIT 100",
+    "enrich_forced": _SCORED + f"SELECT id, {_ISO.format('e')} AS enriched_at FROM s ORDER BY e ASC NULLS FIRST, id LIMIT 100",
     "count_by_kind": WITH + "SELECT kind, count(*) AS n FROM catalog WHERE is_active GROUP BY kind",
     "live_count": WITH + "SELECT count(*) AS live FROM catalog WHERE is_active",
     "due_sources": f"WITH {T.SOURCES_SQL} SELECT id, locator, {_ISO.format('last_run_at')} AS last_run_at FROM (SELECT * FROM sources WHERE {_DUE} ORDER BY last_run_at ASC NULLS FIRST, id LIMIT 100)",
     "stamp_due": f"WITH {T.SOURCES_SQL}, due AS (SELECT id FROM sources WHERE {_DUE} ORDER BY last_run_at ASC NULLS FIRST, id LIMIT 100) SELECT id, {_ISO.format("CASE WHEN id IN (SELECT id FROM due) THEN TIMESTAMP '2024-01-31 00:00:00' ELSE last_run_at END")} AS last_run_at FROM sources",
     "lock_decisions": f"""WITH locks AS (SELECT 'lock-' || user_id AS name, max(ts) + INTERVAL 1200 SECOND AS u FROM events WHERE event_type = 'signup' GROUP BY user_id),
-      asked AS (SELECT 'lock-' || c_custkey AS name, u, coalesce(u <= TIMESTAMP '2024-01-30 12:00:00', true) AS acquired FROM customer LEFT JOIN locks ON locks.name = 'lock-' || c_custkey)
-      SELECT name, 'crawler@2' AS holder, acquired, CASE WHEN NOT acquired THEN 'holder@1' END AS blocked_by, {_ISO.format("CASE WHEN acquired THEN TIMESTAMP '2024-01-30 12:20:00' ELSE u END")} AS expires_at FROM asked""",
+      asked AS (SELECT c_custkey, 'crawler@2' AS holder, 2 AS pos FROM customer UNION ALL SELECT c_custkey, 'pruner@3', 1 FROM customer WHERE c_custkey % 3 = 0),
+      met AS (SELECT 'lock-' || c_custkey AS name, holder, pos, u, coalesce(u <= TIMESTAMP '2024-01-30 12:00:00', true) AS free, row_number() OVER (PARTITION BY c_custkey ORDER BY pos) AS turn FROM asked LEFT JOIN locks ON locks.name = 'lock-' || c_custkey)
+      SELECT name, holder, pos, free AND turn = 1 AS acquired, CASE WHEN NOT free THEN 'holder@1' WHEN turn > 1 THEN 'pruner@3' END AS blocked_by, {_ISO.format("CASE WHEN free THEN TIMESTAMP '2024-01-30 12:20:00' ELSE u END")} AS expires_at FROM met""",
     "map_categories": f"{WITH}, {_CATS} SELECT id, array_to_string(categories, ',') AS categories FROM categorized",
     "example_signals": f"{WITH}, found AS (SELECT id, list_concat(list_filter(list_transform(tags, lambda t: lower(t)), lambda t: t IN ({_EXAMPLE})), list_filter(install_target, lambda t: t IN ({_EXAMPLE_T}))) AS f FROM catalog) SELECT id, coalesce(array_to_string({_ORDERED.format('f')}, ','), '') AS signals FROM found",
     "taxonomy_recount": f"{_RECOUNT} SELECT slug, recount FROM counted",
@@ -236,7 +259,7 @@ ORACLE = {
     "pulse_guards": f"WITH {T.RUNS_SQL}, p AS (SELECT strftime(started_at, '%Y-%m-%d') AS pulse, sum(accepted)::BIGINT AS accepted, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1) SELECT *, accepted >= 1 AND failed < 3 AS healthy FROM p",
     "click_counts": "SELECT user_id AS artifact_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY user_id",
     "degraded_banner": f"WITH {T.RUNS_SQL}, l AS (SELECT max(started_at) AS m FROM runs WHERE status <> 'failed') SELECT {_ISO.format('m')} AS last_pulse, m < TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 48 HOUR AS degraded FROM l",
-    "landing_stats": f"{WITH}, {T.SOURCES_SQL} SELECT 'kind:' || kind AS what, count(*) AS n FROM catalog WHERE is_active AND kind IS NOT NULL GROUP BY kind UNION ALL SELECT 'live', count(*) FROM catalog WHERE is_active UNION ALL SELECT 'due', least(count(*), 100) FROM sources WHERE {_DUE}",
+    "landing_stats": f"{WITH}, {T.SOURCES_SQL} SELECT 'kind:' || coalesce(kind, 'none') AS what, count(*) AS n FROM catalog WHERE is_active GROUP BY kind UNION ALL SELECT 'live', count(*) FROM catalog WHERE is_active UNION ALL SELECT 'due', least(count(*), 100) FROM sources WHERE {_DUE}",
     "list_categories": f"{_RECOUNT} SELECT slug, 300 AS artifact_count, recount FROM counted ORDER BY slug",
     "taxonomy_like": f"{WITH}, {_CATS} SELECT slug, count(id) AS recount FROM (SELECT unnest(['skill', 'mcp', 'ruleset', 'subagent', 'command', 'SKILL', 'm']) AS slug) k LEFT JOIN categorized c ON c.is_active AND array_to_string(c.categories, ',') ILIKE '%' || slug || '%' GROUP BY slug",
     "sitemap": f"{WITH} SELECT '/artifact/' || {T.SLUG_SQL.format("(name || '-' || id)")} AS loc FROM catalog WHERE is_active",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import validate
 from curatrix.functions.taxonomy import KINDS
 from curatrix.operators import search, upsert
+from curatrix.plans import stem_sql
 from curatrix.plans import tables as T
 from curatrix.plans.scoring import U16_SQL
 
@@ -107,36 +108,56 @@ def fork_dedup(spark, sf):
     return upsert.fork_dedup(c, "content_hash", F.col("seen"), F.desc("stars"), F.col("id")).select("id", "content_hash")
 
 
-FIELDS = ["name", "author", "description"]
+def _searched(spark, sf):
+    """Records with the searched columns, and what a page shows; every seventh is not active."""
+    c = T.corpus(spark, sf).withColumn("tags", F.array("kind", "author"))
+    return c.select("id", *search.FIELDS, (F.col("id") % 7 != 0).alias("is_active"), (F.col("id") % 13).alias("quality_score"))
 
 
 def fts_match(spark, sf):
-    found = search.postings(T.corpus(spark, sf), FIELDS)
-    return search.match(found, search.query_terms(spark, 'the "THÉ" of*'))
+    return search.search(_searched(spark, sf), 'the "RIGHTS" reserving*')
+
+
+def fts_unstemmed(spark, sf):
+    return search.search(_searched(spark, sf), 'the "THÉ" of*', stemmed=False)
 
 
 def fts_column_match(spark, sf):
-    found = search.postings(T.corpus(spark, sf), FIELDS)
-    return search.match(found, search.query_terms(spark, "the"), "name")
+    return search.search(_searched(spark, sf), "the", field="name")
+
+
+def fts_page(spark, sf):
+    """The second page of active records for a term, joined back to their columns."""
+    return search.search_page(_searched(spark, sf), "the", page=2).select("id", "hits", "quality_score", F.sha2("name", 256).alias("name_sha256"))
 
 
 def fts_postings(spark, sf):
-    found = search.postings(T.corpus(spark, sf), FIELDS)
+    found = search.postings(_searched(spark, sf))
     return found.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("docs"))
 
 
-def fts_stemmed(spark, sf):
-    """Stemmed search; SQL has no stemmer, so the tests hold it against the tokens one by one."""
-    found = search.postings(T.corpus(spark, sf), FIELDS, stemmed=True)
-    return search.match(found, search.query_terms(spark, "rights reserved", stemmed=True))
+def fts_vocabulary(spark, sf):
+    return search.vocabulary(_searched(spark, sf))
+
+
+def retired_reasons(spark, sf):
+    """Records that were asked to be removed, and copies of a preferred one."""
+    rows = T.corpus(spark, sf).withColumn("source_url", F.concat(F.lit("https://docs.example.com/at/"), F.col("id").cast("string")))
+    removed = rows.filter("id % 50 = 7").select("source_url")
+    return upsert.retired(rows, removed, "content_hash", F.col("id"))
 
 
-_BASE = f"WITH {T.CORPUS_SQL}, {T.STORED_SQL}, {T.BATCH_SQL}"
+_BASE = f"WITH RECURSIVE {T.CORPUS_SQL}, {T.STORED_SQL}, {T.BATCH_SQL}"
+#: New keys' records one after the other: a record comes in if its key has not and its slug is free.
+_GREEDY = """f AS (SELECT source_url, own, pos, row_number() OVER (ORDER BY pos) AS k FROM r WHERE sh IS NULL AND own NOT IN (SELECT slug FROM stored)),
+  g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS slugs, []::VARCHAR[] AS urls, false AS ins UNION ALL
+    SELECT n, CASE WHEN ok THEN list_append(slugs, own) ELSE slugs END, CASE WHEN ok THEN list_append(urls, source_url) ELSE urls END, ok
+    FROM (SELECT slugs, urls, f.k AS n, own, source_url, NOT list_contains(slugs, own) AND NOT list_contains(urls, source_url) AS ok FROM g JOIN f ON f.k = g.k + 1)),
+  acc AS (SELECT f.source_url, f.pos AS came, f.own AS got FROM g JOIN f ON f.k = g.k WHERE ins)"""
 _OUT = f"""{_BASE}, r AS (SELECT b.*, s.content_hash AS sh, s.slug AS ss, {T.SLUG_SQL.format('b.name')} AS own FROM batch b LEFT JOIN stored s ON s.source_url = b.source_url),
-  r2 AS (SELECT *, coalesce(lag(content_hash) OVER w, sh) AS before, first_value(own) OVER w AS fs FROM r WINDOW w AS (PARTITION BY source_url ORDER BY pos)),
-  ins AS (SELECT fs, arg_min(source_url, pos) AS owner FROM r2 WHERE sh IS NULL AND before IS NULL GROUP BY fs),
-  done AS (SELECT r2.*, coalesce(ss, r2.fs) AS slug, CASE WHEN sh IS NULL AND (r2.fs IN (SELECT slug FROM stored) OR ins.owner <> source_url) THEN 'rejected'
-    WHEN before IS NULL THEN 'inserted' WHEN before = content_hash THEN 'unchanged' ELSE 'updated' END AS outcome FROM r2 LEFT JOIN ins ON ins.fs = r2.fs)"""
+  {_GREEDY}, r2 AS (SELECT r.*, came, got, coalesce(lag(content_hash) OVER (PARTITION BY r.source_url ORDER BY pos), sh) AS before FROM r LEFT JOIN acc ON acc.source_url = r.source_url),
+  done AS (SELECT *, coalesce(ss, CASE WHEN came IS NULL OR pos < came THEN own ELSE got END) AS slug, CASE WHEN sh IS NULL AND (came IS NULL OR pos < came) THEN 'rejected'
+    WHEN sh IS NULL AND pos = came THEN 'inserted' WHEN before = content_hash THEN 'unchanged' ELSE 'updated' END AS outcome FROM r2)"""
 _SNAP = f"""{_OUT}, l AS (SELECT source_url, bool_or(outcome <> 'unchanged') AS changed, arg_max({{'kind': kind, 'name': name, 'content_hash': content_hash, 'slug': slug}}, CASE WHEN outcome <> 'unchanged' THEN pos END) FILTER (outcome <> 'unchanged') AS n FROM done WHERE outcome <> 'rejected' GROUP BY 1),
   j AS (SELECT coalesce(s.source_url, l.source_url) AS url, s.* EXCLUDE (source_url), l.changed, coalesce(l.changed, false) AS new, l.changed IS NOT NULL AS seen, n FROM stored s FULL JOIN l ON l.source_url = s.source_url)"""
 _CHUNKS = f"""{_OUT}, c AS (SELECT kind, id // 33 AS chunk, count(*) AS attempted, count(*) FILTER (outcome <> 'rejected') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected,
@@ -154,10 +175,12 @@ _WIRE = f"""WITH {T.CORPUS_SQL}, w AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'pl
   UNION ALL SELECT id, 'install_target', 'unknown target "' || t || '"' FROM w, (SELECT unnest(['emacs', 'vim']) AS t) WHERE id % 31 = 0
   UNION ALL SELECT id, 'install_target', 'must be an array' FROM w WHERE id % 37 = 0 AND id % 31 <> 0
   UNION ALL SELECT id, 'stars', 'must be a non-negative finite number' FROM w WHERE id % 43 = 0) """
-_TOKENS = f"""WITH {T.CORPUS_SQL}, f AS (SELECT id, 'name' AS field, name AS t FROM corpus UNION ALL SELECT id, 'author', author FROM corpus UNION ALL SELECT id, 'description', description FROM corpus),
-  p AS (SELECT id, field, unnest(list_filter(regexp_split_to_array(translate(lower(t), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token FROM f) """
+_TOKENS = f"""WITH {T.CORPUS_SQL}, rows AS (SELECT id, name, summary, description, kind || ' ' || author AS tags, id % 7 <> 0 AS is_active, id % 13 AS quality_score FROM corpus),
+  f AS (SELECT id, unnest(['name', 'summary', 'description', 'tags']) AS field, unnest([name, summary, description, tags]) AS t FROM rows),
+  p AS (SELECT id, field, unnest(list_filter(regexp_split_to_array(strip_accents(lower(t)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS token FROM f)"""
+_STEMMED = f"{_TOKENS}, {stem_sql.stems('p')}, q AS (SELECT id, field, stem AS token FROM p JOIN stems ON stems.token = p.token)"
 
-QUERIES = {f.__name__: f for f in [upsert_outcomes, slug_collisions, ingest_report, upsert_snapshot, reactivation, chunk_ids, merge_outcomes, run_status, run_evidence, validation_issues, batch_verdict, exclusion_antijoin, fork_dedup, fts_match, fts_column_match, fts_postings, fts_stemmed]}
+QUERIES = {f.__name__: f for f in [upsert_outcomes, slug_collisions, ingest_report, upsert_snapshot, reactivation, chunk_ids, merge_outcomes, run_status, run_evidence, validation_issues, batch_verdict, exclusion_antijoin, fork_dedup, retired_reasons, fts_match, fts_unstemmed, fts_column_match, fts_page, fts_postings, fts_vocabulary]}
 
 ORACLE = {
     "upsert_outcomes": _OUT + " SELECT id, outcome FROM done",
@@ -175,7 +198,13 @@ ORACLE = {
     "batch_verdict": _WIRE + "SELECT b.batch, count(i.index) AS issues, count(i.index) = 0 AS accepted FROM (SELECT DISTINCT id // 10 AS batch FROM w) b LEFT JOIN issues i ON i.index // 10 = b.batch GROUP BY 1",
     "exclusion_antijoin": f"WITH {T.CORPUS_SQL} SELECT id, source_url FROM corpus WHERE source_url NOT IN (SELECT source_url FROM corpus WHERE id % 7 = 0)",
     "fork_dedup": f"WITH {T.CORPUS_SQL}, n AS (SELECT id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY id % 50, (id * 7919) % 1000 DESC, id) AS k FROM corpus) SELECT id, content_hash FROM n WHERE k = 1",
-    "fts_match": _TOKENS + "SELECT id, count(*) AS hits FROM p WHERE token IN ('the', 'of') GROUP BY id HAVING count(DISTINCT token) = 2",
-    "fts_column_match": _TOKENS + "SELECT id, count(*) AS hits FROM p WHERE token = 'the' AND field = 'name' GROUP BY id",
-    "fts_postings": _TOKENS + "SELECT field, token, count(*) AS n, count(DISTINCT id) AS docs FROM p GROUP BY 1, 2",
+    "retired_reasons": f"""WITH {T.CORPUS_SQL}, u AS (SELECT id, 'https://docs.example.com/at/' || id AS source_url, content_hash FROM corpus),
+      k AS (SELECT source_url, row_number() OVER (PARTITION BY content_hash ORDER BY id) AS k FROM u WHERE id % 50 <> 7)
+      SELECT source_url, 'removal_requested' AS reason FROM u WHERE id % 50 = 7 UNION ALL SELECT source_url, 'superseded' FROM k WHERE k > 1""",
+    "fts_match": _STEMMED + " SELECT id, count(*) AS hits FROM q WHERE token IN ('the', 'right', 'reserv') GROUP BY id HAVING count(DISTINCT token) = 3",
+    "fts_unstemmed": _TOKENS + " SELECT id, count(*) AS hits FROM p WHERE token IN ('the', 'of') GROUP BY id HAVING count(DISTINCT token) = 2",
+    "fts_column_match": _STEMMED + " SELECT id, count(*) AS hits FROM q WHERE token = 'the' AND field = 'name' GROUP BY id",
+    "fts_page": _STEMMED + ", h AS (SELECT id, count(*) AS hits FROM q WHERE token = 'the' GROUP BY id) SELECT h.id, hits, quality_score, sha256(name) AS name_sha256 FROM h JOIN rows ON rows.id = h.id WHERE is_active ORDER BY hits DESC, quality_score DESC, h.id LIMIT 24 OFFSET 24",
+    "fts_postings": _STEMMED + " SELECT field, token, count(*) AS n, count(DISTINCT id) AS docs FROM q GROUP BY 1, 2",
+    "fts_vocabulary": _STEMMED + " SELECT token, stem FROM stems",
 }

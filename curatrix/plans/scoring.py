@@ -130,10 +130,11 @@ def markdown_links(spark, sf):
 def robots_gate(spark, sf):
     p = T.read(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("path"))
     hosts = p.groupBy("host").agg(F.min("path").alias("denied"), F.max("path").alias("allowed"))
-    content = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *  # all\nDisallow: "), F.col("denied"), F.lit("\nAllow: "), F.col("allowed"), F.lit("\n"))
+    # Rules before any agent and those of an earlier group do not count.
+    content = F.concat(F.lit("Allow: /\nCrawl-delay: 9\nUser-agent: other\nDisallow: /\n# Disallow: /\n\nUser-agent: *  # all\nDisallow: "), F.col("denied"), F.lit("\nAllow: "), F.col("allowed"), F.lit("\ncrawl-delay: 2.5\nCrawl-delay: soon\n"))
     rules = hosts.select("host", documents.robots_rules(content).alias("rules"))
     ok = p.join(rules, "host", "left").filter(documents.robots_allowed(F.col("rules"), F.col("path")))
-    return ok.select("page_id", "host", "path")
+    return ok.select("page_id", "host", "path", F.col("rules.crawl_delay").alias("crawl_delay"))
 
 
 def fetch_backoff(spark, sf):
@@ -190,7 +191,7 @@ ORACLE = {
     "markdown_links": "SELECT page_id, 1 AS line, 'page' AS name, url FROM pages WHERE NOT regexp_matches(url, 'badge|img') UNION ALL SELECT page_id, 5, 'again', url || '/more' FROM pages WHERE NOT regexp_matches(url, 'badge|img')",
     "robots_gate": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages),
       r AS (SELECT host, min(path) AS denied, max(path) AS allowed FROM p GROUP BY host)
-      SELECT page_id, p.host, path FROM p JOIN r ON r.host = p.host WHERE path = allowed OR allowed = '/' OR NOT (path = denied OR denied = '/')""",
+      SELECT page_id, p.host, path, 2.5::DOUBLE AS crawl_delay FROM p JOIN r ON r.host = p.host WHERE path = allowed OR allowed = '/' OR NOT (path = denied OR denied = '/')""",
     "fetch_backoff": "SELECT event_id, least(500 * 2 ** (event_id % 10), 30000)::BIGINT AS backoff_ms FROM events",
 }
 from curatrix.plans import browse as _b  # noqa: E402

@@ -25,9 +25,39 @@ def _wire(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*(values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in ARTIFACT_FIELDS))
 
 
+def parsed(texts: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """Answers or requests held as JSON text in a column, with the schema's columns beside the others."""
+    return texts.withColumn("_json", F.from_json(column, schema)).select(*(c for c in texts.columns if c != column), "_json.*")
+
+
+def encoded(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with array columns as JSON text, as the catalog stores them; null is the empty array."""
+    return rows.withColumns({c: F.to_json(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))) for c in columns})
+
+
+def decoded(rows: DataFrame, *columns: str) -> DataFrame:
+    """The same columns as arrays of strings again; what is no JSON array is empty."""
+    kind = "array<string>"
+    return rows.withColumns({c: F.coalesce(F.from_json(c, kind), F.array().cast(kind)) for c in columns})
+
+
+def search_query(locator: Column) -> Column:
+    """owner/repo as a search for that repository's skill files; anything else is a query as it is."""
+    return F.when(locator.rlike("^[^/\\s:]+/[^/\\s:]+$"), F.concat(F.lit("repo:"), locator, F.lit(f" filename:{SKILL_FILE}"))).otherwise(locator)
+
+
+def _answers(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def code_search(spark: SparkSession, path: str, contents: DataFrame | None = None) -> DataFrame:
     """Skill files of recorded code searches. contents (repo_full_name, content) gives the name in the frontmatter."""
-    items = spark.read.schema(CODE_SEARCH).option("multiLine", True).json(path).select(F.explode("items").alias("i")).filter(F.col("i.path") == SKILL_FILE)
+    return code_search_records(_answers(spark, path, CODE_SEARCH), contents)
+
+
+def code_search_records(answers: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """The same of parsed answers (CODE_SEARCH)."""
+    items = answers.select(F.explode("items").alias("i")).filter(F.col("i.path") == SKILL_FILE)
     rows = items.select("i.html_url", F.col("i.repository.full_name").alias("repo_full_name"), F.col("i.repository.html_url").alias("homepage"))
     if contents is None:
         rows = rows.withColumn("content", F.lit(None).cast("string"))
@@ -45,7 +75,12 @@ def code_search(spark: SparkSession, path: str, contents: DataFrame | None = Non
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """Servers of recorded registry pages."""
-    s = spark.read.schema(REGISTRY).option("multiLine", True).json(path).select(F.explode(F.coalesce("servers", "items")).alias("s")).select("s.*")
+    return registry_records(_answers(spark, path, REGISTRY))
+
+
+def registry_records(answers: DataFrame) -> DataFrame:
+    """The same of parsed answers (REGISTRY)."""
+    s = answers.select(F.explode(F.coalesce("servers", "items")).alias("s")).select("s.*")
     tags = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     repo = F.when(filled(F.col("owner")).isNotNull() & filled(F.col("repo")).isNotNull(), F.concat_ws("/", "owner", "repo"))
     return _wire(
@@ -58,8 +93,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 def registry_cursor(spark: SparkSession, path: str) -> DataFrame:
     """Cursors to the pages after the recorded ones."""
-    p = spark.read.schema(REGISTRY).option("multiLine", True).json(path)
-    return p.select(filled(F.col("nextCursor"), F.col("next_page_cursor")).alias("cursor")).filter("cursor is not null")
+    return _answers(spark, path, REGISTRY).select(filled(F.col("nextCursor"), F.col("next_page_cursor")).alias("cursor")).filter("cursor is not null")
 
 
 def markdown_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -72,8 +106,18 @@ def markdown_list(spark: SparkSession, path: str, limit: int | None = None) -> D
 
 def ingest_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Recorded ingest requests: agent, source_id and each record with its index."""
-    b = spark.read.schema(INGEST_BODY).option("multiLine", True).json(path)
-    return b.select(F.input_file_name().alias("request"), "agent", "source_id", F.posexplode("artifacts").alias("index", "a")).select("request", "agent", "source_id", "index", "a.*")
+    return ingest_records(_answers(spark, path, INGEST_BODY).withColumn("request", F.input_file_name()))
+
+
+def ingest_records(requests: DataFrame) -> DataFrame:
+    """The records of parsed requests (request and INGEST_BODY)."""
+    return requests.select("request", "agent", "source_id", F.posexplode("artifacts").alias("index", "a")).select("request", "agent", "source_id", "index", "a.*")
+
+
+def with_defaults(records: DataFrame) -> DataFrame:
+    """Wire records as rows: missing lists are empty, missing counts 0; empty texts stay."""
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("tags", "install_target")}
+    return records.withColumns(lists | {c: F.coalesce(c, F.lit(0).cast(records.schema[c].dataType)) for c in ("stars", "forks")})
 
 
 def allowed(records: DataFrame, robots: DataFrame) -> DataFrame:

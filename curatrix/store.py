@@ -7,6 +7,7 @@ either version whole. All paths go through Hadoop's file system, so any store th
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 
@@ -38,16 +39,27 @@ class Store:
             stream.close()
 
     def _write_new(self, path, content: str) -> bool:
-        """Creates a file; False if it is there already."""
-        try:
-            stream = self._fs(path).create(path, False)
-        except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
+        """Creates a whole file at once; False if there is one already.
+
+        It is written under another name, then linked (local files) or renamed into place, of which a file system lets
+        one writer do. A store without an atomic rename needs a lock service instead.
+        """
+        fs = self._fs(path)
+        made = self._jvm.org.apache.hadoop.fs.Path(path.getParent().getParent(), f".{uuid.uuid4().hex}")
+        fs.mkdirs(path.getParent())
+        stream = fs.create(made, False)
         stream.write(bytearray(content.encode()))
         stream.close()
-        return True
+        try:
+            if fs.getScheme() == "file":
+                try:
+                    os.link(made.toUri().getPath(), path.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            return not fs.exists(path) and bool(fs.rename(made, path))
+        finally:
+            fs.delete(made, False)
 
     def version(self, table: str) -> int:
         """The current version; 0 before the first write."""
@@ -81,22 +93,31 @@ class Store:
     def log(self, table: str) -> DataFrame:
         return self.spark.read.parquet("/".join([self.root, table, "log"]))
 
+    def _lock(self, name: str) -> tuple[int, dict]:
+        """Number and content of a lock's last file; files are only added."""
+        numbers = [int(f) for f in self._list("_locks", name) if f.isdigit()]
+        if not numbers:
+            return 0, {"holder": None, "expires": 0.0}
+        return max(numbers), json.loads(self._read(self._path("_locks", name, f"{max(numbers):012d}")))
+
+    def _next_lock(self, name: str, number: int, holder: str | None, expires: float) -> bool:
+        content = json.dumps({"holder": holder, "expires": expires})
+        done = self._write_new(self._path("_locks", name, f"{number + 1:012d}"), content)
+        if done and number:  # the last file says all; one before it stays for readers that have just listed it
+            path = self._path("_locks", name, f"{number - 1:012d}")
+            self._fs(path).delete(path, False)
+        return done
+
     def acquire(self, name: str, holder: str, now: float | None = None, ttl: int = LOCK_SECONDS) -> bool:
-        """Takes a lock that is free or has ended (its last second counts as ended)."""
+        """Takes a lock that is free or has ended (its last second counts as ended). Of several that try, one does."""
         now = time.time() if now is None else now
-        path = self._path("_locks", name)
-        held = self._read(path)
-        if held and json.loads(held)["expires"] <= now:
-            self._fs(path).delete(path, False)
-        return self._write_new(path, json.dumps({"holder": holder, "expires": now + ttl}))
+        number, held = self._lock(name)
+        return held["expires"] <= now and self._next_lock(name, number, holder, now + ttl)
 
     def release(self, name: str, holder: str) -> bool:
         """Gives back a lock; only its holder can."""
-        path = self._path("_locks", name)
-        held = self._read(path)
-        if not held or json.loads(held)["holder"] != holder:
-            return False
-        return bool(self._fs(path).delete(path, False))
+        number, held = self._lock(name)
+        return held["holder"] == holder and self._next_lock(name, number, None, 0.0)
 
 
 def holder_id(agent: str, run: str | None = None) -> str:

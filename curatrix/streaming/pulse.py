@@ -35,8 +35,8 @@ FAILURES = "artifact_id long, run long, verdict string, checked_at timestamp"
 def failure_counters(checks: DataFrame, watermark: str = "90 days") -> DataFrame:
     """Consecutive transient observations of each record, with state that an ok resets.
 
-    checks (artifact_id, checked_at, id, http_status), with event time; one row per observation. State of records that
-    were not seen for the watermark's time ends.
+    checks (artifact_id, checked_at, id, http_status), with event time; one row per observation. State of a record ends
+    when the watermark has passed its last observation, so when the newest one of all is that much newer.
     """
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,10 +50,13 @@ def failure_counters(checks: DataFrame, watermark: str = "90 days") -> DataFrame
             run = 0 if v == "ok" else run + (v == "transient")
             out.append((key[0], run, v, at))
         state.update((run,))
+        # A timeout has to be behind the watermark.
+        last = int(rows["checked_at"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["artifact_id", "run", "verdict", "checked_at"])
 
     v = checks.withColumn("verdict", S.verdict(F.col("http_status"))).withWatermark("checked_at", watermark)
-    return v.groupBy("artifact_id").applyInPandasWithState(count, FAILURES, "run long", "append", GroupStateTimeout.NoTimeout)
+    return v.groupBy("artifact_id").applyInPandasWithState(count, FAILURES, "run long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_tally(checks: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -35,7 +35,7 @@ def duck():
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(PLAN_QUERIES) - set(PLAN_SQL) == {"fts_stemmed"}
+    assert set(PLAN_QUERIES) == set(PLAN_SQL)
 
 
 @needs_data
@@ -51,23 +51,6 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-@needs_data
-def test_stemmed_search(spark):
-    """Stemming finds what the stems of the tokens say, one token at a time."""
-    from curatrix.functions.stem import porter_stem
-    from curatrix.plans import ingest
-    from curatrix.plans import tables as T
-
-    found = ingest.search.postings(T.corpus(spark, DATA), ingest.FIELDS).collect()
-    terms = {porter_stem("rights"), porter_stem("reserved")}
-    by_id = {}
-    for r in found:
-        if (s := porter_stem(r["token"])) in terms:
-            by_id.setdefault(r["id"], []).append(s)
-    want = {i: len(s) for i, s in by_id.items() if set(s) == terms}
-    assert {r["id"]: r["hits"] for r in ingest.fts_stemmed(spark, DATA).collect()} == want
-
-
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

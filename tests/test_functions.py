@@ -131,10 +131,18 @@ def test_list_and_robots(spark):
     md = "# T\n- [a](https://x.org/a)\n- [b](https://img.shields.io/badge/b)\n- [c](anchor)\n* [d](https://x.org/d)\n- [e](/rel/e)\n"
     got = values(spark, [(md,)], "c string", documents.list_links(F.col("c")))[0][0]
     assert [(r["line"], r["name"], r["url"]) for r in got] == [(1, "a", "https://x.org/a"), (5, "e", "/rel/e")]
-    txt = "User-agent: a\nDisallow: /\nUser-agent: *\nDisallow: /p # no\nAllow: /q\n"
+    txt = "Allow: /p\nCrawl-delay: 3\nUser-agent: a\nDisallow: /\nCrawl-delay: 4\n \nUser-agent: *\r\n# Allow: /p\nDisallow:  /p \nAllow: /q\ncrawl-delay: x\n"
     rules = documents.robots_rules(F.col("c"))
     got = values(spark, [(txt, "/p"), (txt, "/q"), (txt, "/z"), (None, "/p")], "c string, p string", documents.robots_allowed(rules, F.col("p")))
     assert [g[0] for g in got] == [False, True, True, True]
+    early = [("Disallow: /\n",), ("User-agent:\nDisallow: /\n",), ("User-agent: *\nDisallow: /\n",)]
+    assert [g[0] for g in values(spark, early, "c string", documents.robots_allowed(rules, F.lit("/p")))] == [True, True, False]
+    assert [g[0]["crawl_delay"] for g in values(spark, [(txt,), ("User-agent: *\nCrawl-delay: 2.5",), ("Crawl-delay: 1",)], "c string", rules)] == [4.0, 2.5, None]
+
+
+def test_fold_accents(spark):
+    got = values(spark, [("Āā Őő šŞ é e\u0301 ñ",), ("plain",), (None,), ("й ά だ",)], "t string", text.fold_accents(F.col("t")))
+    assert [g[0] for g in got] == ["Aa Oo sS e e n", "plain", None, "й ά だ"]
 
 
 def test_validation(spark):

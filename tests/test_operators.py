@@ -128,8 +128,9 @@ def test_safety_ratio(spark, found, live, blocked):
 def test_rounded_ratio_and_dry_run(spark):
     assert checks.safety_ratio(spark.range(104), spark.range(1000), rounded=True).first()["blocked"] is False
     r = spark.createDataFrame([(1, "gone"), (2, None)], "artifact_id int, reason string")
-    assert [x["deactivate"] for x in checks.decisions(r, spark.range(100)).collect()] == [True]
-    assert [x["deactivate"] for x in checks.decisions(r, spark.range(100), dry_run=True).collect()] == [False]
+    assert [x["deactivate"] for x in checks.decisions(r, spark.range(100), dry_run=False).collect()] == [True]
+    assert [x["deactivate"] for x in checks.decisions(r, spark.range(9), dry_run=False).collect()] == [False]
+    assert [x["deactivate"] for x in checks.decisions(r, spark.range(100)).collect()] == [False]
 
 
 def test_trim(spark):
@@ -148,15 +149,38 @@ def test_recount_fixes_corruption(spark):
 
 
 def test_search(spark):
-    rows = spark.createDataFrame([(1, "Skill réunion", "running tests"), (2, "other", "another skill runs")], "id bigint, name string, summary string")
-    found = search.postings(rows, ["name", "summary"])
-    ids = lambda q, **k: sorted(r["id"] for r in search.match(found, search.query_terms(spark, q), **k).collect())
-    assert ids("skill") == [1, 2] and ids("skill", field="name") == [1] and ids('"another"* skill') == [2] and ids("REUNION") == [1]
-    stemmed = search.postings(rows, ["name", "summary"], stemmed=True)
-    assert sorted(r["id"] for r in search.match(stemmed, search.query_terms(spark, "run", stemmed=True)).collect()) == [1, 2]
-    changed = spark.createDataFrame([(2, "fresh", "text")], rows.schema)
-    found = search.refresh(found, changed, ["name", "summary"])
-    assert ids("skill") == [1] and ids("fresh") == [2]
+    rows = spark.createDataFrame([(1, "Skill réunion", "running tests", None, ["Ő"], True, 1), (2, "other", "another skill runs", "Āā šş", [], True, 2), (3, "skill", "x", "", None, False, 3)],
+        "id bigint, name string, summary string, description string, tags array<string>, is_active boolean, quality_score int")
+    found = search.postings(rows, stemmed=False)
+    ids = lambda q, **k: sorted(r["id"] for r in search.match(found, search.query_terms(spark, q, stemmed=False), **k).collect())
+    for plain in (False, True):
+        got = lambda q, **k: sorted(r["id"] for r in search.search(rows, q, stemmed=not plain, **k).collect())
+        assert got("skill") == [1, 2, 3] and got("skill", field="name") == [1, 3] and got('"another"* skill') == [2] and got("REUNION") == [1]
+        assert got("aa") == [2] and got("ss") == [2] and got("o") == [1] and got("nowhere") == got(" ,") == []
+    assert ids("skill") == [1, 2, 3] and ids("skill", field="name") == [1, 3]
+    stems = lambda q: sorted(r["id"] for r in search.search(rows, q).collect())
+    assert stems("run") == stems("running") == [1, 2] and stems("test") == [1] and stems("running skills") == [1, 2]
+    stemmed = search.postings(rows)
+    assert sorted(r["id"] for r in search.match(stemmed, search.query_terms(spark, "run")).collect()) == [1, 2]
+    page = search.search_page(rows, "skills").collect()
+    assert [(r["id"], r["hits"]) for r in page] == [(2, 1), (1, 1)] and search.search_page(rows, "skill", page=2).count() == 0
+    changed = spark.createDataFrame([(2, "fresh", "text", None, [], True, 1)], rows.schema)
+    found = search.refresh(found, changed, stemmed=False)
+    assert ids("skill") == [1, 3] and ids("fresh") == [2]
+    gone = rows.filter("id <> 2")  # a deleted record is not found
+    assert search.search(gone, "another").count() == 0
+
+
+def test_words_begin_like_their_stems():
+    import random
+
+    from curatrix.functions.stem import STEP2, STEP3, STEP4, porter_stem
+
+    r = random.Random(1)
+    ends = [*(e for e, _ in STEP2 + STEP3), *STEP4, "s", "ed", "ing", "eed", "ies", "sses", "y", "e", "ll", ""]
+    for _ in range(30_000):
+        w = "".join(r.choice("abeiouylstz") for _ in range(r.randint(1, 4))) + r.choice(ends) + r.choice(ends)
+        assert w.startswith(search.prefix(porter_stem(w))), w
 
 
 def test_store_and_lock(spark, tmp_path):
@@ -167,11 +191,96 @@ def test_store_and_lock(spark, tmp_path):
     assert s.read("t").count() == 2 and s.read("t", 1).count() == 3
     assert s.acquire("l", holder_id("a"), 100.0, 10) and not s.acquire("l", "b@1", 109.0, 10) and s.acquire("l", "b@1", 110.0, 10)
     assert not s.release("l", holder_id("a")) and s.release("l", "b@1") and s.acquire("l", "c@1", 111.0)
+    assert not s.release("l", "b@1") and not s.release("none", "b@1")
     s.append("log", spark.range(2))
     s.append("log", spark.range(2))
     assert s.log("log").count() == 4
 
 
+def test_one_of_many_takes_over(spark, tmp_path):
+    """Writers that all see an expired lock, or the same last version: one of them wins."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    s = Store(spark, str(tmp_path / "store"))
+    for turn in range(5):
+        assert s.acquire("l", "old", 100.0 * turn, 10)
+        start = Barrier(6)
+
+        def take(i, turn=turn, start=start):
+            start.wait()
+            return s.acquire("l", f"w{i}", 100.0 * turn + 10, 10)
+
+        with ThreadPoolExecutor(6) as pool:
+            assert sum(pool.map(take, range(6))) == 1
+    # Two that have read the same state: the second's file is there already.
+    number, _ = s._lock("l")
+    assert s._next_lock("l", number, "a", 1e9) and not s._next_lock("l", number, "b", 1e9) and s._lock("l")[1]["holder"] == "a"
+
+
+def test_lock_requests(spark):
+    asked = spark.createDataFrame([("free", "a", 2), ("free", "b", 1), ("held", "a", 1), ("ended", "a", 1), ("ended", "c", 3)], "name string, holder string, pos int")
+    locks = spark.createDataFrame([("held", "x", "2026-08-15 00:00:01"), ("ended", "x", NOW)], "name string, holder string, expires_at string")
+    got = {(r["name"], r["holder"]): (r["acquired"], r["blocked_by"]) for r in browse.lock_decisions(asked, locks, NOW).collect()}
+    assert got == {("free", "a"): (False, "b"), ("free", "b"): (True, None), ("held", "a"): (False, "x"), ("ended", "a"): (True, None), ("ended", "c"): (False, "a")}
+
+
+def test_stale_queue(spark):
+    rows = spark.createDataFrame([(1, None, 5, True), (2, 4, 5, True), (3, 5, 5, True), (4, 1, 5, False), (5, 3, None, True)], "id int, enriched_at int, last_seen_at int, is_active boolean")
+    assert [r["id"] for r in browse.stale_queue(rows).collect()] == [1, 2]
+    assert [r["id"] for r in browse.stale_queue(rows, force=True).collect()] == [1, 5, 2, 3]
+
+
+def test_sentinel(spark):
+    due = spark.createDataFrame([(1, 200), (2, 404), (3, 503), (3, None)], "artifact_id int, http_status int")
+    appended, report = checks.sentinel(due, spark.range(20), NOW)
+    assert sorted((r["artifact_id"], r["http_status"] or 0) for r in appended.collect()) == [(2, 404), (3, 0), (3, 503)]
+    assert tuple(report.first()) == (4, 1, 3, False) and checks.sentinel(due, spark.range(9), NOW)[1].first()["blocked"] and not checks.sentinel(due, spark.range(0), NOW)[1].first()["blocked"]
+
+
+def greedy(records, stored):
+    """Outcomes one record at a time, as a loop over the batch has them."""
+    hashes, slugs, out = dict.fromkeys(()), {s for s, _ in stored.values()}, []
+    hashes.update({k: h for k, (_, h) in stored.items()})
+    for key, name, h in records:
+        if key not in hashes:
+            if name in slugs:
+                out.append("rejected")
+                continue
+            slugs.add(name)
+            out.append("inserted")
+        else:
+            out.append("unchanged" if hashes[key] == h else "updated")
+        hashes[key] = h
+    return out
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_rejected_keys_try_again(spark, tmp_path, bound):
+    import random
+
+    r = random.Random(7)
+    records = [("a", "x", "1"), ("b", "x", "2"), ("b", "y", "3"), ("c", "y", "4"), ("c", "x", "4"), ("c", "z", "5"), ("c", "x", "6"), ("d", "kept", "7"), ("d", "w", "8"), ("s", "other", "9")]
+    records += [(f"k{r.randrange(40)}", f"n{r.randrange(25)}", str(r.randrange(3))) for _ in range(200)]
+    stored = {"s": ("kept", "9")}
+    held = spark.createDataFrame([(k, s, s, h, None, None, None, 1, [], True, None) for k, (s, h) in stored.items()], STORED)
+    done = upsert.outcomes(batch(spark, records), held, bound=bound).orderBy("pos").collect()
+    assert [x["outcome"] for x in done] == greedy(records, stored)
+    kept = {}
+    for x in done:
+        if x["outcome"] == "rejected":
+            assert x["slug"] == x["name"]
+        else:
+            assert kept.setdefault(x["source_url"], x["slug"]) == x["slug"]
+    assert len(set(kept.values())) == len(kept) and upsert.outcomes(batch(spark, []), held).count() == 0
+
+
+def test_retired(spark):
+    rows = spark.createDataFrame([("a", "1", 1), ("b", "1", 2), ("c", "2", 3), ("d", "2", 4)], "source_url string, h string, n int")
+    gone = spark.createDataFrame([("c",)], "source_url string")
+    assert {(r[0], r[1]) for r in upsert.retired(rows, gone, "h", "n").collect()} == {("c", "removal_requested"), ("b", "superseded")}
+
+
 def test_expectations(spark):
     rows = spark.createDataFrame([("skill", True, None), ("plugin", False, None)], "kind string, is_active boolean, inactive_reason string")
     assert {r["constraint"]: r["rows"] for r in violations(rows, "artifacts").collect()} == {"kind": 1, "inactive needs a reason": 1}
@@ -195,6 +304,13 @@ def test_feeds(spark, tmp_path):
     assert [r["name"] for r in feeds.allowed(feeds.markdown_list(spark, str(tmp_path / "list.md")), robots).collect()] == ["b"]
     (tmp_path / "body.json").write_text(json.dumps({"agent": "crawler", "source_id": 1, "artifacts": [{"kind": "skill", "name": "n", "source_url": "https://x.org"}]}))
     assert feeds.ingest_bodies(spark, str(tmp_path / "body.json")).select("agent", "index", "name").collect() == [("crawler", 0, "n")]
+    q = spark.createDataFrame([("o/r",), ("path:skills a/b",), ("free text",)], "l string")
+    assert [r[0] for r in q.select(feeds.search_query(F.col("l"))).collect()] == ["repo:o/r filename:SKILL.md", "path:skills a/b", "free text"]
+    lists = spark.createDataFrame([(["a", 'b"c'], ), ([],), (None,)], "tags array<string>")
+    stored = feeds.encoded(lists, "tags")
+    assert [r[0] for r in stored.collect()] == ['["a","b\\"c"]', "[]", "[]"]
+    assert [r[0] for r in feeds.decoded(stored, "tags").collect()] == [["a", 'b"c'], [], []]
+    assert feeds.decoded(spark.createDataFrame([("no json",), (None,)], "tags string"), "tags").collect() == [([],), ([],)]
     entries = spark.createDataFrame([("a", "ok", 3, 2, 1), ("b", "failed", 0, 0, 0)], "source string, status string, discovered int, accepted int, rejected int")
     assert tuple(feeds.harvest_report(entries).first()) == (2, 1, 3, 2, 1)
 
@@ -240,10 +356,11 @@ def test_registered_gates_have_their_default_limits(spark):
     from curatrix.plans import checks as plans
 
     sf = "/root/testdata/sf0.001"
-    rows = plans.QUERIES["prune_decisions_gated"](spark, sf).collect()
-    live = plans._seen(spark, sf).count()
-    assert rows and {r["deactivate"] for r in rows} == {100 * len(rows) <= 10 * live}
-    days = plans.QUERIES["circuit_breaker_default"](spark, sf).collect()
+    live, runs = plans._seen(spark, sf).count(), {}
+    for r in plans.QUERIES["prune_decisions"](spark, sf).collect():
+        runs.setdefault(r["run"], []).append(r["deactivate"])
+    assert set(runs["all"]) == {100 * len(runs["all"]) <= 10 * live} == {False} and set(runs["few"]) == {True} and set(runs["dry"]) == {False}
+    days = plans.QUERIES["circuit_breaker"](spark, sf).collect()
     assert days and all(r["tripped"] == (100 * r["failed"] > 40 * r["checked"]) for r in days)
 
 
@@ -258,6 +375,22 @@ def test_failure_counters_equal_batch(spark, tmp_path):
     assert last == want == {1: 1, 2: 2}
 
 
+def test_failure_counters_forget(spark, tmp_path):
+    """A record that was not seen for the watermark's time starts anew."""
+    t = dt.datetime(2026, 1, 1)
+    first = [(1, 1, t, 500), (2, 2, t, 500)]
+    later = [(3, 2, t + dt.timedelta(days=200), 500)]
+    last = [(4, 1, t + dt.timedelta(days=201), 500), (5, 2, t + dt.timedelta(days=201), 500)]
+    out = str(tmp_path / "in")
+    stream = spark.readStream.schema(CHECKS).option("maxFilesPerTrigger", 1).parquet(out + "/*")
+    for i, rows in enumerate((first, later, last)):
+        spark.createDataFrame(rows, CHECKS).coalesce(1).write.parquet(f"{out}/b{i}")
+        q = pulse.failure_counters(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+    got = {(r["artifact_id"], r["checked_at"].day): r["run"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1, 1] == 1 and got[1, 21] == 1 and got[2, 21] == got[2, 20] + 1
+
+
 def test_windowed_tally_and_replays(spark, tmp_path):
     c = observed(spark, {1: [200, 500], 2: [200]})
     c.unionByName(c).coalesce(1).write.parquet(str(tmp_path / "in"))
