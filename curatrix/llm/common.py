@@ -26,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session without it gets an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="curatrix-"))
         atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
@@ -68,10 +70,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Removes every scratch table that this driver has written; to be called when all results are stored."""
-    n = len(_roots)
-    while _roots:
+def scratch_mark() -> int:
+    """How much scratch there is now, for `drop_scratch`."""
+    return len(_roots)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Removes the scratch tables that this driver has written since a mark; to be called when what reads them is stored."""
+    n = len(_roots) - since
+    while len(_roots) > since:
         _delete(spark, _roots.pop())
     return n
 

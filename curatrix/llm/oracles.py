@@ -25,7 +25,7 @@ def jump_sharding(shards: int) -> str:
     return f"""WITH RECURSIVE {a}, {b}, {crc}, d AS (SELECT doc_id, coalesce(doc_id, 0) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
   c AS (SELECT doc_id, k, length(h) // 2 + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
     lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1])), 4294967295) AS text_crc32 FROM d, remainders),
-  p AS (SELECT c.*, s.shard, g.shard AS grown, ((c.k % 1000003 + 1000003) % 1000003) * 7919 % {SLICES} AS slice FROM c JOIN shard{shards} s ON s.k = c.k JOIN shard{shards + 1} g ON g.k = c.k)
+  p AS (SELECT c.*, s.shard, g.shard AS grown, (((c.k % 1000003 + 1000003) % 1000003) * 7919 + c.text_crc32) % {SLICES} AS slice FROM c JOIN shard{shards} s ON s.k = c.k JOIN shard{shards + 1} g ON g.k = c.k)
   SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY slice, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard FROM p"""
 
 
@@ -45,14 +45,14 @@ TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(6
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
   SELECT query_id, k::INT AS rank, vec_id, score FROM r WHERE k <= 20"""
 
-CHAT = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(t)),
+CHAT = """WITH c AS (SELECT 0 AS own, conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT 1, -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(t)),
   e AS (SELECT *, coalesce(role, '') AS r, length(replace(replace(replace(coalesce(role, ''), '\\', '\\\\'), chr(10), '\\n'), '<', '\\l')) AS lr,
     length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) AS lt FROM c)
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    sum(12 + lr + 1 + lt + 11)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+    sum(12 + lr + 1 + lt + 11)::BIGINT AS formatted_chars FROM e GROUP BY own, conv_id"""
 
 #: A kept piece, as hex text, without the bytes at its ends that are no whole character.
 WHOLE = "regexp_replace(regexp_replace({0}, '^(?:[89AB].)+', ''), '^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){{0,2}})$', '\\1')"

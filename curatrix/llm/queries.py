@@ -57,9 +57,11 @@ def op5_linmaxmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.control_conversation(spark))
-    turns = turns.withColumn("parts", chat.text_parts(F.coalesce("text", F.lit(""))))
-    out = chat.format_conversations(turns)
+    # The control conversation has a number of its own, whatever numbers the table has.
+    control = chat.control_conversation(spark).withColumn("own", F.lit(1))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").withColumn("own", F.lit(0)).unionByName(control)
+    turns = turns.withColumn("parts", chat.text_parts(F.coalesce("text", F.lit("")))).withColumn("conv", F.struct("own", "conv_id"))
+    out = chat.format_conversations(turns, "conv").withColumn("conv_id", F.col("conv.conv_id"))
     read = out.withColumn("_turns", chat.read_turns(F.col("formatted"))).withColumn("_loss", chat.masked_text(F.col("formatted"), F.col("loss_spans")))
     return read.select(
         "conv_id",
@@ -86,7 +88,7 @@ def op8_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    out = jumphash.assign_shards(docs, "doc_id", SHARDS, SHARDS + 1, ["text_crc32", "size"])
+    out = jumphash.assign_shards(docs, "doc_id", SHARDS, SHARDS + 1, ["text_crc32", "size"], spread="text_crc32")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

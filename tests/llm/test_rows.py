@@ -44,18 +44,22 @@ def test_jump_hash():
         jumphash.jump_hash(keys, 0)
 
 
-def test_op8(spark, tmp_path):
+@pytest.mark.parametrize("repeats", [20_000, 7])
+def test_op8(spark, tmp_path, monkeypatch, repeats):
     from curatrix.llm.queries import op8_jump_sharding
 
-    texts = [None, "", "é", "same", "same", *(f"t{i}" for i in range(500))]
-    ids = [*range(len(texts) - 2), None, 3]
-    sf = write(spark, tmp_path, "documents", [(i, t) for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string")
+    monkeypatch.setattr(jumphash, "REPEATS", repeats)
+    texts = [None, "", "é", "same", "same", *(f"t{i}" for i in range(500)), *["again"] * 60, "x" * 300_000, *(f"u{i}" for i in range(40))]
+    ids = [*range(505), *[None] * 60, 3, *[77] * 40]
+    sf = write(spark, tmp_path, "documents", [(i, t, "s", 1) for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string, shard string, slot int")
     rows = op8_jump_sharding(spark, sf).collect()
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), jump(i or 0, 24), jump(i or 0, 25)) for i, t in zip(ids, texts, strict=True))
     assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in rows) == want
     for shard in range(24):
         slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
         assert slots == list(range(len(slots)))
+    # Rows of one key are dealt over the slices of its shard.
+    assert len({r["_slice"] for r in spark.createDataFrame([(77, c) for c in range(40)], "k bigint, c bigint").select(jumphash.slice_of(F.col("k"), F.col("c")).alias("_slice")).collect()}) == 40
     assert jumphash.assign_shards(spark.createDataFrame([], "doc_id bigint, shard string"), "doc_id", 4).count() == 0
 
 
