@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm import hyperminhash, packing, ppm_langid, rindex_dedup
-from curatrix.llm.common import Scratch, table
+from curatrix.llm.common import Scratch, drop_scratch, scratch_mark, table
 
 SHINGLE_WORDS = 5
 SIMILARITY = Fraction(4, 5)
@@ -110,8 +110,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each stage's output is written and read again as the next one's input."""
     scratch = Scratch(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.keep(docs, name)
-    return docs
+    before, mark = None, scratch_mark()
+    for name, stage in STAGES[:-1]:
+        after = scratch.keep(stage(spark, docs, sf_dir), name)
+        # What the stage wrote on its way, and its input, are not read again.
+        drop_scratch(spark, mark)
+        if before is not None:
+            scratch.drop(before)
+        docs = before = after
+    return STAGES[-1][1](spark, docs, sf_dir)
