@@ -8,7 +8,9 @@ template's own.
 
 Defined cases: a null text is empty; a null role is empty and never under the loss mask; unknown part types are kept as
 placeholders with no tokens; null parts are left out; turns with one number are ordered by role, then by what they say;
-null turn numbers come first; rows with a null conversation id form one conversation; an empty table gives no rows.
+null turn numbers come first; rows with a null conversation id form one conversation; repeated rows are turns each, in
+any order, as they say the same; very long texts are escaped whole; an empty table gives no rows; only the named columns
+are read, whatever the names of others. A conversation is one row, so it has to fit one task.
 """
 
 from __future__ import annotations

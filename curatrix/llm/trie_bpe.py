@@ -7,8 +7,9 @@ that end there (an Aho-Corasick automaton gives them), and a candidate is right
 the prefix before it. Two tokens may follow each other exactly when no merge across their border comes before the
 merges that build them.
 
-Defined cases: null text has no tokens; an empty table gives no rows; texts of any length are encoded whole, and
-memory is bounded by text chunks and a bounded word cache.
+Defined cases: null and empty texts have no tokens; null ids decode to the empty text; repeated rows get equal results;
+an empty table gives no rows; texts of any length are encoded whole, and memory is bounded by text chunks and a bounded
+word cache; columns named like the outputs are replaced, other columns do not matter.
 """
 
 from __future__ import annotations
