@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: HTTP codes and thresholds of the link checks.
 TERMINAL = [404, 410]
-TRANSIENT = [403, 429, 500, 502, 503, 504]
+TRANSIENT = [429, 403, 500, 502, 503, 504]
 UNREACHABLE_RUN = 3
 STALE_DAYS = 180
 

@@ -12,15 +12,23 @@ TAG_CATEGORY = {
     "testing": "skill",
     "quality": "skill",
     "deployment": "skill",
+    "mcp": "mcp",
+    "server": "mcp",
     "integration": "skill",
     "framework": "skill",
     "cli": "skill",
     "api": "skill",
-    "mcp": "mcp",
-    "server": "mcp",
 }
 TARGETS = ["claude-code", "claude-desktop", "cursor", "opencode", "windsurf", "zed", "continue", "generic"]
-TARGET_CATEGORY = {t: "skill" for t in TARGETS if t != "claude-desktop"}
+TARGET_CATEGORY = {
+    "claude-code": "skill",
+    "cursor": "skill",
+    "opencode": "skill",
+    "windsurf": "skill",
+    "zed": "skill",
+    "continue": "skill",
+    "generic": "skill",
+}
 EXAMPLE_TAGS = ["ci", "testing", "cli", "api", "framework", "library", "component", "bin", "tool"]
 EXAMPLE_TARGETS = ["claude-code", "cursor", "opencode", "windsurf"]
 UNCATEGORIZED = "uncategorized"

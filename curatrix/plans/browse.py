@@ -198,6 +198,14 @@ def click_redirects(spark, sf):
     return clicks.join(rows, "id").select("event_id", F.col("source_url").alias("location"))
 
 
+def ai_overlay(spark, sf):
+    from curatrix.operators.overlay import overlay
+
+    c = T.catalog(spark, sf).withColumn("summary", F.col("name")).select(*COLUMNS, "summary", "tags")
+    told = c.filter("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, F.concat(F.lit("about "), F.col("id").cast("string"))).alias("summary"), F.array(F.lit("cli"), F.lit("extra")).alias("tags"))
+    return overlay(c, told).select("id", "quality_score", "summary", F.array_join("tags", ",").alias("tags"))
+
+
 def health_rollup(spark, sf):
     from curatrix.operators.checks import failure_runs
 
@@ -225,7 +233,7 @@ _RECOUNT = f"{WITH}, {_CATS}, {_KNOWN}, counted AS (SELECT k.slug, count(c.slug)
 _SCORED = """WITH s AS (SELECT o_custkey AS id, max(o_orderdate)::TIMESTAMP AS m, CASE WHEN o_custkey % 4 <> 0 THEN max(o_orderdate)::TIMESTAMP + to_days((o_custkey % 5 - 2)::INT) END AS e
   FROM orders WHERE o_custkey % 6 <> 0 GROUP BY o_custkey) """
 
-QUERIES = {f.__name__: f for f in [active_filter, filter_isin, point_lookup, top_by_kind, top_all, paginate, page_meta, clamp_args, recent_feed, enrich_queue, enrich_stale, enrich_forced, count_by_kind, live_count, due_sources, stamp_due, lock_decisions, map_categories, example_signals, taxonomy_recount, drift_corrected, source_health, monthly_rollup, pulse_guards, click_counts, degraded_banner, landing_stats, list_categories, taxonomy_like, sitemap, detail_page, click_redirects, health_rollup]}
+QUERIES = {f.__name__: f for f in [active_filter, filter_isin, point_lookup, top_by_kind, top_all, paginate, page_meta, clamp_args, recent_feed, enrich_queue, enrich_stale, enrich_forced, count_by_kind, live_count, due_sources, stamp_due, lock_decisions, map_categories, example_signals, taxonomy_recount, drift_corrected, source_health, monthly_rollup, pulse_guards, click_counts, degraded_banner, landing_stats, list_categories, taxonomy_like, sitemap, detail_page, click_redirects, ai_overlay, health_rollup]}
 
 ORACLE = {
     "active_filter": WITH + TOP,
@@ -264,6 +272,7 @@ ORACLE = {
     "taxonomy_like": f"{WITH}, {_CATS} SELECT slug, count(id) AS recount FROM (SELECT unnest(['skill', 'mcp', 'ruleset', 'subagent', 'command', 'SKILL', 'm']) AS slug) k LEFT JOIN categorized c ON c.is_active AND array_to_string(c.categories, ',') ILIKE '%' || slug || '%' GROUP BY slug",
     "sitemap": f"{WITH} SELECT '/artifact/' || {T.SLUG_SQL.format("(name || '-' || id)")} AS loc FROM catalog WHERE is_active",
     "detail_page": f"{WITH}, {T.checks_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY checked_at DESC, id DESC) AS k FROM checks) SELECT c.id, name, quality_score, {_ISO.format('checked_at')} AS last_checked, http_status FROM catalog c LEFT JOIN n ON n.artifact_id = c.id AND k = 1 WHERE is_active",
+    "ai_overlay": f"{WITH} SELECT id, quality_score, CASE WHEN id % 6 = 0 THEN 'about ' || id ELSE name END AS summary, array_to_string(list_concat(tags, CASE WHEN id % 3 = 0 THEN list_filter(['cli', 'extra'], lambda x: NOT list_contains(tags, x)) ELSE [] END), ',') AS tags FROM catalog",
     "click_redirects": f"{WITH} SELECT event_id, source_url AS location FROM events JOIN catalog ON id = user_id WHERE event_type = 'click' AND is_active",
 }
 ORACLE["health_rollup"] = f"SELECT health, count(*) AS sources, max(consecutive_failures) AS worst FROM ({ORACLE['source_health']}) GROUP BY health"

@@ -275,6 +275,15 @@ def test_rejected_keys_try_again(spark, tmp_path, bound):
     assert len(set(kept.values())) == len(kept) and upsert.outcomes(batch(spark, []), held).count() == 0
 
 
+def test_overlay_only_adds(spark):
+    from curatrix.operators.overlay import overlay
+
+    rows = spark.createDataFrame([(1, "s", ["a"], 5), (2, None, None, 6), (3, "t", ["b"], 7)], "id int, summary string, tags array<string>, quality_score int")
+    told = spark.createDataFrame([(1, "better", ["a", "c"], 99), (2, " ", ["d"], 99), (9, "x", [], 1)], "id int, summary string, tags array<string>, quality_score int")
+    assert sorted(tuple(r) for r in overlay(rows, told).collect()) == [(1, "better", ["a", "c"], 5), (2, None, ["d"], 6), (3, "t", ["b"], 7)]
+    assert overlay(rows, None) is rows
+
+
 def test_retired(spark):
     rows = spark.createDataFrame([("a", "1", 1), ("b", "1", 2), ("c", "2", 3), ("d", "2", 4)], "source_url string, h string, n int")
     gone = spark.createDataFrame([("c",)], "source_url string")
