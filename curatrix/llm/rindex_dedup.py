@@ -7,19 +7,18 @@ Every byte under such a string is a repeated byte.
    hash. Windows that follow each other with one anchor in one place are a stretch. Equal windows have equal anchors at
    equal distances, so only stretches of one anchor's group can share windows, and none shares one with itself. Groups
    with a single stretch hold no repeat.
-2. Stretches with equal bytes are counted, before anything is moved; where there are several, all their windows repeat.
+2. The bytes of the stretches in such groups are cut out and counted, equal ones together, before they meet: a digest
+   names them, and the bytes beside it tell stretches with one digest apart.
 3. Groups of different stretches go, with the bytes of each different stretch once and the number of its copies, into
    run-length indexes: the Burrows-Wheeler transform of the stretches, its runs, and the text positions sampled at the
    runs' ends. The length of the longest match with the neighbour in suffix order is computed at the sampled positions
    only; walking through the text, it falls by one per byte until the next sample. Positions whose match reaches
-   ``length`` are repeats. A stretch with copies is its own neighbour, so all of it repeats; where a group has no other
-   stretch, that is known without its bytes.
+   ``length`` are repeats. In the transform of all copies, those of one stretch stand side by side and match to its
+   end; so their runs need not be made, and where a group has no other stretch, the index is the number of copies.
 4. A group with more than ``hot`` different stretches would not fit one index. Its stretches get anchors again, longer
    ones with another hash (`anchors`), and fall apart into groups of their own, from step 2 on. A stretch makes a few
    shorter ones, of which only those with company go on. The last anchor is a whole window, where step 2 decides.
 
-Equality of stretches in step 2 is that of 128-bit digests within one anchor's group; inside an index, bytes decide.
-
 Defined cases: a null text is empty and has no repeats; texts shorter than ``length`` have none; all copies of a
 repeated passage count, the first one too; equal texts of at least ``length`` bytes are repeated throughout; U+0000 is a
 byte as any other; texts of any length are worked on in pieces of bounded size; an empty table gives no rows; repeated
@@ -29,6 +28,7 @@ rows, also with a null key, give equal results; extra columns, whatever their na
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -253,42 +253,45 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-PLACED = "c1 long, c2 long, t1 long, t2 long, rid long, start long, windows long"
+#: Names the bytes of a stretch; what it says is checked against the bytes.
+digest = xxhash.xxh3_128_digest
+STRETCH = "key long, c1 long, c2 long, copies long, t1 long, t2 long, start long, windows long, part binary"
+
+
+def _stretch_rows(key: np.ndarray, cut: list[bytes], copies: pa.Array, t1: pa.Array, t2: pa.Array, start: pa.Array, windows: pa.Array) -> pa.RecordBatch:
+    wide = np.frombuffer(b"".join(digest(x) for x in cut), dtype=np.int64).reshape(-1, 2)
+    cols = [pa.array(key), *(pa.array(wide[:, i].copy()) for i in (0, 1)), copies, t1, t2, start, windows, pa.array(cut, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, [f.split(" ")[0] for f in STRETCH.split(", ")])
 
 
 def _occurrences(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Stretches of all rows (t1, t2, rid, text): anchor, digest of the content, place and number of windows."""
+    """Stretches of all rows (t1, t2, rid, text): anchor, place and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in row_chunks(batches, "text", 500_000):
-            texts = _bytes_of(b.column("text"))
-            row, start, count, key = stretches(texts, length, anchor)
-            digest = xxhash.xxh3_128_digest
-            content = b"".join(digest(texts[r][s : s + c + length - 1]) for r, s, c in zip(row.tolist(), start.tolist(), count.tolist(), strict=True))
-            wide = np.frombuffer(content, dtype=np.int64).reshape(-1, 2)
+            row, start, count, key = stretches(_bytes_of(b.column("text")), length, anchor)
             take = pa.array(row)
-            cols = [pa.array(key), *(pa.array(wide[:, i].copy()) for i in (0, 1)), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "c1", "c2", "t1", "t2", "rid", "start", "windows"])
+            cols = [pa.array(key), *(b.column(x).take(take) for x in ("t1", "t2", "rid")), pa.array(start.astype(np.int64)), pa.array(count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "t1", "t2", "rid", "start", "windows"])
 
-    return rows.select("t1", "t2", "rid", "text").mapInArrow(trimmed(run), f"key long, {PLACED}")
+    return rows.select("t1", "t2", "rid", "text").mapInArrow(trimmed(run), "key long, t1 long, t2 long, rid long, start long, windows long")
 
 
 def _cut_out(joined: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted stretches: rows of a text with its wanted list of (key, copies, hot, c1, c2, start, windows)."""
+    """Stretches with their bytes: rows of a text with its wanted list of (key, start, windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        names = ["key", "copies", "hot", "c1", "c2", "start", "windows"]
-        for b in row_chunks(batches, "text", 1_000_000):
+        for b in row_chunks(batches, "text", 500_000):
             texts, wanted = _bytes_of(b.column("text")), b.column("wanted")
             row = pa.array(np.repeat(np.arange(len(texts)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False)))
             flat = wanted.flatten()
-            cols = {n: flat.field(n) for n in names}
-            out = [texts[r][s : s + c + length - 1] for r, s, c in zip(row.to_pylist(), cols["start"].to_pylist(), cols["windows"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols.values(), b.column("t1").take(row), b.column("t2").take(row), pa.array(out, pa.binary())], [*names, "t1", "t2", "part"])
+            key, start, windows = (flat.field(n) for n in ("key", "start", "windows"))
+            cut = [texts[r][s : s + c + length - 1] for r, s, c in zip(row.to_pylist(), start.to_pylist(), windows.to_pylist(), strict=True)]
+            yield _stretch_rows(key.to_numpy(), cut, pa.array(np.ones(len(cut), dtype=np.int64)), b.column("t1").take(row), b.column("t2").take(row), start, windows)
 
-    return joined.mapInArrow(trimmed(run), "key long, copies long, hot boolean, c1 long, c2 long, start long, windows long, t1 long, t2 long, part binary")
+    return joined.mapInArrow(trimmed(run), STRETCH)
 
 
 def _by_index(parts: DataFrame, length: int) -> DataFrame:
@@ -333,42 +336,48 @@ def _again(parts: DataFrame, length: int, anchor: int) -> DataFrame:
             texts = b.column("part").to_pylist()
             row, start, count, key = stretches(texts, length, anchor, anchor)
             cut = [texts[r][s : s + c + length - 1] for r, s, c in zip(row.tolist(), start.tolist(), count.tolist(), strict=True)]
-            wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in cut), dtype=np.int64).reshape(-1, 2)
             take = pa.array(row)
             begin = pc.add(b.column("start").take(take), pa.array(start.astype(np.int64)))
-            cols = [pa.array(key), *(pa.array(wide[:, i].copy()) for i in (0, 1)), *(b.column(x).take(take) for x in ("copies", "t1", "t2")), begin, pa.array(count.astype(np.int64)), pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "c1", "c2", "copies", "t1", "t2", "start", "windows", "part"])
+            yield _stretch_rows(key, cut, *(b.column(x).take(take) for x in ("copies", "t1", "t2")), begin, pa.array(count.astype(np.int64)))
 
-    return parts.select("copies", "start", "t1", "t2", "part").mapInArrow(trimmed(run), "key long, c1 long, c2 long, copies long, t1 long, t2 long, start long, windows long, part binary")
+    return parts.select("copies", "start", "t1", "t2", "part").mapInArrow(trimmed(run), STRETCH)
 
 
-def _groups(contents: DataFrame) -> DataFrame:
-    """(key, m): anchors of several different stretches (key, copies), some of them without a copy."""
-    return contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).filter("m > 1 and fewest = 1").select("key", "m")
+def _contents(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``found`` (STRETCH) and its different stretches (key, c1, c2, copies, t1, t2, start, windows, part), one place each.
 
-
-def _hot_spans(parts: DataFrame, length: int, rounds: list[int], hot: int, scratch: Scratch) -> list[DataFrame]:
-    """Repeated windows (t1, t2, start, windows) of the groups in ``parts``, by longer anchors until no group is hot."""
-    out = []
-    for anchor in rounds:
-        found = scratch.keep(_again(parts, length, anchor), "again")
-        place = F.struct("t1", "t2", "start", "windows")
-        contents = found.groupBy("key", "c1", "c2").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
-        contents = scratch.keep(contents, "contents")
-        copied = contents.filter("copies > 1").select("key", "c1", "c2")
-        out.append(found.filter("copies = 1").join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows"))
-        if anchor == length:  # a stretch is one window, and its content has decided
-            break
-        groups = _groups(contents).withColumn("hot", F.col("m") > hot)
-        chosen = scratch.keep(contents.join(groups, "key").select("key", "c1", "c2", F.least("copies", F.lit(2)).alias("copies"), "hot", "at.*"), "chosen")
-        # The bytes of one stretch of each content.
-        names = ["key", "c1", "c2", "t1", "t2", "start", "windows"]
-        parts = scratch.keep(found.select(*names, "part").join(chosen, names), "parts")
-        out.append(_by_index(parts.filter("not hot"), length))
-        parts = parts.filter("hot")
-        if parts.isEmpty():
-            break
-    return out
+    Different bytes have different names (key, c1, c2) in both.
+    """
+    place = F.struct("t1", "t2", "start", "windows")
+    names = ["key", "c1", "c2"]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        out = rows.groupBy(*names, "part").agg(F.sum("copies").alias("copies"), F.min(place).alias("at"))
+        return scratch.keep(out.select(*names, "copies", "at.*", "part"), "contents")
+
+    contents = counted(found)
+    same = scratch.keep(contents.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names), "same-names")
+    if same.isEmpty():
+        return found, contents
+    own = scratch.keep(contents.join(same, names, "left_semi").select(*names, "part").withColumn("own", F.monotonically_increasing_id()), "own-names")
+    renamed = found.join(own, [*names, "part"], "left")
+    renamed = renamed.withColumn("c2", F.when(F.col("own").isNull(), F.col("c2")).otherwise(F.lit(-1))).withColumn("c1", F.coalesce("own", "c1")).select(*found.columns)
+    renamed = scratch.keep(renamed, "renamed")
+    return renamed, counted(renamed)
+
+
+def _decide(found: DataFrame, length: int, hot: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
+    """Repeated windows (t1, t2, start, windows) of the stretches ``found`` (STRETCH), and the stretches of hot groups."""
+    found, contents = _contents(found, scratch)
+    copied = contents.filter("copies > 1").select("key", "c1", "c2")
+    out = [found.filter("copies = 1").join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows")]
+    # Anchors of several different stretches, some of them without a copy.
+    groups = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).filter("m > 1 and fewest = 1")
+    mixed = contents.join(groups.select("key", (F.col("m") > hot).alias("hot")), "key").withColumn("copies", F.least("copies", F.lit(2).cast("long")))
+    mixed = scratch.keep(mixed, "mixed")
+    out.append(_by_index(mixed.filter("not hot"), length))
+    large = mixed.filter("hot")
+    return out, None if large.isEmpty() else large
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -380,22 +389,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     found = scratch.keep(_occurrences(rows, length, anchor), "stretches")
     # Kept as a table, so that the join below is between two plain exchanges, whose hot partitions Spark can split.
     several = scratch.keep(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "several")
-    shared = scratch.keep(found.join(several, "key", "left_semi"), "shared")
+    wanted = found.join(several, "key", "left_semi").groupBy("t1", "t2", "rid").agg(F.collect_set(F.struct("key", "start", "windows")).alias("wanted"))
+    spans, large = _decide(scratch.keep(_cut_out(rows.join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "text", "wanted"), length), "parts"), length, hot, scratch)
     scratch.drop(found)
-    place = F.struct("t1", "t2", "rid", "start", "windows")
-    contents = scratch.keep(shared.groupBy("key", "c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at")), "contents")
-    copied = contents.filter("copies > 1").select("key", "c1", "c2")
-    whole = shared.join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows")
-    groups = _groups(contents)
-    wanted = F.struct("key", F.least("copies", F.lit(2)).alias("copies"), (F.col("m") > hot).alias("hot"), "c1", "c2", "at.start", "at.windows")
-    wanted = contents.join(groups, "key").select("at.*", wanted.alias("w")).groupBy("t1", "t2", "rid").agg(F.collect_list("w").alias("wanted"))
-    joined = rows.join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "text", "wanted")
-    parts = scratch.keep(_cut_out(joined, length), "parts")
-    spans = whole.unionByName(_by_index(parts.filter("not hot"), length))
-    if longer and not parts.filter("hot").isEmpty():
-        for more in _hot_spans(parts.filter("hot").dropDuplicates(["key", "c1", "c2"]), length, longer, hot, scratch):
-            spans = spans.unionByName(more)
-    out = spans.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    for anchor in longer:
+        if large is None:
+            break
+        # With a whole window as the anchor, a stretch is one window, and equal bytes have decided.
+        more, large = _decide(scratch.keep(_again(large, length, anchor), "again"), length, hot, scratch)
+        spans += more
+    out = reduce(DataFrame.unionByName, spans).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     return scratch.keep(out, "spans")
 
 

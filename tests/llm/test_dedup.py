@@ -212,6 +212,13 @@ def test_nul_is_a_byte(spark, hot):
     assert removed(spark, texts, 400, hot=hot) == want and sum(w[1] > 0 for w in want) >= 4
 
 
+def test_bytes_tell_equal_digests_apart(spark, monkeypatch):
+    monkeypatch.setattr(rindex_dedup, "digest", lambda x: len(x).to_bytes(16, "little"))
+    texts = repeated_texts(60)
+    for hot in (4096, 1):
+        assert removed(spark, texts, 60, anchor=20, hot=hot) == brute_repeats([(t or "").encode() for t in texts], 60)
+
+
 def test_large_group_of_unlike_stretches(spark):
     """One string in 6000 texts, none of whose long windows repeats but those of a few pairs; rows stay few."""
     r = random.Random(5)
