@@ -52,6 +52,8 @@ BLOCK_SHINGLES = 500_000
 PIVOT_ROWS = 512
 #: Ids (8 bytes each) that may be broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Members of buckets (some 50 bytes each) that may be broadcast to the wide rows that they need.
+BROADCAST_MEMBERS = 400_000
 
 #: Bytes of text whose words are hashed at once.
 CHUNK_BYTES = 500_000
@@ -223,8 +225,8 @@ def sketch_documents(docs: DataFrame, width: int, key: str = "doc_id", text: str
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(trimmed(run), f"{key} long, n_shingles long, d1 long, d2 long, bands array<long>, shingles array<long>")
 
 
-def exact_keys(rep: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
-    """(id, key): of each set that has its shingles with it, the rarest ones as candidate keys.
+def exact_keys(rep: DataFrame, threshold: Fraction, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, key), and the tables that it reads: of each set that has its shingles with it, the rarest ones as candidate keys.
 
     ``rep`` has (id, n_shingles, d1, d2, shingles); rows that share an id can have several sets.
     """
@@ -235,7 +237,8 @@ def exact_keys(rep: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFra
     ranked = ranked.agg(F.array_sort(F.collect_set(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "key"))).alias("all"))
     first = F.expr(f"cast(n_shingles - (n_shingles * {p} + {q - 1}) div {q} + 1 as int)")
     # What only one set has meets no other.
-    return ranked.select("id", F.explode(F.slice("all", F.lit(1), first)).alias("s")).filter("s.often > 1").select("id", F.col("s.key").alias("key"))
+    keys = ranked.select("id", F.explode(F.slice("all", F.lit(1), first)).alias("s")).filter("s.often > 1").select("id", F.col("s.key").alias("key"))
+    return keys, [each, common]
 
 
 def _with_sketch(texts: DataFrame, width: int) -> DataFrame:
@@ -331,19 +334,25 @@ def group_links(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, sketch: np.n
     return out
 
 
-def _dealt(rows: DataFrame, sizes: DataFrame, payload: str) -> DataFrame:
-    """Members (key, id, component, payload) of buckets in pairs of blocks: (key, _i, _j, _own, id, component, payload).
+def _dealt(rows: DataFrame, payload: str) -> DataFrame:
+    """Members (key, id, component, payload, _main, _others, _mains) of buckets in pairs of blocks: (key, _i, _j, _own, id, component, payload).
 
     Blocks of the largest component come after the others and never meet each other.
     """
     main = F.col("component").eqNullSafe(F.col("_main"))
     own = F.when(main, F.col("_others") + F.pmod(F.xxhash64("id"), F.greatest("_mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("_others")))
     meets = F.when(main, F.col("_others")).otherwise(F.col("_others") + F.col("_mains"))
-    dealt = rows.join(sizes, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
+    dealt = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
     dealt = dealt.select("key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "component", payload)
     return dealt.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "_own", "id")
 
 
+def _fetched(rows: DataFrame, known: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (id, ...) with columns of ``known`` (id, ...), whose rows are wide and stay where they are if ``rows`` are few."""
+    few = rows.count() <= BROADCAST_MEMBERS
+    return known.select("id", *columns).join(F.broadcast(rows) if few else rows, "id")
+
+
 def _in_groups(batches: Iterator[pa.RecordBatch], payload: str, read: Callable, found: Callable) -> Iterator[pa.RecordBatch]:
     """``found`` of the members and the payloads (by ``read`` from a column) of each pair of blocks."""
     release()
@@ -362,8 +371,8 @@ def _in_groups(batches: Iterator[pa.RecordBatch], payload: str, read: Callable,
         yield found(group, held)
 
 
-def likely_members(rows: DataFrame, sizes: DataFrame, threshold: Fraction) -> DataFrame:
-    """(key, id) of members (key, id, component, n, sketch) whose sketch has a likely partner in another component."""
+def likely_members(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """Ids of members (as for `_dealt`, with n and sketch) whose sketch has a likely partner in another component."""
     known = rows.withColumn("known", F.concat(F.lpad(F.hex("n"), 16, "0").cast("binary"), F.col("sketch")))
 
     def found(group: list[tuple], held: list[bytes]) -> pa.RecordBatch:
@@ -383,7 +392,7 @@ def likely_members(rows: DataFrame, sizes: DataFrame, threshold: Fraction) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _in_groups(batches, "known", lambda c: c.to_pylist(), found)
 
-    return _dealt(known, sizes, "known").mapInArrow(trimmed(run), "id long").distinct()
+    return _dealt(known, "known").mapInArrow(trimmed(run), "id long").distinct()
 
 
 def bucket_links(rows: DataFrame, known: DataFrame, width: int, threshold: Fraction, scratch: Scratch) -> DataFrame:
@@ -405,13 +414,13 @@ def bucket_links(rows: DataFrame, known: DataFrame, width: int, threshold: Fract
         F.when(one, 1).otherwise(blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"))).cast("long").alias("_others"),
         F.when(one, 0).otherwise(blocks(F.col("m.c"), F.col("m.s"))).cast("long").alias("_mains"),
     )
-    sizes = scratch.keep(sizes, "blocks")
-    large = sizes.filter("_mains > 0")
+    sized = scratch.keep(rows.join(sizes, "key").drop("n"), "sized")
+    scratch.drop(rows)
+    large = sized.filter("_mains > 0")
     if not large.isEmpty():
-        of = rows.join(large.select("key"), "key", "left_semi")
-        likely = scratch.keep(likely_members(of.drop("n").join(known.select("id", "n", "sketch"), "id"), large, threshold), "likely")
-        rows = rows.join(large.select("key"), "key", "left_anti").unionByName(of.join(likely, "id", "left_semi").select(*rows.columns))
-    dealt = _dealt(rows.join(known.select("id", "text"), "id"), sizes, "text")
+        likely = scratch.keep(likely_members(_fetched(large, known, "n", "sketch"), threshold), "likely")
+        sized = sized.filter("_mains = 0").unionByName(large.join(likely, "id", "left_semi").select(*sized.columns))
+    dealt = _dealt(_fetched(sized, known, "text"), "text")
 
     def found(group: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
         ids, comp, own = (np.array(x, dtype=np.int64) for x in zip(*group, strict=True))
@@ -432,12 +441,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Fraction = Fract
     classes = scratch.keep(sk.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(key).alias("id")).filter("id is not null"), "classes")
     # Keys of one row of each class.
     rep = sk.filter("n_shingles > 0").join(classes.select("id").distinct(), F.col(key) == F.col("id"), "left_semi").withColumn("id", F.col(key))
-    rows = rep.select("id", F.explode("bands").alias("key")).unionByName(exact_keys(rep, threshold, scratch))
-    rows = scratch.keep(rows, "keys")
+    exact, read = exact_keys(rep, threshold, scratch)
+    rows = scratch.keep(rep.select("id", F.explode("bands").alias("key")).unionByName(exact), "keys")
+    scratch.drop(*read)
     # What is joined by key is kept as a table first: then the join is between two plain exchanges, whose hot
     # partitions Spark can split.
     count = scratch.keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     members = scratch.keep(rows.join(count, "key"), "members")
+    scratch.drop(rows)
     weight = members.groupBy("id").agg(F.sum("size").alias("w"))
     ranked = members.join(weight, "id").groupBy("key").agg((-F.max(F.struct("w", (-F.col("id")).alias("i")))["i"]).alias("a"))
     ranked = scratch.keep(ranked, "pivots")
