@@ -42,6 +42,8 @@ LEAST_COUNT = 48
 MOST_CONTEXTS = 16_384
 #: Keys (8 bytes) of sampled rows that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Strings with their counts that a task holds before it sends them on.
+HELD_GRAMS = 4_000_000
 PAD = b"\n" * ORDER
 _letters = re.compile(r"[^\W\d_]+").finditer
 
@@ -216,15 +218,32 @@ def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for (name, k), parts in held.items():
+                g, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                n = np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(np.full(len(g), k, dtype=np.int32)), pa.array(g), pa.array(n)], ["lang", "k", "gram", "n"])
+            held.clear()
+
         for b in row_chunks(batches, "_text", 1_000_000):
             by: dict[str, list[bytes]] = {}
             for name, said in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist(), strict=True):
                 by.setdefault(name, []).append(said.encode("utf-8", "replace"))
             for name, texts in by.items():
                 for k, (g, n) in enumerate(count_grams(texts)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(np.full(len(g), k, dtype=np.int32)), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "k", "gram", "n"])
-
-    grams = sample(usable, per_language, scratch).select("_lang", "_text").mapInArrow(trimmed(run), "lang string, k int, gram long, n long")
+                    held.setdefault((name, k), []).append((g, n))
+                    size += len(g)
+            if size > HELD_GRAMS:
+                yield from told()
+                size = 0
+        yield from told()
+
+    # The sample is small, however many parts a shuffle has: a few tasks count it, and so send each string few times.
+    texts = sample(usable, per_language, scratch).select("_lang", "_text").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    grams = texts.mapInArrow(trimmed(run), "lang string, k int, gram long, n long")
     grams = scratch.keep(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).withColumn("ctx", F.expr("shiftright(gram, 8)")), "grams")
     often = grams.filter("k > 0").groupBy("k", "ctx").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
     # The size of the model is its limit: what more than MOST_CONTEXTS are as frequent as is not in the tree.

@@ -256,6 +256,8 @@ def test_ppm_trained_in_spark(spark, monkeypatch):
     got = ppm_langid.train(df, "text", "lang", F.col("doc_id"))
     assert got.languages == want.languages and np.allclose(got.bits(texts), want.bits(texts))
     assert np.allclose(got.bits(texts), [brute_ppm({k: [t.encode() for t in ts] for k, ts in samples.items()}, t, ppm_langid.LEAST_COUNT) for t in texts], rtol=1e-5)
+    monkeypatch.setattr(ppm_langid, "HELD_GRAMS", 50)
+    assert np.allclose(ppm_langid.train(df, "text", "lang", F.col("doc_id")).bits(texts), want.bits(texts))
     monkeypatch.setattr(ppm_langid, "MOST_CONTEXTS", 20)
     small = ppm_langid.train(df, "text", "lang", F.col("doc_id"))
     assert 5 < small.first[-1] <= 21
