@@ -91,7 +91,8 @@ def fingerprint_columns(df: DataFrame, columns: dict[str, str], keep: list[str])
 #: Slices whose order is found at once.
 RING = 4096
 #: Bytes that a task of `with_next` gets to sort, about.
-TASK_BYTES = 48 << 20
+TASK_BYTES = 8 << 20
+MOST_TASKS = 100_000
 
 
 def _before(firsts: DataFrame) -> DataFrame:
@@ -143,6 +144,6 @@ def with_next(df: DataFrame, key: str, value: str, out: str, rows_a_slice: int =
     both = copies.withColumn("_to", F.explode(F.when(F.col("_before").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
     both = both.select(*df.columns, "_k", "_tie", F.col("_to.s").alias("_s"), F.col("_to.copy").alias("_copy"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size * GROWN // TASK_BYTES), total))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size * GROWN // TASK_BYTES), total, MOST_TASKS))
     order = Window.partitionBy("_s").orderBy("_copy", "_k", "_tie")
     return both.repartition(tasks, "_s").withColumn(out, F.lead(value).over(order)).filter(~F.col("_copy")).select(*df.columns, out)
