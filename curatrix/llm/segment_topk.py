@@ -169,7 +169,9 @@ def topk(candidates: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
         return df.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
     left, right = ready(queries), ready(candidates)
-    groups = max(1, -(-right.count() // (CANDIDATES_A_BLOCK * BLOCKS_A_GROUP)))
+    blocks = max(1, -(-right.count() // CANDIDATES_A_BLOCK))
+    # Groups of a few blocks where the table is small, so that every core has one.
+    groups = max(-(-blocks // BLOCKS_A_GROUP), min(blocks, candidates.sparkSession.sparkContext.defaultParallelism))
     x = _blocks(right, CANDIDATES_A_BLOCK).withColumn("group", F.pmod("block", F.lit(groups)))
     # A stated set of queries against all rows: a query block is sent to every group of candidate blocks.
     q = _blocks(left, QUERIES_A_BLOCK).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "data": "q_data"})
