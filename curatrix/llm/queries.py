@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, fingerprints, hyperminhash, jumphash, linmaxmatch, oracles, packing, ppm_langid, rindex_dedup, segment_topk, trie_bpe
+from curatrix.llm import chat, fim, fingerprints, hyperminhash, jumphash, linmaxmatch, oracles, packing, ppm_langid, rindex_dedup, segment_topk, trie_bpe
 from curatrix.llm.common import table, utf8_bytes
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -117,6 +117,20 @@ def op10_rindex_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = fim.transform(docs, fim.draws("1", F.col("doc_id")), keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_canonical_fingerprint": op2_canonical_fingerprint,
@@ -128,6 +142,7 @@ QUERIES = {
     "op8_jump_sharding": op8_jump_sharding,
     "op9_trie_bpe": op9_trie_bpe,
     "op10_rindex_dedup": op10_rindex_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLE = {
@@ -136,4 +151,5 @@ ORACLE = {
     "op6_chat_format": oracles.CHAT,
     "op8_jump_sharding": oracles.jump_sharding(SHARDS),
     "op10_rindex_dedup": oracles.repeats(REPEAT_BYTES),
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
