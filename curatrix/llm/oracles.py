@@ -83,3 +83,20 @@ FILL_IN_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp
   s AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS x FROM c)
   SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s"""
+
+FILTER_AUDIT = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+  f AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+  w AS (SELECT d.*, list_filter(regexp_split_to_array(d.text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, coalesce(d.doc_id > f.first, false) AS again FROM d JOIN f ON f.text = d.text),
+  l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+  m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), again] AS fails FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+  c AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+  i AS (SELECT unnest(range(1, 6)) AS i),
+  o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+  s AS (SELECT o, k.i AS step, o[k.i] AS own, o[1:k.i - 1] AS earlier FROM o, i k),
+  x AS (SELECT part, o, step, own, good, toxic, n, fails[own] AS fail, len(list_filter(earlier, lambda j: fails[j])) > 0 AS before, fails[own] AND len(list_filter(fails, lambda y: y)) = 1 AS alone FROM c, s),
+  r AS (SELECT part, o, step, any_value(own) AS own, coalesce(sum(n) FILTER (NOT fail AND NOT before), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fail AND NOT before), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fail AND before), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (fail AND NOT before AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fail AND NOT before AND toxic), 0)::BIGINT AS toxic_lost FROM x GROUP BY part, o, step)
+  SELECT part, array_to_string(list_transform(o, lambda j: chr((64 + j)::INT)), '') AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r"""

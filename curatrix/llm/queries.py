@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, fim, fingerprints, hyperminhash, jumphash, linmaxmatch, oracles, packing, ppm_langid, rindex_dedup, segment_topk, trie_bpe
+from curatrix.llm import chat, filter_audit, fim, fingerprints, hyperminhash, jumphash, linmaxmatch, oracles, packing, ppm_langid, rindex_dedup, segment_topk, toxicity, trie_bpe
 from curatrix.llm.common import table, utf8_bytes
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -131,6 +131,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    machine = toxicity.train(docs.filter(fold != HELD_OUT).select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    out = toxicity.toxicity(docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text"), machine, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_canonical_fingerprint": op2_canonical_fingerprint,
@@ -143,6 +155,8 @@ QUERIES = {
     "op9_trie_bpe": op9_trie_bpe,
     "op10_rindex_dedup": op10_rindex_dedup,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_subsequence_toxicity": op13_subsequence_toxicity,
 }
 
 ORACLE = {
@@ -152,4 +166,5 @@ ORACLE = {
     "op8_jump_sharding": oracles.jump_sharding(SHARDS),
     "op10_rindex_dedup": oracles.repeats(REPEAT_BYTES),
     "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op12_filter_audit": oracles.FILTER_AUDIT,
 }
