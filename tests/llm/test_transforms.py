@@ -91,9 +91,9 @@ def audit_by_loops(docs, labels):
                 removed_all[f] += len(gone)
                 out[part, "".join(order), k + 1] = [
                     sum(not m[1] & (before | {f}) for m in own), len(gone), sum(f in m[1] and bool(m[1] & before) for m in own),
-                    sum(m[1] == {f} for m in own), sum(m[2] for m in gone), sum(m[3] for m in gone), f,
+                    sum(m[1] == {f} for m in own), sum(m[2] for m in gone), sum(m[3] for m in gone), removed_all, f,
                 ]
-    return {k: tuple([*v[:6], removed_all[v[6]]]) for k, v in out.items() if v}
+    return {k: (*v[:6], v[6][v[7]]) for k, v in out.items()}
 
 
 def test_filter_audit(spark):
@@ -135,7 +135,7 @@ BAD = ["idiot", "moron", "stupid", "worthless"]
 @pytest.fixture(scope="module")
 def prose():
     r = random.Random(9)
-    syllables = ["ka", "lo", "mi", "ren", "ta", "sto", "idi", "ot", "wor", "pid", "ing", "ed"]
+    syllables = ["ka", "lo", "mi", "ren", "ta", "sto", "idi", "ost", "wor", "pim", "ing", "ed"]
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     rows, labels = [], []
     for i in range(600):
