@@ -13,19 +13,27 @@ STEP2 = [
 STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
+def _longest_first(table: list) -> list:
+    return sorted(table, key=lambda x: -len(x[0] if isinstance(x, tuple) else x))
+
+
+_STEP2, _STEP3, _STEP4 = map(_longest_first, (STEP2, STEP3, STEP4))
+_kinds = str.maketrans("abcdefghijklmnopqrstuvwxyz", "vcccvcccvcccccvcccccvcccyc")
 
 
 def _shape(stem: str) -> str:
     """Consonants and vowels of a stem as c and v; y is a vowel behind a consonant."""
-    out = ""
-    for i, x in enumerate(stem):
-        vowel = x in "aeiou" or x == "y" and i > 0 and out[-1] == "c"
-        out += "v" if vowel else "c"
+    out = stem.translate(_kinds)
+    at = out.find("y")
+    while at >= 0:
+        out = out[:at] + ("v" if at and out[at - 1] == "c" else "c") + out[at + 1 :]
+        at = out.find("y", at)
     return out
 
 
 def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
+    """How often vowels are followed by consonants."""
+    return _shape(stem).count("vc")
 
 
 def _short_end(stem: str) -> bool:
@@ -33,7 +41,7 @@ def _short_end(stem: str) -> bool:
 
 
 def _replaced(word: str, table: list[tuple[str, str]]) -> str:
-    for end, new in sorted(table, key=lambda x: -len(x[0])):
+    for end, new in table:
         if word.endswith(end):
             stem = word[: -len(end)]
             return stem + new if _measure(stem) > 0 else word
@@ -63,8 +71,8 @@ def porter_stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    w = _replaced(_replaced(w, STEP2), STEP3)
-    for end in sorted(STEP4, key=lambda x: -len(x)):
+    w = _replaced(_replaced(w, _STEP2), _STEP3)
+    for end in _STEP4:
         if w.endswith(end):
             stem = w[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):

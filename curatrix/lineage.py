@@ -1,18 +1,32 @@
-"""Cutting the lineage of DataFrames that loops make."""
+"""Cutting the lineage of DataFrames that loops make, and the folder for it that a cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session without it gets a folder of its own, which ends with the process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="curatrix-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster shares; only a local session without one gets a folder of its own."""
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = context.getConf().get("spark.checkpoint.dir")
-        if not found and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="curatrix-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

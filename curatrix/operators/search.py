@@ -1,7 +1,8 @@
 """Full-text search over postings (field, token, id, pos), stemmed unless told otherwise.
 
-Tokens are lower-case runs of letters and digits without the marks of Latin letters. Stems are made once for each distinct
-token; a search filters each record's token list before anything is exploded, and so reads no more than its hits.
+Tokens are lower-case runs of letters and digits without the marks of Latin letters. A stored index (`search_index`) is
+what searches read; here are its parts, and a search of records that have no index. Stems are made once for each distinct
+token: distinct tokens are checkpointed with their stems, so that no plan above them makes the stems again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from curatrix.functions.stem import porter_stem
 from curatrix.functions.text import tokens
+from curatrix.lineage import cut
 
 #: The searched columns of a record.
 FIELDS = ["name", "summary", "description", "tags"]
@@ -30,6 +32,11 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(lambda w: porter_stem(w) if w is not None else None)
 
 
+def stems(words: DataFrame, parts: int | None = None) -> DataFrame:
+    """Distinct tokens with their stems, dealt over all cores: they are few bytes, and adaptive execution would take one task."""
+    return words.repartition(parts or words.sparkSession.sparkContext.defaultParallelism).withColumn("stem", stem("token"))
+
+
 def _words(field: Column, kind: T.DataType) -> Column:
     return tokens(F.concat_ws(" ", field) if isinstance(kind, T.ArrayType) else field)
 
@@ -40,19 +47,28 @@ def _lists(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
     return rows.select(id, each.alias("f")).select(id, "f.field", "f.words")
 
 
+def occurrences(rows: DataFrame, fields: list[str] | None = None, id: str = "id") -> DataFrame:
+    """(token, field, id, pos): one row per token occurrence, positions from 0 in each field; no stems, no shuffle."""
+    return _lists(rows, fields or FIELDS, id).select("field", id, F.posexplode("words").alias("pos", "token")).select("token", "field", id, "pos")
+
+
 def vocabulary(rows: DataFrame, fields: list[str] | None = None, id: str = "id") -> DataFrame:
     """(token, stem) of every distinct token; within a record each comes once before the shuffle."""
     own = _lists(rows, fields or FIELDS, id).select(F.explode(F.array_distinct("words")).alias("token")).distinct()
-    return own.withColumn("stem", stem("token"))
+    return stems(own)
+
+
+def _known(found: DataFrame) -> DataFrame:
+    """Distinct tokens with stems, made once; broadcast if their number allows."""
+    known = cut(found)
+    return F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known
 
 
 def postings(rows: DataFrame, fields: list[str] | None = None, id: str = "id", stemmed: bool = True) -> DataFrame:
-    """One row per token occurrence, positions from 0 in each field."""
-    found = _lists(rows, fields or FIELDS, id).select("field", id, F.posexplode("words").alias("pos", "token"))
+    """One row per token occurrence of records without an index, positions from 0 in each field."""
+    found = occurrences(rows, fields, id)
     if stemmed:
-        known = vocabulary(rows, fields, id)
-        known = F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known
-        found = found.join(known, "token").withColumn("token", F.col("stem"))
+        found = found.join(_known(vocabulary(rows, fields, id)), "token").withColumn("token", F.col("stem"))
     return found.select("field", "token", id, "pos")
 
 
@@ -89,15 +105,20 @@ def search(rows: DataFrame, query: str, fields: list[str] | None = None, field:
         return _all_terms(lists.select(id, F.explode(wanted).alias("token")), terms, id)
     begins = sorted({prefix(t) for t in terms})
     like = lists.select(id, F.explode(F.filter("words", lambda w: reduce(or_, (w.startswith(p) for p in begins)))).alias("word"))
-    known = like.select("word").distinct().withColumn("token", stem("word")).filter(F.col("token").isin(terms))
-    known = F.broadcast(known) if known.count() <= BROADCAST_TOKENS else known
-    return _all_terms(like.join(known, "word"), terms, id)
+    # One tokenising pass: what is left of it, a row per record and word, is small and kept.
+    like = cut(like.groupBy(id, "word").agg(F.count(F.lit(1)).alias("n")))
+    known = _known(stems(like.select(F.col("word").alias("token")).distinct()).select(F.col("token").alias("word"), F.col("stem").alias("token")))
+    found = like.join(known.filter(F.col("token").isin(terms)), "word")
+    return found.groupBy(id).agg(F.count_distinct("token").alias("_terms"), F.sum("n").alias("hits")).filter(F.col("_terms") == len(terms)).select(id, "hits")
+
 
+def search_page(rows: DataFrame, query: str, page: int = 1, size: int = PAGE_SIZE, id: str = "id", score: str = "quality_score", index=None, **how) -> DataFrame:
+    """A page of active records that match, most hits first, then by score and id; hits beside the records' columns.
 
-def search_page(rows: DataFrame, query: str, page: int = 1, size: int = PAGE_SIZE, id: str = "id", score: str = "quality_score", **how) -> DataFrame:
-    """A page of active records that match, most hits first, then by score and id; hits beside the records' columns."""
+    ``index``: a `SearchIndex` of the records, without which they are read for the search.
+    """
     live = rows.filter("is_active")
-    found = live.join(search(live, query, id=id, **how), id)
+    found = live.join(index.search(query, **how) if index else search(live, query, id=id, **how), id)
     return found.orderBy(F.desc("hits"), F.desc(score), id).offset((max(page, 1) - 1) * size).limit(size)
 
 

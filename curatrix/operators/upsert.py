@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from curatrix.functions.text import slugify
@@ -16,44 +15,66 @@ from curatrix.lineage import cut
 
 #: Rows of one chunk of a batch, and what a run may fail of.
 MAX_VARIABLES, COLUMNS, MAX_ERRORS = 900, 27, 20
-#: Records of keys with a rival for a slug that the driver settles; more are settled in rounds.
-CONTESTED = 50_000
+#: A round that leaves more than this share of the records undecided is followed by one that also walks chains.
+SLOW = 0.5
 
 
-def insertions(edges: DataFrame, key: str, bound: int = CONTESTED) -> DataFrame:
+def insertions(edges: DataFrame, key: str) -> DataFrame:
     """(key, _at): the record with which each new key is inserted, by the order of positions.
 
     ``edges`` (key, slug, pos) has the first record of each new key for each slug. A record is inserted if its key was
     not yet and no earlier record of another key took its slug; so a key that was rejected may come in under a later
-    name. Keys without a rival for any of their slugs come in at once. The others are settled in order on the driver
-    where there are at most ``bound`` of their records, else in rounds: each key asks for its earliest slug that is still
-    open to it, each slug takes its earliest asker, and who was not taken loses that slug.
+    name. That is the greedy matching of keys and slugs by position, found in rounds: a record that is the earliest left
+    both for its key and for its slug comes in, whatever happens to others, and what shares its key or slug goes. Where
+    records wait for each other in a chain, each for the one before it, a round settles the whole chain: a record with one
+    earlier rival comes in if that one does not, so it follows the parity of its distance from the chain's first record,
+    which is found by doubling, in as many steps as the logarithm of the chain. Rounds are left for records with two
+    undecided earlier rivals; of random conflicts each round leaves a small share.
+
+    One slug may have most of the records: aggregations combine before the shuffle and ranks are cut to two rows there.
     """
-    rivals = edges.groupBy("slug").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("slug")
-    tied = edges.join(rivals, "slug", "left_semi").select(key).distinct()
-    first = lambda e: e.groupBy(key).agg(F.min("pos").alias("_at"))
-    free = first(edges.join(tied, key, "left_anti"))
-    rest = edges.join(tied, key, "left_semi").select("pos", key, "slug")
-    some = rest.limit(bound + 1).collect()
-    if len(some) <= bound:
-        taken, done = set(), {}
-        for at, name, slug in sorted(map(tuple, some)):
-            if name not in done and slug not in taken:
-                taken.add(slug)
-                done[name] = at
-        kinds = T.StructType([rest.schema[key], T.StructField("_at", rest.schema["pos"].dataType)])
-        return free.unionByName(rest.sparkSession.createDataFrame(list(done.items()), kinds))
+    first = lambda rows, by, other: rows.groupBy(by).agg(F.min(F.struct("pos", other)).alias("_m")).select(by, "_m.*")
+    rest, came = cut(edges.select(key, "slug", "pos")), None
+    left = rest.count()
+    slow = False
+    while left or came is None:
+        taken = first(rest, key, "slug").join(first(rest, "slug", key), [key, "slug", "pos"])
+        if slow:
+            taken = taken.unionByName(_chains(rest, cut(taken), key))
+        taken = cut(taken)
+        came = taken if came is None else came.unionByName(taken)
+        rest = cut(rest.join(taken.select(key), key, "left_anti").join(taken.select("slug"), "slug", "left_anti"))
+        before, left = left, rest.count()
+        slow = left > SLOW * before
+    return came.select(key, F.col("pos").alias("_at"))
+
+
+def _chains(rest: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """Records that come in because they are an even number of steps from a head, each step's record having one earlier rival."""
+    me = F.struct("pos", key, "slug")
+    ranked = lambda by: rest.select(by, me.alias("_e"), F.row_number().over(Window.partitionBy(by).orderBy(me)).alias("_n")).filter("_n <= 2")
+
+    def earlier(by: str) -> DataFrame:
+        """(_e, parent): the records that are first (no parent) or second for their ``by``."""
+        each = ranked(by)
+        head = each.filter("_n = 1").select(by, F.col("_e").alias("_p"))
+        return each.join(head, by).select("_e", F.when(F.col("_n") == 2, F.col("_p")).alias("_p"))
+
+    both = earlier(key).withColumnRenamed("_p", "_pk").join(earlier("slug").withColumnRenamed("_p", "_ps"), "_e")
+    # One earlier rival in all; the other side has the record as its first.
+    links = both.filter(F.col("_pk").isNull() != F.col("_ps").isNull()).select("_e", F.coalesce("_pk", "_ps").alias("_to"), F.lit(1).alias("_steps"))
+    links = cut(links)
     while True:
-        rest = cut(rest)
-        asked = rest.groupBy(key).agg(F.min(F.struct("pos", "slug")).alias("_a")).select(key, "_a.pos", "_a.slug")
-        taken = asked.groupBy("slug").agg(F.min(F.struct("pos", key)).alias("_o")).select("slug", F.col(f"_o.{key}").alias("_owner"))
-        lost = cut(asked.join(taken, "slug").filter(F.col(key) != F.col("_owner")).select(key, "slug"))
-        if lost.isEmpty():
-            return free.unionByName(first(rest))
-        rest = rest.join(lost, [key, "slug"], "left_anti")
+        jumps = links.select(F.col("_e").alias("_to"), F.col("_to").alias("_next"), F.col("_steps").alias("_more"))
+        if links.join(jumps, "_to", "left_semi").isEmpty():
+            break
+        links = links.join(jumps, "_to", "left").select("_e", F.coalesce("_next", "_to").alias("_to"), ((F.col("_steps") + F.coalesce("_more", F.lit(0))) % 2).alias("_steps"))
+        links = cut(links)
+    settled = links.join(heads.select(me.alias("_to")), "_to", "left_semi").filter("_steps = 0")
+    return settled.select(f"_e.{key}", "_e.slug", "_e.pos")
 
 
-def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos: str = "pos", bound: int = CONTESTED) -> DataFrame:
+def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos: str = "pos") -> DataFrame:
     """``batch`` (key, pos, name, content_hash, ...) with its outcome, by the batch's order.
 
     A record of a new key is rejected when its slug belongs to another key: a stored one, or one that came earlier in the
@@ -66,7 +87,7 @@ def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos:
     fresh = F.col("_stored").isNull()
     edges = rows.filter(fresh).groupBy(key, F.col("_own_slug").alias("slug")).agg(F.min(pos).alias("pos"))
     edges = edges.join(stored.select("slug").distinct(), "slug", "left_anti")
-    rows = rows.join(insertions(edges, key, bound), key, "left")
+    rows = rows.join(insertions(edges, key), key, "left")
     rejected = fresh & F.coalesce(F.col(pos) < F.col("_at"), F.lit(True))
     inserted = fresh & (F.col(pos) == F.col("_at"))
     outcome = F.when(rejected, "rejected").when(inserted, "inserted").when(F.col("_before") == F.col("content_hash"), "unchanged").otherwise("updated")

@@ -86,6 +86,16 @@ class Store:
             raise RuntimeError(f"another writer made version {number} of {table}")
         return number
 
+    def state(self, name: str) -> tuple[int, dict | None]:
+        """Number and content of a state's last version; 0 and None before the first."""
+        number = self.version(name)
+        return number, json.loads(self._read(self._path(name, "_versions", f"{number:012d}"))) if number else None
+
+    def commit(self, name: str, number: int, content: dict) -> None:
+        """Makes ``content`` version ``number`` of a state at once; fails if another writer has made it."""
+        if not self._write_new(self._path(name, "_versions", f"{number:012d}"), json.dumps(content)):
+            raise RuntimeError(f"another writer made version {number} of {name}")
+
     def append(self, table: str, df: DataFrame) -> None:
         """Append-only logs (runs, checks, clicks) need no versions."""
         df.write.mode("append").parquet("/".join([self.root, table, "log"]))
