@@ -74,9 +74,11 @@ def _chains(rest: DataFrame, heads: DataFrame, key: str) -> DataFrame:
     return settled.select(f"_e.{key}", "_e.slug", "_e.pos")
 
 
-def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos: str = "pos") -> DataFrame:
+def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos: str = "pos", slugs: DataFrame | None = None) -> DataFrame:
     """``batch`` (key, pos, name, content_hash, ...) with its outcome, by the batch's order.
 
+    ``stored`` has at least the stored records of the batch's keys; ``slugs`` are those of all records, if it has not all.
+
     A record of a new key is rejected when its slug belongs to another key: a stored one, or one that came earlier in the
     batch. The key's next record tries again, with its own name.
     """
@@ -86,7 +88,7 @@ def outcomes(batch: DataFrame, stored: DataFrame, key: str = "source_url", pos:
     rows = rows.withColumn("_before", F.coalesce(F.lag("content_hash").over(order), F.col("_stored")))
     fresh = F.col("_stored").isNull()
     edges = rows.filter(fresh).groupBy(key, F.col("_own_slug").alias("slug")).agg(F.min(pos).alias("pos"))
-    edges = edges.join(stored.select("slug").distinct(), "slug", "left_anti")
+    edges = edges.join((stored if slugs is None else slugs).select("slug"), "slug", "left_anti")
     rows = rows.join(insertions(edges, key), key, "left")
     rejected = fresh & F.coalesce(F.col(pos) < F.col("_at"), F.lit(True))
     inserted = fresh & (F.col(pos) == F.col("_at"))
@@ -103,7 +105,12 @@ def snapshot(batch: DataFrame, stored: DataFrame, now: str, content: list[str],
     Seen records are active again. Only changed ones take the batch's content columns and go back to the queue for
     enrichment; slug and first_seen_at never change.
     """
-    done = outcomes(batch, stored, key, pos).filter("outcome <> 'rejected'")
+    return applied(outcomes(batch, stored, key, pos), stored, now, content, key, pos)
+
+
+def applied(done: DataFrame, stored: DataFrame, now: str, content: list[str], key: str = "source_url", pos: str = "pos") -> DataFrame:
+    """The next version from a batch with its outcomes."""
+    done = done.filter("outcome <> 'rejected'")
     changed = F.col("outcome") != "unchanged"
     take = F.struct(*content, "slug")
     last = done.groupBy(key).agg(F.max_by(F.when(changed, take), F.when(changed, F.col(pos))).alias("_new"), F.max(changed).alias("_changed"))

@@ -71,6 +71,16 @@ class Store:
         fs = self._fs(path)
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
+    def names(self, path: str) -> list[str]:
+        """Names in a folder of the store."""
+        folder = self._jvm.org.apache.hadoop.fs.Path(path)
+        fs = self._fs(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def remove(self, path: str) -> None:
+        folder = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs(folder).delete(folder, True)
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         version = self.version(table) if version is None else version
         if not version:

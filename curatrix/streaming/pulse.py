@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from curatrix.buckets import BucketedTable
 from curatrix.functions import status as S
+from curatrix.lineage import cut
 from curatrix.operators import upsert
 from curatrix.store import Store
 
@@ -29,6 +31,19 @@ def merge_stream(stream: DataFrame, store: Store, table: str, now, content: list
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_stream(stream: DataFrame, table: BucketedTable, now, content: list[str], evidence, checkpoint: str, name: str = "ingest", pos: str = "pos", between=lambda step: None):
+    """Merges every micro-batch into a bucketed table with its run rows, once each.
+
+    Data, run rows and the batch's number are one commit, so a batch that Spark repeats after a failure, whichever write
+    it came after, is found in the table and left out.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(cut(batch), now(number), content, pos, name, number, evidence, between=between)
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 FAILURES = "artifact_id long, run long, verdict string, checked_at timestamp"
 
 
