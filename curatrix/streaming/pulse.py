@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from curatrix.buckets import BucketedTable
 from curatrix.functions import status as S
+from curatrix.functions.dates import days_since
 from curatrix.lineage import cut
 from curatrix.operators import upsert
 from curatrix.store import Store
@@ -44,6 +46,8 @@ def ingest_stream(stream: DataFrame, table: BucketedTable, now, content: list[st
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Microseconds.
+DAY = 86_400_000_000
 FAILURES = "artifact_id long, run long, verdict string, checked_at timestamp"
 
 
@@ -58,20 +62,60 @@ def failure_counters(checks: DataFrame, watermark: str = "90 days") -> DataFrame
         if state.hasTimedOut:
             state.remove()
             return
-        run = state.get[0] if state.exists else 0
+        run, latest = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["checked_at", "id"])
         out = []
         for v, at in zip(rows["verdict"], rows["checked_at"], strict=True):
             run = 0 if v == "ok" else run + (v == "transient")
             out.append((key[0], run, v, at))
-        state.update((run,))
-        # A timeout has to be behind the watermark.
-        last = int(rows["checked_at"].iloc[-1].timestamp() * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        # A late batch does not bring the end of the state nearer. A timeout has to be behind the watermark.
+        latest = max(latest, int(rows["checked_at"].iloc[-1].timestamp() * 1000))
+        state.update((run, latest))
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(out, columns=["artifact_id", "run", "verdict", "checked_at"])
 
     v = checks.withColumn("verdict", S.verdict(F.col("http_status"))).withWatermark("checked_at", watermark)
-    return v.groupBy("artifact_id").applyInPandasWithState(count, FAILURES, "run long", "append", GroupStateTimeout.EventTimeTimeout)
+    return v.groupBy("artifact_id").applyInPandasWithState(count, FAILURES, "run long, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+MACHINE = "artifact_id long, terminal boolean, run long"
+
+
+def reason_states(checks: DataFrame, keep_days: int = 365) -> DataFrame:
+    """(artifact_id, terminal, run) of each record that a micro-batch has seen, as `checks.trailing_runs` has them of all
+    observations; to be written in update mode. checks (artifact_id, checked_at, id, http_status).
+
+    A record's state does not depend on the order of what comes, nor on repeats: whether any observation was terminal
+    (kept for good), the last ok, and for each day the last transient observation. A late ok takes back the days before
+    it, a late failure behind a newer ok counts for nothing. Days ``keep_days`` before the record's newest observation end.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        terminal, ok, newest, days = json.loads(state.get[0]) if state.exists else (False, None, 0, {})
+        for rows in batches:
+            micros = rows["checked_at"].astype("datetime64[us]").astype("int64")
+            for verdict, at, number in zip(rows["verdict"], micros, rows["id"], strict=True):
+                seen, newest = [int(at), int(number)], max(newest, int(at))
+                terminal = terminal or verdict == "terminal"
+                if verdict == "ok":
+                    ok = seen if ok is None else max(ok, seen)
+                elif verdict == "transient":
+                    day = str(int(at) // DAY)
+                    days[day] = max(days.get(day, seen), seen)
+        days = {d: s for d, s in days.items() if (ok is None or s > ok) and s[0] > newest - keep_days * DAY}
+        state.update((json.dumps([terminal, ok, newest, days]),))
+        yield pd.DataFrame({"artifact_id": [key[0]], "terminal": [terminal], "run": [len(days)]})
+
+    v = checks.select("artifact_id", "checked_at", "id", S.verdict(F.col("http_status")).alias("verdict"))
+    return v.groupBy("artifact_id").applyInPandasWithState(fold, MACHINE, "content string", "update", GroupStateTimeout.NoTimeout)
+
+
+def reasons_of(states: DataFrame, last_seen: DataFrame, now: str, key: str = "artifact_id") -> DataFrame:
+    """(key, terminal, run, days_old, reason) from the last states, as `checks.inactive_reasons` has them."""
+    joined = last_seen.join(states, key, "left")
+    terminal, run = F.coalesce("terminal", F.lit(False)), F.coalesce("run", F.lit(0))
+    days = days_since(F.col("last_seen_at"), now)
+    return joined.select(key, terminal.alias("terminal"), run.alias("run"), days.alias("days_old"), S.inactive_reason(terminal, run, days).alias("reason"))
 
 
 def windowed_tally(checks: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

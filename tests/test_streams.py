@@ -1,10 +1,14 @@
 """The cursor source and the reason machine over streams."""
 
+import datetime as dt
 import json
+import random
 
 import pytest
 
+from curatrix.operators import checks
 from curatrix.sources import cursor_stream
+from curatrix.streaming import pulse
 
 
 def recorded(folder, pages):
@@ -85,3 +89,42 @@ def test_offsets_are_replayed_exactly(tmp_path, room):
         got += [json.loads(x[3])["name"] for p in replay for x in reader.read(p) if x[3]]
         at = end
     assert got == list("abcdefg")
+
+
+CHECKS = "id bigint, artifact_id bigint, checked_at timestamp, http_status int"
+
+
+@pytest.mark.parametrize("order", ["in order", "reordered"])
+def test_reason_machine_equals_batch(spark, tmp_path, order):
+    """Four micro-batches, with repeats; in one case late ones first."""
+    r = random.Random(4)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(i, r.randint(1, 12), start + dt.timedelta(hours=r.randint(0, 24 * 40)), r.choice([200, 200, 500, 503, None, 500, 404 if i % 9 == 0 else 429])) for i in range(300)]
+    rows = sorted(rows, key=lambda x: x[2], reverse=order == "reordered")
+    parts = [rows[:90] + rows[5:15], rows[90:180] + rows[80:100], rows[180:], rows[10:60]]
+    found = {}
+    stream = spark.readStream.schema(CHECKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    keep = lambda batch, n: found.update({x["artifact_id"]: x for x in batch.collect()})
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, CHECKS).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+        q = pulse.reason_states(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    every = spark.createDataFrame(rows, CHECKS)
+    now = "2026-02-20 00:00:00"
+    seen = spark.createDataFrame([(i, start - dt.timedelta(days=200 * (i % 3 == 0))) for i in range(1, 15)], "artifact_id bigint, last_seen_at timestamp")
+    got = pulse.reasons_of(spark.createDataFrame(list(found.values()), pulse.MACHINE), seen, now)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, checks.inactive_reasons(every, seen, now).collect()))
+    assert {r["reason"] for r in got.collect()} >= {"gone", "unreachable"}
+
+
+def test_a_late_batch_does_not_end_a_state_earlier(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    day = lambda n: t + dt.timedelta(days=n)
+    batches = [[(1, 1, day(50), 500)], [(2, 1, day(1), 500), (3, 2, day(50), 500)], [(4, 2, day(100), 500)], [(5, 1, day(101), 500)]]
+    stream = spark.readStream.schema(CHECKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, CHECKS).coalesce(1).write.parquet(str(tmp_path / f"in/b{i}"))
+        q = pulse.failure_counters(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+    got = {(r["artifact_id"], r["checked_at"]): r["run"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1, day(101)] == 3
