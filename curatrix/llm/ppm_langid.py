@@ -1,14 +1,16 @@
 """Language identification by prediction by partial matching.
 
-For each language, frozen statistics of a byte context tree of variable order (0 to 3, deeper contexts only where the
-training sample has them often) give every byte an exact code length: the deepest context in the tree codes the byte by
+For each language, frozen statistics of its own byte context tree of variable order (0 to 3, deeper contexts only where
+the language's sample has them often) give every byte an exact code length: the deepest context in the tree codes the byte by
 its frequency, every context that has not seen it pays its escape (method C, without exclusion). A text's language is
 the one with the shortest code for the whole text.
 
 Training reads a bounded sample: at most ``per_language`` different whole documents of each language, chosen by a hash.
-Their contexts are counted in Spark; the driver gets the counts of the tree's contexts, at most MOST_CONTEXTS, and no
-texts. Every label is learned, however many there are: the costs of many languages are tables of a few languages each,
-over one tree, which are made in turn for each chunk of texts. Everything else runs over all rows and all bytes.
+Their contexts are counted in Spark; the driver gets the counts of the trees' contexts and no texts. A tree has the most
+frequent contexts of its language, as many as ``contexts`` gives each of the languages (LEAST_SHARE at least), with all that
+are as frequent as the last one. Every label is learned, however many there are: the costs of many languages are tables of
+a few languages each, over the union of the trees (a context that a language's tree lacks costs it what its suffix does),
+which are made in turn for each chunk of texts. Everything else runs over all rows and all bytes.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; so is everything when there is nothing
 to learn from; rows with a null language are not learned from; repeated rows get equal results and are learned from
@@ -37,9 +39,11 @@ GROUP = 16
 TABLE_BYTES = 32 << 20
 KEPT_BYTES = 128 << 20
 ORDER = 3
-#: Times a context has to occur in the sample to stand in the tree, and contexts of the tree: the most frequent ones.
+#: Times a context has to occur in a language's sample to stand in its tree; contexts of all trees, by which each has its
+#: share, and the least share.
 LEAST_COUNT = 48
 MOST_CONTEXTS = 16_384
+LEAST_SHARE = 256
 #: Keys (8 bytes) of sampled rows that may be broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Strings with their counts that a task holds before it sends them on.
@@ -70,11 +74,15 @@ def count_grams(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def tree_contexts(rows: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """The contexts of each order from 1 on, of (order, context, count): the most frequent, as many as all of one count fit."""
-    counts = sorted((n for _, _, n in rows), reverse=True)
-    over = counts[MOST_CONTEXTS] if len(counts) > MOST_CONTEXTS else 0
-    return [np.array(sorted(c for o, c, n in rows if o == k and n > over), dtype=np.int64) for k in range(1, ORDER + 1)]
+def share(contexts: int, languages: int) -> int:
+    """Contexts of one language's tree, besides those that are as frequent as the last one."""
+    return max(LEAST_SHARE, contexts // max(1, languages))
+
+
+def union(trees: Iterator[tuple[int, int]]) -> list[np.ndarray]:
+    """The contexts of each order from 1 on that any tree has, of (order, context)."""
+    found = set(trees)
+    return [np.array(sorted(c for o, c in found if o == k), dtype=np.int64) for k in range(1, ORDER + 1)]
 
 
 class PpmModel:
@@ -138,14 +146,20 @@ class PpmModel:
     @classmethod
     def of_texts(cls, samples: dict[str, list[bytes]]) -> PpmModel:
         """The model of texts at hand."""
-        counts = {name: count_grams(texts) for name, texts in samples.items()}
-        rows = []
-        for k in range(1, ORDER + 1):
-            g = np.concatenate([c[k][0] for c in counts.values()])
-            u, inv = np.unique(g >> 8, return_inverse=True)
-            total = np.bincount(inv, weights=np.concatenate([c[k][1] for c in counts.values()]))
-            rows += [(k, int(x), int(n)) for x, n in zip(u, total, strict=True) if n >= LEAST_COUNT]
-        return cls(counts, tree_contexts(rows))
+        counts, trees = {name: count_grams(texts) for name, texts in samples.items()}, set()
+        most = share(MOST_CONTEXTS, len(counts))
+        for name, own in counts.items():
+            rows = []
+            for k in range(1, ORDER + 1):
+                u, inv = np.unique(own[k][0] >> 8, return_inverse=True)
+                total = np.bincount(inv, weights=own[k][1], minlength=len(u))
+                rows += [(k, int(x), int(n)) for x, n in zip(u, total, strict=True) if n >= LEAST_COUNT]
+            last = sorted((n for _, _, n in rows), reverse=True)[:most]
+            tree = {(k, c) for k, c, n in rows if n >= last[-1]} if rows else set()
+            trees |= tree
+            held = [np.fromiter((c for o, c in tree if o == k), dtype=np.int64) for k in range(ORDER + 1)]
+            counts[name] = [own[0], *((g[keep], n[keep]) for k in range(1, ORDER + 1) for g, n in [own[k]] for keep in [np.isin(g >> 8, held[k])])]
+        return cls(counts, union(trees))
 
     def table(self, lo: int, hi: int) -> np.ndarray:
         """Costs of the languages from lo to hi."""
@@ -210,8 +224,12 @@ def sample(rows: DataFrame, per_language: int, scratch: Scratch) -> DataFrame:
     return rows.join(F.broadcast(keys) if few else keys, "_key", "left_semi").dropDuplicates(["_key"])
 
 
-def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int = PER_LANGUAGE) -> PpmModel | None:
-    """The model of all the rows' languages, from a bounded sample of each; None if there is nothing to learn from."""
+def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int = PER_LANGUAGE, contexts: int | None = None, least: int | None = None) -> PpmModel | None:
+    """The model of all the rows' languages, from a bounded sample of each; None if there is nothing to learn from.
+
+    ``contexts`` (MOST_CONTEXTS) of all trees, ``least`` (LEAST_COUNT) occurrences of a context.
+    """
+    contexts, least = MOST_CONTEXTS if contexts is None else contexts, LEAST_COUNT if least is None else least
     scratch = Scratch(rows.sparkSession, "ppm")
     usable = rows.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0))
     usable = usable.select(F.xxhash64(key, lang, text).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
@@ -245,12 +263,13 @@ def train(rows: DataFrame, text: str, lang: str, key: Column, per_language: int
     texts = sample(usable, per_language, scratch).select("_lang", "_text").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
     grams = texts.mapInArrow(trimmed(run), "lang string, k int, gram long, n long")
     grams = scratch.keep(grams.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).withColumn("ctx", F.expr("shiftright(gram, 8)")), "grams")
-    often = grams.filter("k > 0").groupBy("k", "ctx").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
-    # The size of the model is its limit: what more than MOST_CONTEXTS are as frequent as is not in the tree.
-    contexts = [tuple(r) for r in often.orderBy(F.desc("n"), "k", "ctx").limit(MOST_CONTEXTS + 1).collect()]
-    kept = tree_contexts([(k, c, n) for k, c, n in contexts])
-    tree = rows.sparkSession.createDataFrame([(0, 0), *((k, int(c)) for k, u in enumerate(kept, 1) for c in u)], "k int, ctx long")
-    found = grams.join(F.broadcast(tree), ["k", "ctx"]).select("lang", "k", "gram", "n").toArrow().combine_chunks()
+    often = grams.filter("k > 0").groupBy("lang", "k", "ctx").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    kinds = grams.agg(F.count_distinct("lang")).first()[0]
+    ranked = often.withColumn("_r", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n"))))
+    trees = scratch.keep(ranked.filter(F.col("_r") <= share(contexts, kinds)).select("lang", "k", "ctx"), "trees")
+    kept = union((r["k"], r["ctx"]) for r in trees.select("k", "ctx").distinct().collect())
+    found = grams.filter("k = 0").select("lang", "k", "gram", "n").unionByName(grams.join(trees, ["lang", "k", "ctx"]).select("lang", "k", "gram", "n"))
+    found = found.toArrow().combine_chunks()
     if not found.num_rows:
         return None
     names, order, gram, n = (found.column(c).to_numpy() for c in ("lang", "k", "gram", "n"))

@@ -201,20 +201,19 @@ def test_chat_parts(spark):
 def brute_ppm(samples, text, least):
     """Code lengths by dictionaries of contexts, a byte at a time, without anything of the model."""
     low = lambda t: b"\n\n\n" + bytes(c + 32 if 65 <= c <= 90 else c for c in t)
-    seen, total = {}, Counter()
+    seen = {}
     for name, texts in samples.items():
         own = seen[name] = {}
         for t in map(low, texts):
             for i in range(3, len(t)):
                 for k in range(4):
                     own.setdefault(t[i - k : i], Counter())[t[i]] += 1
-                    total[t[i - k : i]] += 1
 
-    def stands(c):
-        return not c or total[c] >= least and stands(c[1:])
+    def stands(own, c):
+        return not c or c in own and sum(own[c].values()) >= least and stands(own, c[1:])
 
     def share(own, c, byte):
-        if not stands(c):
+        if not stands(own, c):
             return share(own, c[1:], byte)
         here = own.get(c, Counter())
         n, kinds = sum(here.values()), len(here)
@@ -259,8 +258,9 @@ def test_ppm_trained_in_spark(spark, monkeypatch):
     monkeypatch.setattr(ppm_langid, "HELD_GRAMS", 50)
     assert np.allclose(ppm_langid.train(df, "text", "lang", F.col("doc_id")).bits(texts), want.bits(texts))
     monkeypatch.setattr(ppm_langid, "MOST_CONTEXTS", 20)
+    monkeypatch.setattr(ppm_langid, "LEAST_SHARE", 1)
     small = ppm_langid.train(df, "text", "lang", F.col("doc_id"))
-    assert 5 < small.first[-1] <= 21
+    assert 5 < small.first[-1] < got.first[-1]  # six contexts a language, and those as frequent as the last
     assert np.allclose(small.bits(texts), ppm_langid.PpmModel.of_texts({k: [t.encode() for t in ts] for k, ts in samples.items()}).bits(texts))
     few = ppm_langid.train(df, "text", "lang", F.col("doc_id"), per_language=3)
     assert few.languages == want.languages
