@@ -1,4 +1,4 @@
-"""An append log in days whose old days can go: folders named by a manifest.
+"""An append log in days (or months) whose old ones can go: folders named by a manifest.
 
 Each append writes its rows by day and names the new folders in one version of a `Store` state. ``trim`` drops the folders
 of days before the boundary from the manifest without reading them; of the boundary's own day it rewrites what is not
@@ -24,10 +24,11 @@ GRACE_SECONDS = 86_400
 
 
 class DayLog:
-    """The log ``name``, by the day (UTC) of ``at``."""
+    """The log ``name``, by the day, or by the month, of ``at``; months for logs that are kept for years."""
 
-    def __init__(self, store: Store, name: str, at: str = "checked_at") -> None:
+    def __init__(self, store: Store, name: str, at: str = "checked_at", monthly: bool = False) -> None:
         self.store, self.spark, self.name, self.at = store, store.spark, name, at
+        self.form, self.digits = ("yyyy-MM", 7) if monthly else ("yyyy-MM-dd", 10)
 
     def manifest(self) -> dict:
         """{days: {day: [folder]}, months: [folder], dropped: [[folder, time]]} of the last commit."""
@@ -35,8 +36,8 @@ class DayLog:
 
     def _write(self, rows: DataFrame) -> dict[str, list[str]]:
         path = f"{self.store.root}/{self.name}/rows-{uuid.uuid4().hex}"
-        day = F.date_format(F.col(self.at), "yyyy-MM-dd")
-        rows.withColumn("_day", day).write.partitionBy("_day").parquet(path)
+        # Rows of a day meet in few files; adaptive execution splits days with very many.
+        rows.withColumn("_day", F.date_format(F.col(self.at), self.form)).hint("rebalance", "_day").write.partitionBy("_day").parquet(path)
         return {n.split("=")[1]: [f"{path}/{n}"] for n in self.store.names(path) if n.startswith("_day=")}
 
     def append(self, rows: DataFrame) -> None:
@@ -62,7 +63,7 @@ class DayLog:
         if not number:
             return {"dropped": [], "rewritten": None, "deleted": 0}
         edge = dt.datetime.fromisoformat(now) - dt.timedelta(days=days)
-        day = edge.date().isoformat()
+        day = edge.date().isoformat()[: self.digits]
         dropped = sorted(d for d in manifest["days"] if d != NO_DAY and d < day)
         gone = [f for d in dropped for f in manifest["days"][d]]
         deleted = self.spark.read.parquet(*gone).count() if gone else 0
@@ -101,7 +102,7 @@ class DayLog:
         number, manifest = self.store.state(self.name)
         if not number:
             return 0
-        edge = (dt.datetime.fromisoformat(now) - dt.timedelta(days=keep_days)).date().replace(day=1).isoformat()
+        edge = (dt.datetime.fromisoformat(now) - dt.timedelta(days=keep_days)).date().replace(day=1).isoformat()[: self.digits]
         old = sorted(d for d in manifest["days"] if d != NO_DAY and d < edge)
         if not old:
             return 0

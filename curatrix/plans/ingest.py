@@ -38,12 +38,16 @@ def _snapshot(spark, sf):
     return upsert.snapshot(T.batch(spark, sf), T.stored(spark, sf).withColumn("id", F.col("id")), NOW, CONTENT)
 
 
-def upsert_snapshot(spark, sf):
-    s = _snapshot(spark, sf)
+def shown(s):
+    """A catalog's columns as the queries show them."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return s.select("source_url", "slug", "kind", F.sha2("name", 256).alias("name_sha256"), "content_hash", "quality_score", F.array_join("categories", ",").alias("categories"), iso("first_seen_at"), iso("last_seen_at"), iso("enriched_at"))
 
 
+def upsert_snapshot(spark, sf):
+    return shown(_snapshot(spark, sf))
+
+
 def reactivation(spark, sf):
     return _snapshot(spark, sf).select("source_url", "is_active", "inactive_reason")
 
