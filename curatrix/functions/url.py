@@ -21,11 +21,12 @@ def normalize_url(url: Column) -> Column:
     parts = "^(?i)(https?)://([^/?#\\s]+)([^?#\\s]*)(\\?[^#\\s]*)?(#.*)?$"
     piece = lambda i: F.regexp_extract(t, parts, i)
     scheme = F.lower(piece(1))
-    host = F.regexp_replace(F.lower(piece(2)), F.when(scheme == "https", ":443$").otherwise(":80$"), F.lit(""))
+    user = F.regexp_extract(piece(2), "^(.*@)", 1)  # its case counts
+    host = F.regexp_replace(F.lower(F.regexp_extract(piece(2), "([^@]*)$", 1)), F.when(scheme == "https", ":443$").otherwise(":80$"), F.lit(""))
     path = F.when(piece(3) == "", "/").otherwise(piece(3))
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
     pairs = F.filter(F.split(F.substring(piece(4), 2, 1 << 30), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).rlike(TRACKING))
     order = F.array_sort(F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p"))))
     query = F.array_join(F.transform(order, lambda x: x["p"]), "&")
-    canonical = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    canonical = F.concat(scheme, F.lit("://"), user, host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(t.rlike(parts), canonical).otherwise(t)

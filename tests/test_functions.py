@@ -165,3 +165,10 @@ def test_utf16(spark):
 def test_stem():
     pairs = {"caresses": "caress", "ponies": "poni", "hopping": "hop", "relational": "relat", "sky": "sky", "happy": "happi", "controll": "control", "adjustable": "adjust", "ab": "ab", "don't": "don't"}
     assert {w: stem.porter_stem(w) for w in pairs} == pairs
+
+
+def test_user_info_keeps_its_case(spark):
+    from curatrix.functions.url import normalize_url
+
+    rows = spark.createDataFrame([("HTTPS://User:PassWord@Example.ORG:443/a/",), ("http://EXAMPLE.org:80",)], "u string")
+    assert [r[0] for r in rows.select(normalize_url(F.col("u"))).collect()] == ["https://User:PassWord@example.org/a", "http://example.org/"]
