@@ -21,6 +21,20 @@ def normalize_url(spark, sf):
     return T.read(spark, sf, "pages").select("page_id", url.normalize_url(F.col("url")).alias("url"))
 
 
+#: What stands in front of the path, and behind the address, by page: detours that lead back, and parameters as they may come.
+_DETOURS = ["/./", "/x/../", "/x/y/%2E%2e/.%2e/", "/../", "/a b/é/../%7e%zz/"]
+_ADDED = ["q=a%20b&B=~*", "b&a=1+2&A=%3d", "c=%C3%A9&utm_term=x", "=&%72ef=1"]
+
+
+def url_normal_form(spark, sf):
+    p = T.read(spark, sf, "pages")
+    pick = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.pmod(i, F.lit(len(xs))) + 1).cast("int"))
+    bare = F.regexp_extract("url", "^(https?://[^/?#]+)(/[^?#]*)", 0)
+    path = F.regexp_extract("url", "^(https?://[^/?#]+)/([^?#]*)", 2)
+    odd = F.concat(F.upper(F.regexp_extract("url", "^(https?://[^/?#]+)", 1)), pick(_DETOURS, F.col("page_id")), path, F.lit("?"), pick(_ADDED, F.col("page_id")), F.lit("#x"))
+    return p.filter(bare != "").select("page_id", url.normalize_url(odd).alias("url"))
+
+
 def safe_url(spark, sf):
     p = T.read(spark, sf, "pages")
     odd = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "^https?:", "ftp:")).when(F.col("page_id") % 5 == 1, F.regexp_replace("url", "^https?:", "")).otherwise(F.col("url"))
@@ -159,19 +173,25 @@ _SCORED = f"""WITH {T.CORPUS_SQL}, stars AS (SELECT user_id, count(*) AS stars F
 _URL = r"^(?i)(https?)://([^/?#\s]+)([^?#\s]*)(\?[^#\s]*)?(#.*)?$"
 _URL_DUCK = _URL.replace("^(?i)", "(?i)^")
 _X = lambda i, u="u": f"regexp_extract({u}, '{_URL_DUCK}', {i})"
+#: A parameter decoded and encoded as forms do it.
+_FORM = "replace(replace(replace(url_encode(url_decode(replace({0}, '+', ' '))), '%20', '+'), '~', '%7E'), '%2A', '*')"
 _NORM_URL = f"""parsed AS (SELECT *, lower({_X(1)}) AS scheme, regexp_replace(lower({_X(2)}), CASE WHEN lower({_X(1)}) = 'https' THEN ':443$' ELSE ':80$' END, '') AS host,
-    CASE WHEN {_X(3)} = '' THEN '/' WHEN length({_X(3)}) > 1 THEN regexp_replace({_X(3)}, '/$', '') ELSE {_X(3)} END AS path,
+    CASE WHEN {_X(3)} = '' THEN '/' ELSE {_X(3)} END AS path0,
     list_filter(string_split(substr({_X(4)}, 2), '&'), lambda p: p <> '' AND NOT regexp_full_match(split_part(p, '=', 1), '(?i)(utm_.*|ref|referrer|source|gclid|fbclid)')) AS pairs FROM raw),
-  sorted AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(pairs, lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda x: x.p), '&') AS query FROM parsed),
-  canonical AS (SELECT *, CASE WHEN regexp_matches(u, '{_URL_DUCK}') THEN scheme || '://' || host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE u END AS url2 FROM sorted)"""
+  sorted AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(pairs, lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda x: {_FORM.format("x.k")} || '=' || {_FORM.format("substr(x.p, length(x.k) + 2)")}), '&') AS query FROM parsed),
+  cut AS (SELECT *, CASE WHEN query = '' AND length(path0) > 1 THEN regexp_replace(path0, '/$', '') ELSE path0 END AS path FROM sorted),
+  canonical AS (SELECT *, CASE WHEN regexp_matches(u, '{_URL_DUCK}') THEN scheme || '://' || host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE u END AS url2 FROM cut)"""
 _RAW = "raw AS (SELECT page_id, html, trim(url) AS u FROM pages)"
 _ODD = "CASE page_id % 5 WHEN 0 THEN regexp_replace(url, '^https?:', 'ftp:') WHEN 1 THEN regexp_replace(url, '^https?:', '') ELSE url END"
 
-QUERIES = {f.__name__: f for f in [normalize_text, normalize_url, safe_url, content_hash, slugify, days_since, iso_format, is_stale, is_expired, quality_score, quality_notes, score_bands, curate, has_examples, frontmatter, markdown_links, robots_gate, fetch_backoff]}
+QUERIES = {f.__name__: f for f in [normalize_text, normalize_url, url_normal_form, safe_url, content_hash, slugify, days_since, iso_format, is_stale, is_expired, quality_score, quality_notes, score_bands, curate, has_examples, frontmatter, markdown_links, robots_gate, fetch_backoff]}
 
 ORACLE = {
     "normalize_text": f"SELECT doc_id, sha256({NORM_SQL.format('text')}) AS normalized_sha256 FROM documents",
     "normalize_url": f"WITH {_RAW}, {_NORM_URL} SELECT page_id, url2 AS url FROM canonical",
+    # Written from what the detours and parameters are known to come to, not by reducing them.
+    "url_normal_form": """SELECT page_id, lower(regexp_extract(url, '^https?://[^/?#]+')) || ['/', '/', '/', '/', '/a%20b/%7e%zz/'][(page_id % 5)::INT + 1] || regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1)
+      || ['?B=%7E*&q=a+b', '?a=1+2&A=%3D&b=', '?c=%C3%A9', '?='][(page_id % 4)::INT + 1] AS url FROM pages WHERE regexp_matches(url, '^https?://[^/?#]+/')""",
     "safe_url": f"SELECT page_id, regexp_matches({_ODD}, '(?i)^https?://[^/?#\\s]+') AS safe FROM pages",
     "content_hash": f"WITH {_RAW}, {_NORM_URL} SELECT page_id, sha256(concat_ws(chr(0), 'skill', {NORM_SQL.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '', url2, 'MIT', 'b a,web')) AS content_hash FROM canonical",
     "slugify": f"WITH {T.CORPUS_SQL} SELECT id, {T.SLUG_SQL.format('name')} AS slug FROM corpus",

@@ -29,6 +29,25 @@ def test_normalize_text(spark):
         ("http://x.org:443/a", "http://x.org:443/a"),
         ("  not a url ", "not a url"),
         ("https://x.org/?ref=1&REFERRER=2&gclid=3&reference=4", "https://x.org/?reference=4"),
+        ("https://x.org/a/?b=1", "https://x.org/a/?b=1"),
+        ("https://x.org/a/?ref=1", "https://x.org/a"),
+        ("https://x.org/a/./b/../c/..", "https://x.org/a"),
+        ("https://x.org/../../a/%2e%2E/.%2e/b/.", "https://x.org/b"),
+        ("https://x.org/a/.hidden/...", "https://x.org/a/.hidden/..."),
+        ("https://x.org\\\\a\\b".replace("\\\\", "\\"), "https://x.org/a/b"),
+        ("https://x.org/a b/é/😀/%c3%A9\"", "https://x.org/a%20b/%C3%A9/%F0%9F%98%80/%c3%A9%22"),
+        ("https://x.org/a?z&b=x%20y&B=~&a=%zz&=v&&q=a=b", "https://x.org/a?=v&a=%25zz&b=x+y&B=%7E&q=a%3Db&z="),
+        ("https://x.org/a?%75tm_x=1", "https://x.org/a"),
+        ("https://BÜCHER.example/a", "https://xn--bcher-kva.example/a"),
+        ("http://x.org:080/a", "http://x.org/a"),
+        ("http://x.org:/a", "http://x.org/a"),
+        ("http://x.org:0/a", "http://x.org:0/a"),
+        ("http://x.org:70000/a", "http://x.org:70000/a"),
+        ("http://x.org:9999999999999/A/..", "http://x.org:9999999999999/A/.."),
+        ("http://x.org:ab/A/..", "http://x.org:ab/A/.."),
+        ("http://[::1]:80/a", "http://[::1]/a"),
+        ("https://x.o\nrg/\ta", "https://x.org/a"),
+        (None, ""),
     ],
 )
 def test_normalize_url(spark, given, want):
