@@ -8,7 +8,8 @@ get their exact integer product.
 
 Vectors travel in blocks of bounded size. A block of queries meets the candidate blocks of a group one after the other;
 its best k so far, with their scores as the bar for the next block, stay with it, and only the group's best k a query
-leave the task.
+leave the task. Query blocks form ranges: a task has one range and one group, so its work is bounded however large both
+sides are. Of a row that repeats (id and vector), k copies are enough for any result, and no more are dealt to its block.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null
 id; an empty table gives no rows; only vectors of one length are compared; the rows with a query's id are its own and no
@@ -29,10 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curatrix.llm.common import Scratch
+
 CANDIDATES_A_BLOCK = 4096
 QUERIES_A_BLOCK = 1024
 #: Candidate blocks that a block of queries meets in one run.
 BLOCKS_A_GROUP = 16
+#: Query blocks that meet a group in one task: as many vectors as its candidates.
+BLOCKS_A_RANGE = 64
+#: Ids of repeated rows (some 16 bytes each) that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 STRIP = 1024
 #: Share of pairs of a strip from which on their products are made as one matrix.
 DENSE = 0.05
@@ -148,9 +155,25 @@ class Best:
         return self.ids[at], self.found[at, place], np.array([int(v) for v in self.score[at, place]], dtype=np.int64)
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Vectors (id long, vector array<double>) as rows of at most about ``size`` vectors of one length."""
-    n = max(1, -(-vectors.count() // size))
+def _at_most(vectors: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """``vectors`` (id, vector) with at most k of the rows that are the same.
+
+    Rows of one id score alike with any query, so more than k of them cannot be among its best k, nor can more than k copies
+    of a query's results. Only rows whose id repeats are counted.
+    """
+    several = scratch.keep(vectors.groupBy("id").count().filter("count > 1").select(F.col("id")), "several")
+    n = several.count()
+    if not n:
+        return vectors
+    several = F.broadcast(several) if n <= BROADCAST_IDS else several
+    counted = vectors.join(several, "id", "left_semi").groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_copies"))
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("id", "vector")
+    return vectors.join(several, "id", "left_anti").unionByName(copies)
+
+
+def _blocks(vectors: DataFrame, size: int, count: int) -> DataFrame:
+    """``count`` vectors (id long, vector array<double>) as rows of about ``size`` vectors of one length."""
+    n = max(1, -(-count // size))
     dealt = vectors.withColumn("_dim", F.size("vector")).withColumn("_block", F.pmod(F.xxhash64("id", "vector"), F.lit(n)))
 
     def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -168,14 +191,18 @@ def topk(candidates: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
     def ready(df: DataFrame) -> DataFrame:
         return df.filter(usable(F.col(vector)) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
-    left, right = ready(queries), ready(candidates)
-    blocks = max(1, -(-right.count() // CANDIDATES_A_BLOCK))
+    scratch = Scratch(candidates.sparkSession, "topk")
+    left, right = (_at_most(ready(df), k, scratch) for df in (queries, candidates))
+    n_left, n_right = left.count(), right.count()
+    blocks = max(1, -(-n_right // CANDIDATES_A_BLOCK))
     # Groups of a few blocks where the table is small, so that every core has one.
     groups = max(-(-blocks // BLOCKS_A_GROUP), min(blocks, candidates.sparkSession.sparkContext.defaultParallelism))
-    x = _blocks(right, CANDIDATES_A_BLOCK).withColumn("group", F.pmod("block", F.lit(groups)))
-    # A stated set of queries against all rows: a query block is sent to every group of candidate blocks.
-    q = _blocks(left, QUERIES_A_BLOCK).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "data": "q_data"})
-    q = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+    ranges = max(1, -(-n_left // (QUERIES_A_BLOCK * BLOCKS_A_RANGE)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    # A stated set of queries against all rows: a range of query blocks is sent to every group of candidate blocks.
+    x = _blocks(right, CANDIDATES_A_BLOCK, n_right).withColumn("group", F.pmod("block", F.lit(groups))).withColumn("range", every(ranges))
+    q = _blocks(left, QUERIES_A_BLOCK, n_left).withColumnsRenamed({"block": "q_block", "ids": "q_ids", "data": "q_data"})
+    q = q.withColumn("range", F.pmod("q_block", F.lit(ranges))).withColumn("group", every(groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_batch = lambda best: pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows()], ["query_id", id, "score"])
@@ -194,7 +221,7 @@ def topk(candidates: DataFrame, queries: DataFrame, k: int, id: str = "vec_id",
         if best:
             yield as_batch(best)
 
-    met = q.join(x.hint("merge"), ["dim", "group"])
+    met = q.join(x.hint("merge"), ["dim", "group", "range"])
     found = met.mapInArrow(run, f"query_id long, {id} long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), id, "score")

@@ -116,6 +116,23 @@ def test_topk_of_repeated_rows_and_long_vectors(spark):
     assert [x[1] for x in got[20]][:2] == [7, 7]  # each of the repeated rows counts
 
 
+def test_topk_in_ranges_with_many_copies(spark, monkeypatch):
+    """Several ranges and groups, a candidate and a query that repeat more often than k, ids that share no vector."""
+    for name, n in {"CANDIDATES_A_BLOCK": 40, "QUERIES_A_BLOCK": 4, "BLOCKS_A_RANGE": 2, "BLOCKS_A_GROUP": 2}.items():
+        monkeypatch.setattr(segment_topk, name, n)
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(r.integers(-9, 9, (600, 6)))]
+    rows += [(7, [9.0] * 6)] * 300 + [(7, [-9.0] * 6)] * 2 + [(40, rows[40][1])] * 50
+    for broadcast in (1_000_000, 0):
+        monkeypatch.setattr(segment_topk, "BROADCAST_IDS", broadcast)
+        got = topk_rows(spark, rows, 5)
+        for q, v in rows[:600:20]:
+            hits = sorted((-sum(64 * 64 * a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q for _ in range(51 if q == 40 else 1))
+            assert got[q] == [(n + 1, i, -int(s)) for n, (s, i) in enumerate(hits[:5])]
+    df = spark.createDataFrame([(7, [1.0, 2.0])] * 300 + [(8, None)], "id bigint, vector array<double>")
+    assert segment_topk._at_most(df.filter("vector is not null"), 20, segment_topk.Scratch(spark, "test")).count() == 20
+
+
 def test_topk_blocks_pass_on_their_bar(monkeypatch):
     """Finer levels and products are made for what is left alone, and blocks in turn give the same as one."""
     r = np.random.default_rng(2)
