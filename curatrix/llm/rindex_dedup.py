@@ -390,8 +390,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     # Kept as a table, so that the join below is between two plain exchanges, whose hot partitions Spark can split.
     several = scratch.keep(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "several")
     wanted = found.join(several, "key", "left_semi").groupBy("t1", "t2", "rid").agg(F.collect_set(F.struct("key", "start", "windows")).alias("wanted"))
+    # Kept, too: rows that repeat with their ids are one key of the join with it.
+    wanted = scratch.keep(wanted, "wanted")
     spans, large = _decide(scratch.keep(_cut_out(rows.join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "text", "wanted"), length), "parts"), length, hot, scratch)
-    scratch.drop(found)
+    scratch.drop(found, wanted)
     for anchor in longer:
         if large is None:
             break
