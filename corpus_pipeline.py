@@ -74,8 +74,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without the passages of over 50 words that occur again, in another document or the same one.
 
     All copies go, the first one too, and a document of which nothing is left goes. Words are what white space separates;
-    a passage of shorter words than two letters on average, under PASSAGE_BYTES, is not found. Rows that repeat, share an
-    id or have none are documents each; a null text has no passages and goes.
+    in scripts without spaces, each ideograph or kana is one, and so are three Thai, Lao, Khmer, Myanmar or Tibetan letters
+    (`rindex_dedup.count_words`). A passage of shorter words than two letters on average, under PASSAGE_BYTES, is not
+    found. Rows that repeat, share an id or have none are documents each; a null text has no passages and goes.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_chars", "kept", "kept_text", "removed")]
     clashing = {c: f"_own_{c}" for c in ("kept", "kept_text", "removed") if c in docs.columns}

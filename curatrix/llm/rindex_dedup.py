@@ -33,6 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -433,12 +434,28 @@ def whole_characters(data: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
+#: Scripts without spaces between words: of the first, each letter is a word; of the others, up to three letters with their marks are.
+IDEOGRAPHS = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}"
+SYLLABLES = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+_unspaced = regex.compile(rf"[{IDEOGRAPHS}]|(?:(?=[{SYLLABLES}])\p{{L}}\p{{M}}*){{1,3}}")
+
+
+def count_words(data: bytes) -> int:
+    """Words of a text: what white space of ASCII separates, and each word of a script without spaces for itself."""
+    if data.isascii():
+        return len(data.split())
+    rest, found = _unspaced.subn(" ", data.decode("utf-8", "ignore"))
+    # Beside such words, marks and punctuation alone are none.
+    words = rest.encode().split()
+    return found + (sum(1 for w in words if regex.search(r"[\p{L}\p{N}]", w.decode())) if found else len(words))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, whole: bool = False, anchor: int = ANCHOR, words: int = 0) -> DataFrame:
     """``keep`` columns, kept (binary: what is left), kept_text (the same as text, without characters that lost some of
     their bytes), removed (array of start and end) of every row.
 
-    With ``whole``, no character is split: kept is then valid UTF-8. Repeats of fewer than ``words`` words, as white space
-    separates them, stay.
+    With ``whole``, no character is split: kept is then valid UTF-8. Repeats of fewer than ``words`` words, by
+    `count_words`, stay.
     """
     outputs = ["kept", "kept_text", "removed"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
@@ -459,7 +476,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             for data, found in zip(_bytes_of(b.column(said)), b.column("spans").to_pylist(), strict=True):
                 ranges = byte_ranges(found, length)
                 ranges = whole_characters(data, ranges) if whole else ranges
-                ranges = [(a, e) for a, e in ranges if len(data[a:e].split()) >= words] if words else ranges
+                ranges = [(a, e) for a, e in ranges if count_words(data[a:e]) >= words] if words else ranges
                 parts = kept_parts(data, ranges)
                 left.append(b"".join(parts) if ranges else data)
                 said_left.append("".join(p.decode("utf-8", "ignore") for p in parts))

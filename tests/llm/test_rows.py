@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import chat, jumphash, ppm_langid, segment_topk
+from curatrix.llm import chat, jumphash, ppm_langid, rindex_dedup, segment_topk
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -371,6 +371,27 @@ def without_passages(texts):
     return out
 
 
+def test_words_of_scripts_without_spaces():
+    count = rindex_dedup.count_words
+    assert count("a bc\td  é~è\n".encode()) == 4 and count(b"") == 0 and count("«é» – «è»".encode()) == 3
+    assert count("日本語のテキスト。".encode()) == 8 and count("日本 GPU 2、語".encode()) == 5
+    assert count("กขค".encode()) == 1 and count("กิขีคืง".encode()) == 2 and count("한국어 말".encode()) == 2
+
+
+def test_passages_of_scripts_without_spaces(spark):
+    """51 ideographs or as many words of three Thai letters go, with and without punctuation; fewer stay."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    thai = lambda n: "".join(chr(r.randrange(0x0E01, 0x0E2F)) for _ in range(n))
+    for make, passage, gone in ((han, han(51), True), (han, f"{han(30)}。{han(30)}", True), (han, han(49), False), (thai, thai(153), True), (thai, thai(150), False), (han, thai(160), True)):
+        sides = [(make(40), make(40)) for _ in range(3)]
+        docs = spark.createDataFrame([(i, f"{a}\n{passage}\n{b}", "zz", "s", 0) for i, (a, b) in enumerate(sides)], DOCUMENTS)
+        out = {x["doc_id"]: x["text"] for x in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+        assert {i: t.replace("\n", "") for i, t in out.items()} == {i: a + ("" if gone else passage) + b for i, (a, b) in enumerate(sides)}
+
+
 def test_passages_are_told_by_words(spark):
     """51 short words go, 50 long ones stay, in any document; other columns keep their values."""
     import corpus_pipeline
