@@ -364,21 +364,29 @@ def _contents(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     renamed = found.join(own, [*names, "part"], "left")
     renamed = renamed.withColumn("c2", F.when(F.col("own").isNull(), F.col("c2")).otherwise(F.lit(-1))).withColumn("c1", F.coalesce("own", "c1")).select(*found.columns)
     renamed = scratch.keep(renamed, "renamed")
+    scratch.drop(found, contents)
     return renamed, counted(renamed)
 
 
 def _decide(found: DataFrame, length: int, hot: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame | None]:
-    """Repeated windows (t1, t2, start, windows) of the stretches ``found`` (STRETCH), and the stretches of hot groups."""
+    """Repeated windows (t1, t2, start, windows) of the stretches ``found`` (STRETCH), and the stretches of hot groups.
+
+    The windows are kept as tables; those with the stretches' bytes, ``found`` too, go as soon as nothing reads them.
+    """
     found, contents = _contents(found, scratch)
     copied = contents.filter("copies > 1").select("key", "c1", "c2")
-    out = [found.filter("copies = 1").join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows")]
+    copied = found.filter("copies = 1").join(copied, ["key", "c1", "c2"], "left_semi").select("t1", "t2", "start", "windows")
+    out = [scratch.keep(copied, "copied")]
     # Anchors of several different stretches, some of them without a copy.
     groups = contents.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("copies").alias("fewest")).filter("m > 1 and fewest = 1")
     mixed = contents.join(groups.select("key", (F.col("m") > hot).alias("hot")), "key").withColumn("copies", F.least("copies", F.lit(2).cast("long")))
     mixed = scratch.keep(mixed, "mixed")
-    out.append(_by_index(mixed.filter("not hot"), length))
+    scratch.drop(found, contents)
+    out.append(scratch.keep(_by_index(mixed.filter("not hot"), length), "indexed"))
     large = mixed.filter("hot")
-    return out, None if large.isEmpty() else large
+    large = None if large.isEmpty() else scratch.keep(large, "large")
+    scratch.drop(mixed)
+    return out, large
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
@@ -393,13 +401,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     wanted = found.join(several, "key", "left_semi").groupBy("t1", "t2", "rid").agg(F.collect_set(F.struct("key", "start", "windows")).alias("wanted"))
     # Kept, too: rows that repeat with their ids are one key of the join with it.
     wanted = scratch.keep(wanted, "wanted")
-    spans, large = _decide(scratch.keep(_cut_out(rows.join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "text", "wanted"), length), "parts"), length, hot, scratch)
-    scratch.drop(found, wanted)
+    scratch.drop(found, several)
+    parts = scratch.keep(_cut_out(rows.join(wanted, ["t1", "t2", "rid"]).select("t1", "t2", "text", "wanted"), length), "parts")
+    scratch.drop(wanted)
+    spans, large = _decide(parts, length, hot, scratch)
     for anchor in longer:
         if large is None:
             break
         # With a whole window as the anchor, a stretch is one window, and equal bytes have decided.
-        more, large = _decide(scratch.keep(_again(large, length, anchor), "again"), length, hot, scratch)
+        again = scratch.keep(_again(large, length, anchor), "again")
+        scratch.drop(large)
+        more, large = _decide(again, length, hot, scratch)
         spans += more
     out = reduce(DataFrame.unionByName, spans).distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
     return scratch.keep(out, "spans")
