@@ -12,6 +12,7 @@ from curatrix.lineage import shared_dir
 from curatrix.operators import upsert
 from curatrix.plans import ingest as I
 from curatrix.plans import tables as T
+from curatrix.schemas import violations
 from curatrix.store import Store
 
 TRIM_NOW = "2024-04-10 00:00:00"
@@ -59,7 +60,22 @@ def rollup_table(spark, sf):
     return said(log.months(), "partial").unionByName(said(left, "rows"))
 
 
-QUERIES = {f.__name__: f for f in [merge_buckets, merge_evidence, retention_log, rollup_table]}
+def append_log(spark, sf):
+    """Run rows that were appended in two writes, by status."""
+    store, runs = _store(spark), T.runs(spark, sf)
+    for part in (0, 1):
+        store.append("source_runs", runs.filter(F.col("id") % 2 == part))
+    return store.log("source_runs").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("accepted").cast("long").alias("accepted"))
+
+
+def schema_violations(spark, sf):
+    """Rows that break the constraint on the status of runs, where every 50th has a status that is not allowed or none."""
+    i = F.col("id")
+    broken = F.when(i % 100 == 0, F.lit(None)).when(i % 50 == 0, F.lit("running")).otherwise(F.col("status"))
+    return violations(T.runs(spark, sf).withColumn("status", broken), "source_runs")
+
+
+QUERIES = {f.__name__: f for f in [merge_buckets, merge_evidence, retention_log, rollup_table, append_log, schema_violations]}
 
 ORACLE = {
     "merge_buckets": I.ORACLE["upsert_snapshot"],
@@ -67,4 +83,6 @@ ORACLE = {
     "retention_log": f"WITH {T.checks_sql()} SELECT strftime(checked_at, '%Y-%m-%d') AS day, count(*) AS n FROM checks WHERE checked_at >= TIMESTAMP '{TRIM_NOW}' - INTERVAL 90 DAY GROUP BY 1",
     "rollup_table": f"""WITH {T.RUNS_SQL} SELECT strftime(started_at, '%Y-%m') AS month, source_id, count(*) AS n, sum(accepted)::BIGINT AS accepted, count(*) FILTER (status = 'failed') AS failed,
       CASE WHEN strftime(started_at, '%Y-%m') < strftime(TIMESTAMP '{ROLLUP_NOW}' - INTERVAL {ROLLUP_DAYS} DAY, '%Y-%m') THEN 'partial' ELSE 'rows' END AS kept_as FROM runs GROUP BY ALL""",
+    "append_log": f"WITH {T.RUNS_SQL} SELECT status, count(*) AS n, sum(accepted)::BIGINT AS accepted FROM runs GROUP BY 1",
+    "schema_violations": f"WITH {T.RUNS_SQL} SELECT 'status' AS \"constraint\", count(*) FILTER (id % 50 = 0 OR status NOT IN ('ok', 'partial', 'failed')) AS rows FROM runs",
 }
