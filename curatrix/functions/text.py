@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: What counts as white space, as a regular expression class.
 JS_SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
 SLUG_LENGTH = 120
+#: What stands between search tokens.
+NO_TOKEN = "[^\\p{L}\\p{N}]+"
 
 
 def utf16_length(text: Column) -> Column:
@@ -34,7 +36,12 @@ def has_examples(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: lower case, accents folded, split at everything but letters and digits."""
-    return F.filter(F.split(fold_accents(F.lower(F.coalesce(text, F.lit("")))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(fold_accents(F.lower(F.coalesce(text, F.lit("")))), NO_TOKEN), lambda t: t != "")
+
+
+def spaced_tokens(text: Column) -> Column:
+    """The same tokens as a text, with single spaces between them."""
+    return F.trim(F.regexp_replace(fold_accents(F.lower(F.coalesce(text, F.lit("")))), NO_TOKEN, " "))
 
 
 def fold_accents(text: Column) -> Column:

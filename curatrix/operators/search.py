@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curatrix.functions.stem import porter_stem
-from curatrix.functions.text import tokens
+from curatrix.functions.text import spaced_tokens, tokens
 from curatrix.lineage import cut
 
 #: The searched columns of a record.
@@ -47,6 +47,12 @@ def _lists(rows: DataFrame, fields: list[str], id: str) -> DataFrame:
     return rows.select(id, each.alias("f")).select(id, "f.field", "f.words")
 
 
+def words(rows: DataFrame, fields: list[str] | None = None, id: str = "id") -> DataFrame:
+    """The id, and under each field's name its tokens in order as a text, single spaces between them."""
+    text = lambda f: F.concat_ws(" ", f) if isinstance(rows.schema[f].dataType, T.ArrayType) else F.col(f)
+    return rows.select(id, *(spaced_tokens(text(f)).alias(f) for f in fields or FIELDS))
+
+
 def occurrences(rows: DataFrame, fields: list[str] | None = None, id: str = "id") -> DataFrame:
     """(token, field, id, pos): one row per token occurrence, positions from 0 in each field; no stems, no shuffle."""
     return _lists(rows, fields or FIELDS, id).select("field", id, F.posexplode("words").alias("pos", "token")).select("token", "field", id, "pos")

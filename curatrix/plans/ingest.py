@@ -123,7 +123,7 @@ def _searched(spark, sf):
 
 def _index(spark, sf):
     """The stored index of the records; built when the table's files are not the ones that an index is there for."""
-    index = SearchIndex(Store(spark, f"{shared_dir(spark)}/curatrix/search"), signature(spark, [f"{sf}/documents.parquet"]))
+    index = SearchIndex(Store(spark, f"{shared_dir(spark)}/curatrix/search-blocks"), signature(spark, [f"{sf}/documents.parquet"]))
     if not index.store.version(index.name):
         index.build(_searched(spark, sf))
     return index
