@@ -152,6 +152,14 @@ class SearchIndex:
         found = self._live(manifest, [(s, None) for s in manifest["segments"]])
         return found.select("field", F.col("stem" if stemmed else "token").alias("token"), self.id, "pos")
 
+    def frequencies(self) -> DataFrame:
+        """(field, token, n, docs) of all live postings, by stem: how often it is there, and in how many records."""
+        manifest = self.manifest()
+        if manifest["tombstones"] or len(manifest["segments"]) > 1 or not all(s["apart"] for s in manifest["segments"]):
+            return self.postings().groupBy("field", "token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(self.id).alias("docs"))
+        found = self._blocks([(s, None) for s in manifest["segments"]]).select("field", F.col("stem").alias("token"), "n", "docs")
+        return found.groupBy("field", "token").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "docs")))
+
     def tokens_of(self, terms: list[str], stemmed: bool = True) -> dict[str, str]:
         """The index's tokens that have the given stems (or are the given tokens), with the term of each."""
         manifest = self.manifest()

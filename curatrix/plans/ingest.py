@@ -148,8 +148,7 @@ def fts_page(spark, sf):
 
 
 def fts_postings(spark, sf):
-    found = _index(spark, sf).postings()
-    return found.groupBy("field", "token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("docs"))
+    return _index(spark, sf).frequencies()
 
 
 def fts_vocabulary(spark, sf):
