@@ -124,8 +124,12 @@ def search_page(rows: DataFrame, query: str, page: int = 1, size: int = PAGE_SIZ
     ``index``: a `SearchIndex` of the records, without which they are read for the search.
     """
     live = rows.filter("is_active")
-    found = live.join(index.search(query, **how) if index else search(live, query, id=id, **how), id)
-    return found.orderBy(F.desc("hits"), F.desc(score), id).offset((max(page, 1) - 1) * size).limit(size)
+    found = index.search(query, **how) if index else search(live, query, id=id, **how)
+    order, last = [F.desc("hits"), F.desc(score), F.col(id)], max(page, 1) * size
+    # First which ids come up to the page's end, without the other columns; then only their records.
+    first = live.select(id, score).join(found, id).orderBy(*order).limit(last).select(id, "hits").distinct()
+    found = live.join(F.broadcast(first) if last <= BROADCAST_TOKENS else first, id)
+    return found.orderBy(*order).offset(last - size).limit(size)
 
 
 def refresh(old: DataFrame, changed: DataFrame, fields: list[str] | None = None, id: str = "id", stemmed: bool = True) -> DataFrame:
